@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import linededup
+from . import bpe, linededup
 
 QUERIES = {
+    "op5_bpe": bpe.op5_bpe,
     "op9_line_dedup": linededup.op9_line_dedup,
 }
 
