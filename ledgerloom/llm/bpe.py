@@ -140,7 +140,7 @@ class Bpe:
         held, whole = None, []
         for i, (word, ids) in enumerate(zip(words, out, strict=True)):
             if held is not None:
-                held = [*held, word]
+                held.append(word)
             elif ids is None:
                 held = [word] if not i else ["", word]
             else:

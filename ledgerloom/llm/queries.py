@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, linededup
+from . import bpe, linededup, media
 
 QUERIES = {
     "op5_bpe": bpe.op5_bpe,
+    "op8_progressive_jpeg": media.op8_progressive_jpeg,
     "op9_line_dedup": linededup.op9_line_dedup,
 }
 
