@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, linededup, media
+from . import bpe, langid, linededup, media
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op5_bpe": bpe.op5_bpe,
     "op8_progressive_jpeg": media.op8_progressive_jpeg,
     "op9_line_dedup": linededup.op9_line_dedup,
