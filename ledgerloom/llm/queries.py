@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, linededup, media
+from . import bpe, langid, linededup, media, minhash
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op5_bpe": bpe.op5_bpe,
+    "op7_near_dedup": minhash.op7_near_dedup,
     "op8_progressive_jpeg": media.op8_progressive_jpeg,
     "op9_line_dedup": linededup.op9_line_dedup,
 }
