@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -26,9 +27,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_columns
+from .common import portions, with_columns
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
+_NONE = 1 << 30
 #: Fixed value: the pattern of byte-level vocabularies of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -41,13 +43,16 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class _Cache(dict):
+    """Values by key, made on demand. Of the two generations kept, the older goes when the newer is full."""
+
     def __init__(self, make):
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
         if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self[key] = self.older[key] if key in self.older else self.make(key)
         return value
 
 
@@ -63,15 +68,16 @@ class Bpe:
         for text, i in self.special.items():
             self.token_bytes[i] = text.encode()
         self.byte_id = [vocab[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])]
-        self.merges = {}
+        self.merges, self.made = {}, []
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
+            self.merges[vocab[left] << 16 | vocab[right]] = rank
+            self.made.append(vocab[left + right])
         self.joinable = np.zeros((256, 256), bool)
         for i in vocab.values():
             b = np.frombuffer(self.token_bytes[i], np.uint8)
             self.joinable[b[:-1], b[1:]] = True
-        self.joins = [row.tolist() for row in self.joinable]
+        self.joins = self.joinable.tobytes()
         self.split = regex.compile(PATTERN).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         # bytes after which a space is no forced cut
@@ -83,37 +89,50 @@ class Bpe:
     def merge(self, fragment: bytes) -> list[int]:
         """The ids of a fragment: repeatedly join the pair of lowest rank, leftmost first."""
         ids = [self.byte_id[b] for b in fragment]
-        n = len(ids)
-        if n == 1:
-            return ids
-        merges = self.merges
+        if len(ids) > 64:
+            return self.merge_long(ids)
+        merges, made = self.merges, self.made
+        ranks = [merges.get(a << 16 | b, _NONE) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (rank := min(ranks)) < _NONE:
+            i = ranks.index(rank)
+            ids[i : i + 2] = [made[rank]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = merges.get(ids[i - 1] << 16 | ids[i], _NONE)
+            if i < len(ranks):
+                ranks[i] = merges.get(ids[i] << 16 | ids[i + 1], _NONE)
+        return ids
+
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap and links, for fragments of any length."""
+        merges, made, n = self.merges, self.made, len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(*m, i) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        queue = [(rank, i) for i in range(n - 1) if (rank := merges.get(ids[i] << 16 | ids[i + 1])) is not None]
         heapq.heapify(queue)
         while queue:
-            _, made, i = heapq.heappop(queue)
+            rank, i = heapq.heappop(queue)
             j = after[i]
-            if ids[i] is None or j >= n or (m := merges.get((ids[i], ids[j]))) is None or m[1] != made:
+            if ids[i] is None or j >= n or merges.get(ids[i] << 16 | ids[j]) != rank:
                 continue
-            ids[i], ids[j] = made, None
+            ids[i], ids[j] = made[rank], None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if m := merges.get((made, ids[k])):
-                    heapq.heappush(queue, (*m, i))
-            if (h := before[i]) >= 0 and (m := merges.get((ids[h], made))):
-                heapq.heappush(queue, (*m, h))
+                if (r := merges.get(ids[i] << 16 | ids[k])) is not None:
+                    heapq.heappush(queue, (r, i))
+            if (h := before[i]) >= 0 and (r := merges.get(ids[h] << 16 | ids[i])) is not None:
+                heapq.heappush(queue, (r, h))
         return [x for x in ids if x is not None]
 
     def cut(self, piece: bytes) -> list[bytes]:
         """A piece split wherever two neighbouring bytes are inside no token."""
+        joins = self.joins
         if len(piece) > 256:
             b = np.frombuffer(piece, np.uint8)
-            at = [0, *(np.flatnonzero(~self.joinable[b[:-1], b[1:]]) + 1).tolist(), len(piece)]
+            at = (np.flatnonzero(~self.joinable[b[:-1], b[1:]]) + 1).tolist()
         else:
-            joins = self.joins
-            at = [0, *(i for i in range(1, len(piece)) if not joins[piece[i - 1]][piece[i]]), len(piece)]
-        return [piece[i:j] for i, j in zip(at, at[1:], strict=False)]
+            at = [i for i, (a, b) in enumerate(zip(piece, piece[1:], strict=False), 1) if not joins[a << 8 | b]]
+        return [piece[i:j] for i, j in zip([0, *at], [*at, len(piece)], strict=True)] if at else [piece]
 
     def word(self, text: str) -> bytes | None:
         """Little-endian ids of a word; None where a space behind it would not be a cut."""
@@ -126,8 +145,8 @@ class Bpe:
         return text[-1].isspace() or text[-1].encode()[-1] in self.holds_space
 
     def piece(self, text: str) -> bytes:
-        ids = chain.from_iterable(self.fragments[f] for p in self.split(text) for f in self.cut(p.encode()))
-        return np.fromiter(ids, np.dtype("<u4")).tobytes()
+        parts = (text,) if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()) else self.split(text)
+        return array("I", chain.from_iterable(self.fragments[f] for p in parts for f in self.cut(p.encode()))).tobytes()
 
     def plain(self, text: str) -> bytes:
         """Ids of a text without special tokens."""
@@ -178,28 +197,37 @@ def _schema(df: DataFrame, extra: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), extra])
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with a binary column token_ids: little-endian unsigned 32-bit ids of the whole text."""
+def _vocabulary(df: DataFrame, path: str):
     with open(path, encoding="utf-8") as f:
-        vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
+        return df.sparkSession.sparkContext.broadcast(f.read())
+
+
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """``docs`` with a binary column token_ids: little-endian unsigned 32-bit ids of the whole text.
+
+    If ``decoded``, a column of that name has the text that the ids decode to.
+    """
+    vocabulary = _vocabulary(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(vocabulary)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield with_columns(batch, token_ids=pa.array([bpe.encode(t or "") for t in texts], pa.binary()))
+        for batch in portions(batches):
+            ids = [bpe.encode(t or "") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            new = {"token_ids": pa.array(ids, pa.binary())}
+            if decoded:
+                new["decoded"] = pa.array([bpe.decode(i) for i in ids], pa.string())
+            yield with_columns(batch, **new)
 
-    return docs.mapInArrow(run, _schema(docs.drop("token_ids"), "token_ids binary"))
+    return docs.mapInArrow(run, _schema(docs.drop("token_ids", "decoded"), "token_ids binary" + ", decoded string" * decoded))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with a string column decoded, made from token_ids."""
-    with open(path, encoding="utf-8") as f:
-        vocabulary = encoded.sparkSession.sparkContext.broadcast(f.read())
+    vocabulary = _vocabulary(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(vocabulary)
-        for batch in batches:
+        for batch in portions(batches):
             ids = batch.column(batch.schema.get_field_index("token_ids")).to_pylist()
             yield with_columns(batch, decoded=pa.array([bpe.decode(i or b"") for i in ids], pa.string()))
 
@@ -208,7 +236,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text of each row."""
-    out = decode(encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    out = encode(docs.select("doc_id", "text"), path, decoded=True)
     return out.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
