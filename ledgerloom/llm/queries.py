@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, linededup, media, minhash
+from . import bpe, langid, linededup, media, minhash, quality
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
+    "op4_quality": quality.op4_quality,
     "op5_bpe": bpe.op5_bpe,
     "op7_near_dedup": minhash.op7_near_dedup,
     "op8_progressive_jpeg": media.op8_progressive_jpeg,
