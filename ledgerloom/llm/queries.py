@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, linededup, media, minhash, quality
+from . import bpe, langid, linededup, media, minhash, mixing, quality
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_near_dedup": minhash.op7_near_dedup,
     "op8_progressive_jpeg": media.op8_progressive_jpeg,
     "op9_line_dedup": linededup.op9_line_dedup,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 SQL = {
