@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, linededup, media, minhash, mixing, quality
+from . import ann, bpe, langid, linededup, media, minhash, mixing, quality
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
+    "op2_inverted_multi_index": ann.op2_inverted_multi_index,
     "op4_quality": quality.op4_quality,
     "op5_bpe": bpe.op5_bpe,
     "op7_near_dedup": minhash.op7_near_dedup,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_inverted_multi_index": ann.ORACLE,
     "op9_line_dedup": linededup.ORACLE,
 }
