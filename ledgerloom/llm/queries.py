@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, linededup, media, minhash, mixing, quality
+from . import ann, bpe, langid, linededup, media, minhash, mixing, pii, quality
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_inverted_multi_index": ann.op2_inverted_multi_index,
+    "op3_pii": pii.op3_pii,
     "op4_quality": quality.op4_quality,
     "op5_bpe": bpe.op5_bpe,
     "op7_near_dedup": minhash.op7_near_dedup,
