@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, linededup, media, minhash, mixing, pii, quality
+from . import ann, bpe, langid, linededup, media, minhash, mixing, pii, quality, tokencount
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_quality": quality.op4_quality,
     "op5_bpe": bpe.op5_bpe,
+    "op6_token_counts": tokencount.op6_token_counts,
     "op7_near_dedup": minhash.op7_near_dedup,
     "op8_progressive_jpeg": media.op8_progressive_jpeg,
     "op9_line_dedup": linededup.op9_line_dedup,
