@@ -162,9 +162,11 @@ SELECT doc, engine, round(score, 6) AS score FROM (SELECT *, row_number() OVER (
     "best_engine_fixture": f"""
 SELECT doc, engine FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY {_score('t')} DESC, rank) AS k FROM {_values(CANDIDATES, 'doc', 'rank', 'engine', 't')}) WHERE k = 1""",
     "pii_email_mask": r"""
-WITH p AS (SELECT doc_id, string_split_regex(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b') AS p FROM documents WHERE contains(text, '@'))
-SELECT doc_id, (len(p) - 1)::BIGINT AS n_tokens,
-       sha256(array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || CASE WHEN i < len(p) THEN '<EMAIL_' || i || '>' ELSE '' END), '')) AS masked_sha256 FROM p""",
+WITH p AS (SELECT doc_id, string_split_regex(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b') AS p FROM documents WHERE contains(text, '@')),
+m AS (SELECT doc_id, len(p) - 1 AS n, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || CASE WHEN i < len(p) THEN '<EMAIL_' || i || '>' ELSE '' END), '') AS t FROM p),
+q AS (SELECT doc_id, n, string_split_regex(t, '\b(?:\+49|0)[\d\s/()-]{6,}\d\b') AS p FROM m)
+SELECT doc_id, (n + len(p) - 1)::BIGINT AS n_tokens,
+       sha256(array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || CASE WHEN i < len(p) THEN '<PHONE_' || i || '>' ELSE '' END), '')) AS masked_sha256 FROM q""",
     "pii_roundtrip": "SELECT count(text) AS n, count(text) AS n_same FROM documents",
     "revalidate_overlay": """
 SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 0 THEN NULL WHEN o_orderkey % 4 = 0 THEN 'PATCHED' ELSE o_orderpriority END AS priority,
