@@ -25,7 +25,10 @@ from .common import portions, with_columns
 #: Fixed value: what marks the beginning of a word in the vocabulary.
 MARK = "▁"
 BYTE_SCORE = -20.0
-MAX_NODES = 600_000
+MAX_NODES = 400_000
+MAX_WORDS = 250_000
+#: Prefixes and words longer than this aren't kept.
+SHARED = 64
 
 
 def unigram_scores(path: str) -> dict[str, float]:
@@ -39,58 +42,66 @@ def unigram_scores(path: str) -> dict[str, float]:
     return {model.id_to_piece(i): -math.log(k + 1) - total for k, i in enumerate(ids)}
 
 
-class Trie:
-    """Prefixes of pre-tokens with their forward score and token count."""
+class Trie(dict):
+    """Token counts by pre-token; one that is new walks the trie of prefixes, which holds their scores and counts."""
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
+        #: Ends of tokens: where a text's end is none of them, no token ends with it or with anything longer.
+        self.ends = {piece[k:] for piece in scores for k in range(len(piece))}
         self.longest = max(map(len, scores), default=1)
-        self.clear()
-
-    def clear(self) -> None:
+        self.older: dict[str, int] = {}
         self.root: list = [{}, 0.0, 0]
         self.nodes = 1
-        self.terminal: dict[str, int] = {}
-
-    def count(self, word: str) -> int:
-        """Tokens of the best segmentation of a word."""
-        known = self.terminal.get(word)
-        if known is not None:
-            return known
-        if self.nodes > MAX_NODES or len(self.terminal) > MAX_NODES:
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MAX_WORDS:
+            self.older = dict(self)
             self.clear()
-        text = MARK + word
+        count = self.older[word] if word in self.older else self.walk(MARK + word)
+        if len(word) <= SHARED:
+            self[word] = count
+        return count
+
+    def walk(self, text: str) -> int:
+        """Tokens of the best segmentation, computing the nodes that no text before has reached."""
+        if self.nodes > MAX_NODES:
+            self.root, self.nodes = [{}, 0.0, 0], 1
         node, path = self.root, [self.root]
         for end, char in enumerate(text, 1):
             child = node[0].get(char)
             if child is None:
                 child = self.extend(text, end, path)
-                if end <= 64:  # what long words share is near their root
+                if end <= SHARED:  # what long words share is near their root
                     node[0][char] = child
                     self.nodes += 1
             path.append(child)
-            if len(path) > self.longest + 1:
-                del path[0]
             node = child
-        if len(text) <= 64:
-            self.terminal[word] = node[2]
+            if end > 4096 and len(path) > 8192:
+                del path[:4096]
         return node[2]
 
     def extend(self, text: str, end: int, path: list[list]) -> list:
         """The node of text[:end]; ``path`` has those of the prefixes before it, the last one nearest."""
-        best, tokens = -math.inf, 0
-        for length in range(1, min(len(path), end) + 1):
-            before = path[-length]
-            score = self.scores.get(text[end - length : end])
-            if score is None:
-                if length > 1:
-                    continue
-                size = len(text[end - 1].encode("utf-8", "surrogatepass"))
-                value, n = before[1] + BYTE_SCORE * size, before[2] + size
-            else:
-                value, n = before[1] + score, before[2] + 1
-            if value >= best:
-                best, tokens = value, n
+        scores, ends = self.scores, self.ends
+        before = path[-1]
+        piece = text[end - 1]
+        score = scores.get(piece)
+        if score is None:
+            size = len(piece.encode("utf-8", "surrogatepass"))
+            best, tokens = before[1] + BYTE_SCORE * size, before[2] + size
+        else:
+            best, tokens = before[1] + score, before[2] + 1
+        if piece in ends:
+            for length in range(2, min(self.longest, end) + 1):
+                piece = text[end - length : end]
+                if piece not in ends:
+                    break
+                score = scores.get(piece)
+                if score is not None:
+                    before = path[-length]
+                    if before[1] + score >= best:
+                        best, tokens = before[1] + score, before[2] + 1
         return [{}, best, tokens]
 
 
@@ -106,7 +117,7 @@ def token_counts(docs: DataFrame, scores: dict[str, float]) -> DataFrame:
         if key not in _TRIES:
             _TRIES.clear()
             _TRIES[key] = Trie(held.value)
-        count = _TRIES[key].count
+        count = _TRIES[key].__getitem__
         for batch in portions(batches):
             words = [(t or "").split() for t in batch.column(1).to_pylist()]
             yield with_columns(batch.drop_columns(["text"]), n_pretokens=pa.array(map(len, words), pa.int64()), n_tokens=pa.array([sum(map(count, w)) for w in words], pa.int64()))

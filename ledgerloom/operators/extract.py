@@ -30,52 +30,57 @@ def _entities(line: Column) -> Column:
 
 def _first_index(array: Column, test) -> Column:
     """Zero-based place of the first element for which ``test`` holds; null if there is none."""
-    return F.get(F.filter(F.sequence(F.lit(0), F.size(array) - 1), lambda i: test(F.get(array, i))), F.lit(0))
+    return first(F.transform(array, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _first_of(array: Column, make) -> Column:
-    """The first value that isn't null of ``make``(array, place)."""
-    return first(F.transform(F.sequence(F.lit(0), F.size(array) - 1), lambda i: make(array, i)), lambda x: x.isNotNull())
+    """The first value that isn't null of ``make``(element, place)."""
+    return first(F.transform(array, make), lambda x: x.isNotNull())
 
 
-def _labelled_recipient(ls: Column, i: Column) -> Column:
-    line = strip(F.get(ls, i))
+def _labelled_recipient(line: Column, i: Column) -> Column:
     rest = strip_marks(F.regexp_replace(line, P.RECIPIENT_LABEL, ""), " :\t")
-    below = [present(_left_column(strip(F.get(ls, i + k)))) for k in (1, 2)]
+    below = [present(_left_column(F.get("_bare", i + k))) for k in (1, 2)]
     return F.when(line.rlike(P.RECIPIENT_LABEL), F.coalesce(present(_left_column(rest)), *below))
 
 
 def _named_recipient(vendor: Column, header: Column):
     """The recipient that an unlabelled line names, given the vendor and the place of a header of both parties."""
+    known = vendor.isNotNull() & (vendor != "")
 
-    def make(ls: Column, i: Column) -> Column:
-        line = strip(F.get(ls, i))
-        parties = _entities(line)
-        candidate = _left_column(line)
+    def besides_vendor(candidate: Column) -> Column:
         rest = strip_marks(F.substring(candidate, F.instr(candidate, vendor) + F.length(vendor), F.length(candidate)))
-        known = vendor.isNotNull() & (vendor != "")
-        legal = (
-            F.when((candidate == "") | ~candidate.rlike(P.LEGAL_FORM), F.lit(None))
-            .when(known & F.contains(candidate, vendor), F.when((candidate != vendor) & (rest != "") & rest.rlike(P.LEGAL_FORM), rest))
+        return (
+            F.when(known & F.contains(candidate, vendor), _let(rest, lambda r: F.when((r != "") & r.rlike(P.LEGAL_FORM), r)))
             .when(known & F.contains(vendor, candidate), F.lit(None))
             .otherwise(candidate)
         )
+
+    def legal(line: Column) -> Column:
+        return F.when(line.rlike(P.LEGAL_FORM), _let(_left_column(line), lambda c: F.when((c != "") & c.rlike(P.LEGAL_FORM), besides_vendor(c))))
+
+    def make(line: Column, i: Column) -> Column:
         below = header.isNotNull() & (i > header)
-        return F.when(below & (F.size(parties) >= 2), strip(F.element_at(parties, -1))).when(header.isNull() | below, legal)
+        both = F.when(below & line.rlike(P.LEGAL_FORM), _let(_entities(line), lambda e: F.when(F.size(e) >= 2, strip(F.element_at(e, -1)))))
+        return F.coalesce(both, F.when(header.isNull() | below, legal(line)))
 
     return make
 
 
-def _letterhead(ls: Column) -> Column:
-    """The first line with a legal form above any label, joined to a short line right above it."""
-    raw = F.transform(ls, strip)
-    end = F.coalesce(_first_index(raw, lambda x: x.rlike(P.RECIPIENT_LABEL) | x.rlike(_OTHER)), F.size(ls))
-    names = F.transform(F.slice(raw, F.lit(1), end), _name_part)
-    at = _first_index(names, lambda x: x.rlike(P.LEGAL_FORM))
-    above = F.when(at > 0, F.get(names, at - 1))
-    short = (above != "") & (F.size(F.split(above, r"(?U)\s+")) <= 3)
-    found = F.when(short, strip(F.concat(above, F.lit(" "), F.get(names, at)))).otherwise(F.get(names, at))
-    return F.when((end > 0) & at.isNotNull(), found)
+def _with_letterhead(df: DataFrame) -> DataFrame:
+    """``df`` with _letterhead: the first line with a legal form above any label, joined to a short line right above it."""
+    step = df.withColumn("_end", F.coalesce(_first_index(F.col("_bare"), lambda x: x.rlike(P.RECIPIENT_LABEL) | x.rlike(_OTHER)), F.size("_bare")))
+    # address parts are cut from the end of a line, so only lines with a legal form anywhere can have one before it
+    step = step.withColumn("_at", _first_index(F.slice("_bare", F.lit(1), F.col("_end")), lambda x: x.rlike(P.LEGAL_FORM) & _name_part(x).rlike(P.LEGAL_FORM)))
+    step = step.withColumn("_own", _name_part(F.get("_bare", F.col("_at")))).withColumn("_above", F.when(F.col("_at") > 0, _name_part(F.get("_bare", F.col("_at") - 1))))
+    short = (F.col("_above") != "") & (F.size(F.split("_above", r"(?U)\s+")) <= 3)
+    found = F.when(short, strip(F.concat("_above", F.lit(" "), "_own"))).otherwise(F.col("_own"))
+    return step.withColumn("_letterhead", F.when(F.col("_at").isNotNull(), found)).drop("_end", "_at", "_own", "_above")
 
 
 def _plausible_vendor(line: Column) -> Column:
@@ -86,18 +91,17 @@ def _plausible_vendor(line: Column) -> Column:
     return (line != "") & ~((F.length(line) < 8) & single) & ~title & ~(shout & single & ~line.rlike(P.LEGAL_FORM))
 
 
-def _description(text: Column, ls: Column) -> Column:
+def _description(text: Column, bare: Column) -> Column:
     labelled = [F.when(text.rlike(P.FLAGS + p), present(strip(F.regexp_extract(text, P.FLAGS + p, 1)))) for p in P.DESCRIPTION]
     labelled = [F.when(~c.rlike(P.TABLE_HEADER), c) for c in labelled]
-    item = _first_of(ls, lambda a, i: F.when(strip(F.get(a, i)).rlike(P.LINE_ITEM), present(strip_marks(F.regexp_extract(strip(F.get(a, i)), P.LINE_ITEM, 1), " -·\t"))))
+    item = _first_of(bare, lambda x, i: F.when(x.rlike(P.LINE_ITEM), present(strip_marks(F.regexp_extract(x, P.LINE_ITEM, 1), " -·\t"))))
     return F.coalesce(*labelled, item)
 
 
 def _header_date(ls: Column, header: Column) -> Column:
     """The first date above a header of both parties on a line that isn't about another date."""
 
-    def make(a: Column, i: Column) -> Column:
-        line = F.get(a, i)
+    def make(line: Column, i: Column) -> Column:
         usable = (header.isNull() | (i < header)) & ~line.rlike(P.OTHER_DATE) & line.rlike(P.BARE_DATE)
         return F.when(usable, F.regexp_extract(line, P.BARE_DATE, 1))
 
@@ -107,24 +111,24 @@ def _header_date(ls: Column, header: Column) -> Column:
 def extract_fields(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the eleven fields; the first pattern or line that gives a value decides."""
     t = F.col(text)
-    step = df.withColumn("_lines", lines(F.coalesce(t, F.lit("")))).withColumn("_lines", F.when(F.size("_lines") > 0, F.col("_lines")).otherwise(F.array(F.lit(""))))
-    step = step.withColumn("_header", _first_index(F.col("_lines"), lambda x: x.rlike(P.PARTIES_HEADER)))
-    ls, header = F.col("_lines"), F.col("_header")
-    row = F.filter(F.transform(F.slice(ls, header + 2, F.lit(3)), lambda x: _entities(strip(x))), lambda e: F.size(e) >= 2)
+    step = df.withColumn("_lines", lines(F.coalesce(t, F.lit("")))).withColumn("_bare", F.transform("_lines", strip))
+    step = _with_letterhead(step.withColumn("_header", _first_index(F.col("_lines"), lambda x: x.rlike(P.PARTIES_HEADER))))
+    bare, header = F.col("_bare"), F.col("_header")
+    row = F.filter(F.transform(F.slice(bare, header + 2, F.lit(3)), _entities), lambda e: F.size(e) >= 2)
     both = F.when(header.isNotNull(), strip(F.get(F.get(row, F.lit(0)), F.lit(0))))
-    step = step.withColumn("vendor_name", F.coalesce(present(first_match(t, P.VENDOR)), present(both), present(_letterhead(ls)), first(F.transform(ls, strip), _plausible_vendor)))
-    recipient = F.coalesce(_first_of(ls, _labelled_recipient), _first_of(ls, _named_recipient(F.col("vendor_name"), header)))
+    step = step.withColumn("vendor_name", F.coalesce(present(first_match(t, P.VENDOR)), present(both), present(F.col("_letterhead")), first(bare, _plausible_vendor)))
+    recipient = F.coalesce(_first_of(bare, _labelled_recipient), _first_of(bare, _named_recipient(F.col("vendor_name"), header)))
     currency = first_match(t, P.CURRENCY)
     amounts = {name: money.cents(money.parse_decimal(first_match(t, p))) for name, p in (("net_amount", P.NET), ("vat_amount", P.VAT_AMOUNT), ("gross_amount", P.GROSS))}
     step = step.withColumns(amounts).withColumns(
         {
             "invoice_recipient": recipient,
             "invoice_number": first_match(t, P.INVOICE_NUMBER),
-            "invoice_date": dates.normalize_date(F.coalesce(present(first_match(t, P.INVOICE_DATE)), _header_date(ls, header))),
+            "invoice_date": dates.normalize_date(F.coalesce(present(first_match(t, P.INVOICE_DATE)), _header_date(F.col("_lines"), header))),
             "service_date": dates.normalize_date(first_match(t, P.SERVICE_DATE)),
             "currency": F.when(currency == "€", F.lit("EUR")).otherwise(currency),
             "vat_rate": money.parse_decimal(first_match(t, P.VAT_RATE)).cast("decimal(9,4)"),
-            "description": _description(t, ls),
+            "description": _description(t, bare),
         }
     )
     step = step.withColumn("vat_rate", F.coalesce("vat_rate", money.inferred_rate(F.col("net_amount"), F.col("vat_amount"))))

@@ -198,6 +198,13 @@ def process_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("invoice_id", "extracted.vendor_name", "traffic_light", "blocked", F.col("suggested_expense_account.account").alias("account"), F.size("booking_proposal").alias("n_lines"), F.array_join("decision_reasons", " | ").alias("reasons"))
 
 
+def process_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document taken for an invoice, from text to decision; no join and no shuffle but that of the result."""
+    texts = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("invoice_id"), "text")
+    out = invoices.process(texts)
+    return out.groupBy("traffic_light").agg(F.count("*").alias("n"), F.count("extracted.vendor_name").alias("n_vendor"), F.count("extracted.invoice_recipient").alias("n_recipient"), F.count("extracted.invoice_date").alias("n_date"))
+
+
 def rule_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = rules.evaluate(spark.createDataFrame(RECORDS, "invoice_id string, " + ", ".join(f"{c.split()[0]} string" for c in EXTRACTED.replace("decimal(18,2)", "s").replace("decimal(9,4)", "s").split(", "))).withColumns({c: F.col(c).cast(t) for c, t in invoices.DECIMALS.items()}))
     return df.select("invoice_id", "traffic_light", "blocked", F.array_join("decision_reasons", " | ").alias("reasons"))
@@ -279,7 +286,7 @@ QUERIES = {
     for f in (
         invoice_light_summary, invoice_light_perturbed, booking_lines, trial_balance, balance_check, mandatory_fields, vat_account_nearest,
         creditor_exact, creditor_fuzzy, keyword_account, parse_german_decimal, normalize_dates, vat_checksum, iban_checksum, text_quality_score,
-        best_engine, best_engine_fixture, pii_email_mask, pii_counts, pii_roundtrip, extract_fields_fixtures, process_fixtures, rule_reasons,
+        best_engine, best_engine_fixture, pii_email_mask, pii_counts, pii_roundtrip, extract_fields_fixtures, process_fixtures, process_documents, rule_reasons,
         revalidate_overlay, invoice_labels, audit_event_windows, audit_event_sessions, llm_json_coerce, master_data, record_export,
         surface_rollup, surface_as_of, surface_set_ops,
     )
