@@ -57,6 +57,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     round is a grouped minimum and a join, and is written to the shared folder.
     """
     now = stash(forest(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b")).distinct(), "edges")
+    size = now.count()
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -65,7 +66,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         linked = large.join(smallest, "b")
         small = linked.select(F.col("m").alias("x"), F.col("a").alias("y")).union(linked.select(F.col("m"), F.col("b"))).filter("x <> y")
         after = stash(small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        changed = after.join(now, ["a", "b"], "left_anti").limit(1).count() + now.join(after, ["a", "b"], "left_anti").limit(1).count()
+        before, size = size, after.count()  # edges are distinct: of sets of one size, neither is larger
+        changed = size != before or not after.join(now, ["a", "b"], "left_anti").isEmpty()
         discard(now)
         now = after
         if not changed:

@@ -101,9 +101,16 @@ class Domains:
 
 
 def rate_after(gradients: list[np.ndarray], ceiling: float) -> Column:
-    """A document's rate from p after the steps along these gradients."""
-    slopes = [sum((F.element_at("p", k + 1) * float(g) for k, g in enumerate(step)), F.lit(0.0)) for step in gradients]
-    return F.aggregate(F.array(*slopes) if slopes else F.array().cast("array<double>"), F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), F.least(F.lit(ceiling), r - s)))
+    """A document's rate from p after the steps along these gradients, which are one literal: plans stay small, however many steps."""
+    if not gradients:
+        return F.lit(1.0)
+    n, flat = len(DOMAINS), F.lit(np.concatenate(gradients))
+
+    def step(rate: Column, i: Column) -> Column:
+        slope = sum((F.element_at("p", k + 1) * F.get(flat, i * n + k) for k in range(n)), F.lit(0.0))
+        return F.greatest(F.lit(0.0), F.least(F.lit(ceiling), rate - slope))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(gradients) - 1)), F.lit(1.0), step)
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, ceiling: float = 8.0, iterations: int = ITERATIONS) -> tuple[Column, dict[str, list[float]]]:
@@ -123,8 +130,8 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, ceiling:
         if np.abs(off).max() <= 1e-4 * max(wanted.max(), 1.0):
             break
         gradients.append(weigh @ off)
-        rate = rate_after(gradients, ceiling)
-        row = members.agg(*[F.sum(rate * s).alias(f"s{k}") for k, s in enumerate(share)]).first()
+        rated = members.select("tokens", "p", rate_after(gradients, ceiling).alias("rate"))
+        row = rated.agg(*[F.sum(F.col("rate") * s).alias(f"s{k}") for k, s in enumerate(share)]).first()
         after = np.array([row[f"s{k}"] or 0.0 for k in range(n)])
         settled = np.abs(after - now).max() <= 1e-6 * max(wanted.max(), 1.0)
         now = after

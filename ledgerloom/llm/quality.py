@@ -19,6 +19,7 @@ from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,9 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, trees: int = 20, depth: int = 4, las
     vectors = VectorAssembler(inputCols=names, outputCol="x").transform(train)
     forest = RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=trees, maxDepth=depth, subsamplingRate=0.5, featureSubsetStrategy="onethird", seed=11).fit(vectors)
     rules = paths(forest, names)
-    marked = train.select("y", *[condition(r).cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
-    flags = VectorAssembler(inputCols=marked.columns[1:], outputCol="x").transform(marked).select("y", "x")
-    flat = stash(flags, "quality-rules")
+    flags = F.array(*[condition(r).cast("double") for r in rules])  # one column: a plan with one for each rule is large
+    flat = stash(train.select("y", array_to_vector(flags).alias("x")), "quality-rules")
     lines = LogisticRegression(featuresCol="x", labelCol="y", elasticNetParam=1.0, regParam=lasso, maxIter=60, standardization=False).fit(flat)
     discard(train, flat)
     weights = lines.coefficients.toArray().tolist()
