@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,3 +159,24 @@ def coerce_json(answer: Column) -> Column:
         return own.alias(name)
 
     return F.when(got.isNotNull(), F.struct(*[value(n) for n in FIELDS]))
+
+
+def model_answers(ask: Callable[[str], str | None]) -> Callable[[Column], Column]:
+    """A function of a text column: what ``ask``, called in tasks with each text, answers; null where it fails."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else ask(text)
+        except Exception:  # a model that can't be reached leaves the text to the patterns
+            return None
+
+    @F.pandas_udf("string")
+    def answers(texts: pd.Series) -> pd.Series:
+        return texts.map(one).astype(object)
+
+    return answers.asNondeterministic()
+
+
+def prefer_answers(df: DataFrame, answer: str) -> DataFrame:
+    """``df`` (the eleven fields) with all fields from the struct column ``answer`` where it isn't null."""
+    return df.withColumns({f: F.when(F.col(answer).isNotNull(), F.col(f"{answer}.{f}")).otherwise(F.col(f)) for f in FIELDS})

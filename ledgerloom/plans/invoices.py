@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import money
 from ..functions.text import strip
 from ..operators import ledger, masking, rules
-from ..operators.extract import extract_fields
+from ..operators.extract import coerce_json, extract_fields, model_answers, prefer_answers
 from ..schemas import FIELDS
 from ..sources.master import Master
 
@@ -29,19 +31,28 @@ def shaped(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in rest if c in ("invoice_id", "invoice_file", "original_filename")], F.struct(*FIELDS).alias("extracted"), *[c for c in rest if c not in ("invoice_id", "invoice_file", "original_filename")])
 
 
-def process(texts: DataFrame, master: Master | None = None, tolerance: float = rules.TOLERANCE) -> DataFrame:
+def process(texts: DataFrame, master: Master | None = None, tolerance: float = rules.TOLERANCE, ask: Callable[[str], str | None] | None = None) -> DataFrame:
     """Records from rows (invoice_id, text): mask, extract, unmask, validate, propose.
 
     Extraction sees the masked text alone; text and map of tokens stay out of the result.
+    With ``ask``, a function from masked text to a model's JSON answer, its fields count
+    wherever it gives a JSON object, and the patterns elsewhere.
     """
     masked = texts.withColumn("_safe", masking.sanitize(F.col("text"))).withColumn("text", F.col("_safe.text")).withColumn("_map", F.col("_safe.mapping")).drop("_safe")
-    fields = extract_fields(masked)
+    by_model = F.lit(False)
+    if ask is None:
+        fields = extract_fields(masked)
+    else:
+        answered = masked.withColumn("_answer", model_answers(ask)(F.col("text"))).withColumn("_answer", coerce_json(F.col("_answer")))
+        fields = prefer_answers(extract_fields(answered), "_answer").withColumn("_by_model", F.col("_answer").isNotNull()).drop("_answer")
+        by_model = F.col("_by_model")
     fields = fields.withColumns({c: masking.reidentify(F.col(c), F.col("_map")) for c in TEXT_FIELDS}).drop("_map", "text")
     done = decide(fields, master, tolerance)
     engine = F.col("engine") if "engine" in texts.columns else F.lit("text")
-    method = F.concat(F.lit("extractor("), engine, F.lit(")+fields(regex)+rules"))
+    method = F.concat(F.lit("extractor("), engine, F.lit(")+fields("), F.when(by_model, F.lit("llm")).otherwise(F.lit("regex")), F.lit(")+rules"))
     notes = F.when(F.col("blocked"), F.lit(HALTED)).otherwise(F.lit(DIRECT))
-    return shaped(done.withColumn("audit", F.struct(F.current_timestamp().alias("processed_at"), method.alias("model_or_method"), notes.alias("notes"))))
+    audit = F.struct(F.current_timestamp().alias("processed_at"), method.alias("model_or_method"), notes.alias("notes"))
+    return shaped(done.withColumn("audit", audit).drop("_by_model"))
 
 
 def fold_patches(patches: DataFrame) -> DataFrame:
@@ -93,6 +104,16 @@ def labels(records: DataFrame, ts: Column, key: str = "invoice_id", prefix: str
     return ranked.join(before, "_hour").withColumn("label", label).select(*records.columns, "label")
 
 
+def only(records: DataFrame, ids: DataFrame, key: str = "invoice_id") -> DataFrame:
+    """The records whose key a session's table of keys holds, however often."""
+    return records.join(ids.select(key), key, "left_semi")
+
+
+def by_time(records: DataFrame, ts: Column, key: str = "invoice_id") -> DataFrame:
+    """Records in the order of processing, those without a time first; ties by key."""
+    return records.orderBy(F.coalesce(ts, F.timestamp_seconds(F.lit(0))), key)
+
+
 def with_default_description(df: DataFrame) -> DataFrame:
     """Blank descriptions as vendor and "Rechnung"; opt-in, since it can change the account that keywords suggest."""
     blank = F.coalesce(strip(F.col("description")), F.lit("")) == ""

@@ -194,6 +194,19 @@ WITH k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS i FROM
 l AS (SELECT e.* FROM events e JOIN k ON e.event_type = k.event_type WHERE i = 1),
 r AS (SELECT e.* FROM events e JOIN k ON e.event_type = k.event_type WHERE i = (SELECT least(2, max(i)) FROM k))
 SELECT l.event_id, (SELECT arg_max(r.event_id, (r.ts, r.event_id)) FROM r WHERE r.user_id IS NOT DISTINCT FROM l.user_id AND r.ts <= l.ts) AS as_of_id FROM l""",
+    "surface_joins": """
+SELECT 'semi' AS op, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)
+UNION ALL SELECT 'anti', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)
+UNION ALL SELECT 'full', count(*) FROM customer JOIN supplier ON c_nationkey = s_nationkey""",
+    "surface_cube": """
+SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""",
+    "surface_windows": """
+SELECT o_orderkey, row_number() OVER w AS n, lag(o_orderkey) OVER w AS before, (sum(o_totalprice::DECIMAL(18,2)) OVER (w ROWS UNBOUNDED PRECEDING))::DOUBLE AS so_far
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
+    "surface_interval": """
+SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND 1 PRECEDING) AS n_before FROM events""",
+    "surface_percentiles": """
+SELECT l_returnflag, quantile_cont(l_quantity, 0.5) AS median, quantile_cont(l_quantity, 0.9) AS p90 FROM lineitem GROUP BY l_returnflag""",
     "surface_set_ops": """
 SELECT 'intersect' AS op, count(*) AS n FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier)
 UNION ALL SELECT 'except', count(*) FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier)

@@ -281,6 +281,44 @@ def surface_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.lit("intersect").alias("op"), F.count("*").alias("n")).unionByName(only.agg(F.lit("except").alias("op"), F.count("*").alias("n"))).unionByName(any_.agg(F.lit("union").alias("op"), F.count("*").alias("n")))
 
 
+def surface_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with and without orders, and nations of customers and suppliers side by side; both sides are counted before they meet."""
+    c, o, s = (_table(spark, sf_dir, t) for t in ("customer", "orders", "supplier"))
+    buyers = o.select(F.col("o_custkey").alias("c_custkey"))
+    sides = c.groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n_c")).join(s.groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("n_s")), "nation", "full")
+    made = {
+        "semi": c.join(buyers, "c_custkey", "left_semi").agg(F.count("*").alias("n")),
+        "anti": c.join(buyers, "c_custkey", "left_anti").agg(F.count("*").alias("n")),
+        "full": sides.agg(F.sum(F.coalesce("n_c", F.lit(0)) * F.coalesce("n_s", F.lit(0))).alias("n")),
+    }
+    parts = [df.select(F.lit(op).alias("op"), F.coalesce("n", F.lit(0)).cast("long").alias("n")) for op, df in made.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def surface_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = _table(spark, sf_dir, "lineitem")
+    return line.cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("suppliers"))
+
+
+def surface_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders in time: their number, the one before, and the total so far."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    total = F.sum(F.col("o_totalprice").cast(MONEY)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(w).cast("long").alias("n"), F.lag("o_orderkey").over(w).alias("before"), total.cast("double").alias("so_far"))
+
+
+def surface_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each event the user's events in the hour before it: a range frame instead of a join by interval."""
+    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-3_600_000_000, -1)
+    return _table(spark, sf_dir, "events").select("event_id", F.count("*").over(w).alias("n_before"))
+
+
+def surface_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles of a column of few distinct values, which bound the state."""
+    line = _table(spark, sf_dir, "lineitem")
+    return line.groupBy("l_returnflag").agg(F.percentile("l_quantity", F.lit(0.5)).alias("median"), F.percentile("l_quantity", F.lit(0.9)).alias("p90"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -288,6 +326,6 @@ QUERIES = {
         creditor_exact, creditor_fuzzy, keyword_account, parse_german_decimal, normalize_dates, vat_checksum, iban_checksum, text_quality_score,
         best_engine, best_engine_fixture, pii_email_mask, pii_counts, pii_roundtrip, extract_fields_fixtures, process_fixtures, process_documents, rule_reasons,
         revalidate_overlay, invoice_labels, audit_event_windows, audit_event_sessions, llm_json_coerce, master_data, record_export,
-        surface_rollup, surface_as_of, surface_set_ops,
+        surface_rollup, surface_as_of, surface_set_ops, surface_joins, surface_cube, surface_windows, surface_interval, surface_percentiles,
     )
 }

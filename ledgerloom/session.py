@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from .operators.rules import TOLERANCE
+
 
 def session(app: str = "ledgerloom", **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; ``conf`` entries override, with _ for dots."""
@@ -11,3 +13,8 @@ def session(app: str = "ledgerloom", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
     return builder.getOrCreate()
+
+
+def tolerance(spark: SparkSession, default: float = TOLERANCE) -> float:
+    """By how much amounts may differ: the session's setting ``spark.ledgerloom.tolerance``, else the default."""
+    return float(spark.conf.get("spark.ledgerloom.tolerance", str(default)))

@@ -108,6 +108,37 @@ def test_process_keeps_no_text_and_decides(spark):
     assert got["6"].suggested_expense_account.account == "4250" and got["3"].audit.notes == invoices.HALTED
 
 
+def test_a_model_is_asked_with_masked_text_and_its_failures_fall_back(spark):
+    def ask(text):
+        if "INV-2026" not in text:
+            raise TimeoutError
+        assert "DE999999995" not in text
+        return '```json\n{"vendor_name": "Modell AG <VAT_ID_1>", "net_amount": "1.000,00", "currency": "EUR"}\n```'
+
+    texts = [(LAYOUTS[0][0], LAYOUTS[0][1] + "\nUSt-IdNr. DE999999995"), LAYOUTS[1], ("none", None)]
+    got = {r.invoice_id: r for r in invoices.process(spark.createDataFrame(texts, "invoice_id string, text string"), ask=ask).collect()}
+    assert (got["1"].extracted.vendor_name, got["1"].extracted.net_amount, got["1"].extracted.gross_amount) == ("Modell AG DE999999995", Decimal("1000.00"), None)
+    assert got["1"].audit.model_or_method == "extractor(text)+fields(llm)+rules" and got["1"].traffic_light == "RED"
+    assert got["2"].audit.model_or_method == "extractor(text)+fields(regex)+rules" and got["2"].traffic_light == "GREEN" and got["none"].blocked
+
+
+def test_records_of_a_session_in_order_of_time(spark):
+    df = spark.createDataFrame([("a", 3), ("b", None), ("c", 1), ("d", 1)], "invoice_id string, t int").withColumn("t", F.timestamp_seconds("t"))
+    ids = spark.createDataFrame([("d",), ("a",), ("a",), ("b",), ("x",)], "invoice_id string")
+    assert [r.invoice_id for r in invoices.by_time(invoices.only(df, ids), F.col("t")).collect()] == ["b", "d", "a"]
+
+
+def test_tolerance_is_a_setting(spark):
+    from ledgerloom.session import tolerance
+
+    assert tolerance(spark) == rules.TOLERANCE
+    spark.conf.set("spark.ledgerloom.tolerance", "0.5")
+    try:
+        assert tolerance(spark) == 0.5
+    finally:
+        spark.conf.unset("spark.ledgerloom.tolerance")
+
+
 def test_revalidation(spark):
     records = invoices.process(spark.createDataFrame(LAYOUTS[:4], "invoice_id string, text string"))
     patches = spark.createDataFrame(
