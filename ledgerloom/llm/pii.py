@@ -7,9 +7,10 @@ more) with the same words before them are instances of these patterns. On the
 graph of patterns and instances, a pattern's score for a kind is the share of its
 distinct instances that are known to be of that kind, weighted by their scores,
 and an instance's score is the chance that one of its patterns is right; the two
-are computed in turn, for a fixed number of rounds. Instances that reach
-``CONFIDENCE`` by patterns with enough seeds, and have a shape fit for the kind, are
-spans of that kind too.
+are computed in turn until they stay the same. A pattern counts for a kind once
+``SUPPORT`` of its instances are seeds or have reached ``CONFIDENCE``. Instances that
+reach it, and have a shape fit for the kind, are spans of that kind wherever they
+stand.
 
 Everything is DataFrame expressions and joins; no Python runs on executors. Null
 texts are empty. Rows with equal doc_id and text get equal results. Offsets are in
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, with possessive quantifiers and bounds on where a match can begin, so that
@@ -35,9 +36,11 @@ BASE = {
 #: Identifier-like tokens; those without an @ or four digits are dropped.
 TOKEN = r"(?<![A-Za-z0-9._%+@:/-])(?=[A-Za-z._%+:/-]*+[0-9@])[A-Za-z0-9._%+@:/-]{4,64}+(?![A-Za-z0-9._%+@:/-])"
 CONFIDENCE = 0.8
-#: Distinct seeds of a kind that a pattern needs.
+#: Distinct instances of a kind, seeds or found ones, that a pattern needs.
 SUPPORT = 3
-ROUNDS = 3
+#: Scores are final when none changes by more in a round.
+EPSILON = 1e-6
+#: Characters in which two words are looked for first; longer ones are taken whole.
 CONTEXT = 64
 RUN = 256
 _SPANS = "array<struct<start:int,end:int,hit:string>>"
@@ -115,8 +118,20 @@ def _with(value: Column, use) -> Column:
 
 
 def before(text: Column, start: Column) -> Column:
-    """The text in front of an offset, enough of it for two words."""
-    return F.lower(F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))))
+    """The last two words in front of an offset and the white space after each, with what else the last ``CONTEXT`` characters hold."""
+    near = F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
+    cut = (start > CONTEXT) & near.rlike(r"\s$") & ~near.rlike(r"\s\S++\s++\S++\s++$")
+    return F.lower(F.when(cut, _two_words(F.substring(text, F.lit(1), start))).otherwise(near))
+
+
+def _two_words(left: Column) -> Column:
+    """The end of a text from its last word but one on, in linear time however long the words are."""
+
+    def from_word(x: Column) -> Column:
+        return F.length(F.rtrim(x)) - F.length(F.substring_index(F.rtrim(x), " ", -1))
+
+    spaced = F.translate(left, "\t\n\x0b\f\r", " " * 5)
+    return _with(spaced, lambda x: F.substring(left, from_word(F.substring(x, F.lit(1), from_word(x))) + 1, F.length(left)))
 
 
 def masked(text: Column, kind: str) -> Column:
@@ -159,30 +174,54 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "_row", base.alias("base"), seen(others, F.lit(None).cast("string")).alias("others"))
 
 
-def discover(spans: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
+def scores(edges: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+    """hit and, by kind, the final score of the instances of a graph (pattern, hit, kind: that of a seed or null).
+
+    A pattern's score t solves t = (seeds + sum of c) / (instances + 1), with c = 1 - (1 - t) r for an unseen instance that
+    other patterns leave out with chance r. For given r that is solved at once, so that a pattern's own unseen instances
+    need no rounds; scores only rise, from zero, to the least fixed point, the one that plain rounds tend to.
+    """
+    trust, moved = None, 1.0
+    open_ = {k: F.col("kind").isNull() & F.col(f"fit_{k}") for k in KINDS}
+    edges = edges.withColumns({f"fit_{k}": fits(k, F.col("hit")) for k in KINDS})
+    while moved > EPSILON:
+        held = edges.withColumns({f"t_{k}": F.lit(0.0) for k in KINDS}) if trust is None else edges.join(trust.select("pattern", *[f"t_{k}" for k in KINDS]), "pattern")
+        held = held.withColumns({f"l_{k}": F.log(F.greatest(1 - F.col(f"t_{k}"), F.lit(1e-9))) for k in KINDS})
+        chance = held.groupBy("hit").agg(*[F.sum(f"l_{k}").alias(f"all_{k}") for k in KINDS])
+        both = held.join(chance, "hit")
+        out, parts = [], []
+        for k in KINDS:
+            seed = F.col("kind") == k
+            left_out = F.exp(F.col(f"all_{k}") - F.col(f"l_{k}"))
+            parts += [
+                F.count_if(seed | (open_[k] & (1 - F.exp(f"all_{k}") >= confidence))).alias(f"n_{k}"),
+                F.sum(F.when(seed, 1.0).when(open_[k], 1 - left_out).otherwise(0.0)).alias(f"sure_{k}"),
+                F.sum(F.when(open_[k], left_out).otherwise(0.0)).alias(f"free_{k}"),
+                F.max(f"t_{k}").alias(f"was_{k}"),
+            ]
+            out.append(F.when(F.col(f"n_{k}") >= support, F.col(f"sure_{k}") / (F.col("n") + 1 - F.col(f"free_{k}"))).otherwise(0.0).alias(f"t_{k}"))
+        solved = both.groupBy("pattern").agg(F.count("*").alias("n"), *parts).select("pattern", *out, *[f"was_{k}" for k in KINDS])
+        old, trust = trust, stash(solved, "pattern-scores")
+        if old is not None:
+            discard(old)
+        moved = trust.agg(F.max(F.greatest(*[F.abs(F.col(f"t_{k}") - F.col(f"was_{k}")) for k in KINDS])).alias("d")).first()["d"] or 0.0
+    reach = edges.join(trust, "pattern").groupBy("hit").agg(F.first("kind").alias("kind"), *[F.first(f"fit_{k}").alias(f"fit_{k}") for k in KINDS], *[(1 - F.exp(F.sum(F.log(F.greatest(1 - F.col(f"t_{k}"), F.lit(1e-9)))))).alias(f"c_{k}") for k in KINDS])
+    return reach.select("hit", *[F.when(F.col("kind") == k, 1.0).when(open_[k], F.col(f"c_{k}")).otherwise(0.0).alias(k) for k in KINDS])
+
+
+def discover(spans: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """_row, kind, start, end of tokens that the bootstrap takes for personal data."""
     mention = spans.select("_row", F.explode(F.concat("base", "others")).alias("m")).select("_row", "m.*")
-    words = F.regexp_extract("left", r"(?:(\S+)\s+)?(\S+)\s+$", 2), F.regexp_extract("left", r"(\S+\s+\S+)\s+$", 1)
-    mention = mention.withColumn("pattern", F.explode(F.array_distinct(F.filter(F.array(*words), lambda w: w.rlike(r"\p{L}")))))
-    mention = stash(mention.select("_row", "kind", "start", "end", "hit", "pattern"), "mentions")
-    edges = mention.groupBy("pattern", "hit").agg(F.min("kind").alias("kind"))
-    # only patterns that enough seeds of one kind share can ever be trusted
-    strong = edges.filter("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= support)
-    edges = stash(edges.join(strong.select("pattern").distinct(), "pattern"), "pattern-graph")
-    kinds = list(KINDS)
-    known = [F.when(F.col("kind") == k, 1.0).otherwise(0.0) for k in kinds]
-    scored = edges.withColumns({k: c for k, c in zip(kinds, known, strict=True)})
-    trust = None
-    for _ in range(rounds):
-        trust = scored.groupBy("pattern").agg(*[(F.sum(k) / (F.count("*") + 1)).alias(f"t_{k}") for k in kinds])
-        reach = edges.join(trust, "pattern")
-        chance = reach.groupBy("hit").agg(F.max("kind").alias("kind"), *[(1 - F.exp(F.sum(F.log(F.greatest(1 - F.col(f"t_{k}"), F.lit(1e-9)))))).alias(f"c_{k}") for k in kinds])
-        instance = chance.select("hit", *[F.when(F.col("kind") == k, 1.0).when(F.col("kind").isNotNull(), 0.0).otherwise(F.when(fits(k, F.col("hit")), F.col(f"c_{k}")).otherwise(0.0)).alias(k) for k in kinds])
-        scored = stash(edges.select("pattern", "hit").join(instance, "hit"), "pattern-scores")
-    trusted = trust.join(strong, "pattern").withColumn("t", F.element_at(F.create_map(*[x for k in kinds for x in (F.lit(k), F.col(f"t_{k}"))]), F.col("kind")))
-    trusted = trusted.filter(F.col("t") >= confidence).select("pattern", F.col("kind").alias("as"))
-    fit = F.coalesce(*[F.when(F.col("as") == k, fits(k, F.col("hit"))) for k in kinds])
-    return mention.filter("kind IS NULL").join(trusted, "pattern").filter(fit).select("_row", F.col("as").alias("kind"), "start", "end").distinct()
+    words = F.regexp_extract("left", r"(?<!\S)(\S++)\s++$", 1), F.regexp_extract("left", r"(?<!\S)(\S++\s++\S++)\s++$", 1)
+    patterns = F.array_distinct(F.filter(F.array(*words), lambda w: w.rlike(r"\p{L}")))
+    mention = stash(mention.select("_row", "kind", "start", "end", "hit", patterns.alias("patterns")), "mentions")
+    seeds = mention.filter("kind IS NOT NULL").groupBy("hit").agg(F.min("kind").alias("kind"))
+    met = mention.select("hit", F.explode("patterns").alias("pattern")).distinct()
+    edges = stash(met.join(seeds, "hit", "left"), "pattern-graph")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("as"), F.col(k).alias("c")) for k in KINDS]))
+    sure = scores(edges, confidence, support).select("hit", each.alias("s")).filter(F.col("s.c") >= confidence).select("hit", F.col("s.as").alias("as"))
+    fit = F.coalesce(*[F.when(F.col("as") == k, fits(k, F.col("hit"))) for k in KINDS])
+    return mention.filter("kind IS NULL").join(sure, "hit").filter(fit).select("_row", F.col("as").alias("kind"), "start", "end").distinct()
 
 
 def _written(spans: Column) -> Column:

@@ -233,6 +233,32 @@ def test_context_discovers_what_the_patterns_miss(spark):
     assert pii.detect(frame(spark, [])).count() == 0
 
 
+def found_by_context(spark, rows):
+    return {r.doc_id: [(s.kind, t[s.start : s.end]) for s in r.spans if s not in r.base] for r, t in ((r, dict(rows)[r.doc_id]) for r in pii.detect(frame(spark, rows)).collect()) if len(r.spans) > len(r.base)}
+
+
+def test_many_unseen_identifiers_of_a_context_are_found(spark):
+    rows = [(i, f"reach user{i}@host{i}.org") for i in range(50)] + [(1000 + i, f"reach boss{i}@localhost") for i in range(100)]
+    assert found_by_context(spark, rows) == {1000 + i: [("email", f"boss{i}@localhost")] for i in range(100)}
+    assert found_by_context(spark, rows[:60] + [(2000 + i, f"reach 2024/{i:04d}") for i in range(100)]) == {}
+
+
+def test_found_identifiers_support_further_patterns(spark):
+    rows = [(i, f"reach user{i}@host{i}.org") for i in range(12)]
+    rows += [(100 + i, f"reach boss{i}@localhost") for i in range(20)] + [(200 + i, f"write boss{i}@localhost") for i in range(20)]
+    rows += [(300, "write chief@localhost"), (400, "boss3@localhost"), (401, "chief@localhost")]
+    got = found_by_context(spark, rows)
+    assert got == {i: [("email", t.split()[-1])] for i, t in rows if i >= 100}
+
+
+def test_context_words_are_taken_whole(spark):
+    long = "x" * 80
+    rows = [(i, f"\u00e9 a{long}\n{long} user{i}@host{i}.org") for i in range(8)]
+    spans = pii.base_spans(frame(spark, rows)).collect()
+    assert {s.left for r in spans for s in r.base} == {f"a{long}\n{long} "}
+    assert [s.left for r in pii.base_spans(frame(spark, [(1, "w" * 200_000 + " a@b.c")])).collect() for s in r.base] == ["w" * 200_000 + " "]
+
+
 # encoding
 
 
