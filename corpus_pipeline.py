@@ -33,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say: clean ones whole, toxic ones out."""
+    """Documents as often as their rates say: those most likely clean whole, toxic ones out."""
     return mixing.apply_mix(docs, table(spark, sf_dir, "labels"))
 
 

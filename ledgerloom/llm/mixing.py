@@ -6,9 +6,13 @@ seen, so that the domains' expected token totals meet their targets: sum over
 documents of rate x tokens x posterior. From rates of one, projected gradient
 minimises the squared misses, weighted by the inverse of the domains' token
 products, with token counts as the metric of the rates: documents of equal
-posterior change alike, however long. A gradient is one number per domain, so an
-iteration is one aggregate over documents, and a document's rate follows from the
-list of gradients so far; rates are never gathered.
+posterior change alike, however long. Documents that are most likely of the first
+domain keep a rate of one at least, so a target that their posteriors put out of
+reach is missed and never met at their cost; the totals reached stand beside the
+rates. Steps have momentum and go on until they are settled (``SETTLED``). A
+gradient is one number per domain, so an iteration is one aggregate over documents,
+and a document's rate follows from the list of gradients so far; rates are never
+gathered.
 
 Domains come from labels: ``toxic`` where toxic is 1, else ``low`` where quality is
 0, else ``clean``. The classifier is fitted on a bounded sample (``TRAIN_ROWS``
@@ -32,10 +36,14 @@ from .common import discard, stash
 from .quality import TRAIN_ROWS, labelled
 
 DOMAINS = ("clean", "low", "toxic")
-#: Share of the tokens that each domain is to have. The budget is what keeps the first domain whole.
+#: Share of the tokens that each domain is to have, in a budget that the first domain fills by its share as it is.
 TARGETS = {"clean": 0.97, "low": 0.03, "toxic": 0.0}
 VOCABULARY = 1_500
-ITERATIONS = 40
+#: Rates are final when a step along the projected gradient changes a token's rate by no more on average.
+SETTLED = 1e-5
+#: Steps between two tables of the rates so far.
+STEPS = 10
+CEILING = 8.0
 #: Rates this close to a whole number are taken as it.
 SNAP = 0.02
 _STATISTICS = ("upper", "marks", "bars", "distinct")
@@ -100,44 +108,63 @@ class Domains:
         return self.model.transform(self._vectors(rows)).select(*keep, F.col("_tokens").alias("tokens"), p.alias("p"))
 
 
-def rate_after(gradients: list[np.ndarray], ceiling: float) -> Column:
-    """A document's rate from p after the steps along these gradients, which are one literal: plans stay small, however many steps."""
+def _floor() -> Column:
+    """The least rate: one where the first domain is the most likely."""
+    return F.when(F.element_at("p", 1) >= F.array_max("p"), 1.0).otherwise(0.0)
+
+
+def rates_after(gradients: list[np.ndarray], momenta: list[float], ceiling: float, rate: Column, before: Column) -> Column:
+    """A document's rate, the one before it and the last step's length after steps along these gradients, which are one literal: plans stay small, however many steps."""
+    first = F.struct(rate.alias("rate"), before.alias("before"), F.lit(0.0).alias("step"))
     if not gradients:
-        return F.lit(1.0)
-    n, flat = len(DOMAINS), F.lit(np.concatenate(gradients))
+        return first
+    n, flat, pushes = len(DOMAINS), F.lit(np.concatenate(gradients)), F.lit(np.array(momenta))
 
-    def step(rate: Column, i: Column) -> Column:
+    def step(held: Column, i: Column) -> Column:
+        ahead = held["rate"] + F.get(pushes, i) * (held["rate"] - held["before"])
         slope = sum((F.element_at("p", k + 1) * F.get(flat, i * n + k) for k in range(n)), F.lit(0.0))
-        return F.greatest(F.lit(0.0), F.least(F.lit(ceiling), rate - slope))
+        after = F.greatest(_floor(), F.least(F.lit(ceiling), ahead - slope))
+        return F.struct(after.alias("rate"), held["rate"].alias("before"), F.abs(after - ahead).alias("step"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(gradients) - 1)), F.lit(1.0), step)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(gradients) - 1)), first, step)
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, ceiling: float = 8.0, iterations: int = ITERATIONS) -> tuple[Column, dict[str, list[float]]]:
+def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, ceiling: float = CEILING, iterations: int | None = None) -> tuple[Column, dict[str, list[float]]]:
     """The expression for rates over rows (tokens, p), and by domain the totals before, wanted and reached."""
     n = len(DOMAINS)
     weights = np.array([targets.get(d, 0.0) for d in DOMAINS], float)
     weights /= weights.sum()
     share = [F.element_at("p", k + 1) * F.col("tokens") for k in range(n)]
-    first = members.agg(*[F.sum(s).alias(f"s{k}") for k, s in enumerate(share)], *[F.sum(share[i] * F.element_at("p", j + 1)).alias(f"a{i}{j}") for i in range(n) for j in range(i, n)]).first()
-    now = start = np.array([first[f"s{k}"] or 0.0 for k in range(n)])
+    first = members.agg(F.sum("tokens").alias("t"), *[F.sum(s).alias(f"s{k}") for k, s in enumerate(share)], *[F.sum(share[i] * F.element_at("p", j + 1)).alias(f"a{i}{j}") for i in range(n) for j in range(i, n)]).first()
+    now = was = start = np.array([first[f"s{k}"] or 0.0 for k in range(n)])
     gram = np.array([[first[f"a{min(i, j)}{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)])
     weigh = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)  # with this weight the gradient's slope is at most one
     wanted = weights * (start[0] / weights[0] if weights[0] else start.sum())
     gradients: list[np.ndarray] = []
-    for _ in range(iterations):
-        off = now - wanted
-        if np.abs(off).max() <= 1e-4 * max(wanted.max(), 1.0):
+    momenta: list[float] = []
+    held, done, speed = members.select("tokens", "p", F.lit(1.0).alias("rate"), F.lit(1.0).alias("before")), 0, 1.0
+    tables = []
+    while iterations is None or len(gradients) < iterations:
+        if np.abs(now - wanted).max() <= 1e-4 * max(wanted.max(), 1.0):
             break
-        gradients.append(weigh @ off)
-        rated = members.select("tokens", "p", rate_after(gradients, ceiling).alias("rate"))
-        row = rated.agg(*[F.sum(F.col("rate") * s).alias(f"s{k}") for k, s in enumerate(share)]).first()
-        after = np.array([row[f"s{k}"] or 0.0 for k in range(n)])
-        settled = np.abs(after - now).max() <= 1e-6 * max(wanted.max(), 1.0)
-        now = after
-        if settled:
+        faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
+        momenta.append((speed - 1) / faster)
+        gradients.append(weigh @ (now + momenta[-1] * (now - was) - wanted))
+        made = held.select("tokens", "p", rates_after(gradients[done:], momenta[done:], ceiling, F.col("rate"), F.col("before")).alias("r"))
+        if len(gradients) - done == STEPS:
+            held, done = stash(made.select("tokens", "p", "r.*"), "rates"), len(gradients)
+            tables.append(held)
+            discard(*tables[:-1])
+            made = held.select("tokens", "p", F.struct("rate", "step").alias("r"))
+        row = made.agg(F.sum(F.col("r.step") * F.col("tokens")).alias("step"), *[F.sum(F.col("r.rate") * s).alias(f"s{k}") for k, s in enumerate(share)]).first()
+        was, now = now, np.array([row[f"s{k}"] or 0.0 for k in range(n)])
+        # momentum starts anew where it has led uphill
+        speed = 1.0 if (now - wanted) @ weigh @ (now - wanted) > (was - wanted) @ weigh @ (was - wanted) else faster
+        if (row["step"] or 0.0) <= SETTLED * max(first["t"] or 0, 1):
             break
-    return rate_after(gradients, ceiling), {d: [float(start[k]), float(wanted[k]), float(now[k])] for k, d in enumerate(DOMAINS)}
+    discard(*tables[-1:])
+    rate = rates_after(gradients, momenta, ceiling, F.lit(1.0), F.lit(1.0))["rate"]
+    return rate, {d: [float(start[k]), float(wanted[k]), float(now[k])] for k, d in enumerate(DOMAINS)}
 
 
 def copies(rate: Column) -> Column:
@@ -148,11 +175,12 @@ def copies(rate: Column) -> Column:
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """doc_id, tokens, p, rate and copies of each row of docs."""
+    """doc_id, tokens, p, rate and copies of each row of docs, and the domains' totals wanted and reached, the same in all rows."""
     model = Domains.fit(docs, labels)
     members = stash(model.posteriors(docs.select("doc_id", "text"), ["doc_id"]), "members")
-    rate, _ = fit_rates(members, targets)
-    return members.withColumn("rate", rate).withColumn("copies", copies(F.col("rate")))
+    rate, totals = fit_rates(members, targets)
+    wanted, reached = (F.array(*[F.lit(totals[d][i]) for d in DOMAINS]) for i in (1, 2))
+    return members.withColumn("rate", rate).withColumn("copies", copies(F.col("rate"))).withColumns({"wanted": wanted, "reached": reached})
 
 
 def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
@@ -168,4 +196,4 @@ def op10_mixing(spark, sf_dir) -> DataFrame:
     out = mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     p = [F.element_at("p", k + 1) for k in range(len(DOMAINS))]
     top = F.element_at(F.array(*[F.lit(d) for d in DOMAINS]), F.array_position("p", F.array_max("p")).cast("int"))
-    return out.select("doc_id", "tokens", top.alias("domain"), *[c.alias(f"p_{d}") for c, d in zip(p, DOMAINS, strict=True)], "rate", "copies")
+    return out.select("doc_id", "tokens", top.alias("domain"), *[c.alias(f"p_{d}") for c, d in zip(p, DOMAINS, strict=True)], "rate", "copies", *[F.element_at(c, k + 1).alias(f"{c}_{d}") for c in ("wanted", "reached") for k, d in enumerate(DOMAINS)])

@@ -119,6 +119,30 @@ def test_clean_stay_and_toxic_go(mixed):
     assert (clean.copies >= 1).mean() > 0.98 and (toxic.copies == 0).mean() > 0.9
 
 
+def test_likely_clean_documents_are_never_thinned(mixed):
+    p = np.stack(mixed["p"])
+    assert (mixed.copies[p.argmax(axis=1) == 0] >= 1).all()
+    wanted, reached = np.array(mixed["wanted"][0]), np.array(mixed["reached"][0])
+    again = (mixed["tokens"].to_numpy() * mixed["rate"].to_numpy()) @ p
+    assert np.allclose(again, reached, rtol=1e-6) and wanted[2] == 0 and reached[2] > 0
+
+
+def test_rates_are_settled(spark):
+    rng = np.random.default_rng(8)
+    p = np.concatenate([rng.dirichlet([9, 1, 1], 300), rng.dirichlet([1, 3, 1], 100), rng.dirichlet([1, 1, 5], 60)])
+    tokens = rng.integers(1, 500, len(p))
+    df = spark.createDataFrame([(int(t), [float(x) for x in v]) for t, v in zip(tokens, p, strict=True)], "tokens long, p array<double>")
+    rate, totals = mixing.fit_rates(df)
+    floor, plain = (p.argmax(axis=1) == 0).astype(float), np.ones(len(p))
+    weigh, wanted = np.linalg.inv((p * tokens[:, None]).T @ p), np.array([w for _, w, _ in totals.values()])
+    for _ in range(20_000):
+        plain = np.clip(plain - p @ (weigh @ ((plain * tokens) @ p - wanted)), floor, mixing.CEILING)
+    best, got = (plain * tokens) @ p - wanted, np.array([now for _, _, now in totals.values()]) - wanted
+    assert got @ weigh @ got <= 1.01 * (best @ weigh @ best)
+    rates = np.array([r.r for r in df.select(rate.alias("r")).collect()])
+    assert (rates >= floor).all() and np.allclose((rates * tokens) @ p - wanted, got, atol=1e-6 * wanted.max())
+
+
 def test_projected_gradient_against_plain_least_squares(spark):
     rng = np.random.default_rng(6)
     p = rng.dirichlet([0.3, 0.3, 0.3], 400)
