@@ -1,10 +1,13 @@
 """Nearest neighbours by inner product with an inverted multi-index.
 
 Each half of a vector is quantised on its own, so a vector lies in the cell of a
-pair of centroids. A query sums its inner products with both centroids, and a heap
-yields the pairs from the best sum on, until the cells met hold a given share of
-all vectors; their entries are reranked with the original vectors in double
-precision. Equal vectors are one entry with its smallest ids, as many as a result
+pair of centroids. For a query each centroid gives a bound on the inner products of
+its half, from the largest distance of a member; a heap yields the pairs from the
+best sum of bounds on, until no cell left can hold a better vector than the results
+that the sample alone gives. Entries of the cells met are reranked with the original
+vectors in double precision, so results are exact on tables of any size; how many
+cells are left out depends on how close to their centroids vectors lie. Equal
+vectors are one entry with its smallest ids, as many as a result
 can hold, so that copies of a vector, however many, cost nothing.
 
 Codebooks are fitted on a bounded sample (``SAMPLE_ROWS`` vectors, those whose id has
@@ -29,10 +32,8 @@ from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 20_000
 CENTROIDS = 64
-#: Share of all vectors that the cells a query visits hold at least. It sets recall: see README.
-PROBE = 0.5
-#: Indexes of up to this many vectors are visited in full.
-LEAST_PROBED = 2_000
+#: What rounding may take from a bound, as a share of the largest product of lengths.
+SLACK = 1e-9
 FOLD = 8
 BLOCK = 4_096
 CHUNK = 4_096
@@ -63,14 +64,14 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return (x @ centroids.T - 0.5 * (centroids * centroids).sum(axis=1)).argmax(axis=1)
 
 
-def traverse(one: np.ndarray, two: np.ndarray, sizes: np.ndarray, need: int) -> list[tuple[int, int]]:
-    """Centroid pairs from the best sum of scores on, until their cells hold ``need`` entries."""
+def traverse(one: np.ndarray, two: np.ndarray, sizes: np.ndarray, need: int, floor: float = -np.inf) -> list[tuple[int, int]]:
+    """Centroid pairs from the best sum of scores on, until their cells hold ``need`` entries or sums are below ``floor``."""
     first, second = np.argsort(-one, kind="stable").tolist(), np.argsort(-two, kind="stable").tolist()
     a, b = (-one[first]).tolist(), (-two[second]).tolist()
     counts = sizes[np.ix_(first, second)].tolist()
     reached = [0] * len(a)  # pairs taken from each row are a prefix of it
     queue, found, held = [(a[0] + b[0], 0, 0)], [], 0
-    while queue and held < need:
+    while queue and held < need and -queue[0][0] >= floor:
         _, i, j = heapq.heappop(queue)
         reached[i] = j + 1
         if counts[i][j]:
@@ -112,8 +113,8 @@ def rerank(queries: pd.DataFrame, entries: pd.DataFrame, top: int, cells: int) -
     return pd.concat(out) if out else pd.DataFrame({"query": [], "id": [], "score": []})
 
 
-def search(vectors: DataFrame, is_query, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 20, probe: float = PROBE) -> DataFrame:
-    """query_id, rank, id, score: the k nearest found of each row for which ``is_query`` (an expression over id) holds."""
+def search(vectors: DataFrame, is_query, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 20) -> DataFrame:
+    """query_id, rank, id, score: the k nearest of each row for which ``is_query`` (an expression over id) holds."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_column, vector_column)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toPandas()
@@ -125,6 +126,7 @@ def search(vectors: DataFrame, is_query, id_column: str = "vec_id", vector_colum
     one, two = codebook(fitted[:, :half], CENTROIDS), codebook(fitted[:, half:], CENTROIDS)
     k1, k2 = len(one), len(two)
     books = spark.sparkContext.broadcast((one, two))
+    known = spark.sparkContext.broadcast(fitted)
     cells = FOLD * k2
 
     # equal vectors as one entry; a result needs no more than k + 1 ids of it
@@ -137,30 +139,41 @@ def search(vectors: DataFrame, is_query, id_column: str = "vec_id", vector_colum
             if len(pdf):
                 x = np.stack(pdf["v"])
                 i, j = nearest(x[:, :half], books.value[0]), nearest(x[:, half:], books.value[1])
-                yield pdf.assign(part=(i // FOLD).astype(np.int32), cell=((i % FOLD) * k2 + j).astype(np.int32))
-
-    entries = classes.mapInPandas(place, "v array<double>, ids array<long>, part int, cell int")
-    sizes = np.zeros((k1, k2), np.int64)
-    for r in entries.groupBy("part", "cell").agg(F.count("*").alias("n")).collect():
-        sizes[r["part"] * FOLD + r["cell"] // k2, r["cell"] % k2] = r["n"]
+                far = [np.linalg.norm(h - book[c], axis=1) for h, book, c in ((x[:, :half], books.value[0], i), (x[:, half:], books.value[1], j))]
+                yield pdf.assign(part=(i // FOLD).astype(np.int32), cell=((i % FOLD) * k2 + j).astype(np.int32), far1=far[0], far2=far[1], size=np.linalg.norm(x, axis=1))
+
+    placed = classes.mapInPandas(place, "v array<double>, ids array<long>, part int, cell int, far1 double, far2 double, size double")
+    entries = placed.drop("far1", "far2", "size")
+    sizes, radii, longest = np.zeros((k1, k2), np.int64), (np.zeros(k1), np.zeros(k2)), 0.0
+    for r in placed.groupBy("part", "cell").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("far1", "far2", "size")]).collect():
+        i, j = r["part"] * FOLD + r["cell"] // k2, r["cell"] % k2
+        sizes[i, j], longest = r["n"], max(longest, r["size"])
+        radii[0][i], radii[1][j] = max(radii[0][i], r["far1"]), max(radii[1][j], r["far2"])
     total = int(sizes.sum())
     parts = -(-k1 // FOLD)
     blocks = [max(1, -(-int(sizes[p * FOLD : (p + 1) * FOLD].sum()) // BLOCK)) for p in range(parts)]
     asked = rows.filter(is_query)
     n_queries = asked.count()
     chunks = max(1, -(-n_queries // CHUNK))
-    need = max(int(np.ceil(probe * total)), min(total, LEAST_PROBED))
+    everything = np.argwhere(sizes > 0)
 
     def plan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if not len(pdf):
                 continue
             x = np.stack(pdf["v"])
-            s1, s2 = x[:, :half] @ books.value[0].T, x[:, half:] @ books.value[1].T
+            lengths = [np.linalg.norm(h, axis=1)[:, None] for h in (x[:, :half], x[:, half:], x)]
+            s1, s2 = x[:, :half] @ books.value[0].T + lengths[0] * radii[0], x[:, half:] @ books.value[1].T + lengths[1] * radii[1]
+            floors = np.full(len(x), -np.inf)
+            if len(known.value) > k:  # one of them may be the query itself
+                for at in range(0, len(x), 256):
+                    floors[at : at + 256] = np.partition(x[at : at + 256] @ known.value.T, -k - 1, axis=1)[:, -k - 1]
+            floors -= SLACK * lengths[2][:, 0] * longest
             out: dict[str, list] = {"id": [], "v": [], "part": [], "block": [], "mask": []}
             for n, (i, v) in enumerate(zip(pdf["id"], pdf["v"], strict=True)):
                 seen = np.zeros((parts, FOLD * k2), np.uint8)
-                found = np.array(traverse(s1[n], s2[n], sizes, need))
+                whole = s1[n].min() + s2[n].min() >= floors[n]
+                found = everything if whole else np.array(traverse(s1[n], s2[n], sizes, total, floors[n]))
                 seen[found[:, 0] // FOLD, (found[:, 0] % FOLD) * k2 + found[:, 1]] = 1
                 for p in np.flatnonzero(seen.any(axis=1)).tolist():
                     mask = np.packbits(seen[p]).tobytes()

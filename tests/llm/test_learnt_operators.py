@@ -50,6 +50,21 @@ def test_recall_on_larger_tables(spark):
     assert np.mean(hits) >= 0.9 and min(map(len, got.values())) == 20
 
 
+@pytest.mark.parametrize("spread", [0.02, 1.0])
+def test_larger_tables_are_searched_exactly(spark, spread):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 16))
+    x = centres[rng.integers(0, 30, 5000)] + spread * rng.normal(size=(5000, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got, want = found(ann.search(spark.createDataFrame(rows, SCHEMA), F.col("id") % 20 == 0)), brute(rows)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+
+
+def test_traversal_stops_at_the_floor():
+    one, two = np.array([3.0, 1.0, 0.0]), np.array([2.0, 0.0])
+    assert ann.traverse(one, two, np.ones((3, 2), int), 6, 2.5) == [(0, 0), (0, 1), (1, 0)]
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (40, None), (60, [float("nan"), 1.0]), (80, [None, 1.0]), (100, [float("inf"), 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [-1.0, 0.0]), (3, [1.0]), (None, [1.0, 1.0]), (4, [])]
     got = found(ann.search(spark.createDataFrame(rows, SCHEMA), F.col("id") % 20 == 0))
