@@ -41,17 +41,22 @@ def latest_values(patches: DataFrame) -> DataFrame:
     return each.groupBy("invoice_id", "field").applyInPandasWithState(_fold, schema, "value string, seq long", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_batches(changes: DataFrame, path: str, key: str, checkpoint: str):
+def upsert_batches(changes: DataFrame, path: str, key: str, checkpoint: str, order: str | None = None):
     """Starts a query that keeps, in versioned folders under ``path``, one row per key: the newest.
 
+    Newest is the greatest value of ``order``, then the later batch; without an order only batches are. Rows of a batch
+    that this leaves equal are decided by their JSON, so that any run chooses alike.
     Batch n reads version n - 1 and writes version n, so a batch that is run again gives the same result.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
         old = spark.read.schema(batch.schema).parquet(f"{path}/v={number - 1}") if number else batch.limit(0)
-        old.join(new.select(key), key, "left_anti").unionByName(new).write.mode("overwrite").parquet(f"{path}/v={number}")
+        row = F.struct(*[F.col(f"`{c}`") for c in batch.columns])
+        both = old.select(row.alias("row"), F.lit(0).alias("new")).unionByName(batch.select(row.alias("row"), F.lit(1).alias("new")))
+        rank = F.struct(*([F.col("row")[order]] if order else []), "new", F.to_json("row"))
+        kept = both.groupBy(F.col("row")[key].alias("key")).agg(F.max_by("row", rank).alias("row"))
+        kept.select("row.*").write.mode("overwrite").parquet(f"{path}/v={number}")
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 

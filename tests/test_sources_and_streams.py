@@ -102,6 +102,18 @@ def test_upserts_by_batch(spark, tmp_path):
         spark.createDataFrame([("a", 2)], "k string, v int").coalesce(1).write.mode("append").parquet(str(src))
 
 
+def test_upserts_keep_the_newest_of_a_batch(spark, tmp_path):
+    src, schema = str(tmp_path / "src"), "k string, v int, at int"
+    spark.createDataFrame([("a", 1, 1), ("a", 2, 3), ("a", 3, 2), ("b", 9, 9), ("b", 1, 10)], schema).coalesce(1).write.parquet(src)
+    df = spark.readStream.schema(schema).parquet(src)
+    for n, expected in enumerate(({"a": 2, "b": 1}, {"a": 2, "b": 5})):
+        q = streams.upsert_batches(df, str(tmp_path / "t"), "k", str(tmp_path / "ck"), order="at").start()
+        q.processAllAvailable()
+        q.stop()
+        assert {r.k: r.v for r in spark.read.schema(schema).parquet(str(tmp_path / "t" / f"v={n}")).collect()} == expected
+        spark.createDataFrame([("a", 7, 2), ("b", 4, 11), ("b", 5, 12)], schema).coalesce(1).write.mode("append").parquet(src)
+
+
 def test_windows_on_a_stream_drop_late_events(spark, tmp_path):
     src = str(tmp_path / "ev")
     schema = "ts timestamp, kind string"
