@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. In local mode alone it may be unset; one of the session's own is made then."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     fallback = getattr(spark, "_own_shared_dir", None)
     if fallback is None:
         fallback = spark._own_shared_dir = tempfile.mkdtemp(prefix="shared-")
@@ -34,9 +38,33 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
+    for made in _OPEN[-1:]:
+        made.append(out)
     return out
 
 
+#: What is stashed within each open ``scratch``, innermost last.
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Discards at its end all that was stashed within it, but for the frames put into the list it gives.
+
+    What leaves it must be one of those frames or not depend on what was stashed.
+    """
+    _OPEN.append([])
+    kept: list[DataFrame] = []
+    try:
+        yield kept
+    finally:
+        paths = {getattr(df, "_stash_path", None) for df in kept}
+        made = _OPEN.pop()
+        discard(*[df for df in made if df._stash_path not in paths])
+        for outer in _OPEN[-1:]:
+            outer += [df for df in made if df._stash_path in paths]
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes stashed tables that no later plan reads."""
     for df in frames:
@@ -69,11 +97,21 @@ def slices(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def portions(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, which bounds what Python holds of them at a time."""
+def portions(batches: Iterator[pa.RecordBatch], rows: int = 1024, column: str | None = None, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, which bounds what Python holds of them at a time; by bytes of a column too, where one is named."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            part = batch.slice(at, rows)
+            if column is None:
+                yield part
+                continue
+            for start, end in slices(raw_texts(part, column), limit):
+                yield part.slice(start, end - start)
+
+
+def ddl(df: DataFrame, *without: str) -> str:
+    """The schema of ``df`` as text, less some columns."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in without)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
