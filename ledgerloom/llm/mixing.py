@@ -7,12 +7,13 @@ documents of rate x tokens x posterior. From rates of one, projected gradient
 minimises the squared misses, weighted by the inverse of the domains' token
 products, with token counts as the metric of the rates: documents of equal
 posterior change alike, however long. Documents that are most likely of the first
-domain keep a rate of one at least, so a target that their posteriors put out of
-reach is missed and never met at their cost; the totals reached stand beside the
-rates. Steps have momentum and go on until they are settled (``SETTLED``). A
-gradient is one number per domain, so an iteration is one aggregate over documents,
-and a document's rate follows from the list of gradients so far; rates are never
-gathered.
+domain keep a rate of one at least, and none exceeds ``ceiling`` where one is given.
+A target that these bounds put out of reach is replaced by the nearest total within
+reach before the fit, so it is never chased at the cost of the others; totals before,
+asked for, wanted within reach and reached stand beside the rates. Steps have
+momentum and go on until they are settled (``SETTLED``), however many that takes. A
+gradient is one number per domain, so an iteration is one aggregate over documents;
+rates are stored every few steps and never gathered.
 
 Domains come from labels: ``toxic`` where toxic is 1, else ``low`` where quality is
 0, else ``clean``. The classifier is fitted on a bounded sample (``TRAIN_ROWS``
@@ -43,8 +44,7 @@ VOCABULARY = 1_500
 SETTLED = 1e-5
 #: Steps between two tables of the rates so far.
 STEPS = 10
-CEILING = 8.0
-#: Rates this close to a whole number are taken as it.
+#: Rates this close to a whole number are taken as it when documents are copied; rates themselves and totals are exact.
 SNAP = 0.02
 _STATISTICS = ("upper", "marks", "bars", "distinct")
 
@@ -113,7 +113,11 @@ def _floor() -> Column:
     return F.when(F.element_at("p", 1) >= F.array_max("p"), 1.0).otherwise(0.0)
 
 
-def rates_after(gradients: list[np.ndarray], momenta: list[float], ceiling: float, rate: Column, before: Column) -> Column:
+def _capped(rate: Column, ceiling: float | None) -> Column:
+    return rate if ceiling is None else F.least(F.lit(float(ceiling)), rate)
+
+
+def rates_after(gradients: list[np.ndarray], momenta: list[float], ceiling: float | None, rate: Column, before: Column) -> Column:
     """A document's rate, the one before it and the last step's length after steps along these gradients, which are one literal: plans stay small, however many steps."""
     first = F.struct(rate.alias("rate"), before.alias("before"), F.lit(0.0).alias("step"))
     if not gradients:
@@ -123,28 +127,33 @@ def rates_after(gradients: list[np.ndarray], momenta: list[float], ceiling: floa
     def step(held: Column, i: Column) -> Column:
         ahead = held["rate"] + F.get(pushes, i) * (held["rate"] - held["before"])
         slope = sum((F.element_at("p", k + 1) * F.get(flat, i * n + k) for k in range(n)), F.lit(0.0))
-        after = F.greatest(_floor(), F.least(F.lit(ceiling), ahead - slope))
+        after = F.greatest(_floor(), _capped(ahead - slope, ceiling))
         return F.struct(after.alias("rate"), held["rate"].alias("before"), F.abs(after - ahead).alias("step"))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(gradients) - 1)), first, step)
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, ceiling: float = CEILING, iterations: int | None = None) -> tuple[Column, dict[str, list[float]]]:
-    """The expression for rates over rows (tokens, p), and by domain the totals before, wanted and reached."""
+def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, ceiling: float | None = None) -> tuple[Column, dict[str, list[float]]]:
+    """The expression for rates over rows (tokens, p), and by domain the totals before, asked for, wanted within reach, and reached."""
+    if ceiling is not None and ceiling < 1:
+        raise ValueError("a ceiling under one would thin documents that are to stay whole")
     n = len(DOMAINS)
     weights = np.array([targets.get(d, 0.0) for d in DOMAINS], float)
     weights /= weights.sum()
     share = [F.element_at("p", k + 1) * F.col("tokens") for k in range(n)]
-    first = members.agg(F.sum("tokens").alias("t"), *[F.sum(s).alias(f"s{k}") for k, s in enumerate(share)], *[F.sum(share[i] * F.element_at("p", j + 1)).alias(f"a{i}{j}") for i in range(n) for j in range(i, n)]).first()
+    first = members.agg(F.sum("tokens").alias("t"), *[F.sum(_floor() * s).alias(f"f{k}") for k, s in enumerate(share)], *[F.sum(s).alias(f"s{k}") for k, s in enumerate(share)], *[F.sum(share[i] * F.element_at("p", j + 1)).alias(f"a{i}{j}") for i in range(n) for j in range(i, n)]).first()
     now = was = start = np.array([first[f"s{k}"] or 0.0 for k in range(n)])
     gram = np.array([[first[f"a{min(i, j)}{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)])
     weigh = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)  # with this weight the gradient's slope is at most one
-    wanted = weights * (start[0] / weights[0] if weights[0] else start.sum())
+    asked = weights * (start[0] / weights[0] if weights[0] else start.sum())
+    least = np.array([first[f"f{k}"] or 0.0 for k in range(n)])
+    most = np.where(start > 0, np.inf if ceiling is None else ceiling * start, 0.0)
+    wanted = np.clip(asked, least, most)
     gradients: list[np.ndarray] = []
     momenta: list[float] = []
     held, done, speed = members.select("tokens", "p", F.lit(1.0).alias("rate"), F.lit(1.0).alias("before")), 0, 1.0
     tables = []
-    while iterations is None or len(gradients) < iterations:
+    while True:
         if np.abs(now - wanted).max() <= 1e-4 * max(wanted.max(), 1.0):
             break
         faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
@@ -164,7 +173,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, ceiling:
             break
     discard(*tables[-1:])
     rate = rates_after(gradients, momenta, ceiling, F.lit(1.0), F.lit(1.0))["rate"]
-    return rate, {d: [float(start[k]), float(wanted[k]), float(now[k])] for k, d in enumerate(DOMAINS)}
+    return rate, {d: [float(x[k]) for x in (start, asked, wanted, now)] for k, d in enumerate(DOMAINS)}
 
 
 def copies(rate: Column) -> Column:
@@ -174,21 +183,27 @@ def copies(rate: Column) -> Column:
     return F.when(near, F.round(rate)).otherwise(F.floor(rate + draw)).cast("int")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """doc_id, tokens, p, rate and copies of each row of docs, and the domains' totals wanted and reached, the same in all rows."""
+TOTALS = ("before", "asked", "wanted", "reached")
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, ceiling: float | None = None) -> DataFrame:
+    """doc_id, tokens, p, rate and copies of each row of docs, and the domains' totals (``TOTALS``), the same in all rows."""
     model = Domains.fit(docs, labels)
     members = stash(model.posteriors(docs.select("doc_id", "text"), ["doc_id"]), "members")
-    rate, totals = fit_rates(members, targets)
-    wanted, reached = (F.array(*[F.lit(totals[d][i]) for d in DOMAINS]) for i in (1, 2))
-    return members.withColumn("rate", rate).withColumn("copies", copies(F.col("rate"))).withColumns({"wanted": wanted, "reached": reached})
+    rate, totals = fit_rates(members, targets, ceiling)
+    told = {name: F.array(*[F.lit(totals[d][i]) for d in DOMAINS]) for i, name in enumerate(TOTALS)}
+    return members.withColumn("rate", rate).withColumn("copies", copies(F.col("rate"))).withColumns(told)
+
 
+def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, ceiling: float | None = None) -> DataFrame:
+    """The rows of ``docs``, each as often as its copies say; with a ``ceiling`` of one no row repeats.
 
-def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """The rows of ``docs``, each as often as its copies say."""
-    plan = mix(docs, labels, targets).select("doc_id", "copies").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    joined = docs.join(plan.filter("doc_id IS NOT NULL"), "doc_id", "left")
-    repeated = joined.withColumn("_copies", F.coalesce("_copies", F.lit(1))).filter("_copies > 0")
-    return repeated.withColumn("_", F.explode(F.expr("sequence(1, _copies)"))).select([f"`{c}`" for c in docs.columns])
+    Rows that share a doc_id have the copies of the one with the most. A row without a doc_id can't be told from others and stays once.
+    """
+    own = docs.select(*[F.col(f"`{c}`").alias(f"d_{c}") for c in docs.columns])
+    plan = mix(docs, labels, targets, ceiling).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    joined = own.join(plan, F.col("d_doc_id") == F.col("doc_id"), "left").withColumn("copies", F.coalesce("copies", F.lit(1))).filter("copies > 0")
+    return joined.withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).select(*[F.col(f"`d_{c}`").alias(c) for c in docs.columns])
 
 
 def op10_mixing(spark, sf_dir) -> DataFrame:
@@ -196,4 +211,4 @@ def op10_mixing(spark, sf_dir) -> DataFrame:
     out = mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     p = [F.element_at("p", k + 1) for k in range(len(DOMAINS))]
     top = F.element_at(F.array(*[F.lit(d) for d in DOMAINS]), F.array_position("p", F.array_max("p")).cast("int"))
-    return out.select("doc_id", "tokens", top.alias("domain"), *[c.alias(f"p_{d}") for c, d in zip(p, DOMAINS, strict=True)], "rate", "copies", *[F.element_at(c, k + 1).alias(f"{c}_{d}") for c in ("wanted", "reached") for k, d in enumerate(DOMAINS)])
+    return out.select("doc_id", "tokens", top.alias("domain"), *[c.alias(f"p_{d}") for c, d in zip(p, DOMAINS, strict=True)], "rate", "copies", *[F.element_at(c, k + 1).alias(f"{c}_{d}") for c in TOTALS for k, d in enumerate(DOMAINS)])
