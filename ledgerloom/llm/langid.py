@@ -15,7 +15,6 @@ texts get equal results.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices, with_columns
+from .common import crc_mod, ddl, slices, with_columns
 
 #: Documents of each language that the likelihoods are fitted on, about.
 TRAIN_DOCS = 8_000
@@ -31,11 +30,16 @@ BUCKETS = 1 << 13
 #: Trigrams of a text overlap: three of them count as one observation in the penalised likelihood.
 OVERLAP = 3
 ROUNDS = 12
-_LETTER = re.compile(r"[^\W\d_]")
+_MADE = ("lang_pred", "score", "languages")
 _KEEP = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 _HASH = np.random.default_rng(7).integers(0, BUCKETS, (3, 256), dtype=np.uint16)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode's category L is in a text; numbers like ² or Ⅷ are none."""
+    return any(map(str.isalpha, text))
+
+
 def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row of the text, bucket and count of each distinct trigram of lower-cased UTF-8 texts, in order."""
     data = _KEEP[np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)]
@@ -132,7 +136,11 @@ def infer(texts: list[bytes], table: np.ndarray) -> np.ndarray:
 
 
 def identify(docs: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
-    """``docs`` with lang_pred, score (its proportion) and languages: the selected set as name:proportion, largest first."""
+    """``docs`` without text, with lang_pred, score (its proportion) and languages: the selected set as name:proportion, largest first.
+
+    Columns of these names that ``docs`` has are replaced; all others stay.
+    """
+    docs = docs.drop(*_MADE)
     held = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +151,7 @@ def identify(docs: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
             for start, end in slices(texts, 1 << 18):
                 pi = infer(texts[start:end], held.value) if names else np.zeros((end - start, 0))
                 for text, own in zip(raw[start:end], pi, strict=True):
-                    if not names or not _LETTER.search(text):
+                    if not names or not has_letter(text):
                         pred.append("und"), score.append(0.0), mix.append("")
                         continue
                     own = own if own.any() else np.full(len(names), 1 / len(names))
@@ -153,8 +161,8 @@ def identify(docs: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
                     mix.append(",".join(f"{names[k]}:{own[k]:.3f}" for k in order))
             yield with_columns(batch.drop_columns(["text"]), lang_pred=pa.array(pred, pa.string()), score=pa.array(score, pa.float64()), languages=pa.array(mix, pa.string()))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, languages string")
+    held_columns = f"{ddl(docs, 'text')}, " if len(docs.columns) > 1 else ""
+    return docs.mapInArrow(run, f"{held_columns}lang_pred string, score double, languages string")
 
 
 def op1_language_id(spark, sf_dir) -> DataFrame:
