@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,10 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts
+from .common import ddl, portions, raw_texts
 
 #: Coefficient order of the format, as row-major positions in a block.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
+#: Media bytes that a task reads at a time, unless one document has more.
+PORTION = 1 << 20
+_MADE = ("payload", "height", "width", "feature", "rgb")
 SAMPLING = ((2, 2), (1, 1), (1, 1))
 _MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
 _COMMENT = b"payload:"
@@ -428,10 +432,10 @@ def pad(text: bytes) -> bytes:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media: each whole text as a progressive JPEG."""
+    """doc_id, n_bytes and media: each whole text as a progressive JPEG, ready to be written as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 256, "text"):
             texts = raw_texts(batch)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([write_jpeg(pad(t)) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
@@ -440,11 +444,16 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def load(stored: DataFrame, tensors: bool = True) -> DataFrame:
-    """``stored`` with payload, height, width, feature (size and mean of R, G and B) and, if asked for, the tensor rgb."""
+    """``stored`` with payload, height, width, feature (size, mean of R, G and B, checksum of the tensor) and, if asked for, the tensor rgb.
+
+    rgb has height x width x 3 unsigned bytes, row by row. Columns of these names that ``stored`` has are replaced. Rows are taken
+    in portions whose media fit into ``PORTION`` bytes, so a task holds few tensors at a time.
+    """
+    stored = stored.drop(*_MADE)
     extra = "payload binary, height int, width int, feature string" + ", rgb binary" * tensors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 64, "media", PORTION):
             got: dict[str, list] = {"payload": [], "height": [], "width": [], "feature": [], "rgb": []}
             for media in batch.column(batch.schema.get_field_index("media")).to_pylist():
                 picture = read_jpeg(media)
@@ -453,14 +462,14 @@ def load(stored: DataFrame, tensors: bool = True) -> DataFrame:
                 got["height"].append(picture.height)
                 got["width"].append(picture.width)
                 means = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64) / (picture.height * picture.width)
-                got["feature"].append(f"{picture.width}x{picture.height}:" + ",".join(f"{m:.3f}" for m in means))
+                tensor = rgb.tobytes()
+                got["feature"].append(f"{picture.width}x{picture.height}:" + ",".join(f"{m:.3f}" for m in means) + f":{zlib.crc32(tensor):08x}")
                 if tensors:
-                    got["rgb"].append(rgb.tobytes())
+                    got["rgb"].append(tensor)
             kinds = {"payload": pa.binary(), "height": pa.int32(), "width": pa.int32(), "feature": pa.string()} | ({"rgb": pa.binary()} if tensors else {})
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(got[k], t) for k, t in kinds.items())], names=[*batch.schema.names, *kinds])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema)
-    return stored.mapInArrow(run, f"{schema}, {extra}")
+    return stored.mapInArrow(run, f"{ddl(stored)}, {extra}")
 
 
 def op8_progressive_jpeg(spark, sf_dir) -> DataFrame:
