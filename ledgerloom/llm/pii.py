@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stash
+from .common import discard, scratch, stash
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, with possessive quantifiers and bounds on where a match can begin, so that
@@ -33,7 +33,8 @@ BASE = {
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Identifier-like tokens; those without an @ or four digits are dropped.
+#: Identifier-like tokens of 4 to 64 characters; those without an @ or four digits are dropped, longer runs are none (addresses
+#: have 64 characters before the @ at most, and cards, phones and IP addresses are shorter).
 TOKEN = r"(?<![A-Za-z0-9._%+@:/-])(?=[A-Za-z._%+:/-]*+[0-9@])[A-Za-z0-9._%+@:/-]{4,64}+(?![A-Za-z0-9._%+@:/-])"
 CONFIDENCE = 0.8
 #: Distinct instances of a kind, seeds or found ones, that a pattern needs.
@@ -229,7 +230,17 @@ def _written(spans: Column) -> Column:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, base and spans (arrays of kind, start, end by kind and start) of each row."""
+    """doc_id, base and spans (arrays of kind, start, end by kind and start) of each row.
+
+    The result is a stored table of offsets; tables that hold identifiers in clear are deleted before it is returned.
+    """
+    with scratch() as kept:
+        out = stash(_detected(docs), "pii-spans")
+        kept.append(out)
+    return out
+
+
+def _detected(docs: DataFrame) -> DataFrame:
     found = stash(base_spans(docs), "pii")
     added = discover(found).groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
     plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
