@@ -137,9 +137,11 @@ def test_clean_stay_and_toxic_go(mixed):
 def test_likely_clean_documents_are_never_thinned(mixed):
     p = np.stack(mixed["p"])
     assert (mixed.copies[p.argmax(axis=1) == 0] >= 1).all()
-    wanted, reached = np.array(mixed["wanted"][0]), np.array(mixed["reached"][0])
-    again = (mixed["tokens"].to_numpy() * mixed["rate"].to_numpy()) @ p
-    assert np.allclose(again, reached, rtol=1e-6) and wanted[2] == 0 and reached[2] > 0
+    before, asked, wanted, reached = (np.array(mixed[t][0]) for t in mixing.TOTALS)
+    tokens = mixed["tokens"].to_numpy()
+    assert np.allclose((tokens * mixed["rate"].to_numpy()) @ p, reached, rtol=1e-6) and np.allclose(tokens @ p, before)
+    floor = (tokens * (p.argmax(axis=1) == 0)) @ p
+    assert asked[2] == 0 and np.allclose(wanted[2], floor[2]) and np.allclose(wanted[:2], asked[:2]) and np.allclose(reached[:2], wanted[:2], rtol=0.01)
 
 
 def test_rates_are_settled(spark):
@@ -149,11 +151,11 @@ def test_rates_are_settled(spark):
     df = spark.createDataFrame([(int(t), [float(x) for x in v]) for t, v in zip(tokens, p, strict=True)], "tokens long, p array<double>")
     rate, totals = mixing.fit_rates(df)
     floor, plain = (p.argmax(axis=1) == 0).astype(float), np.ones(len(p))
-    weigh, wanted = np.linalg.inv((p * tokens[:, None]).T @ p), np.array([w for _, w, _ in totals.values()])
+    weigh, wanted = np.linalg.inv((p * tokens[:, None]).T @ p), np.array([w for _, _, w, _ in totals.values()])
     for _ in range(20_000):
-        plain = np.clip(plain - p @ (weigh @ ((plain * tokens) @ p - wanted)), floor, mixing.CEILING)
-    best, got = (plain * tokens) @ p - wanted, np.array([now for _, _, now in totals.values()]) - wanted
-    assert got @ weigh @ got <= 1.01 * (best @ weigh @ best)
+        plain = np.maximum(plain - p @ (weigh @ ((plain * tokens) @ p - wanted)), floor)
+    best, got = (plain * tokens) @ p - wanted, np.array([now for *_, now in totals.values()]) - wanted
+    assert np.abs(got - best).max() <= 2e-3 * wanted.max()
     rates = np.array([r.r for r in df.select(rate.alias("r")).collect()])
     assert (rates >= floor).all() and np.allclose((rates * tokens) @ p - wanted, got, atol=1e-6 * wanted.max())
 
@@ -165,17 +167,45 @@ def test_projected_gradient_against_plain_least_squares(spark):
     rows = [(int(t), [float(x) for x in v]) for t, v in zip(tokens, p, strict=True)]
     df = spark.createDataFrame(rows, "tokens long, p array<double>")
     targets = {"clean": 0.5, "low": 0.3, "toxic": 0.2}
-    rate, totals = mixing.fit_rates(df, targets, iterations=200)
-    assert all(abs(now - want) <= 2e-3 * want for _, want, now in totals.values())
+    rate, totals = mixing.fit_rates(df, targets)
+    assert all(abs(now - want) <= 2e-3 * want and asked == want for _, asked, want, now in totals.values())
     assert df.select(rate.alias("r")).filter("r < 0").count() == 0
 
 
+def test_totals_out_of_reach_are_replaced_by_the_nearest(spark):
+    rows = [(100, [1.0, 0.0, 0.0])] * 9 + [(10, [0.0, 1.0, 0.0])] * 2 + [(50, [0.2, 0.0, 0.8])]
+    df = spark.createDataFrame(rows, "tokens long, p array<double>")
+    rate, totals = mixing.fit_rates(df, {"clean": 0.5, "low": 0.5, "toxic": 0.0}, ceiling=1.0)
+    assert totals["low"][1:] == pytest.approx([910, 20, 20]) and totals["toxic"][1:3] == [0, 0]
+    assert sorted(round(r.r, 3) for r in df.select(rate.alias("r")).collect())[1:] == [1.0] * 11
+    with pytest.raises(ValueError, match="ceiling"):
+        mixing.fit_rates(df, ceiling=0.5)
+
+
 def test_mixing_of_odd_tables(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     assert mixing.mix(odd(spark), labels.limit(0)).filter("rate = 1 AND copies = 1").count() == 7
     assert mixing.mix(odd(spark).limit(0), labels).count() == 0
     out = mixing.apply_mix(docs, labels)
     assert out.columns == docs.columns and 500 < out.count() < 1100
+    clash = odd(spark).withColumns({"copies": F.lit(9), "copy": F.lit("c"), "d_doc_id": F.lit(3), "rate": F.lit("r")})
+    same = mixing.apply_mix(clash, labels.limit(0), ceiling=1.0)
+    assert same.columns == clash.columns and same.filter("copies = 9 AND copy = 'c' AND d_doc_id = 3").count() == 7
+
+
+def test_mixing_after_the_quality_filter(spark):
+    """Clean documents stay as they are, once, toxic ones go, and nothing is repeated, though the filter has emptied the low domain."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    kept = corpus_pipeline.stash(corpus_pipeline.quality_filter(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf), "kept")
+    mixed = corpus_pipeline.stash(corpus_pipeline.mix_domains(spark, kept, sf), "mixed")
+    known = kept.join(labels, "doc_id").join(mixed.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").fillna(0, ["n"])
+    clean, toxic = known.filter("quality = 1 AND toxic = 0"), known.filter("toxic = 1")
+    assert clean.filter("n = 1").count() >= 0.98 * clean.count() > 0
+    assert toxic.filter("n = 0").count() >= 0.9 * toxic.count() > 0
+    assert mixed.count() == mixed.select("doc_id").distinct().count() <= kept.count()
 
 
 def test_pipeline_stages_and_their_columns(spark):

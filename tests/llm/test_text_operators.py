@@ -44,11 +44,32 @@ def dropped(rows, least):
     return collections.Counter(out)
 
 
-def test_lines_like_brute_force(spark):
-    rows = [(r.doc_id, r.text) for r in documents(spark).select("doc_id", "text").collect()] + ODD
-    df = frame(spark, rows).withColumn("n_lines", F.lit("clash"))
-    out = linededup.LineIndex.build(df, 3).apply(df.drop("n_lines"))
-    assert collections.Counter(map(tuple, out.select("doc_id", "text", "n_lines", "n_dropped").collect())) == dropped(rows, 3)
+def line_rows(spark):
+    return [(r.doc_id, r.text) for r in documents(spark).select("doc_id", "text").collect()] + ODD
+
+
+@pytest.mark.parametrize("limit", [linededup.FILTER_BYTES, 0])
+def test_lines_like_brute_force(spark, monkeypatch, limit):
+    """With filters that every task has, and with keys dealt to the shards; columns of the same names as the result's and the operator's own."""
+    monkeypatch.setattr(linededup, "FILTER_BYTES", limit)
+    monkeypatch.setattr(linededup, "PART_KEYS", 50)
+    rows = line_rows(spark)
+    df = frame(spark, rows).withColumns({c: F.lit("clash") for c in ("n_lines", "n_dropped", "_row", "_gone", "key", "shard")})
+    index = linededup.LineIndex.build(df, 3)
+    out, want = index.apply(df), dropped(rows, 3)
+    assert collections.Counter(map(tuple, out.select("doc_id", "text", "n_lines", "n_dropped").collect())) == want
+    assert out.filter("_row = 'clash' AND _gone = 'clash' AND key = 'clash' AND shard = 'clash'").count() == len(rows)
+    clean = index.clean(df)
+    assert clean.columns == df.columns and clean.filter("n_lines = 'clash' AND n_dropped = 'clash'").count() == len(rows)
+    assert collections.Counter(r.text for r in clean.collect()) == collections.Counter(t for _, t, _, _ in want.elements())
+
+
+def test_keys_that_filters_report_wrongly_stay(spark):
+    rows = [(i, f"shared\nown {i}") for i in range(12)]
+    index = linededup.LineIndex.build(frame(spark, rows), 10)
+    body = linededup.CuckooFilter.of([linededup.line_key(x) for x in (b"shared", b"own 3")]).table.tobytes()
+    index.filters = spark.createDataFrame([(0, bytearray(body))], "shard long, body binary")
+    assert index.apply(frame(spark, rows)).filter("n_dropped = 1").count() == 12
 
 
 def test_line_index_takes_back_what_it_took(spark):
@@ -59,20 +80,40 @@ def test_line_index_takes_back_what_it_took(spark):
     back = both.delete(frame(spark, b))
     assert back.apply(frame(spark, a)).agg(F.sum("n_dropped")).first()[0] == 0
     assert collections.Counter(map(tuple, back.refs.collect())) == collections.Counter(map(tuple, index.refs.collect()))
-
-
-def test_lines_without_filters_and_of_empty_tables(spark, monkeypatch):
-    rows = [(i, "x\ny") for i in range(12)]
-    monkeypatch.setattr(linededup, "FILTER_BYTES", 0)
-    assert linededup.LineIndex.build(frame(spark, rows)).apply(frame(spark, rows)).agg(F.sum("n_dropped")).first()[0] == 24
+    assert not any(any(r.body) for r in back.filters.collect())  # what was inserted into the stored filter is deleted from it
+
+
+def test_filters_follow_insertions_and_deletions(spark, tmp_path, monkeypatch):
+    """A stored index that grows past its shard's first filter, shrinks, and is saved and loaded equals one built anew."""
+    monkeypatch.setattr(linededup, "MOST_SHARDS", 1)
+    parts = [[(100 * k + i, "\n".join(f"line {j}" for j in range(i, 250))) for i in range(12)] for k in range(3)]
+    index = linededup.LineIndex.build(frame(spark, parts[0]), 20)
+    index = index.insert(frame(spark, parts[1])).insert(frame(spark, parts[2]))
+    index.save(str(tmp_path / "index"))
+    index = linededup.LineIndex.load(spark, str(tmp_path / "index")).delete(frame(spark, parts[1]))
+    anew = linededup.LineIndex.build(frame(spark, parts[0] + parts[2]), 20)
+    keys = [bytes(r.key) for r in anew.refs.collect()]
+    assert {bytes(r.key): r.n_docs for r in index.refs.collect()} == {bytes(r.key): r.n_docs for r in anew.refs.collect()}
+    body = linededup.CuckooFilter.read(bytes(index.filters.first().body))
+    assert body.contains(linededup._bytes([bytes(r.key) for r in anew.repeated().collect()])).all()
+    assert (body.table > 0).sum() == anew.repeated().count() > 64 and len(keys) == 250
+    everything = frame(spark, parts[0] + parts[2])
+    assert index.apply(everything).exceptAll(anew.apply(everything)).count() == 0
+
+
+def test_lines_of_empty_tables(spark):
     assert linededup.LineIndex.build(frame(spark, [])).apply(frame(spark, [])).count() == 0
+    empty = linededup.LineIndex.build(frame(spark, []), 2)
+    assert empty.apply(frame(spark)).agg(F.sum("n_dropped")).first()[0] == 0
+    assert empty.insert(frame(spark)).apply(frame(spark)).filter("n_dropped > 0").count() == 2  # the repeated row
 
 
 def test_cuckoo_filter():
     keys = [hashlib.md5(str(i).encode()).digest() for i in range(900)]
     own = linededup.CuckooFilter(256)
     assert all(own.insert(k) for k in keys[:800])
-    assert all(own.contains(k) for k in keys[:800]) and sum(own.contains(k) for k in keys[800:]) < 10
+    held = own.contains(linededup._bytes(keys))
+    assert held[:800].all() and held[800:].sum() < 10
     assert all(own.delete(k) for k in keys[:800]) and not own.table.any()
 
 
@@ -175,6 +216,56 @@ def test_language_of_unseen_documents(spark):
     assert all(0 <= r.score <= 1 for r in odd.values())
 
 
+def test_letters_are_those_of_category_l(spark):
+    import unicodedata
+
+    assert not any(langid.has_letter(t) for t in ("", "\u00b2 12", "\u00bd", "\u2167", "_-9", "\u0663")) and all(langid.has_letter(t) for t in ("1\u00aa", "\u01c5", "\u02b0", "\u65e5"))
+    assert all(langid.has_letter(chr(c)) == unicodedata.category(chr(c)).startswith("L") for c in range(0x3000))
+
+
+def plain_mixture(grams, table, chosen, rounds):
+    """Proportions and log-likelihood by EM with plain loops."""
+    pi = {k: 1 / len(chosen) for k in chosen}
+    total = sum(grams.values())
+    for _ in range(rounds):
+        sums = dict.fromkeys(chosen, 0.0)
+        for g, n in grams.items():
+            whole = sum(pi[k] * table[g][k] for k in chosen)
+            for k in chosen:
+                sums[k] += n * pi[k] * table[g][k] / whole
+        pi = {k: v / total for k, v in sums.items()}
+    return pi, sum(n * np.log(sum(pi[k] * table[g][k] for k in chosen)) for g, n in grams.items())
+
+
+def test_proportions_like_plain_em(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    names, table = langid.learn(docs)
+    texts = [r.text[:3000] for r in docs.filter("n_chars > 300").orderBy("doc_id").limit(12).collect()]
+    texts += [texts[i] + " " + texts[j] for i, j in ((0, 1), (2, 5), (3, 8))] + ["ab"]
+    got = langid.infer([t.lower().encode() for t in texts], table)
+    wide = table.astype(float)
+    for text, own in zip(texts, got, strict=True):
+        row = b" " + text.lower().encode() + b" "
+        keep = bytes(langid._KEEP[b] for b in row)
+        grams = collections.Counter(int(langid._HASH[0][keep[i - 1]] ^ langid._HASH[1][keep[i]] ^ langid._HASH[2][keep[i + 1]]) for i in range(1, len(keep) - 1) if keep[i] != 32)
+        full, _ = plain_mixture(grams, wide, range(len(names)), langid.ROUNDS)
+        order = sorted(full, key=lambda k: -full[k])
+        penalty = 0.5 * np.log(max(sum(grams.values()) / langid.OVERLAP, 2))
+        want, like = plain_mixture(grams, wide, order[:1], 1)
+        for k in range(2, len(names) + 1):
+            pi, now = plain_mixture(grams, wide, order[:k], langid.ROUNDS)
+            if (now - like) / langid.OVERLAP <= penalty:
+                break
+            want, like = pi, now
+        assert np.allclose(own, [want.get(k, 0.0) for k in range(len(names))], atol=2e-3), text[:60]
+
+
+def test_language_of_tables_with_the_same_columns(spark):
+    df = frame(spark).withColumns({c: F.lit("clash") for c in ("lang_pred", "score", "languages", "other")})
+    out = langid.identify(df, *langid.learn(documents(spark)))
+    assert sorted(out.columns) == ["doc_id", "lang_pred", "languages", "other", "score"] and out.filter("score >= 0 AND other = 'clash'").count() == len(ODD)
+
+
 def test_mixtures_select_both_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     names, table = langid.learn(docs)
@@ -335,6 +426,34 @@ def test_media_round_trip(spark):
     assert media.load(media.store(frame(spark, []))).count() == 0
 
 
+def test_stored_media_is_read_back_from_a_table(spark, tmp_path):
+    media.store(frame(spark)).write.parquet(str(tmp_path / "media"))
+    stored = spark.read.parquet(str(tmp_path / "media")).withColumns({c: F.lit("clash") for c in ("payload", "height", "width", "feature", "rgb", "other")})
+    for tensors in (True, False):
+        out = media.load(stored, tensors)
+        assert sorted(out.columns) == sorted(["doc_id", "n_bytes", "media", "payload", "height", "width", "feature", "other"] + ["rgb"] * tensors)
+        assert out.count() == len(ODD) and out.filter("octet_length(payload) % 64 <> 0 OR other <> 'clash'").count() == 0
+
+
+def test_pictures_like_those_of_another_decoder(spark):
+    """Java's own reader, which smooths chroma: luminance agrees where chroma is nearly flat."""
+    rng = np.random.default_rng(3)
+    payload = rng.integers(96, 160, 64 * 6 * 4).astype(np.uint8).reshape(-1, 64)
+    payload[16:] = 128  # chroma: the least coefficients
+    payload[:, 0] = 140
+    data = media.write_jpeg(payload.tobytes())
+    jvm = spark._jvm
+    image = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(data)))
+    ours = media.read_jpeg(data)
+    assert (image.getHeight(), image.getWidth()) == (ours.height, ours.width) == (32, 32)
+    pixels = np.array([[image.getRGB(x, y) & 0xFFFFFF for x in range(32)] for y in range(32)])
+    theirs = np.stack([pixels >> 16, pixels >> 8 & 255, pixels & 255], axis=-1)
+    weights = np.array([0.299, 0.587, 0.114])
+    mine = ours.rgb().astype(float)
+    inside = (mine.min(axis=2) > 0) & (mine.max(axis=2) < 255) & (theirs.min(axis=2) > 0) & (theirs.max(axis=2) < 255)
+    assert inside.mean() > 0.5 and np.abs(mine @ weights - theirs @ weights)[inside].max() < 2.5
+
+
 def test_symbol_by_symbol_reading_agrees(monkeypatch):
     data = media.write_jpeg(media.pad(bytes(range(256)) * 3))
     fast = media.read_jpeg(data)
