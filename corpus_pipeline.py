@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, linededup, minhash, mixing, quality
-from ledgerloom.llm.common import crc_mod, stash, table
+from ledgerloom.llm.common import crc_mod, discard, scratch, stash, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -23,7 +23,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten documents or more share; a document may end up empty, but stays."""
-    out = linededup.LineIndex.build(docs).apply(docs).drop("n_lines", "n_dropped")
+    out = linededup.LineIndex.build(docs).clean(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
@@ -33,8 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say: those most likely clean whole, toxic ones out."""
-    return mixing.apply_mix(docs, table(spark, sf_dir, "labels"))
+    """Documents that the rates keep: those most likely clean, and what targets leave of low and toxic ones; none is repeated after it was deduplicated."""
+    return mixing.apply_mix(docs, table(spark, sf_dir, "labels"), ceiling=1.0)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again; what a stage wrote for itself or read is deleted after it."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stash(docs, f"stage-{i + 1}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before = docs
+        with scratch() as kept:
+            docs = stash(stage(spark, before, sf_dir), f"stage-{i + 1}")
+            kept.append(docs)
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
