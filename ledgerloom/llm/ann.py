@@ -1,19 +1,17 @@
 """Nearest neighbours by inner product with an inverted multi-index.
 
 Each half of a vector is quantised on its own, so a vector lies in the cell of a
-pair of centroids. For a query each centroid gives a bound on the inner products of
-its half, from the largest distance of a member; a heap yields the pairs from the
-best sum of bounds on, until no cell left can hold a better vector than the results
-that the sample alone gives. Entries of the cells met are reranked with the original
-vectors in double precision, so results are exact on tables of any size; how many
-cells are left out depends on how close to their centroids vectors lie. Equal
-vectors are one entry with its smallest ids, as many as a result
-can hold, so that copies of a vector, however many, cost nothing.
+pair of centroids. For a query a heap yields the pairs from the best sum of the two
+halves' scores on, until their cells hold the share ``share`` of all entries, and
+more than ``k`` at least. Entries of these cells are reranked with the original
+vectors in double precision. The rule is the same for tables of any size. Equal
+vectors are one entry with its smallest ids, as many as a result can hold, so that
+copies of a vector, however many, cost nothing.
 
 Codebooks are fitted on a bounded sample (``SAMPLE_ROWS`` vectors, those whose id has
-the smallest hash); every vector is indexed. Entries are dealt by cell to groups,
-and groups of more than ``BLOCK`` entries to blocks, each of which meets queries in
-chunks of bounded size.
+the smallest hash); every vector is indexed. Blocks are ranges of cells with about
+``BLOCK`` entries (a larger cell is in several blocks); a query goes to the blocks that
+hold cells it visits, and a block that many queries visit meets them in chunks.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor
 do those of another length than most of the sample, or without an id. Of rows that
@@ -22,6 +20,7 @@ repeat an id the smallest vector counts. A query with fewer candidates has them
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections.abc import Iterator
 
@@ -30,13 +29,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stash
+
 SAMPLE_ROWS = 20_000
-CENTROIDS = 64
-#: What rounding may take from a bound, as a share of the largest product of lengths.
-SLACK = 1e-9
-FOLD = 8
-BLOCK = 4_096
+#: Centroids of each half.
+CENTROIDS = 256
+#: Share of all entries that a query's cells are to hold; less suits vectors that lie in groups.
+SHARE = 0.35
+#: Steps into which the traversal cuts the range of sums; pairs of one step are taken together.
+RINGS = 64
+#: Entries of a block, and blocks at most (which bounds what is known of each).
+BLOCK = 8_192
+MOST_BLOCKS = 100_000
+#: Queries that a block meets at a time, and those scored together.
 CHUNK = 4_096
+TOGETHER = 512
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -64,24 +71,32 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return (x @ centroids.T - 0.5 * (centroids * centroids).sum(axis=1)).argmax(axis=1)
 
 
-def traverse(one: np.ndarray, two: np.ndarray, sizes: np.ndarray, need: int, floor: float = -np.inf) -> list[tuple[int, int]]:
-    """Centroid pairs from the best sum of scores on, until their cells hold ``need`` entries or sums are below ``floor``."""
-    first, second = np.argsort(-one, kind="stable").tolist(), np.argsort(-two, kind="stable").tolist()
-    a, b = (-one[first]).tolist(), (-two[second]).tolist()
-    counts = sizes[np.ix_(first, second)].tolist()
-    reached = [0] * len(a)  # pairs taken from each row are a prefix of it
-    queue, found, held = [(a[0] + b[0], 0, 0)], [], 0
-    while queue and held < need and -queue[0][0] >= floor:
-        _, i, j = heapq.heappop(queue)
-        reached[i] = j + 1
-        if counts[i][j]:
-            found.append((first[i], second[j]))
-            held += counts[i][j]
-        if j + 1 < len(b) and (i == 0 or reached[i - 1] > j + 1):
-            heapq.heappush(queue, (a[i] + b[j + 1], i, j + 1))
-        if i + 1 < len(a) and reached[i + 1] == j:
-            heapq.heappush(queue, (a[i + 1] + b[j], i + 1, j))
-    return found
+def traverse(one: np.ndarray, two: np.ndarray, sizes: np.ndarray, need: int, rings: int = RINGS) -> np.ndarray:
+    """Which centroid pairs are visited: from the best sum of scores on, until their cells hold ``need`` entries.
+
+    The heap has each first centroid with its best sum not yet visited. What it yields takes all its pairs of the same
+    step of sums (one of ``rings`` equal ones) at once, so a query costs few heap operations whatever it visits.
+    """
+    order = np.argsort(-two, kind="stable")
+    falling, held = two[order], np.zeros((len(one), len(two) + 1), np.int64)
+    np.cumsum(sizes[:, order], axis=1, out=held[:, 1:])
+    step = max(float(one.max() - one.min() + falling[0] - falling[-1]) / rings, 1e-300)
+    rising, best = (-falling).tolist(), one.tolist()
+    queue = [(-(s + falling[0]), i) for i, s in enumerate(best)]
+    heapq.heapify(queue)
+    top = -queue[0][0]
+    reached, found = [0] * len(best), 0
+    while queue and found < need:
+        least, i = heapq.heappop(queue)
+        ring = int((top + least) / step) + 1  # sums above top - ring * step belong to this step
+        end = max(bisect.bisect_left(rising, best[i] - (top - ring * step)), reached[i] + 1)
+        found += int(held[i, end] - held[i, reached[i]])
+        reached[i] = end
+        if end < len(rising):
+            heapq.heappush(queue, (rising[end] - best[i], i))
+    visited = np.zeros(sizes.shape, bool)
+    visited[:, order] = np.arange(len(two)) < np.array(reached)[:, None]
+    return visited
 
 
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -92,16 +107,26 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def rerank(queries: pd.DataFrame, entries: pd.DataFrame, top: int, cells: int) -> pd.DataFrame:
-    """The best ``top`` ids of this block for each query that visits cells of it."""
+def rerank(queries: pd.DataFrame, entries: pd.DataFrame, top: int, seconds: int) -> pd.DataFrame:
+    """The best ``top`` ids of this block for each query, of entries in cells that it visits.
+
+    Entries lie in order of their cells, so those of one first centroid are a slice, which meets the queries that visit any cell of it.
+    """
+    entries = entries.sort_values("cell", kind="stable")
     q, x = np.stack(queries["v"]), np.stack(entries["v"])
-    cell = entries["cell"].to_numpy()
+    base = int(queries["base"].iloc[0])
+    cell = entries["cell"].to_numpy() - base
     ids = entries["ids"].tolist()
+    first = (cell + base) // seconds
+    starts = np.flatnonzero(np.diff(first, prepend=-1))
     out = []
-    for at in range(0, len(q), 256):
-        some = q[at : at + 256]
-        seen = np.unpackbits(np.frombuffer(b"".join(queries["mask"].iloc[at : at + 256]), np.uint8).reshape(len(some), -1), axis=1)[:, :cells]
-        scores = np.where(seen[:, cell] == 1, some @ x.T, -np.inf)
+    for at in range(0, len(q), TOGETHER):
+        some = q[at : at + TOGETHER]
+        seen = np.unpackbits(np.frombuffer(b"".join(queries["mask"].iloc[at : at + TOGETHER]), np.uint8).reshape(len(some), -1), axis=1)[:, cell].astype(bool)
+        scores = np.full(seen.shape, -np.inf)
+        for low, high in zip(starts, [*starts[1:], len(cell)], strict=True):
+            rows = np.flatnonzero(seen[:, low:high].any(axis=1))
+            scores[rows, low:high] = np.where(seen[rows, low:high], some[rows] @ x[low:high].T, -np.inf)
         k = min(top, scores.shape[1])
         least = np.partition(scores, -k, axis=1)[:, -k]
         row, entry = np.nonzero((scores >= least[:, None] - 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))[:, None]) & (scores > -np.inf))
@@ -110,11 +135,14 @@ def rerank(queries: pd.DataFrame, entries: pd.DataFrame, top: int, cells: int) -
         flat = pd.DataFrame({"query": queries["id"].to_numpy()[at + np.repeat(row, sizes)], "id": np.array([i for e in entry for i in ids[e]], np.int64), "score": np.repeat(exact, sizes)})
         flat = flat.sort_values(["query", "score", "id"], ascending=[True, False, True], kind="stable")
         out.append(flat.groupby("query", sort=False).head(top))
-    return pd.concat(out) if out else pd.DataFrame({"query": [], "id": [], "score": []})
+    return pd.concat(out)
 
 
-def search(vectors: DataFrame, is_query, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 20) -> DataFrame:
-    """query_id, rank, id, score: the k nearest of each row for which ``is_query`` (an expression over id) holds."""
+def search(vectors: DataFrame, is_query, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 20, share: float = SHARE) -> DataFrame:
+    """query_id, rank, id, score: the k nearest found of each row for which ``is_query`` (an expression over id) holds.
+
+    With a ``share`` of one every cell is visited, so the nearest of all are found.
+    """
     spark = vectors.sparkSession
     rows = usable(vectors, id_column, vector_column)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toPandas()
@@ -123,11 +151,8 @@ def search(vectors: DataFrame, is_query, id_column: str = "vec_id", vector_colum
     dims = int(sample["v"].map(len).value_counts().sort_index(ascending=True).idxmax())
     half = dims // 2
     fitted = np.stack([v for v in sample["v"] if len(v) == dims])
-    one, two = codebook(fitted[:, :half], CENTROIDS), codebook(fitted[:, half:], CENTROIDS)
-    k1, k2 = len(one), len(two)
-    books = spark.sparkContext.broadcast((one, two))
-    known = spark.sparkContext.broadcast(fitted)
-    cells = FOLD * k2
+    books = spark.sparkContext.broadcast((codebook(fitted[:, :half], CENTROIDS), codebook(fitted[:, half:], CENTROIDS)))
+    firsts, seconds = (len(b) for b in books.value)
 
     # equal vectors as one entry; a result needs no more than k + 1 ids of it
     rows = rows.filter(F.size("v") == dims)
@@ -139,68 +164,64 @@ def search(vectors: DataFrame, is_query, id_column: str = "vec_id", vector_colum
             if len(pdf):
                 x = np.stack(pdf["v"])
                 i, j = nearest(x[:, :half], books.value[0]), nearest(x[:, half:], books.value[1])
-                far = [np.linalg.norm(h - book[c], axis=1) for h, book, c in ((x[:, :half], books.value[0], i), (x[:, half:], books.value[1], j))]
-                yield pdf.assign(part=(i // FOLD).astype(np.int32), cell=((i % FOLD) * k2 + j).astype(np.int32), far1=far[0], far2=far[1], size=np.linalg.norm(x, axis=1))
-
-    placed = classes.mapInPandas(place, "v array<double>, ids array<long>, part int, cell int, far1 double, far2 double, size double")
-    entries = placed.drop("far1", "far2", "size")
-    sizes, radii, longest = np.zeros((k1, k2), np.int64), (np.zeros(k1), np.zeros(k2)), 0.0
-    for r in placed.groupBy("part", "cell").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("far1", "far2", "size")]).collect():
-        i, j = r["part"] * FOLD + r["cell"] // k2, r["cell"] % k2
-        sizes[i, j], longest = r["n"], max(longest, r["size"])
-        radii[0][i], radii[1][j] = max(radii[0][i], r["far1"]), max(radii[1][j], r["far2"])
+                yield pdf.assign(cell=(i * seconds + j).astype(np.int32))
+
+    entries = stash(classes.mapInPandas(place, "v array<double>, ids array<long>, cell int"), "entries")
+    sizes = np.zeros(firsts * seconds, np.int64)
+    for r in entries.groupBy("cell").agg(F.count("*").alias("n")).collect():  # a row a cell at most
+        sizes[r["cell"]] = r["n"]
     total = int(sizes.sum())
-    parts = -(-k1 // FOLD)
-    blocks = [max(1, -(-int(sizes[p * FOLD : (p + 1) * FOLD].sum()) // BLOCK)) for p in range(parts)]
-    asked = rows.filter(is_query)
-    n_queries = asked.count()
-    chunks = max(1, -(-n_queries // CHUNK))
-    everything = np.argwhere(sizes > 0)
+    need = max(int(np.ceil(share * total)), k + 1)
+    size, ends = max(BLOCK, -(-total // MOST_BLOCKS)), np.cumsum(sizes)
+    low, high = (ends - sizes) // size, np.maximum(ends - 1, 0) // size  # the blocks that a cell's entries are in
+    used = np.flatnonzero(sizes)
+    begin, stop = np.full(high[-1] + 1, len(sizes)), np.zeros(high[-1] + 1, np.int64)  # a block's range of cells
+    for way, blocks in ((np.minimum, begin), (np.maximum, stop)):
+        way.at(blocks, low[used], used), way.at(blocks, high[used], used)
+    for c in used[high[used] - low[used] > 1]:
+        begin[low[c] + 1 : high[c]] = stop[low[c] + 1 : high[c]] = c
+    known = spark.sparkContext.broadcast((sizes, low, high, begin, stop))
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _, low, high, _, _ = known.value
+        for pdf in frames:
+            cell = pdf["cell"].to_numpy()
+            spread = high[cell] - low[cell] + 1
+            own = np.array([x[0] for x in pdf["ids"]], np.int64)
+            yield pdf.assign(block=low[cell] + own % spread)
 
     def plan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sizes, low, high, begin, stop = known.value
         for pdf in frames:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["v"])
-            lengths = [np.linalg.norm(h, axis=1)[:, None] for h in (x[:, :half], x[:, half:], x)]
-            s1, s2 = x[:, :half] @ books.value[0].T + lengths[0] * radii[0], x[:, half:] @ books.value[1].T + lengths[1] * radii[1]
-            floors = np.full(len(x), -np.inf)
-            if len(known.value) > k:  # one of them may be the query itself
-                for at in range(0, len(x), 256):
-                    floors[at : at + 256] = np.partition(x[at : at + 256] @ known.value.T, -k - 1, axis=1)[:, -k - 1]
-            floors -= SLACK * lengths[2][:, 0] * longest
-            out: dict[str, list] = {"id": [], "v": [], "part": [], "block": [], "mask": []}
-            for n, (i, v) in enumerate(zip(pdf["id"], pdf["v"], strict=True)):
-                seen = np.zeros((parts, FOLD * k2), np.uint8)
-                whole = s1[n].min() + s2[n].min() >= floors[n]
-                found = everything if whole else np.array(traverse(s1[n], s2[n], sizes, total, floors[n]))
-                seen[found[:, 0] // FOLD, (found[:, 0] % FOLD) * k2 + found[:, 1]] = 1
-                for p in np.flatnonzero(seen.any(axis=1)).tolist():
-                    mask = np.packbits(seen[p]).tobytes()
-                    for b in range(blocks[p]):
-                        for key, value in zip(out, (i, v, p, b, mask), strict=True):
-                            out[key].append(value)
+            out: dict[str, list] = {"id": [], "v": [], "block": [], "base": [], "mask": []}
+            for i, v in zip(pdf["id"], pdf["v"], strict=True):
+                seen = traverse(books.value[0] @ v[:half], books.value[1] @ v[half:], sizes.reshape(firsts, seconds), need).ravel() & (sizes > 0)
+                cells = np.flatnonzero(seen)
+                for b in np.unique(np.concatenate([low[cells], high[cells], *[np.arange(low[c], high[c]) for c in cells[high[cells] - low[cells] > 1]]])).tolist():
+                    for key, value in zip(out, (i, v, b, int(begin[b]), np.packbits(seen[begin[b] : stop[b] + 1]).tobytes()), strict=True):
+                        out[key].append(value)
             yield pd.DataFrame(out)
 
     # queries of equal vectors are one search
+    asked = rows.filter(is_query)
     leader = asked.groupBy("v").agg(F.min("id").alias("lead"))
     led = asked.join(leader, "v").select("id", "lead")
-    probes = leader.select(F.col("lead").alias("id"), "v").mapInPandas(plan, "id long, v array<double>, part int, block int, mask binary")
-    probes = probes.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
-    count = F.element_at(F.array(*[F.lit(b) for b in blocks]), F.col("part") + 1)
-    dealt = entries.withColumn("block", F.pmod(F.xxhash64(F.element_at("ids", 1)), count).cast("int"))
-    dealt = dealt.withColumn("chunk", F.explode(F.array(*[F.lit(c) for c in range(chunks)])) if chunks <= 64 else F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-asked.count() // 2_048))
+    probes = leader.select(F.col("lead").alias("id"), "v").repartition(tasks, "id").mapInPandas(plan, "id long, v array<double>, block long, base int, mask binary")
+    probes = stash(probes, "probes")
+    visits = F.broadcast(stash(probes.groupBy("block").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "visits"))  # a row a block
+    probes = probes.join(visits, "block").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    dealt = entries.mapInPandas(deal, "v array<double>, ids array<long>, cell int, block long").join(visits, "block").withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query": [], "id": [], "score": []})
-        return rerank(left, right, k + 1, cells)
+        return rerank(left, right, k + 1, seconds)
 
-    keys = ["part", "block", "chunk"]
-    found = probes.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(meet, "query long, id long, score double")
+    found = probes.select("id", "v", "block", "base", "mask", "chunk").groupBy("block", "chunk").cogroup(dealt.drop("chunks").groupBy("block", "chunk")).applyInPandas(meet, "query long, id long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    first = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n")
-    out = led.withColumnRenamed("id", "query_id").join(first, F.col("lead") == F.col("query")).filter("id <> query_id")
+    nearest_ = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n")
+    out = led.withColumnRenamed("id", "query_id").join(nearest_, F.col("lead") == F.col("query")).filter("id <> query_id")
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
@@ -210,7 +231,8 @@ def op2_inverted_multi_index(spark, sf_dir) -> DataFrame:
     return search(vectors, F.col("id") % 20 == 0).withColumnRenamed("id", "vec_id")
 
 
-ORACLE = """
+#: What the search is held against: all vectors.
+EXACT = """
 WITH good AS (
   SELECT vec_id, embedding FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0

@@ -18,6 +18,5 @@ QUERIES = {
 }
 
 SQL = {
-    "op2_inverted_multi_index": ann.ORACLE,
     "op9_line_dedup": linededup.ORACLE,
 }

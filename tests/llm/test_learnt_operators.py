@@ -31,38 +31,47 @@ def found(df):
     return out
 
 
-def test_small_tables_are_searched_in_full(spark):
+def ids_of(result):
+    return {q: [i for i, _ in v] for q, v in result.items()}
+
+
+def test_copies_and_ties(spark):
+    """A vector many times, and more vectors of equal score than ranks: the smaller ids win."""
     rng = random.Random(5)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(400)]
-    rows += [(1000 + i, [1.0, 2.0, 0.5, 0.0, 0.0, 3.0]) for i in range(300)]  # one vector many times
-    df = spark.createDataFrame(rows, SCHEMA)
-    got, want = found(ann.search(df, F.col("id") % 20 == 0)), brute(rows)
-    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    rows += [(1000 + i, [1.0, 2.0, 0.5, 0.0, 0.0, 3.0]) for i in range(300)]
+    rows += [(5020, [0.0, 0.0, 0.0, 0.0, 0.0, 9.0])] + [(6000 + i, [float(i), -float(i), 0.0, 0.0, 1.0, 50.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in ("id", "v", "cell", "block", "rank", "score")})
+    got, want = found(ann.search(df, F.col("id") % 20 == 0, share=1.0)), brute(rows)
+    assert ids_of(got) == ids_of(want) and [i for i, _ in got[5020]] == list(range(6000, 6020))
     assert all(abs(a[1] - b[1]) < 1e-12 for q in want for a, b in zip(got[q], want[q], strict=True))
 
 
-def test_recall_on_larger_tables(spark):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(6000, 32))
-    rows = [(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1)[:, None])]
-    got, want = found(ann.search(spark.createDataFrame(rows, SCHEMA), F.col("id") % 20 == 0)), brute(rows)
-    hits = [len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]
-    assert np.mean(hits) >= 0.9 and min(map(len, got.values())) == 20
-
-
+@pytest.mark.parametrize("blocks", [ann.BLOCK, 50])
 @pytest.mark.parametrize("spread", [0.02, 50.0])
-def test_larger_tables_are_searched_exactly(spark, spread):
+def test_recall_of_the_index(spark, monkeypatch, spread, blocks):
+    """Vectors in groups and in random directions, in few blocks and in many, met by queries in several chunks."""
+    monkeypatch.setattr(ann, "BLOCK", blocks)
+    monkeypatch.setattr(ann, "CHUNK", 100)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(30, 32))
     x = centres[rng.integers(0, 30, 5000)] + spread * rng.normal(size=(5000, 32))
     rows = [(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1)[:, None])]
-    got, want = found(ann.search(spark.createDataFrame(rows, SCHEMA), F.col("id") % 20 == 0)), brute(rows)
-    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    df, want = spark.createDataFrame(rows, SCHEMA), brute(rows)
+    got = found(ann.search(df, F.col("id") % 20 == 0))
+    hits = [len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]
+    assert np.mean(hits) >= 0.9 and min(map(len, got.values())) == 20
+    assert all(abs(s - dict(want[q]).get(i, s)) < 1e-12 for q, v in got.items() for i, s in v)
+    if spread > 1:
+        assert ids_of(found(ann.search(df, F.col("id") % 20 == 0, share=1.0))) == ids_of(want)
 
 
-def test_traversal_stops_at_the_floor():
-    one, two = np.array([3.0, 1.0, 0.0]), np.array([2.0, 0.0])
-    assert ann.traverse(one, two, np.ones((3, 2), int), 6, 2.5) == [(0, 0), (0, 1), (1, 0)]
+def test_a_cell_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 20)
+    monkeypatch.setattr(ann, "CENTROIDS", 2)
+    rng = np.random.default_rng(9)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 4)))]
+    assert ids_of(found(ann.search(spark.createDataFrame(rows, SCHEMA), F.col("id") % 20 == 0, share=1.0))) == ids_of(brute(rows))
 
 
 def test_vectors_that_take_no_part(spark):
@@ -73,15 +82,25 @@ def test_vectors_that_take_no_part(spark):
     assert ann.search(spark.createDataFrame([(20, [1.0, 2.0])], SCHEMA), F.col("id") % 20 == 0).count() == 0
 
 
-def test_traversal_visits_pairs_in_order():
+@pytest.mark.parametrize("need", [1, 20, 300, 10_000])
+def test_traversal_visits_the_best_pairs(need):
     rng = np.random.default_rng(3)
-    one, two = rng.normal(size=7), rng.normal(size=5)
-    seen = ann.traverse(one, two, np.ones((7, 5), int), 35)
-    sums = [one[i] + two[j] for i, j in seen]
-    assert len(set(seen)) == 35 and all(a >= b - 1e-12 for a, b in zip(sums, sums[1:], strict=False))
+    one, two, sizes = rng.normal(size=17), rng.normal(size=23), rng.integers(0, 4, (17, 23))
+    visited = ann.traverse(one, two, sizes, need)
+    sums = one[:, None] + two
+    step = (sums.max() - sums.min()) / ann.RINGS
+    assert sizes[visited].sum() >= min(need, sizes.sum())
+    if not visited.all():
+        assert sums[visited].min() >= sums[~visited].max() - step - 1e-9
+        assert sizes[sums > sums[visited].min() + step].sum() < need
+
+
+def test_search_of_all_cells_equals_sql(spark):
+    vectors = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    assert_same(ann.search(vectors, F.col("id") % 20 == 0, share=1.0).withColumnRenamed("id", "vec_id"), ann.EXACT)
 
 
-def test_search_equals_sql(spark):
+def test_queries_equal_sql(spark):
     from ledgerloom.llm.queries import QUERIES, SQL
 
     for name in SQL:
