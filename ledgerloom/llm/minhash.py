@@ -10,13 +10,20 @@ change it, and the element loop stops early.
 Documents with equal sets are one class, represented by the smallest doc_id. Classes
 meet where a band of their signatures agrees; each meets the band's pivot first.
 Links are confirmed on the full sets. Buckets whose classes aren't in one component
-by then are compared in full, in blocks of bounded size that skip pairs already
-connected. A component is named by its smallest doc_id.
-
-Texts without a word have an empty set and are linked with nothing, as are nulls.
-With fewer words than a shingle has, the whole sequence is one shingle. Rows that
-repeat a doc_id are one document, whose text is the one of least hash; rows without
-a doc_id are returned as one, linked with nothing and kept.
+by then are compared further: one of up to ``BLOCK`` classes in a task that has their
+sets, a larger one in blocks of signatures alone, whose candidates are confirmed
+like the pivots' pairs. Pairs already connected are left out. A component is named by
+its smallest doc_id.
+
+No task gets all rows of a hot key. A join with a table that has one row a key splits
+off the keys of most rows, fewer than ``HEAVY`` by counting, and broadcasts these; a
+pivot's pairs are confirmed in groups of ``PAIRS``, each with one copy of its set.
+
+A text without a word has an empty set and is linked with nothing, as is a null. With
+fewer words than a shingle has, the whole sequence is one shingle. Every row of the
+input has a row in the result. Rows that share a doc_id are one document: each has
+the size of its own set, and all have one component, reached through any of their
+texts. Rows without a doc_id are linked with nothing, have no component, and are kept.
 """
 
 from __future__ import annotations
@@ -29,15 +36,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, mix64, raw_texts, slices, stash
+from .common import mix64, raw_texts, scratch, slices, stash
 from .graph import UnionFind, connected_components
 
 SLOTS = 128
 #: 32 bands of 4 slots: a pair of similarity 0.8 shares no band with a probability of 5e-8.
 BANDS = 32
-#: Pairs whose signatures agree in fewer slots than this aren't verified: for a similarity of 0.8, seven standard deviations down.
+#: Pairs of a bucket whose signatures agree in fewer slots than this aren't verified: for a similarity of 0.8, seven standard deviations down.
 LEAST_EQUAL = 70
 BLOCK = 512
+PAIRS = 256
+#: Keys that are split off and broadcast, at most, and the rows that a key has then, at least.
+HEAVY = 100_000
+LEAST_HEAVY = 1_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
@@ -194,82 +205,139 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (small + large - common)
 
 
-def _verify_pivots(pairs: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in pairs:
-        a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        one, two = batch.column(2), batch.column(3)
-        good = np.array([similar(one[i].values.to_numpy(), two[i].values.to_numpy(), percent) for i in range(batch.num_rows)], bool)
-        yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
+def with_unique(rows: DataFrame, unique: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """``rows`` joined with a table that has one row a key and in ``n`` the number of rows of that key, of ``total`` rows in all.
+
+    Keys of more than a HEAVY-th of all rows can't be as many as HEAVY, so they are broadcast; no task gets more rows of another key.
+    """
+    most = max(LEAST_HEAVY, total // HEAVY)
+    marked = rows.join(F.broadcast(unique.filter(F.col(n) > most)), keys, "left")
+    return marked.filter(f"{n} IS NOT NULL").unionByName(marked.filter(f"{n} IS NULL").select(*rows.columns).join(unique.filter(F.col(n) <= most), keys))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) whose sets are similar; ``sets`` has doc_id and items, and more than one row for a document of several texts."""
+    total = pairs.count()
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    dealt = with_unique(pairs, sizes, ["a"], "n", total).withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PAIRS)))
+    dealt = dealt.select("a", "b", "part")
+    ones = dealt.select(F.col("a").alias("pivot"), F.col("part").alias("at")).distinct().join(sets.select(F.col("doc_id").alias("pivot"), F.col("items").alias("whole")), "pivot")
+    others = dealt.join(sets.select(F.col("doc_id").alias("b"), "items"), "b")
+
+    def check(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        found = [(a, b) for b, y in zip(two["b"].tolist(), two["items"], strict=True) for a, x in zip(one["pivot"].tolist(), one["whole"], strict=True) if similar(x, y, percent)]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return ones.groupBy("pivot", "at").cogroup(others.groupBy("a", "part")).applyInPandas(check, "a long, b long").distinct()
+
+
+def _near(short: np.ndarray) -> np.ndarray:
+    """For each pair of rows in how many slots they agree; 0 for those under LEAST_EQUAL."""
+    equal = np.zeros((len(short), len(short)), np.int16)
+    for i in range(0, len(short), 64):
+        equal[i : i + 64] = (short[i : i + 64, None] == short[None]).sum(axis=2)
+    equal[equal < LEAST_EQUAL] = 0
+    return equal
+
+
+def _slots(rows: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["slots"]), np.uint8).reshape(len(rows), -1)
 
 
-def _blocks(percent: int):
-    """Compares the members of one bucket that one or two blocks hold, and returns a forest of the links found."""
+def _links_within(percent: int):
+    """Compares the classes of one bucket, the most similar first, and returns a forest of the links found."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, _, low, high = key
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id", kind="stable")
-        ids, part = rows["doc_id"].tolist(), rows["part"].to_numpy()
-        short = np.frombuffer(b"".join(rows["slots"]), np.uint8).reshape(len(ids), -1)
-        items = rows["items"].tolist()
+        ids, items = rows["doc_id"].tolist(), rows["items"].tolist()
+        equal = np.triu(_near(_slots(rows)), 1)
         sets = UnionFind()
         for i, c in zip(ids, rows["component"].tolist(), strict=True):
             sets.union(i, c)
         found = []
-        for i in range(len(ids)):
-            others = np.arange(i + 1, len(ids))
-            if low != high:
-                others = others[part[others] != part[i]]
-            equal = (short[others] == short[i]).sum(axis=1)
-            near = equal >= LEAST_EQUAL
-            for k in others[near][np.argsort(-equal[near], kind="stable")].tolist():
-                if sets.find(ids[i]) != sets.find(ids[k]) and similar(items[i], items[k], percent):
-                    sets.union(ids[i], ids[k])
-                    found.append((ids[i], ids[k]))
+        first, second = np.nonzero(equal)
+        for k in np.argsort(-equal[first, second], kind="stable").tolist():
+            i, j = int(first[k]), int(second[k])
+            if sets.find(ids[i]) != sets.find(ids[j]) and similar(items[i], items[j], percent):
+                sets.union(ids[i], ids[j])
+                found.append((ids[i], ids[j]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _candidates(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of two blocks of a bucket (or of one, if they are the same) that signatures take for similar and no component holds yet."""
+    low, high = key[-2:]
+    ids, part, component = (rows[c].to_numpy() for c in ("doc_id", "part", "component"))
+    first, second = np.nonzero(np.triu(_near(_slots(rows)), 1))
+    open_ = component[first] != component[second]
+    if low != high:
+        open_ &= part[first] != part[second]
+    a, b = ids[first[open_]], ids[second[open_]]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype="int64")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (doc_id = component_id) of each document."""
-    made = _sketch(docs, words)
-    once = made.groupBy("doc_id").agg(F.min(F.struct(*made.columns[1:])).alias("own")).select("doc_id", "own.*")
-    sketch = stash(once, "sketch")
+    """doc_id, n_shingles, component_id and kept (doc_id = component_id) of each row."""
+    with scratch() as made:
+        done = stash(_grouped(docs, words, percent), "near-duplicates")
+        made.append(done)
+    return done
+
+
+def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    sketch = stash(_sketch(docs, words), "sketch")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    lone = sketch.filter(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    full = sketch.filter(~alone)
-    same = full.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = full.join(same.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    member = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    lone, full = sketch.filter(alone), sketch.filter(~alone).select("doc_id", "n_shingles", "one", "two", "bands", "slots")
+    best = F.min(F.struct("doc_id", "bands", "slots")).alias("own")
+    classes = stash(full.groupBy("one", "two", "n_shingles").agg(best, F.count("*").alias("n")).select("one", "two", "n_shingles", "n", F.col("own.doc_id").alias("rep"), "own.bands", "own.slots"), "classes")
+    total, n_classes = full.count(), classes.count()
+    # rows with what represents their set, and links between the sets of one document
+    key = ["one", "two", "n_shingles"]
+    owned = stash(with_unique(full.select("doc_id", *key), classes.select(*key, "rep", "n"), key, "n", total).select("doc_id", "n_shingles", "rep"), "owned")
+    several = owned.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x <> y").select("doc_id")
+    own = owned.join(several, "doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+    member = classes.select(F.col("rep").alias("doc_id"), F.posexplode("bands").alias("band", "key"))
     shared = member.groupBy("band", "key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-    met = stash(member.join(shared, ["band", "key"]).select("band", "key", "doc_id", "pivot", "n"), "met")
+    met = stash(with_unique(member, shared, ["band", "key"], "n", BANDS * n_classes).select("band", "key", "doc_id", "pivot", "n"), "met")
     texts = docs.select("doc_id", "text").join(met.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = stash(_sets(texts, words).join(reps.select("doc_id", "one", "two"), ["doc_id", "one", "two"], "left_semi").drop("one", "two").dropDuplicates(["doc_id"]), "sets")
-    pairs = met.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    joined = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("two")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("one")), "a")
-    first = stash(joined.select("a", "b", "one", "two").mapInArrow(lambda rows: _verify_pivots(rows, percent), "a long, b long"), "links")
+    wanted = classes.select(F.col("rep").alias("doc_id"), "one", "two")
+    sets = stash(_sets(texts, words).join(wanted, ["doc_id", "one", "two"], "left_semi").dropDuplicates(["doc_id", "one", "two"]).select("doc_id", "items"), "sets")
+    pairs = stash(met.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+    first = stash(confirmed(pairs, sets, percent).unionByName(own), "links")
     groups = stash(connected_components(first), "groups")
+
     placed = met.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    unsure = placed.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("band", "key")
-    rest = placed.join(unsure, ["band", "key"]).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    dealt = rest.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    dealt = dealt.select("band", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "doc_id", "component")
-    dealt = dealt.join(sets, "doc_id").join(reps.select("doc_id", "slots"), "doc_id")
-    second = dealt.groupBy("band", "key", "low", "high").applyInPandas(_blocks(percent), "a long, b long")
-    links = stash(first.unionByName(second).distinct(), "links")
-    merged = connected_components(links)
-    out = full.join(same, ["one", "two", "n_shingles"]).join(merged.withColumnRenamed("node", "rep"), "rep", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).unionByName(lone)
-    done = stash(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates")
-    discard(sketch, met, sets, first, groups, links)
-    return done
+    unsure = placed.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x <> y").select("band", "key", F.col("n").alias("size"))
+    slots = classes.select(F.col("rep").alias("doc_id"), "slots").dropDuplicates(["doc_id"])
+    rest = stash(with_unique(placed.drop("n"), unsure, ["band", "key"], "size", BANDS * n_classes).join(slots, "doc_id"), "unsure")
+    small = rest.filter(F.col("size") <= BLOCK).join(sets, "doc_id").groupBy("band", "key").applyInPandas(_links_within(percent), "a long, b long")
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    large = rest.filter(F.col("size") > BLOCK).withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    large = large.select("band", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "doc_id", "component", "slots")
+    candidates = stash(large.groupBy("band", "key", "low", "high").applyInPandas(_candidates, "a long, b long").distinct(), "candidates")
+    second = small.unionByName(confirmed(candidates, sets, percent)) if not candidates.isEmpty() else small
+    merged = connected_components(stash(first.unionByName(second).distinct(), "links"))
+
+    sizes = owned.groupBy("rep").agg(F.count("*").alias("n")).join(merged.withColumnRenamed("node", "rep"), "rep")
+    placed_rows = with_unique(owned, sizes, ["rep"], "n", total).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    unlinked = owned.join(merged.select(F.col("node").alias("rep")), "rep", "left_anti").select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
+    out = placed_rows.unionByName(unlinked).unionByName(lone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without those that have a near duplicate of smaller doc_id in their group; repeated doc_ids stay once."""
+    """``docs`` without those that have a near duplicate of smaller doc_id in their group.
+
+    Of rows that share a doc_id the one of least text hash stays; rows without a doc_id stay.
+    """
     kept = near_duplicates(docs, words, percent).filter("kept").select("doc_id").distinct()
-    null = docs.filter("doc_id IS NULL")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]).unionByName(null)
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    own = docs.select("doc_id", every, F.struct(F.xxhash64("text"), F.xxhash64("text", F.lit(1))).alias("rank")).join(kept, "doc_id", "left_semi")
+    once = own.groupBy("doc_id").agg(F.min_by("row", "rank").alias("row")).select("row.*")
+    return once.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def op7_near_dedup(spark, sf_dir) -> DataFrame:

@@ -121,38 +121,61 @@ def test_cuckoo_filter():
 
 
 def near(rows, words, percent):
-    sets = {}
+    """(doc_id, set's size, component) of each row; rows of one doc_id are one document."""
+    sets = []
     for i, t in rows:
         w = (t or "").encode().lower().split()
-        sets[i] = frozenset(tuple(w[k : k + words]) for k in range(len(w) - words + 1)) if len(w) >= words else frozenset([tuple(w)] if w else [])
-    ids = sorted(sets)
-    parent = {i: i for i in ids}
+        sets.append((i, frozenset(tuple(w[k : k + words]) for k in range(len(w) - words + 1)) if len(w) >= words else frozenset([tuple(w)] if w else [])))
+    parent = {i: i for i, _ in sets}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            common = len(sets[a] & sets[b])
-            if common and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+    distinct = [(i, s) for i, s in set(sets) if i is not None and s]
+    for k, (a, one) in enumerate(distinct):
+        for b, two in distinct[k + 1 :]:
+            common = len(one & two)
+            if a != b and 100 * common >= percent * (len(one) + len(two) - common):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in ids}
+    return collections.Counter((i, len(s), find(i)) for i, s in sets)
 
 
-@pytest.mark.parametrize(("words", "percent"), [(4, 80), (5, 80)])
-def test_groups_like_brute_force(spark, words, percent):
+def grouped(spark, rows, words=4, percent=80):
+    return collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, rows), words, percent).collect())
+
+
+def near_rows(spark):
     rng = random.Random(4)
     rows = [(r.doc_id, r.text) for r in documents(spark).select("doc_id", "text").collect() if r.doc_id < 120]
     base = [f"w{k}" for k in range(90)]
     for i in range(60):  # a chain of edits: neighbours are similar, ends aren't
         base[rng.randrange(90)] = f"v{i}"
         rows.append((10_000 - i, " ".join(base)))
-    rows += [(i, t) for i, t in ODD if i is not None and i != 4] + [(4, "one two"), (3_000, "ONE two")]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, rows), words, percent).collect()}
-    assert got == near(rows, words, percent)
+    return rows + [(4_000 + i, f"copied text number {i % 3} of several words") for i in range(60)]
+
+
+@pytest.mark.parametrize(("words", "percent"), [(4, 80), (5, 80)])
+def test_groups_like_brute_force(spark, words, percent):
+    rows = near_rows(spark) + ODD + [(3_000, "ONE two")]
+    assert grouped(spark, rows, words, percent) == near(rows, words, percent)
+
+
+def test_groups_with_hot_keys_split_off(spark, monkeypatch):
+    for name, value in {"LEAST_HEAVY": 4, "HEAVY": 100_000, "PAIRS": 8, "BLOCK": 16}.items():
+        monkeypatch.setattr(minhash, name, value)
+    rows = near_rows(spark) + ODD
+    assert grouped(spark, rows) == near(rows, 4, 80)
+
+
+def test_documents_of_several_texts(spark):
+    """A doc_id with two texts links the groups of both."""
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, one), (9, one + " end"), (9, two + " end"), (5, two), (7, "nothing like it at all here"), (7, None), (None, one), (None, one)]
+    got = grouped(spark, rows)
+    assert got == near(rows, 4, 80) and {c for i, _, c in got if i in (1, 5, 9)} == {1} and got[None, 37, None] == 2
 
 
 def test_groups_over_several_blocks(spark, monkeypatch):
@@ -165,16 +188,17 @@ def test_groups_over_several_blocks(spark, monkeypatch):
             w[k] = f"x{rng.randrange(4)}"
         rows.append((i, " ".join(w)))
     monkeypatch.setattr(minhash, "BLOCK", 40)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, rows), 4, 80).collect()}
-    assert got == near(rows, 4, 80)
+    assert grouped(spark, rows) == near(rows, 4, 80)
 
 
 def test_near_dedup_edges(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
-    out = minhash.near_duplicates(frame(spark))
-    assert out.filter("doc_id IS NULL AND kept").count() == 1 and out.filter("doc_id = 4").count() == 1
-    kept = minhash.keep_one(frame(spark).withColumn("kept", F.lit(0)))
-    assert kept.columns == ["doc_id", "text", "kept"] and sorted(r.doc_id for r in kept.filter("doc_id IS NOT NULL").collect()) == [1, 2, 3, 4, 6, 7, 8, 9]
+    clash = frame(spark).withColumns({c: F.lit("clash") for c in ("kept", "component_id", "n", "row", "rank", "one")})
+    out = minhash.near_duplicates(clash)
+    assert out.count() == len(ODD) and out.filter("doc_id IS NULL AND kept AND component_id IS NULL").count() == 1 and out.filter("doc_id = 4").count() == 2
+    kept = minhash.keep_one(clash)
+    assert kept.columns == clash.columns and sorted(r.doc_id for r in kept.filter("doc_id IS NOT NULL AND rank = 'clash'").collect()) == [1, 2, 3, 4, 6, 7, 8, 9]
+    assert kept.filter("doc_id IS NULL").count() == 1
 
 
 def test_signatures_estimate_similarity():
