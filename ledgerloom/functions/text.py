@@ -30,9 +30,11 @@ def present(c: Column) -> Column:
 
 
 def first_match(text: Column, patterns: list[str]) -> Column:
-    """The stripped first group of the first pattern that matches anywhere; null if none does."""
-    flagged = [P.FLAGS + p for p in patterns]
-    return F.coalesce(*[F.when(text.rlike(p), strip(F.regexp_extract(text, p, 1))) for p in flagged])
+    """The stripped first group of the first pattern that matches anywhere; null if none does.
+
+    Each pattern is run once, and only if none before it matched.
+    """
+    return F.coalesce(*[strip(F.get(F.regexp_extract_all(text, F.lit(P.FLAGS + p), F.lit(1)), F.lit(0))) for p in patterns])
 
 
 def lines(text: Column) -> Column:
@@ -47,6 +49,16 @@ def first(values: Column, test) -> Column:
     return F.get(F.filter(values, test), F.lit(0))
 
 
+def early(values: Column, test, some: int = 8) -> Column:
+    """The same as ``first`` where the element is mostly one of the first few: the others are tested only if none of these passes."""
+    return F.coalesce(first(F.slice(values, F.lit(1), F.lit(some)), test), first(F.slice(values, F.lit(some + 1), F.greatest(F.size(values), F.lit(1))), test))
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def keyword_hits(text: Column) -> Column:
     return F.regexp_count(text, F.lit(P.QUALITY_WORDS))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, money
 from ..functions import patterns as P
-from ..functions.text import first, first_match, lines, present, strip, strip_marks
+from ..functions.text import early, first, first_match, let, lines, present, strip, strip_marks
 from ..schemas import FIELDS
 
 _OTHER = r"(?iusU)" + P.OTHER_LABEL
@@ -36,11 +36,6 @@ def _first_index(array: Column, test) -> Column:
     return first(F.transform(array, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
 
 
-def _let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _first_of(array: Column, make) -> Column:
     """The first value that isn't null of ``make``(element, place)."""
     return first(F.transform(array, make), lambda x: x.isNotNull())
@@ -59,17 +54,17 @@ def _named_recipient(vendor: Column, header: Column):
     def besides_vendor(candidate: Column) -> Column:
         rest = strip_marks(F.substring(candidate, F.instr(candidate, vendor) + F.length(vendor), F.length(candidate)))
         return (
-            F.when(known & F.contains(candidate, vendor), _let(rest, lambda r: F.when((r != "") & r.rlike(P.LEGAL_FORM), r)))
+            F.when(known & F.contains(candidate, vendor), let(rest, lambda r: F.when((r != "") & r.rlike(P.LEGAL_FORM), r)))
             .when(known & F.contains(vendor, candidate), F.lit(None))
             .otherwise(candidate)
         )
 
     def legal(line: Column) -> Column:
-        return F.when(line.rlike(P.LEGAL_FORM), _let(_left_column(line), lambda c: F.when((c != "") & c.rlike(P.LEGAL_FORM), besides_vendor(c))))
+        return F.when(line.rlike(P.LEGAL_FORM), let(_left_column(line), lambda c: F.when((c != "") & c.rlike(P.LEGAL_FORM), besides_vendor(c))))
 
     def make(line: Column, i: Column) -> Column:
         below = header.isNotNull() & (i > header)
-        both = F.when(below & line.rlike(P.LEGAL_FORM), _let(_entities(line), lambda e: F.when(F.size(e) >= 2, strip(F.element_at(e, -1)))))
+        both = F.when(below & line.rlike(P.LEGAL_FORM), let(_entities(line), lambda e: F.when(F.size(e) >= 2, strip(F.element_at(e, -1)))))
         return F.coalesce(both, F.when(header.isNull() | below, legal(line)))
 
     return make
@@ -77,7 +72,7 @@ def _named_recipient(vendor: Column, header: Column):
 
 def _with_letterhead(df: DataFrame) -> DataFrame:
     """``df`` with _letterhead: the first line with a legal form above any label, joined to a short line right above it."""
-    step = df.withColumn("_end", F.coalesce(_first_index(F.col("_bare"), lambda x: x.rlike(P.RECIPIENT_LABEL) | x.rlike(_OTHER)), F.size("_bare")))
+    step = df.withColumn("_end", F.when(F.col("_legal"), F.coalesce(_first_index(F.col("_bare"), lambda x: x.rlike(P.RECIPIENT_LABEL) | x.rlike(_OTHER)), F.size("_bare"))))
     # address parts are cut from the end of a line, so only lines with a legal form anywhere can have one before it
     step = step.withColumn("_at", _first_index(F.slice("_bare", F.lit(1), F.col("_end")), lambda x: x.rlike(P.LEGAL_FORM) & _name_part(x).rlike(P.LEGAL_FORM)))
     step = step.withColumn("_own", _name_part(F.get("_bare", F.col("_at")))).withColumn("_above", F.when(F.col("_at") > 0, _name_part(F.get("_bare", F.col("_at") - 1))))
@@ -112,22 +107,26 @@ def _header_date(ls: Column, header: Column) -> Column:
 
 
 def extract_fields(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the eleven fields; the first pattern or line that gives a value decides."""
+    """``df`` with the eleven fields; the first pattern or line that gives a value decides.
+
+    What only lines with a legal form or a date can give isn't looked for, line by line, in a text without one.
+    """
     t = F.col(text)
     step = df.withColumn("_lines", lines(F.coalesce(t, F.lit("")))).withColumn("_bare", F.transform("_lines", strip))
+    step = step.withColumn("_legal", F.coalesce(t.rlike(P.LEGAL_FORM), F.lit(False)))
     step = _with_letterhead(step.withColumn("_header", _first_index(F.col("_lines"), lambda x: x.rlike(P.PARTIES_HEADER))))
     bare, header = F.col("_bare"), F.col("_header")
     row = F.filter(F.transform(F.slice(bare, header + 2, F.lit(3)), _entities), lambda e: F.size(e) >= 2)
     both = F.when(header.isNotNull(), strip(F.get(F.get(row, F.lit(0)), F.lit(0))))
-    step = step.withColumn("vendor_name", F.coalesce(present(first_match(t, P.VENDOR)), present(both), present(F.col("_letterhead")), first(bare, _plausible_vendor)))
-    recipient = F.coalesce(_first_of(bare, _labelled_recipient), _first_of(bare, _named_recipient(F.col("vendor_name"), header)))
+    step = step.withColumn("vendor_name", F.coalesce(present(first_match(t, P.VENDOR)), present(both), present(F.col("_letterhead")), early(bare, _plausible_vendor)))
+    recipient = F.coalesce(_first_of(bare, _labelled_recipient), F.when(F.col("_legal"), _first_of(bare, _named_recipient(F.col("vendor_name"), header))))
     currency = first_match(t, P.CURRENCY)
     amounts = {name: money.cents(money.parse_decimal(first_match(t, p))) for name, p in (("net_amount", P.NET), ("vat_amount", P.VAT_AMOUNT), ("gross_amount", P.GROSS))}
     step = step.withColumns(amounts).withColumns(
         {
             "invoice_recipient": recipient,
             "invoice_number": first_match(t, P.INVOICE_NUMBER),
-            "invoice_date": dates.normalize_date(F.coalesce(present(first_match(t, P.INVOICE_DATE)), _header_date(F.col("_lines"), header))),
+            "invoice_date": dates.normalize_date(F.coalesce(present(first_match(t, P.INVOICE_DATE)), F.when(t.rlike(P.DATE), _header_date(F.col("_lines"), header)))),
             "service_date": dates.normalize_date(first_match(t, P.SERVICE_DATE)),
             "currency": F.when(currency == "€", F.lit("EUR")).otherwise(currency),
             "vat_rate": money.parse_decimal(first_match(t, P.VAT_RATE)).cast("decimal(9,4)"),

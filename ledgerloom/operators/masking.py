@@ -12,29 +12,49 @@ from pyspark.sql import functions as F
 
 from ..functions import checksum
 from ..functions import patterns as P
+from ..functions.text import let
 
 KINDS = (("VAT_ID", P.VAT_ID, checksum.vat_id_valid), ("IBAN", P.IBAN, checksum.iban_valid), ("EMAIL", P.EMAIL, None), ("PHONE", P.PHONE, None))
 _ENTRIES = "array<struct<token:string,value:string>>"
 
 
+#: What a token looks like.
+TOKEN = "<(?:" + "|".join(kind for kind, _, _ in KINDS) + ")_[0-9]+>"
+
+
 def _mask(state: Column, kind: str, pattern: str, check) -> Column:
-    """The state (text, entries) with one kind replaced; only what passes the check is numbered."""
-    text = state["text"]
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
+    """The state (text, entries) with one kind replaced; only what passes the check is numbered.
+
+    Text is joined once from slices of pieces and hits, so many hits in a long text take linear time.
+    """
+
+    def replaced(hits: Column) -> Column:
+        n = F.size(hits)
+        places = F.sequence(F.lit(0), n - 1) if check is None else F.filter(F.transform(hits, lambda h, i: F.when(check(h), i)), lambda i: i.isNotNull())
+        pieces = F.flatten(F.zip_with(F.split(state["text"], pattern, -1), hits, lambda p, h: F.array(p, F.coalesce(h, F.lit("")))))
+
+        def token(k: Column) -> Column:
+            return F.concat(F.lit(f"<{kind}_"), k.cast("string"), F.lit(">"))
+
+        def segment(held: Column):
+            """A piece of text up to the next place, with the token before it."""
+
+            def make(at: Column, k: Column) -> Column:
+                plain = F.array_join(F.slice(held["pieces"], 2 * at + 3, 2 * (F.get(held["edges"], k + 1) - at) - 1), "")
+                return F.when(k == 0, plain).otherwise(F.concat(token(k), plain))
+
+            return make
+
+        def joined(held: Column) -> Column:
+            starts = F.slice(held["edges"], F.lit(1), F.size(held["edges"]) - 1)
+            entry = lambda i, k: F.struct(token(k + 1).alias("token"), F.get(hits, i).alias("value"))
+            found = F.transform(F.slice(starts, F.lit(2), F.size(starts)), entry)
+            return F.struct(F.array_join(F.transform(starts, segment(held)), "").alias("text"), F.concat(state["entries"], found).alias("entries"))
 
-    def step(held: Column, x: Column) -> Column:
-        good = F.lit(True) if check is None else check(x["hit"])
-        token = F.concat(F.lit(f"<{kind}_"), (held["n"] + 1).cast("string"), F.lit(">"))
-        return F.struct(
-            F.concat(held["text"], F.when(good, token).otherwise(x["hit"]), x["after"]).alias("text"),
-            (held["n"] + F.when(good, 1).otherwise(0)).alias("n"),
-            F.when(good, F.array_append(held["entries"], F.struct(token.alias("token"), x["hit"].alias("value")))).otherwise(held["entries"]).alias("entries"),
-        )
+        edges = F.concat(F.array(F.lit(-1)), places, F.array(n))
+        return F.when(n > 0, let(F.struct(pieces.alias("pieces"), edges.alias("edges")), joined)).otherwise(state)
 
-    pairs = F.zip_with(hits, F.slice(pieces, F.lit(2), F.size(hits)), lambda h, a: F.struct(h.alias("hit"), a.alias("after")))
-    start = F.struct(F.element_at(pieces, 1).alias("text"), F.lit(0).alias("n"), state["entries"].alias("entries"))
-    return F.aggregate(pairs, start, step, lambda held: F.struct(held["text"].alias("text"), held["entries"].alias("entries")))
+    return let(F.regexp_extract_all(state["text"], F.lit(pattern), F.lit(0)), replaced)
 
 
 def sanitize(text: Column) -> Column:
@@ -46,12 +66,14 @@ def sanitize(text: Column) -> Column:
 
 
 def _once(state: Column, kind: str, pattern: str, check) -> Column:
-    return F.element_at(F.transform(F.array(state), lambda s: _mask(s, kind, pattern, check)), 1)
+    return let(state, lambda s: _mask(s, kind, pattern, check))
 
 
 def reidentify(text: Column, mapping: Column) -> Column:
-    """The text with each token replaced by its value."""
-    return F.aggregate(F.map_entries(mapping), text, lambda t, e: F.replace(t, e["key"], e["value"]))
+    """The text with each token replaced by its value, in one pass."""
+    hits = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    back = F.array_join(F.flatten(F.zip_with(F.split(text, TOKEN, -1), hits, lambda p, h: F.array(p, F.coalesce(F.try_element_at(mapping, h), h, F.lit(""))))), "")
+    return F.when(F.size(mapping) > 0, back).otherwise(text)
 
 
 def counts(mapping: Column) -> Column:

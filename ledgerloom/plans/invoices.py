@@ -12,6 +12,9 @@ from ..functions.text import strip
 from ..operators import ledger, masking, rules
 from ..operators.extract import coerce_json, extract_fields, model_answers, prefer_answers
 from ..schemas import FIELDS
+from ..session import master_data
+from ..session import tolerance as session_tolerance
+from ..sources import audit, documents
 from ..sources.master import Master
 
 TEXT_FIELDS = ("invoice_recipient", "vendor_name", "invoice_number", "invoice_date", "service_date", "currency", "description")
@@ -20,8 +23,10 @@ DIRECT = "Direct through-the-wall processing. No manual interaction required."
 HALTED = "Workflow halted automatically. Human intervention mandatory to review invoice."
 
 
-def decide(df: DataFrame, master: Master | None = None, tolerance: float = rules.TOLERANCE) -> DataFrame:
-    """Rules and booking proposal for rows with the eleven fields."""
+def decide(df: DataFrame, master: Master | None = None, tolerance: float | None = None) -> DataFrame:
+    """Rules and booking proposal for rows with the eleven fields; master data and tolerance are the session's unless given."""
+    master = master_data(df.sparkSession) if master is None else master
+    tolerance = session_tolerance(df.sparkSession) if tolerance is None else tolerance
     return ledger.with_proposal(rules.evaluate(df, master, tolerance), master)
 
 
@@ -31,7 +36,7 @@ def shaped(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in rest if c in ("invoice_id", "invoice_file", "original_filename")], F.struct(*FIELDS).alias("extracted"), *[c for c in rest if c not in ("invoice_id", "invoice_file", "original_filename")])
 
 
-def process(texts: DataFrame, master: Master | None = None, tolerance: float = rules.TOLERANCE, ask: Callable[[str], str | None] | None = None) -> DataFrame:
+def process(texts: DataFrame, master: Master | None = None, tolerance: float | None = None, ask: Callable[[str], str | None] | None = None) -> DataFrame:
     """Records from rows (invoice_id, text): mask, extract, unmask, validate, propose.
 
     Extraction sees the masked text alone; text and map of tokens stay out of the result.
@@ -51,8 +56,14 @@ def process(texts: DataFrame, master: Master | None = None, tolerance: float = r
     engine = F.col("engine") if "engine" in texts.columns else F.lit("text")
     method = F.concat(F.lit("extractor("), engine, F.lit(")+fields("), F.when(by_model, F.lit("llm")).otherwise(F.lit("regex")), F.lit(")+rules"))
     notes = F.when(F.col("blocked"), F.lit(HALTED)).otherwise(F.lit(DIRECT))
-    audit = F.struct(F.current_timestamp().alias("processed_at"), method.alias("model_or_method"), notes.alias("notes"))
-    return shaped(done.withColumn("audit", audit).drop("_by_model"))
+    block = F.struct(F.current_timestamp().alias("processed_at"), method.alias("model_or_method"), notes.alias("notes"))
+    return shaped(done.withColumn("audit", block).drop("_by_model"))
+
+
+def upload(texts: DataFrame, records_path: str, audit_path: str, **settings) -> None:
+    """Appends the records of texts and an event for each."""
+    documents.append(process(texts, **settings), records_path)
+    audit.log(audit.uploads(texts), audit_path)
 
 
 def fold_patches(patches: DataFrame) -> DataFrame:
@@ -78,7 +89,7 @@ def malformed(patch: Column) -> Column:
     return F.coalesce(bad, F.lit(False))
 
 
-def revalidate(records: DataFrame, patches: DataFrame, master: Master | None = None, tolerance: float = rules.TOLERANCE) -> tuple[DataFrame, DataFrame]:
+def revalidate(records: DataFrame, patches: DataFrame, master: Master | None = None, tolerance: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Patched and freshly decided records, and the patches set aside because an amount in them is no number.
 
     Named fields replace the old ones, nulls too. The audit block stays as it was.
@@ -89,19 +100,42 @@ def revalidate(records: DataFrame, patches: DataFrame, master: Master | None = N
     return shaped(decide(rows, master, tolerance)), bad
 
 
+def correct(records: DataFrame, patches: DataFrame, records_path: str, audit_path: str, quarantine_path: str) -> None:
+    """Appends the records that patches change, an event for each, and the patches set aside."""
+    after, bad = revalidate(records, patches)
+    documents.append(after, records_path)
+    audit.log(audit.revalidations(after), audit_path)
+    documents.append(bad, quarantine_path)
+
+
+#: Ranges that labels are counted in, a power of two, and about how many keys their bounds are taken from.
+RANGES = 256
+BOUND_KEYS = 20_000
+
+
 def labels(records: DataFrame, ts: Column, key: str = "invoice_id", prefix: str = "Rechnung-") -> DataFrame:
     """``records`` with label: numbered by processing time, those without one first; ties by key.
 
-    Rows are ranked within their hour, and the counts of the hours before are added, so no task has to see all rows.
+    Rows are dealt to ranges of (time, key) with about as many rows each, so neither a busy hour nor rows without a time
+    meet in one task; within its range a row is ranked, and the sizes of the ranges before are added.
     """
-    at = F.coalesce(ts, F.timestamp_seconds(F.lit(0)))
-    dealt = records.withColumn("_at", at).withColumn("_hour", F.date_trunc("hour", "_at"))
-    sizes = dealt.groupBy("_hour").agg(F.count("*").alias("_size"))
-    before = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
-    ranked = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_hour").orderBy("_at", key)))
-    number = (F.col("_n") + F.col("_start")).cast("string")
-    label = F.concat(F.lit(prefix), F.lpad(number, F.greatest(F.length(number), F.lit(5)), F.lit("0")))
-    return ranked.join(before, "_hour").withColumn("label", label).select(*records.columns, "label")
+    place = F.struct(F.unix_micros(F.coalesce(ts, F.timestamp_seconds(F.lit(0)))).alias("at"), F.col(key).alias("key"))
+    dealt = records.withColumn("_place", place)
+    few = F.pmod(F.xxhash64("_place"), F.lit(max(1, dealt.count() // BOUND_KEYS))) == 0
+    some = [(r["at"], r["key"]) for r in dealt.filter(few).select("_place.*").orderBy("at", "key").collect()]
+    bounds = [some[i * len(some) // RANGES] for i in range(1, RANGES)] if some else []
+    number = F.lit(0)
+    if bounds:
+        edges = F.array(*[F.struct(F.lit(at).cast("long").alias("at"), F.lit(k).cast(records.schema[key].dataType).alias("key")) for at, k in bounds])
+        halves = F.array(*[F.lit(RANGES >> i) for i in range(1, RANGES.bit_length())])
+        number = F.aggregate(halves, F.lit(0), lambda n, half: n + F.when(F.get(edges, n + half - 1) <= F.col("_place"), half).otherwise(0))
+    dealt = dealt.withColumn("_range", number)
+    sizes = {r["_range"]: r["n"] for r in dealt.groupBy("_range").agg(F.count("*").alias("n")).collect()}
+    starts = F.array(*[F.lit(sum(n for r, n in sizes.items() if r < k)).cast("long") for k in range(RANGES)])
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy("_place"))
+    digits = (rank + F.get(starts, F.col("_range"))).cast("string")
+    label = F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.length(digits), F.lit(5)), F.lit("0")))
+    return dealt.withColumn("label", label).select(*records.columns, "label")
 
 
 def only(records: DataFrame, ids: DataFrame, key: str = "invoice_id") -> DataFrame:

@@ -1,10 +1,69 @@
-"""DuckDB twins of the registered queries, on the same tables."""
+"""DuckDB twins of the registered queries, on the same tables.
+
+What the twins expect stands here; of the engine they take the literal inputs of queries alone.
+"""
 
 from __future__ import annotations
 
-from ..operators import rules
-from ..sources.master import ACCOUNTS, CLIENTS, CREDITORS, KEYWORDS
-from .fixtures import CANDIDATES, DATES, IBANS, JSON_ANSWERS, NUMBERS, RECORDS, VAT_IDS, VENDORS
+from .fixtures import CANDIDATES, DATES, IBANS, JSON_ANSWERS, NUMBERS, RECORDS, SENSITIVE, VAT_IDS, VENDORS
+
+# Chart of accounts, client, creditors, keywords and messages of the booking conventions.
+_ACCOUNTS = [
+    ("1571", "Abziehbare Vorsteuer 7%", "Vorsteuer"),
+    ("1576", "Abziehbare Vorsteuer 19%", "Vorsteuer"),
+    ("1600", "Verbindlichkeiten aus Lieferungen und Leistungen", "Kreditoren-Sammelkonto"),
+    ("4240", "Energie / Nebenkosten", "Aufwand"),
+    ("4250", "Reinigung", "Aufwand"),
+    ("4260", "Instandhaltung / Reparaturen", "Aufwand"),
+    ("4930", "Bürobedarf / Verwaltung", "Aufwand"),
+    ("4950", "Rechts- und Beratungskosten", "Aufwand"),
+]
+_CLIENT = "Musterhaus Immobilien SPV 01 GmbH"
+_CREDITOR_ROWS = [
+    ("K10001", "Beispiel Energie Saar GmbH", "4240 DE111111117 DE79100100100012345678"),
+    ("K10002", "ImmoFix Musterservice GmbH", "4260 DE222222220 DE33100100100023456789"),
+    ("K10003", "JurisMuster Beratung GmbH", "4950 DE333333339 DE63100100100034567890"),
+    ("K10004", "OfficeMuster Handels GmbH", "4930 DE444444443 DE98100100100045678901"),
+]
+_WORDS = {
+    "4240": "strom electricity gas wasser water fernwärme district_heating energie",
+    "4250": "reinigung cleaning fensterreinigung window_washing",
+    "4260": "instandhaltung reparatur maintenance repair wartung technischer_service",
+    "4930": "bürobedarf office_supplies papier paper stationary büromaterial",
+    "4950": "rechtsberatung legal_counsel steuerberatung tax_advisory gutachten expert_opinion beratung",
+}
+_HAPPY = "All formal, arithmetic, and master data validations passed successfully. Booking proposal generated automatically."
+_OVERRIDE = "Per Rule R0, critical failure overrides other indicators. Automatic ledger processing is blocked."
+_NO_BALANCE = "Cannot evaluate arithmetic balance: net, VAT, or gross amount is missing."
+_NO_VAT = "Cannot evaluate VAT plausibility: net amount, VAT rate, or VAT amount is missing."
+_NO_SERVICE_DATE = "No service date (Leistungsdatum) could be identified. Clerk review required per § 14 Abs. 4 Nr. 6 UStG."
+_NO_ACCOUNT = "Expense account could not be derived unambiguously. Clerk must confirm account assignment."
+_HINTS = "rechnung|nummer|datum|betrag|eur|ust|mwst|netto|brutto|iban|gmbh|steuer|leistung|empf[aä]nger|w[aä]hrung|kunden"
+
+# What a reader takes from the eight layouts: fields, then the decision.
+_FIELDS = [
+    ("1", _CLIENT, "Beispiel Energie Saar GmbH", "SW/2025-774", "2025-11-03", "2025-10-01", "EUR", "412.50", "19", "78.38", "490.88", "Wärmelieferung Haus B, Oktober"),
+    ("2", _CLIENT, "ImmoFix Musterservice GmbH", "R25-0099", "2025-11-07", "2025-11-06", "EUR", "88.00", "19", "16.72", "104.72", "Türschließer eingestellt"),
+    ("3", _CLIENT, "ImmoFix Musterservice GmbH", "R25-0100", "2025-11-09", "2025-11-08", "EUR", "200.00", "19", "38.00", "250.00", "Dachrinne gereinigt"),
+    ("4", _CLIENT, "OfficeMuster Handels GmbH", "OFF-5", "2025-11-21", None, "EUR", "60.00", "7", "4.20", "64.20", "Fachbuch Mietrecht"),
+    ("5", _CLIENT, "ImmoFix Musterservice GmbH", "A7/311", "2025-12-19", "2025-12-19", "EUR", "250.00", "19", "47.50", "297.50", None),
+    ("6", _CLIENT, "Sauberfee Treppenglanz GmbH", "2025-W-17", "2025-12-14", "2025-12-13", "EUR", "240.00", "19", "45.60", "285.60", "Fensterreinigung Treppenhaus"),
+    ("7", _CLIENT, "JURISMUSTER BERATUNG GMBH", "K-2025/58", "2025-12-01", "2025-11-28", "EUR", "1250.00", "19", "237.50", "1487.50", "Gutachten zur Nebenkostenabrechnung"),
+    ("8", _CLIENT, "GRÜNER Beispiel Energie Saar GmbH", "GS-40210", "2025-12-05", "2025-12-05", "EUR", "90.00", "19", "17.10", "107.10", None),
+]
+_PASS = "PASS,PASS,PASS,PASS,PASS,PASS,PASS,PASS"
+_SUM_OFF = "Critical Rule Violation (R3): Arithmetic balance check failed: Net (200.00) + VAT (38.00) = 238.00, but Gross is 250.00. Delta of 12.00 EUR exceeds tolerance of 0.02 EUR."
+_NO_CREDITOR = "Review Required (R6): Vendor 'Sauberfee Treppenglanz GmbH' not found in creditor master data. Onboarding workflow recommended."
+_DECIDED = [
+    ("1", "GREEN", "4240", _PASS, "DEBIT 4240 412.50; DEBIT 1576 78.38; CREDIT 1600 490.88", _HAPPY),
+    ("2", "GREEN", "4260", _PASS, "DEBIT 4260 88.00; DEBIT 1576 16.72; CREDIT 1600 104.72", _HAPPY),
+    ("3", "RED", "4260", "PASS,PASS,FAIL,PASS,PASS,PASS,PASS,FAIL", "", f"{_SUM_OFF} | {_OVERRIDE}"),
+    ("4", "YELLOW", "4930", "PASS,PASS,PASS,PASS,WARN,PASS,PASS,FAIL", "DEBIT 4930 60.00; DEBIT 1571 4.20; CREDIT 1600 64.20", f"Review Required (R5): {_NO_SERVICE_DATE}"),
+    ("5", "GREEN", "4260", _PASS, "DEBIT 4260 250.00; DEBIT 1576 47.50; CREDIT 1600 297.50", _HAPPY),
+    ("6", "YELLOW", "4250", "PASS,PASS,PASS,PASS,PASS,WARN,PASS,FAIL", "DEBIT 4250 240.00; DEBIT 1576 45.60; CREDIT 1600 285.60", _NO_CREDITOR),
+    ("7", "GREEN", "4950", _PASS, "DEBIT 4950 1250.00; DEBIT 1576 237.50; CREDIT 1600 1487.50", _HAPPY),
+    ("8", "GREEN", "4240", _PASS, "DEBIT 4240 90.00; DEBIT 1576 17.10; CREDIT 1600 107.10", _HAPPY),
+]
 
 
 def _text(x: str | None) -> str:
@@ -16,7 +75,7 @@ def _values(rows: list, *names: str) -> str:
     return f"(VALUES {cells}) AS v({', '.join(names)})"
 
 
-_NAMES = "(VALUES " + ", ".join(f"({_text(a)}, {_text(n)})" for a, n, _ in ACCOUNTS) + ") AS n(account, name)"
+_NAMES = "(VALUES " + ", ".join(f"({_text(a)}, {_text(n)})" for a, n, _ in _ACCOUNTS) + ") AS n(account, name)"
 
 
 def _orders(perturbed: bool = True) -> str:
@@ -48,13 +107,12 @@ SELECT light, count(*) AS n, sum(net_amount)::DOUBLE AS net, sum(gross_amount)::
 FROM (SELECT *, {light} AS light FROM facts) GROUP BY light"""
 
 
-_KEYWORDS = [(i, a, w) for i, (a, w) in enumerate((a, w) for a, words in KEYWORDS for w in words)]
-_CREDITORS = [(i, c[0], c[1]) for i, c in enumerate(CREDITORS)]
+_KEYWORDS = [(i, a, w) for i, (a, w) in enumerate((a, w.replace("_", " ")) for a, words in _WORDS.items() for w in words.split())]
+_CREDITORS = [(i, c[0], c[1]) for i, c in enumerate(_CREDITOR_ROWS)]
 _LOOSE = "lower(regexp_replace({}, '[^A-Za-z0-9]', '', 'g'))"
 _GERMAN = r"'^\s*-?\d{1,3}(?:\.\d{3})*(?:,\d+)?\s*$'"
 _PARSED = f"""try_cast(CASE WHEN regexp_matches(s, {_GERMAN}) THEN replace(replace(s, '.', ''), ',', '.') ELSE s END AS DECIMAL(18,6))"""
 _BARE = "trim(replace(replace(trim(x), '€', ''), 'EUR', ''))"
-_HINTS = "rechnung|nummer|datum|betrag|eur|ust|mwst|netto|brutto|iban|gmbh|steuer|leistung|empf[aä]nger|w[aä]hrung|kunden"
 
 
 def _score(t: str) -> str:
@@ -70,7 +128,6 @@ _CHECK_IBAN = """regexp_full_match(i, '[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}') AND lis
   lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN try_cast(c AS BIGINT) ELSE ascii(c) - 55 END)),
   lambda a, d: (CASE WHEN d < 10 THEN a * 10 + d ELSE a * 100 + d END) % 97) = 1"""
 
-_CLIENT = CLIENTS[0][1]
 _REASONS = f"""
 WITH raw AS (SELECT * FROM {_values(RECORDS, 'invoice_id', 'recipient', 'vendor', 'number', 'idate', 'sdate', 'currency', 'net', 'rate', 'vat', 'gross', 'what')}),
 r AS (SELECT * REPLACE (net::DECIMAL(18,2) AS net, rate::DECIMAL(9,4) AS rate, vat::DECIMAL(18,2) AS vat, gross::DECIMAL(18,2) AS gross) FROM raw),
@@ -88,23 +145,99 @@ g AS (
   SELECT invoice_id, list_filter([
     CASE WHEN NOT ok1 THEN 'Critical Rule Violation (R1): Extracted recipient (''' || coalesce(recipient, 'None') || ''') does not match client master record (''' || {_text(_CLIENT)} || ''').' END,
     CASE WHEN lacks <> '' THEN 'Critical Rule Violation (R2): Missing mandatory field(s): ' || lacks || '.' END,
-    CASE WHEN net + vat + gross IS NULL THEN 'Critical Rule Violation (R3): ' || {_text(rules.NO_BALANCE)}
+    CASE WHEN net + vat + gross IS NULL THEN 'Critical Rule Violation (R3): ' || {_text(_NO_BALANCE)}
       WHEN abs(net + vat - gross) > 0.02 THEN 'Critical Rule Violation (R3): Arithmetic balance check failed: Net (' || net || ') + VAT (' || vat || ') = ' || (net + vat) || ', but Gross is ' || gross
         || '. Delta of ' || abs(net + vat - gross) || ' EUR exceeds tolerance of 0.02 EUR.' END,
-    CASE WHEN net + vat + gross + rate IS NULL THEN 'Critical Rule Violation (R4): ' || {_text(rules.NO_VAT)}
+    CASE WHEN net + vat + gross + rate IS NULL THEN 'Critical Rule Violation (R4): ' || {_text(_NO_VAT)}
       WHEN abs(expected - vat) > 0.02 THEN 'Critical Rule Violation (R4): VAT plausibility failed: expected ' || expected || ' from ' || printf('%.1f', rate::DOUBLE) || '% of ' || net || ', but got ' || vat
         || '. Delta ' || abs(expected - vat) || ' EUR exceeds tolerance of 0.02 EUR.' END,
-    CASE WHEN sdate IS NULL THEN 'Review Required (R5): ' || {_text(rules.NO_SERVICE_DATE)} END,
+    CASE WHEN sdate IS NULL THEN 'Review Required (R5): ' || {_text(_NO_SERVICE_DATE)} END,
     CASE WHEN NOT creditor THEN 'Review Required (R6): Vendor ''' || coalesce(vendor, 'None') || ''' not found in creditor master data. Onboarding workflow recommended.' END,
-    CASE WHEN NOT creditor AND NOT word THEN 'Review Required (R7): ' || {_text(rules.NO_ACCOUNT)} END], lambda x: x IS NOT NULL) AS told FROM f),
+    CASE WHEN NOT creditor AND NOT word THEN 'Review Required (R7): ' || {_text(_NO_ACCOUNT)} END], lambda x: x IS NOT NULL) AS told FROM f),
 l AS (SELECT *, CASE WHEN len(list_filter(told, lambda x: x LIKE 'Critical%')) > 0 THEN 'RED' WHEN len(told) > 0 THEN 'YELLOW' ELSE 'GREEN' END AS traffic_light FROM g)
 SELECT invoice_id, traffic_light, traffic_light = 'RED' AS blocked,
-  CASE traffic_light WHEN 'GREEN' THEN {_text(rules.HAPPY)} WHEN 'RED' THEN array_to_string(told, ' | ') || ' | ' || {_text(rules.OVERRIDE)} ELSE array_to_string(told, ' | ') END AS reasons FROM l"""
+  CASE traffic_light WHEN 'GREEN' THEN {_text(_HAPPY)} WHEN 'RED' THEN array_to_string(told, ' | ') || ' | ' || {_text(_OVERRIDE)} ELSE array_to_string(told, ' | ') END AS reasons FROM l"""
+
+def _order_fields() -> str:
+    """CTEs up to i: orders as invoices."""
+    return f"""WITH {_orders()},
+base AS (
+  SELECT o_orderkey AS k, net_amount AS net, rate, (round(net_amount * rate * 0.01, 2) + CASE WHEN o_orderkey % 19 = 0 THEN 1 ELSE 0 END)::DECIMAL(18,2) AS vat,
+    CASE WHEN o_orderkey % 13 = 0 THEN 'Andere Firma GmbH' ELSE 'z. Hd. {_CLIENT}' END AS recipient,
+    [' beispiel ENERGIE saar gmbh', 'ImmoFix', 'JurisMuster Beratung GmbH', 'Office-Muster Handels', 'Stadtwerke Nord AG', 'Unbekannt OHG'][o_orderkey % 6 + 1] AS vendor,
+    CASE WHEN o_orderkey % 17 <> 0 THEN o_orderkey::VARCHAR END AS number, CASE WHEN o_orderpriority NOT LIKE '4%' THEN strftime(d.o_orderdate, '%Y-%m-%d') END AS sdate,
+    ['Strom und Gas', 'Reparatur Heizung', NULL, 'Papier', 'Sonstiges'][o_orderkey % 5 + 1] AS what
+  FROM facts JOIN (SELECT o_orderkey, o_orderdate FROM orders) d USING (o_orderkey)),
+i AS (SELECT *, (net + vat + CASE WHEN k % 10 = 0 THEN 25 ELSE 0 END)::DECIMAL(18,2) AS gross FROM base)"""
+
+
+def _decisions(source: str) -> str:
+    """CTEs up to d: what the rules say of rows like i; creditors by key of the order, as the vendors' list has them."""
+    return f"""c AS (SELECT k AS ck, CASE k % 6 WHEN 0 THEN 'K10001' WHEN 1 THEN 'K10002' WHEN 2 THEN 'K10003' WHEN 3 THEN 'K10004' END AS creditor FROM {source}),
+w AS (SELECT * FROM {_values(_KEYWORDS, 'rank', 'account', 'keyword')}),
+hit AS (SELECT k AS hk, arg_min(account, rank) AS hit_account, arg_min(keyword, rank) AS hit_word FROM {source}, w WHERE contains(lower(coalesce(vendor, '') || ' ' || coalesce(what, '')), keyword) GROUP BY 1),
+e AS (
+  SELECT s.*, creditor, CASE WHEN creditor IS NULL THEN hit_word END AS word,
+    CASE creditor WHEN 'K10001' THEN '4240' WHEN 'K10002' THEN '4260' WHEN 'K10003' THEN '4950' WHEN 'K10004' THEN '4930' ELSE hit_account END AS account,
+    (round(net * rate * 0.01, 2) - vat)::DECIMAL(18,2) AS vat_delta
+  FROM {source} s JOIN c ON k = ck LEFT JOIN hit ON k = hk),
+f AS (
+  SELECT *, contains(recipient, '{_CLIENT}') AS r1, number IS NOT NULL AS r2, abs(net + vat - gross) <= 0.02 AS r3, abs(vat_delta) <= 0.02 AS r4, sdate IS NOT NULL AS r5, creditor IS NOT NULL AS r6, account IS NOT NULL AS r7 FROM e),
+d AS (
+  SELECT *, CASE WHEN NOT (r1 AND r2 AND r3 AND r4) THEN 'RED' WHEN NOT (r5 AND r6 AND r7) THEN 'YELLOW' ELSE 'GREEN' END AS light,
+    CASE WHEN rate = 7 THEN '1571' ELSE '1576' END AS tax_account FROM f),
+p AS (SELECT *, light <> 'RED' AND account IS NOT NULL AS open FROM d)"""
+
+
+_STATUS = "concat_ws(',', " + ", ".join(f"CASE WHEN r{n} THEN 'PASS' ELSE '{'FAIL' if n < 5 else 'WARN'}' END" for n in range(1, 8)) + ", CASE WHEN light = 'GREEN' THEN 'PASS' ELSE 'FAIL' END)"
+_PATCHED = """j AS (
+  SELECT * REPLACE ((net + vat)::DECIMAL(18,2) AS gross, '2026-01-02' AS sdate, CASE WHEN k % 8 = 0 THEN NULL ELSE 'Wartung' END AS what) FROM i WHERE k % 4 = 0)"""
+
+
+def _masked(source: str, key: str) -> str:
+    """CTEs up to m4 (key, t, n1 to n4) that mask the texts t of a source, kind after kind."""
+    vat = """regexp_full_match(x, 'DE[0-9]{9}') AND (11 - list_reduce(list_prepend(10, list_transform(string_split(substr(x, 3, 8), ''), lambda d: try_cast(d AS INTEGER))),
+      lambda a, d: (2 * CASE WHEN (d + a) % 10 = 0 THEN 10 ELSE (d + a) % 10 END) % 11)) % 10 = try_cast(substr(x, 11, 1) AS INTEGER)"""
+    iban = """list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr(x, 5) || substr(x, 1, 4), ''),
+      lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN try_cast(c AS BIGINT) ELSE ascii(c) - 55 END)), lambda a, d: (CASE WHEN d < 10 THEN a * 10 + d ELSE a * 100 + d END) % 97) = 1"""
+    kinds = [
+        ("VAT_ID", r"\bDE[0-9]{9}\b", vat), ("IBAN", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}\b", iban),
+        ("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "true"), ("PHONE", r"\b(?:\+49|0)[\d\s/()-]{6,}\d\b", "true"),
+    ]
+    out, held = [], [key]
+    for k, (kind, pattern, check) in enumerate(kinds, 1):
+        before = source if k == 1 else f"m{k - 1}"
+        kept = ", ".join(held)
+        out.append(f"""s{k} AS (SELECT {kept}, string_split_regex(t, '{pattern}') AS parts, regexp_extract_all(t, '{pattern}') AS hits FROM {before}),
+o{k} AS (SELECT *, list_transform(hits, lambda x: {check}) AS ok FROM s{k}),
+m{k} AS (
+  SELECT {kept}, array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || CASE WHEN i > len(hits) THEN '' WHEN ok[i] THEN '<{kind}_' || len(list_filter(ok[1:i], lambda b: b)) || '>' ELSE hits[i] END), '') AS t,
+    len(list_filter(ok, lambda b: b)) AS n{k} FROM o{k})""")
+        held.append(f"n{k}")
+    return ",\n".join(out)
+
+
+_COUNTS = "coalesce(n1, 0) AS vat_id, coalesce(n2, 0) AS iban, coalesce(n3, 0) AS email, coalesce(n4, 0) AS phone"
 
 SQL = {
     "rule_reasons": _REASONS,
     "invoice_light_summary": _light_summary(f"CASE WHEN {_OK} THEN 'GREEN' ELSE 'RED' END", False),
-    "invoice_light_perturbed": _light_summary(f"CASE WHEN NOT ({_OK}) THEN 'RED' WHEN o_orderpriority LIKE '4%' THEN 'YELLOW' ELSE 'GREEN' END", True),
+    "invoice_light_perturbed": f"""{_order_fields()}, {_decisions("i")}
+SELECT light, count(*) AS n, sum(CASE WHEN open THEN 3 ELSE 0 END)::BIGINT AS n_lines, sum(net)::DOUBLE AS net, sum(gross)::DOUBLE AS gross FROM p GROUP BY light""",
+    "invoice_decisions": f"""{_order_fields()}, {_decisions("i")}
+SELECT k::VARCHAR AS invoice_id, {_STATUS} AS statuses, vat_delta::DOUBLE AS vat_delta, light AS traffic_light, light = 'RED' AS blocked,
+  CASE light WHEN 'GREEN' THEN 1 ELSE (NOT r1)::INT + (NOT r2)::INT + (NOT r3)::INT + (NOT r4)::INT + (NOT r5)::INT + (NOT r6)::INT + (NOT r7)::INT + (light = 'RED')::INT END::BIGINT AS n_reasons,
+  p.account, n.name, CASE WHEN r6 THEN 'creditor_master' WHEN r7 THEN 'keyword_heuristic' ELSE 'unresolved' END AS source, CASE WHEN r6 THEN 'high' WHEN r7 THEN 'medium' ELSE 'low' END AS confidence,
+  creditor AS creditor_id, word AS keyword,
+  CASE WHEN open THEN 'DEBIT ' || p.account || ' ' || net || '; DEBIT ' || tax_account || ' ' || vat || '; CREDIT 1600 ' || gross ELSE '' END AS lines
+FROM p LEFT JOIN {_NAMES} ON p.account = n.account""",
+    "audit_log_events": f"""{_order_fields()}, {_PATCHED}, {_decisions("j")}
+SELECT k::VARCHAR AS invoice_id, 'upload' AS action, k::VARCHAR AS filename, NULL AS light, NULL AS description FROM i
+UNION ALL SELECT k::VARCHAR, 'revalidate', NULL, light, what FROM p""",
+    "extract_fields_fixtures": "SELECT * REPLACE (net_amount::DOUBLE AS net_amount, vat_rate::DOUBLE AS vat_rate, vat_amount::DOUBLE AS vat_amount, gross_amount::DOUBLE AS gross_amount) FROM "
+    + _values(_FIELDS, "doc", "invoice_recipient", "vendor_name", "invoice_number", "invoice_date", "service_date", "currency", "net_amount", "vat_rate", "vat_amount", "gross_amount", "description"),
+    "process_fixtures": "SELECT invoice_id, vendor_name, traffic_light, traffic_light = 'RED' AS blocked, account, statuses, lines, reasons FROM "
+    + _values([(d[0], f[2], *d[1:]) for d, f in zip(_DECIDED, _FIELDS, strict=True)], "invoice_id", "vendor_name", "traffic_light", "account", "statuses", "lines", "reasons"),
     "booking_lines": f"WITH {_BOOKED} SELECT o_orderkey, side, account, name, amount::DOUBLE AS amount FROM booked",
     "trial_balance": f"""WITH {_BOOKED}
 SELECT account, name, count(*) AS n_lines, sum(CASE WHEN side = 'DEBIT' THEN amount ELSE 0 END)::DOUBLE AS debit, sum(CASE WHEN side = 'CREDIT' THEN amount ELSE 0 END)::DOUBLE AS credit
@@ -161,16 +294,16 @@ s AS (SELECT *, {_score('t')} AS score FROM c)
 SELECT doc, engine, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, rank) AS k FROM s) WHERE k = 1""",
     "best_engine_fixture": f"""
 SELECT doc, engine FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY {_score('t')} DESC, rank) AS k FROM {_values(CANDIDATES, 'doc', 'rank', 'engine', 't')}) WHERE k = 1""",
-    "pii_email_mask": r"""
-WITH p AS (SELECT doc_id, string_split_regex(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b') AS p FROM documents WHERE contains(text, '@')),
-m AS (SELECT doc_id, len(p) - 1 AS n, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || CASE WHEN i < len(p) THEN '<EMAIL_' || i || '>' ELSE '' END), '') AS t FROM p),
-q AS (SELECT doc_id, n, string_split_regex(t, '\b(?:\+49|0)[\d\s/()-]{6,}\d\b') AS p FROM m)
-SELECT doc_id, (n + len(p) - 1)::BIGINT AS n_tokens,
-       sha256(array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || CASE WHEN i < len(p) THEN '<PHONE_' || i || '>' ELSE '' END), '')) AS masked_sha256 FROM q""",
+    "pii_email_mask": f"""
+WITH src AS (
+  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'DE' || lpad(doc_id::VARCHAR, 9, '0') || ' DE999999995 DE4450010517' || lpad(lpad(doc_id::VARCHAR, 9, '0'), 10, '0') || ' DE79100100100012345678 tel 0681/' || lpad(doc_id::VARCHAR, 9, '0') || ' ' ELSE '' END || text AS t
+  FROM documents), {_masked("src", "doc_id")}
+SELECT doc_id, {_COUNTS}, sha256(t) AS masked_sha256 FROM m4""",
+    "pii_counts": f"WITH src AS (SELECT x, x AS t FROM {_values(SENSITIVE, 'x')}), {_masked('src', 'x')} SELECT x, t AS masked, {_COUNTS} FROM m4",
     "pii_roundtrip": "SELECT count(text) AS n, count(text) AS n_same FROM documents",
-    "revalidate_overlay": """
-SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 0 THEN NULL WHEN o_orderkey % 4 = 0 THEN 'PATCHED' ELSE o_orderpriority END AS priority,
-       CASE WHEN o_orderkey % 4 = 0 THEN 1190.0 ELSE o_totalprice::DECIMAL(18,2)::DOUBLE END AS gross FROM orders""",
+    "revalidate_overlay": f"""{_order_fields()}, {_PATCHED}, {_decisions("j")}
+SELECT k::VARCHAR AS invoice_id, 'revalidated' AS outcome, gross::DOUBLE AS gross, sdate AS service_date, what AS description, light AS traffic_light, CASE WHEN open THEN 3 ELSE 0 END::BIGINT AS n_lines FROM p
+UNION ALL SELECT k::VARCHAR, 'quarantined', NULL, NULL, NULL, NULL, NULL FROM i WHERE k % 12 = 0""",
     "invoice_labels": """
 SELECT o_orderkey, 'Rechnung-' || CASE WHEN n < 100000 THEN lpad(n::VARCHAR, 5, '0') ELSE n::VARCHAR END AS label
 FROM (SELECT o_orderkey, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 50 <> 0 THEN coalesce(o_orderdate, TIMESTAMP '1970-01-01') ELSE TIMESTAMP '1970-01-01' END, o_orderkey) AS n FROM orders)""",
@@ -185,15 +318,23 @@ WITH b AS (SELECT x, trim(regexp_replace(trim(x), '^```(?:json)?|```$', '', 'g')
 o AS (SELECT x, CASE WHEN json_valid(j) AND j LIKE '{{%' THEN j END AS j FROM b),
 f AS (SELECT x, j IS NOT NULL AS parsed, nullif(trim(j ->> '$.vendor_name'), '') AS vendor_name, trim(j ->> '$.invoice_date') AS d, trim(j ->> '$.net_amount') AS s FROM o)
 SELECT x, parsed, vendor_name, CASE WHEN regexp_full_match(d, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN d END AS invoice_date, {_PARSED}::DOUBLE AS net_amount FROM f""",
-    "master_data": f"SELECT * FROM (VALUES ('accounts', {len(ACCOUNTS)}::BIGINT), ('clients', 1), ('creditors', {len(CREDITORS)}), ('keyword_rules', {len(_KEYWORDS)})) AS v(name, n)",
-    "record_export": "SELECT o_orderkey::VARCHAR AS invoice_id, o_orderkey::VARCHAR || '.json' AS file, o_orderstatus AS status FROM orders WHERE o_custkey = 1",
+    "master_data": "SELECT * FROM "
+    + _values(
+        [("accounts", i, *a) for i, a in enumerate(_ACCOUNTS)] + [("clients", 0, "M0001", _CLIENT, "EUR")] + [("creditors", i, *c) for i, c in enumerate(_CREDITOR_ROWS)]
+        + [("keyword_rules", 100 * i + j, a, w.replace("_", " "), "") for i, (a, words) in enumerate(_WORDS.items()) for j, w in enumerate(words.split())],
+        "list", "rank", "code", "name", "detail",
+    ),
+    "master_counts": "SELECT * FROM (VALUES ('accounts', 8::BIGINT), ('clients', 1), ('creditors', 4), ('keyword_rules', 31)) AS v(list, n)",
+    "record_export": """
+SELECT id AS invoice_id, coalesce(number, id) || '.json' AS file,
+  '{' || chr(10) || '  "invoice_id" : "' || id || '",' || chr(10) || '  "extracted" : {' || chr(10) || '    "number" : ' || coalesce('"' || number || '"', 'null') || ',' || chr(10) || '    "customer" : ' || o_custkey || chr(10) || '  },' || chr(10)
+  || '  "status" : "' || o_orderstatus || '"' || chr(10) || '}' AS json
+FROM (SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 4 <> 0 THEN 'N-' || o_orderkey END AS number, o_orderstatus, o_custkey FROM orders)""",
     "surface_rollup": """
 SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""",
     "surface_as_of": """
-WITH k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS i FROM (SELECT DISTINCT event_type FROM events)),
-l AS (SELECT e.* FROM events e JOIN k ON e.event_type = k.event_type WHERE i = 1),
-r AS (SELECT e.* FROM events e JOIN k ON e.event_type = k.event_type WHERE i = (SELECT least(2, max(i)) FROM k))
-SELECT l.event_id, (SELECT arg_max(r.event_id, (r.ts, r.event_id)) FROM r WHERE r.user_id IS NOT DISTINCT FROM l.user_id AND r.ts <= l.ts) AS as_of_id FROM l""",
+SELECT l.event_id, (SELECT arg_max(r.event_id, (r.ts, r.event_id)) FROM events r WHERE r.event_type = 'view' AND r.user_id IS NOT DISTINCT FROM l.user_id AND r.ts <= l.ts) AS as_of_id
+FROM events l WHERE l.event_type = 'purchase'""",
     "surface_joins": """
 SELECT 'semi' AS op, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)
 UNION ALL SELECT 'anti', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import checksum, dates, money, text
 from ..operators import ledger, masking, matching, rules
 from ..operators.extract import coerce_json, extract_fields
-from ..schemas import CANDIDATE, EXTRACTED
-from ..sources import documents, master
+from ..schemas import CANDIDATE, EXTRACTED, FIELDS
+from ..sources import audit, documents, master
 from ..streaming import streams
 from . import invoices
 from .fixtures import CANDIDATES, DATES, IBANS, JSON_ANSWERS, LAYOUTS, NUMBERS, RECORDS, SENSITIVE, VAT_IDS, VENDORS
@@ -66,10 +66,50 @@ def invoice_light_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(order_amounts(spark, sf_dir, perturbed=False), F.when(_balance_ok(), F.lit("GREEN")).otherwise(F.lit("RED")))
 
 
+def order_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """invoice_id and the eleven fields of orders taken for invoices: vendors that are creditors, known by a keyword, or unknown, and every rule broken by some."""
+    o, key = order_amounts(spark, sf_dir), F.col("o_orderkey")
+    vat = (F.round(F.col("net_amount") * F.col("vat_rate") / 100, 2) + F.when(key % 19 == 0, 1).otherwise(0)).cast(MONEY)
+    date = F.date_format("o_orderdate", "yyyy-MM-dd")
+    vendors = F.array(*[F.lit(v) for v in (" beispiel ENERGIE saar gmbh", "ImmoFix", "JurisMuster Beratung GmbH", "Office-Muster Handels", "Stadtwerke Nord AG", "Unbekannt OHG")])
+    goods = F.array(*[F.lit(v) for v in ("Strom und Gas", "Reparatur Heizung", None, "Papier", "Sonstiges")])
+    made = o.select(
+        key.cast("string").alias("invoice_id"), F.when(key % 13 == 0, F.lit("Andere Firma GmbH")).otherwise(F.lit(f"z. Hd. {master.CLIENTS[0][1]}")).alias("invoice_recipient"),
+        F.get(vendors, (key % 6).cast("int")).alias("vendor_name"), F.when(key % 17 != 0, key.cast("string")).alias("invoice_number"), date.alias("invoice_date"),
+        F.when(~F.col("o_orderpriority").startswith("4"), date).alias("service_date"), F.lit("EUR").alias("currency"), "net_amount", "vat_rate", vat.alias("vat_amount"),
+        (F.col("net_amount") + vat + F.when(key % 10 == 0, 25).otherwise(0)).cast(MONEY).alias("gross_amount"), F.get(goods, (key % 5).cast("int")).alias("description"),
+    )
+    return made.select("invoice_id", *FIELDS)
+
+
 def invoice_light_perturbed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All three lights: balance decides red, a priority without specification stands for a missing service date."""
-    light = F.when(~_balance_ok(), F.lit("RED")).when(F.col("o_orderpriority").startswith("4"), F.lit("YELLOW")).otherwise(F.lit("GREEN"))
-    return _summary(order_amounts(spark, sf_dir), light)
+    """Orders as invoices through rules and ledger, by light."""
+    out = invoices.decide(order_invoices(spark, sf_dir))
+    lines = F.size("booking_proposal").cast("long")
+    return out.groupBy(F.col("traffic_light").alias("light")).agg(F.count("*").alias("n"), F.sum("net_amount").alias("net"), F.sum("gross_amount").alias("gross"), F.sum(lines).alias("n_lines")).select("light", "n", "n_lines", *_double("net", "gross"))
+
+
+def invoice_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's checks, light, suggestion and proposal."""
+    out = invoices.decide(order_invoices(spark, sf_dir))
+    delta = F.get(F.filter("validations", lambda v: v["check"].startswith("R4")), F.lit(0))["delta"]
+    return out.select(
+        "invoice_id", F.array_join(F.transform("validations", lambda v: v["status"]), ",").alias("statuses"), delta.cast("double").alias("vat_delta"), "traffic_light", "blocked",
+        F.size("decision_reasons").cast("long").alias("n_reasons"), "suggestion.account", "suggestion.name", "suggestion.source", "suggestion.confidence", "suggestion.creditor_id", "suggestion.keyword",
+        F.array_join(F.transform("booking_proposal", lambda x: F.concat(x["side"], F.lit(" "), x["account"], F.lit(" "), x["amount"].cast("string"))), "; ").alias("lines"),
+    )
+
+
+def audit_log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What uploading all orders and correcting some leaves in the audit log."""
+    records, patches = _records_and_patches(spark, sf_dir)
+    after, _ = invoices.revalidate(records, patches)
+    log = audit.uploads(records).unionByName(audit.revalidations(after))
+    detail = F.col("details")
+    return log.select(
+        "invoice_id", "action", F.try_element_at(detail, F.lit("filename")).alias("filename"), F.try_element_at(detail, F.lit("traffic_light")).alias("light"),
+        F.get_json_object(F.try_element_at(detail, F.lit("extracted")), "$.description").alias("description"),
+    )
 
 
 def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,8 +204,7 @@ def best_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("ocr", F.substring("text", 1, 100)),
     ]
     made = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(name).alias("engine"), t.alias("text")) for i, (name, t) in enumerate(variants)])
-    best = documents.best_candidate(docs.select("doc", F.inline(made)), "doc")
-    return best.select("doc", "engine", F.round("score", 6).alias("score"))
+    return docs.select("doc", documents.best_of(made).alias("best")).select("doc", "best.engine", F.round("best.score", 6).alias("score"))
 
 
 def best_engine_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,8 +212,12 @@ def best_engine_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_email_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    safe = masking.sanitize(F.col("text"))
-    return _table(spark, sf_dir, "documents").filter(F.contains("text", F.lit("@"))).withColumn("s", safe).select("doc_id", F.size("s.mapping").cast("long").alias("n_tokens"), F.sha2(F.col("s.text"), 256).alias("masked_sha256"))
+    """All documents masked, some with an identifier of each kind put before them, valid ones and others."""
+    number = F.lpad(F.col("doc_id").cast("string"), 9, "0")
+    marks = F.concat(F.lit("DE"), number, F.lit(" DE999999995 DE44"), F.lit("50010517"), F.lpad(number, 10, "0"), F.lit(" DE79100100100012345678 tel 0681/"), number, F.lit(" "))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 3 == 0, marks).otherwise(F.lit("")), F.col("text")).alias("text"))
+    out = docs.withColumn("s", masking.sanitize(F.col("text"))).withColumn("c", masking.counts(F.col("s.mapping")))
+    return out.select("doc_id", "c.*", F.sha2(F.col("s.text"), 256).alias("masked_sha256"))
 
 
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,13 +232,16 @@ def pii_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extract_fields_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.createDataFrame(LAYOUTS, "doc string, text string")
-    return extract_fields(df).drop("text")
+    out = extract_fields(df)
+    return out.select("doc", *[F.col(f).cast("double").alias(f) if f in invoices.DECIMALS else F.col(f) for f in FIELDS])
 
 
 def process_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The layouts from text to decision."""
     out = invoices.process(spark.createDataFrame(LAYOUTS, "invoice_id string, text string"))
-    return out.select("invoice_id", "extracted.vendor_name", "traffic_light", "blocked", F.col("suggested_expense_account.account").alias("account"), F.size("booking_proposal").alias("n_lines"), F.array_join("decision_reasons", " | ").alias("reasons"))
+    statuses = F.array_join(F.transform("validations", lambda v: v["status"]), ",").alias("statuses")
+    lines = F.array_join(F.transform("booking_proposal", lambda x: F.concat(x["side"], F.lit(" "), x["account"], F.lit(" "), x["amount"].cast("string"))), "; ").alias("lines")
+    return out.select("invoice_id", "extracted.vendor_name", "traffic_light", "blocked", F.col("suggested_expense_account.account").alias("account"), statuses, lines, F.array_join("decision_reasons", " | ").alias("reasons"))
 
 
 def process_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,17 +256,25 @@ def rule_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("invoice_id", "traffic_light", "blocked", F.array_join("decision_reasons", " | ").alias("reasons"))
 
 
+def _records_and_patches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Records of all orders, and patches: a right total and a service date for some, then an explicit null, then an amount that is no number."""
+    records = invoices.shaped(invoices.decide(order_invoices(spark, sf_dir)))
+    key = F.col("invoice_id").cast("long")
+    total = (F.col("extracted.net_amount") + F.col("extracted.vat_amount")).cast("string")
+
+    def of(seq: int, every: int, *pairs: Column) -> DataFrame:
+        return records.filter(key % every == 0).select("invoice_id", F.lit(seq).cast("long").alias("seq"), F.create_map(*pairs).alias("patch"))
+
+    none = F.lit(None).cast("string")
+    first = of(1, 4, F.lit("gross_amount"), total, F.lit("service_date"), F.lit("2026-01-02"), F.lit("description"), F.lit("Wartung"))
+    return records, first.unionByName(of(2, 8, F.lit("description"), none)).unionByName(of(3, 12, F.lit("net_amount"), F.lit("1,234.5")))
+
+
 def revalidate_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders' totals and priority after patches: the last one counts, an explicit null overwrites."""
-    o = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("invoice_id"), "o_orderpriority", F.col("o_totalprice").cast(MONEY).alias("gross"))
-    key = F.col("o_orderkey")
-    one = o.filter(key % 4 == 0).select("invoice_id", F.lit(1).cast("long").alias("seq"), F.create_map(F.lit("gross"), F.lit("1.190,00"), F.lit("o_orderpriority"), F.lit("PATCHED")).alias("patch"))
-    two = o.filter(key % 8 == 0).select("invoice_id", F.lit(2).cast("long").alias("seq"), F.create_map(F.lit("o_orderpriority"), F.lit(None).cast("string")).alias("patch"))
-    folded = invoices.fold_patches(one.unionByName(two))
-    joined = o.join(folded, "invoice_id", "left")
-    priority = F.when(F.coalesce(F.map_contains_key("patch", "o_orderpriority"), F.lit(False)), F.try_element_at("patch", F.lit("o_orderpriority"))).otherwise(F.col("o_orderpriority"))
-    gross = F.when(F.coalesce(F.map_contains_key("patch", "gross"), F.lit(False)), money.parse_decimal(F.try_element_at("patch", F.lit("gross"))).cast(MONEY)).otherwise(F.col("gross"))
-    return joined.select("o_orderkey", priority.alias("priority"), gross.cast("double").alias("gross"))
+    """Orders corrected and decided anew, and the corrections set aside."""
+    after, bad = invoices.revalidate(*_records_and_patches(spark, sf_dir))
+    told = after.select("invoice_id", F.lit("revalidated").alias("outcome"), F.col("extracted.gross_amount").cast("double").alias("gross"), "extracted.service_date", "extracted.description", "traffic_light", F.size("booking_proposal").cast("long").alias("n_lines"))
+    return told.unionByName(bad.select("invoice_id", F.lit("quarantined").alias("outcome")), allowMissingColumns=True)
 
 
 def invoice_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,15 +299,28 @@ def llm_json_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def master_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many rows each built-in list has."""
-    made = master.frames(spark)
-    return spark.createDataFrame([(name, df.count()) for name, df in made.items()], "name string, n long")
+    """The rows of the four built-in lists, in their order."""
+    f = master.frames(spark)
+    lists = {
+        "accounts": f["accounts"].select("rank", "account", "name", F.col("category").alias("detail")),
+        "clients": f["clients"].select("rank", "client_id", "company_name", "currency"),
+        "creditors": f["creditors"].select("rank", "creditor_id", "name", F.concat_ws(" ", "default_expense_account", "vat_id", "iban")),
+        "keyword_rules": f["keyword_rules"].select((F.col("rule_rank") * 100 + F.col("kw_rank")).alias("rank"), "account", "keyword", F.lit("")),
+    }
+    parts = [df.toDF("rank", "code", "name", "detail").select(F.lit(name).alias("list"), "*") for name, df in lists.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def master_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each list has, as a seeding reports it."""
+    return master_data(spark, sf_dir).groupBy("list").agg(F.count("*").alias("n"))
 
 
 def record_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of one customer as JSON under the name of their number."""
-    o = _table(spark, sf_dir, "orders").filter("o_custkey = 1").select(F.col("o_orderkey").cast("string").alias("invoice_id"), "o_orderstatus")
-    return o.select("invoice_id", documents.export_name("invoice_id").alias("file"), F.get_json_object(documents.as_json(F.struct("invoice_id", "o_orderstatus")), "$.o_orderstatus").alias("status"))
+    """Every order as indented JSON under the name of its number, or of its id where it has none."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("invoice_id"), F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit("N-"), "o_orderkey")).alias("number"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").cast("long").alias("customer"))
+    record = documents.as_json(F.struct("invoice_id", F.struct("number", "customer").alias("extracted"), "status"))
+    return o.select("invoice_id", documents.export_name("number").alias("file"), record.alias("json"))
 
 
 # What Spark itself offers and the engine exposes beside the inventory: labelled so, and not taken from it.
@@ -268,8 +335,7 @@ def surface_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def surface_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each purchase the user's last view at or before it: a union and one window, no join of pairs."""
     e = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
-    kinds = [r["event_type"] for r in e.groupBy("event_type").agg(F.count("*").alias("n")).orderBy("event_type").limit(2).collect()]
-    left, right = kinds[0], kinds[-1]
+    left, right = "purchase", "view"
     w = Window.partitionBy("user_id").orderBy("ts", F.when(F.col("event_type") == right, 0).otherwise(1), "event_id").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("event_type") == right, F.struct("ts", "event_id")), ignorenulls=True).over(w)
     return e.filter(F.col("event_type").isin(left, right)).withColumn("last", last).filter(F.col("event_type") == left).select("event_id", F.col("last.event_id").alias("as_of_id"))
@@ -325,7 +391,8 @@ QUERIES = {
         invoice_light_summary, invoice_light_perturbed, booking_lines, trial_balance, balance_check, mandatory_fields, vat_account_nearest,
         creditor_exact, creditor_fuzzy, keyword_account, parse_german_decimal, normalize_dates, vat_checksum, iban_checksum, text_quality_score,
         best_engine, best_engine_fixture, pii_email_mask, pii_counts, pii_roundtrip, extract_fields_fixtures, process_fixtures, process_documents, rule_reasons,
-        revalidate_overlay, invoice_labels, audit_event_windows, audit_event_sessions, llm_json_coerce, master_data, record_export,
+        revalidate_overlay, invoice_labels, audit_event_windows, audit_event_sessions, llm_json_coerce, master_data, master_counts, record_export,
+        invoice_decisions, audit_log_events,
         surface_rollup, surface_as_of, surface_set_ops, surface_joins, surface_cube, surface_windows, surface_interval, surface_percentiles,
     )
 }

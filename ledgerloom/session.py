@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from .operators.rules import TOLERANCE
+from .sources import master
 
 
 def session(app: str = "ledgerloom", **conf: str) -> SparkSession:
@@ -18,3 +19,8 @@ def session(app: str = "ledgerloom", **conf: str) -> SparkSession:
 def tolerance(spark: SparkSession, default: float = TOLERANCE) -> float:
     """By how much amounts may differ: the session's setting ``spark.ledgerloom.tolerance``, else the default."""
     return float(spark.conf.get("spark.ledgerloom.tolerance", str(default)))
+
+
+def master_data(spark: SparkSession) -> master.Master:
+    """Master data of the folder that the session's setting ``spark.ledgerloom.master`` names, else the built-in lists."""
+    return master.load(spark, spark.conf.get("spark.ledgerloom.master", None))

@@ -13,5 +13,17 @@ def events(records: DataFrame, action: str, **details: str) -> DataFrame:
     return records.select("invoice_id", F.lit(action).alias("action"), held.alias("details"), F.current_timestamp().alias("ts"))
 
 
+def uploads(texts: DataFrame) -> DataFrame:
+    """An event for each processed text, with its file's name where there is one."""
+    return events(texts, "upload", filename="original_filename" if "original_filename" in texts.columns else "invoice_id")
+
+
+def revalidations(records: DataFrame) -> DataFrame:
+    """An event for each record decided anew, with what it now is, each part as JSON."""
+    parts = [c for c in ("extracted", "validations", "suggested_expense_account", "traffic_light", "decision_reasons", "booking_proposal", "blocked") if c in records.columns]
+    told = records.select("invoice_id", *[(F.to_json(c) if records.schema[c].dataType.typeName() in ("struct", "array") else F.col(c).cast("string")).alias(c) for c in parts])
+    return events(told, "revalidate", **{c: c for c in parts})
+
+
 def log(audit: DataFrame, path: str) -> None:
     audit.write.mode("append").parquet(path)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import CLEAN_SCORE, quality_score
+from ..functions.text import CLEAN_SCORE, let, quality_score
 from .master import RECORD_LIMIT
 
 
@@ -49,28 +49,36 @@ OCR: dict[str, Callable[[bytes], str]] = {"ocr": _ocr}
 
 
 def run_engines(pdfs: DataFrame, engines: dict[str, Callable[[bytes], str]], first_rank: int = 0) -> DataFrame:
-    """invoice_id, rank, engine, text: one row per document and engine; text is null where the engine failed."""
+    """invoice_id, rank, engine, text, error: one row per document and engine; where the engine failed, text is null and error says why."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
             for key, content in zip(pdf["invoice_id"], pdf["content"], strict=True):
                 for rank, (name, engine) in enumerate(engines.items()):
+                    text = error = None
                     try:
                         text = engine(bytes(content))
-                    except Exception:
-                        text = None
-                    rows.append((key, first_rank + rank, name, text))
-            yield pd.DataFrame(rows, columns=["invoice_id", "rank", "engine", "text"])
+                    except Exception as e:
+                        error = f"{name}: {type(e).__name__}: {e}"
+                    rows.append((key, first_rank + rank, name, text, error))
+            yield pd.DataFrame(rows, columns=["invoice_id", "rank", "engine", "text", "error"])
 
-    return pdfs.select("invoice_id", "content").mapInPandas(run, "invoice_id string, rank int, engine string, text string")
+    return pdfs.select("invoice_id", "content").mapInPandas(run, "invoice_id string, rank int, engine string, text string, error string")
 
 
 def best_candidate(candidates: DataFrame, key: str = "invoice_id") -> DataFrame:
-    """key, engine, text, score of the candidate of best quality; ties go to the smaller rank."""
+    """key, engine, text, score of the candidate of best quality; ties go to the smaller rank. With a column error also errors: all of them."""
     scored = candidates.withColumn("score", quality_score(F.col("text")))
     best = F.max_by(F.struct("engine", "text", "score"), F.struct("score", -F.col("rank")))
-    return scored.groupBy(key).agg(best.alias("best")).select(key, "best.*")
+    errors = [F.sort_array(F.collect_list("error")).alias("errors")] if "error" in candidates.columns else []
+    return scored.groupBy(key).agg(best.alias("best"), *errors).select(key, "best.*", *["errors"] * len(errors))
+
+
+def best_of(candidates: Column) -> Column:
+    """The same for candidates that are an array of structs (rank, engine, text) in one row: struct(engine, text, score), without a shuffle."""
+    ranked = F.transform(candidates, lambda c: F.struct(quality_score(c["text"]).alias("score"), (-c["rank"]).alias("rank"), c["engine"].alias("engine"), c["text"].alias("text")))
+    return let(F.array_max(ranked), lambda best: F.struct(best["engine"].alias("engine"), best["text"].alias("text"), best["score"].alias("score")))
 
 
 def needs_ocr(candidates: DataFrame, key: str = "invoice_id", engines: int = len(DIGITAL)) -> DataFrame:
@@ -80,7 +88,7 @@ def needs_ocr(candidates: DataFrame, key: str = "invoice_id", engines: int = len
 
 
 def extract_texts(pdfs: DataFrame, digital: dict | None = None, ocr: dict | None = None) -> DataFrame:
-    """invoice_id, engine, text, score of each PDF: digital engines on all, OCR only on what they left unclear."""
+    """invoice_id, engine, text, score, errors of each PDF: digital engines on all, OCR only on what they left unclear."""
     digital, ocr = DIGITAL if digital is None else digital, OCR if ocr is None else ocr
     found = run_engines(pdfs, digital)
     unclear = pdfs.join(needs_ocr(found, engines=len(digital)), "invoice_id", "left_semi")

@@ -41,7 +41,7 @@ VAT_ACCOUNTS = [(19, "1576"), (7, "1571")]
 PAYABLES = "1600"
 
 #: The tenant on whose behalf invoices are booked; every installation loads its own.
-CLIENTS = [("M0001", "Musterhaus Immobilien SPV 01 GmbH", "Hafenstraße 24", "66111", "Saarbrücken", "Deutschland", "DE999999995", "EUR", "01.01.-31.12.")]
+CLIENTS = [("M0001", "Musterhaus Immobilien SPV 01 GmbH", "Gartenallee 12a", "99998", "Altstadt", "Deutschland", "DE123456788", "EUR", "calendar year")]
 
 SCHEMAS = {
     "accounts": "rank int, account string, name string, category string",

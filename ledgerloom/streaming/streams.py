@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans import invoices
 from ..schemas import PATCH
@@ -24,21 +20,11 @@ def patch_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(PATCH).parquet(path)
 
 
-def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    value, seq = state.get if state.exists else (None, None)
-    for pdf in frames:
-        for s, v in zip(pdf["seq"], pdf["value"], strict=True):
-            if seq is None or s >= seq:
-                value, seq = (None if v is None else str(v)), int(s)
-    state.update((value, seq))
-    yield pd.DataFrame({"invoice_id": [key[0]], "field": [key[1]], "value": [value], "seq": [seq]})
-
-
 def latest_values(patches: DataFrame) -> DataFrame:
-    """invoice_id, field, value, seq: what each corrected field now is, updated as patches arrive in any order."""
+    """invoice_id, field, value, seq: what each corrected field now is, updated as patches arrive in any order; an explicit null counts."""
     each = patches.select("invoice_id", "seq", F.explode("patch").alias("field", "value"))
-    schema = "invoice_id string, field string, value string, seq long"
-    return each.groupBy("invoice_id", "field").applyInPandasWithState(_fold, schema, "value string, seq long", "update", GroupStateTimeout.NoTimeout)
+    newest = each.groupBy("invoice_id", "field").agg(F.max_by(F.struct("value"), "seq").alias("v"), F.max("seq").alias("seq"))
+    return newest.select("invoice_id", "field", F.col("v.value").alias("value"), "seq")
 
 
 def upsert_batches(changes: DataFrame, path: str, key: str, checkpoint: str, order: str | None = None):

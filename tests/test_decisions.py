@@ -110,7 +110,7 @@ def test_process_keeps_no_text_and_decides(spark):
 
 def test_a_model_is_asked_with_masked_text_and_its_failures_fall_back(spark):
     def ask(text):
-        if "INV-2026" not in text:
+        if "SW/2025" not in text:
             raise TimeoutError
         assert "DE999999995" not in text
         return '```json\n{"vendor_name": "Modell AG <VAT_ID_1>", "net_amount": "1.000,00", "currency": "EUR"}\n```'
@@ -142,11 +142,11 @@ def test_tolerance_is_a_setting(spark):
 def test_revalidation(spark):
     records = invoices.process(spark.createDataFrame(LAYOUTS[:4], "invoice_id string, text string"))
     patches = spark.createDataFrame(
-        [("3", 1, {"gross_amount": "1,0"}), ("3", 2, {"gross_amount": "595,00"}), ("4", 1, {"service_date": "2026-03-01"}), ("1", 1, {"service_date": "2026-01-01"}), ("1", 2, {"service_date": None}), ("2", 1, {"net_amount": "1,234.5"})],
+        [("3", 1, {"gross_amount": "1,0"}), ("3", 2, {"gross_amount": "238,00"}), ("4", 1, {"service_date": "2026-03-01"}), ("1", 1, {"service_date": "2026-01-01"}), ("1", 2, {"service_date": None}), ("2", 1, {"net_amount": "1,234.5"})],
         "invoice_id string, seq long, patch map<string,string>",
     )
     after, bad = invoices.revalidate(records, patches)
-    assert {r.invoice_id: (r.traffic_light, r.extracted.service_date) for r in after.collect()} == {"3": ("GREEN", "2026-03-10"), "4": ("GREEN", "2026-03-01"), "1": ("YELLOW", None)}
+    assert {r.invoice_id: (r.traffic_light, r.extracted.service_date) for r in after.collect()} == {"3": ("GREEN", "2025-11-08"), "4": ("GREEN", "2026-03-01"), "1": ("YELLOW", None)}
     assert [r.invoice_id for r in bad.collect()] == ["2"]
 
 

@@ -1,38 +1,10 @@
 from decimal import Decimal
 
-import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.extract import coerce_json, extract_fields
-from ledgerloom.plans.fixtures import LAYOUTS
 from ledgerloom.schemas import FIELDS
 
-CLIENT = "Musterhaus Immobilien SPV 01 GmbH"
-WANT = {
-    "1": ("Beispiel Energie Saar GmbH", "INV-2026-08912", "2026-03-15", "2026-02-28", 1000, 19, 190, 1190, "Stromlieferung Liegenschaft Hafenstrasse Februar 2026"),
-    "2": ("ImmoFix Musterservice GmbH", "IF-1001", "2026-03-10", "2026-03-05", 500, 19, 95, 595, "Reparatur Klingelanlage Eingangsbereich"),
-    "3": ("ImmoFix Musterservice GmbH", "IF-9921", "2026-03-18", "2026-03-10", 500, 19, 95, 620, "Reparatur Klingelanlage Eingangsbereich"),
-    "4": ("OfficeMuster Handels GmbH", "OM-3001", "2026-03-01", None, 150, 19, "28.50", "178.50", "Büromaterial Lieferung März 2026"),
-    "5": ("ImmoFix Musterservice GmbH", "IM-8842", "2026-09-04", "2026-09-04", 800, 19, 152, 952, None),
-    "6": ("Glanzwerk Musterreinigung GmbH", "GW-2026-0188", "2026-09-03", "2026-08-31", 500, 19, 95, 595, "Unterhaltsreinigung Objekt - August 2026"),
-    "7": ("JURISMUSTER BERATUNG GMBH", "JM-2026-0447", "2026-09-05", "2026-09-05", 2000, 19, 380, 2380, "Vertragsprüfung und schriftliche Stellungnahme"),
-    "8": ("ENERGIE Beispiel Energie Saar GmbH", "BES-2026-0901", "2026-09-02", "2026-08-01", 1000, 19, 190, 1190, None),
-}
-
-
-@pytest.fixture(scope="module")
-def layouts(spark):
-    return {r.doc: r for r in extract_fields(spark.createDataFrame(LAYOUTS, "doc string, text string")).collect()}
-
-
-@pytest.mark.parametrize("doc", sorted(WANT))
-def test_layouts(layouts, doc):
-    r = layouts[doc]
-    vendor, number, date, service, net, rate, vat, gross, what = WANT[doc]
-    assert (r.invoice_recipient, r.vendor_name, r.invoice_number, r.invoice_date, r.service_date, r.currency, r.description) == (CLIENT, vendor, number, date, service, "EUR", what)
-    assert (r.net_amount, r.vat_rate, r.vat_amount, r.gross_amount) == tuple(Decimal(str(x)) for x in (net, rate, vat, gross))
-
-
 def fields(spark, *texts):
     return extract_fields(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")).orderBy("i").collect()
 
