@@ -158,6 +158,22 @@ def test_labels_count_over_hours(spark):
     assert got == {k: f"Rechnung-{n:05d}" for n, (k, _) in enumerate(order, 1)}
 
 
+def test_labels_of_a_busy_hour_and_of_no_time(spark, monkeypatch):
+    """Rows of one time are dealt by key, so no range has most of them."""
+    monkeypatch.setattr(invoices, "BOUND_KEYS", 50)
+    df = spark.range(3000).select(F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, F.timestamp_seconds(F.lit(60) + F.col("id") % 2)).alias("t"))
+    got = {r.k: int(r.label.split("-")[1]) for r in invoices.labels(df, F.col("t"), "k").collect()}
+    order = sorted(range(3000), key=lambda k: (60 + k % 2 if k % 3 == 0 else 0, k))
+    assert got == {k: n for n, k in enumerate(order, 1)}
+    assert invoices.labels(df.limit(0), F.col("t"), "k").count() == 0
+
+
+def test_masking_many_hits_of_a_long_text(spark):
+    raw = " ".join(f"u{i}@host.org DE{i:09d}" for i in range(6000)) + " DE999999995"
+    (r,) = spark.createDataFrame([(raw,)], "x string").select("x", masking.sanitize(F.col("x")).alias("s")).select("s", masking.reidentify(F.col("s.text"), F.col("s.mapping")).alias("back")).collect()
+    assert r.back == raw and "<EMAIL_6000>" in r.s.text and sum(k.startswith("<EMAIL") for k in r.s.mapping) == 6000
+
+
 def test_default_description_is_opt_in(spark):
     df = spark.createDataFrame([("V", " "), ("V", "d"), (None, None)], "vendor_name string, description string")
     assert [r.description for r in invoices.with_default_description(df).collect()] == ["V Rechnung", "d", None]

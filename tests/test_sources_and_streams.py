@@ -38,7 +38,52 @@ def test_ocr_runs_only_where_digital_text_is_unclear(spark, tmp_path):
 
 def test_missing_engines_give_no_text(spark, tmp_path):
     (tmp_path / "x.pdf").write_bytes(b"x")
-    assert documents.extract_texts(documents.read_pdfs(spark, str(tmp_path))).first().score == -1.0
+    row = documents.extract_texts(documents.read_pdfs(spark, str(tmp_path))).first()
+    assert row.score == -1.0 and len(row.errors) == 3 and row.errors[0].startswith("ocr: ")  # a broken install says so
+
+
+def test_the_pdf_of_a_record(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-a")
+    pdfs = documents.read_pdfs(spark, str(tmp_path))
+    own = pdfs.select("invoice_id", F.lit("uploaded as.pdf").alias("original_filename"))
+    row = documents.stored_pdf(pdfs, own, pdfs.first().invoice_id).first()
+    assert (row.original_filename, bytes(row.content)) == ("uploaded as.pdf", b"%PDF-a")
+
+
+def test_upload_and_correction_leave_records_and_events(spark, tmp_path):
+    from ledgerloom.plans import invoices
+    from ledgerloom.plans.fixtures import LAYOUTS
+
+    records, log, bad = (str(tmp_path / x) for x in ("records", "log", "bad"))
+    texts = spark.createDataFrame(LAYOUTS[2:4], "invoice_id string, text string").withColumn("original_filename", F.concat("invoice_id", F.lit(".pdf")))
+    invoices.upload(texts, records, log)
+    patches = spark.createDataFrame([("3", 1, {"gross_amount": "238,00"}), ("4", 1, {"net_amount": "x"})], "invoice_id string, seq long, patch map<string,string>")
+    invoices.correct(spark.read.parquet(records), patches, str(tmp_path / "after"), log, bad)
+    events = {(r.invoice_id, r.action): r.details for r in spark.read.parquet(log).collect()}
+    assert events["3", "upload"] == {"filename": "3.pdf"} and set(events) == {("3", "upload"), ("4", "upload"), ("3", "revalidate")}
+    told = events["3", "revalidate"]
+    assert told["traffic_light"] == "GREEN" and json.loads(told["extracted"])["gross_amount"] == 238.0 and len(json.loads(told["booking_proposal"])) == 3
+    assert [r.invoice_id for r in spark.read.parquet(bad).collect()] == ["4"]
+    before, after = spark.read.parquet(records).filter("invoice_id = '3'").first(), spark.read.parquet(str(tmp_path / "after")).first()
+    assert before.traffic_light == "RED" and after.audit == before.audit
+
+
+def test_master_data_and_tolerance_of_the_session(spark, tmp_path):
+    from ledgerloom.plans import invoices
+    from ledgerloom.plans.fixtures import LAYOUTS
+
+    path = str(tmp_path / "m")
+    master.seed(spark, path)
+    other = spark.read.parquet(f"{path}/clients").withColumn("company_name", F.lit("Ganz Andere GmbH"))
+    other.coalesce(1).write.parquet(f"{path}/new")
+    spark.read.parquet(f"{path}/new").write.mode("overwrite").parquet(f"{path}/clients")
+    texts = spark.createDataFrame(LAYOUTS[:3:2], "invoice_id string, text string")
+    for setting, value, lights in (("master", path, {"1": "RED", "3": "RED"}), ("tolerance", "12", {"1": "GREEN", "3": "GREEN"})):
+        spark.conf.set(f"spark.ledgerloom.{setting}", value)
+        try:
+            assert {r.invoice_id: r.traffic_light for r in invoices.process(texts).collect()} == lights
+        finally:
+            spark.conf.unset(f"spark.ledgerloom.{setting}")
 
 
 def test_master_data_seed_and_load(spark, tmp_path):
