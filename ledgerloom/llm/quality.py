@@ -118,6 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, trees: int = 20, depth: int = 4, las
     train = stash(with_statistics(labelled(docs, labels, F.col("quality").cast("double"), rows), ["y"]).coalesce(16), "quality-train")
     seen = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(seen) < 2:
+        discard(train)
         share = min(0.98, max(0.02, next(iter(seen), 0.5)))
         return Rules(math.log(share / (1 - share)), [])
     vectors = VectorAssembler(inputCols=names, outputCol="x").transform(train)

@@ -1,6 +1,9 @@
 """Search, quality rules and mixing: recall, held-out accuracy, targets, and odd tables."""
 
+import math
 import random
+import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -116,6 +119,34 @@ def test_quality_of_unseen_documents(spark):
     assert 0 < len(rules.rules) < 150 and all(0 <= r.score <= 1 for r in got)
 
 
+def plain_statistics(text):
+    """The statistics of a text in plain Python."""
+    t = text or ""
+    words, lines = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w], t.split("\n")
+    chars, n = max(len(t), 1), max(len(words), 1)
+    kind = [unicodedata.category(c) for c in t]
+    space = " \t\n\x0b\f\r"
+    return {
+        "log_chars": math.log1p(len(t)), "log_words": math.log1p(len(words)), "word_length": len(t) / n, "upper": kind.count("Lu") / chars,
+        "digits": sum(c in "0123456789" for c in t) / chars, "marks": sum(k[0] not in "LN" and c not in space + ".," for c, k in zip(t, kind, strict=True)) / chars,
+        "shouts": t.count("!") / chars, "bars": t.count("|") / chars, "stops": t.count(".") / chars, "commas": t.count(",") / chars,
+        "distinct_words": len(set(words)) / n, "distinct_lines": len(set(lines)) / len(lines), "words_a_line": n / len(lines), "longest_word": math.log1p(max(map(len, words), default=0)),
+    }
+
+
+def test_scores_like_plain_rules(spark):
+    """The compiled expression against statistics, conjunctions and logistic sum computed one by one."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality.fit(docs, labels)
+    rows = docs.select("doc_id", "text").unionByName(odd(spark).select("doc_id", "text"))
+    texts = {}
+    for r in quality.score(rows, rules, ["doc_id", "text"]).collect():
+        s = texts.setdefault(r.text, plain_statistics(r.text))
+        total = rules.bias + sum(w for w, rule in rules.rules if all(low < s[name] <= high for name, low, high in rule))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9), r.text and r.text[:60]
+    assert len(texts) > 500
+
+
 def odd(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "some plain words here"), (4, "some plain words here"), (None, "x"), (5, "w " * 50_000)]
     return spark.createDataFrame(rows, "doc_id long, text string").withColumn("upper", F.lit("clash")).withColumn("score", F.lit(1))
@@ -227,6 +258,30 @@ def test_mixing_after_the_quality_filter(spark):
     assert mixed.count() == mixed.select("doc_id").distinct().count() <= kept.count()
 
 
+def test_pipeline_stages_with_odd_rows(spark):
+    """Every stage takes null, empty and long texts, repeated and missing ids, and columns named like its own; an empty table stays empty."""
+    import corpus_pipeline
+
+    names = ("n_lines", "n_dropped", "copies", "copy", "kept", "component_id", "score", "upper", "row", "rank", "_row", "_gone", "rate", "tokens", "p", "token_ids", "decoded")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "source").unionByName(odd(spark).select("doc_id", "text", F.lit(None).cast("string").alias("source")))
+    docs = docs.withColumns({n: F.lit("clash") for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.filter(" OR ".join(f"`{n}` <> 'clash' OR `{n}` IS NULL" for n in names))
+        assert rows.count() == 0 and 0 < out.count() <= docs.count(), name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
+
+
+def test_pipeline_leaves_its_result_alone(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, str(DATA))
+    assert out.count() > 100 and out.count() == out.select("doc_id").distinct().count()
+
+
 def test_pipeline_stages_and_their_columns(spark):
     import corpus_pipeline
 

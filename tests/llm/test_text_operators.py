@@ -435,6 +435,14 @@ def test_token_counts_like_viterbi(spark):
     assert got == collections.Counter((i, len((t or "").split()), sum(map(brute, (t or "").split()))) for i, t in rows)
 
 
+def test_token_counts_of_tables_with_the_same_columns(spark):
+    scores = {"\u2581a": -1.0, "\u2581": -2.0, "b": -1.0}
+    clash = frame(spark).withColumns({c: F.lit("clash") for c in ("n_tokens", "n_pretokens", "words")})
+    out = tokencount.token_counts(clash, scores)
+    assert out.columns == ["doc_id", "n_pretokens", "n_tokens"] and out.count() == len(ODD) and out.filter("n_tokens < n_pretokens").count() == 0
+    assert tokencount.token_counts(frame(spark, []), scores).count() == 0
+
+
 # media
 
 
