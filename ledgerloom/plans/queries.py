@@ -14,6 +14,7 @@ from ..functions import checksum, dates, money, text
 from ..operators import ledger, masking, matching, rules
 from ..operators.extract import coerce_json, extract_fields
 from ..schemas import CANDIDATE, EXTRACTED, FIELDS
+from ..session import spread
 from ..sources import audit, documents, master
 from ..streaming import streams
 from . import invoices
@@ -26,6 +27,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _values(spark: SparkSession, rows: list[str], name: str = "x") -> DataFrame:
     return spark.createDataFrame([(r,) for r in rows], f"{name} string")
 
@@ -172,7 +177,7 @@ def keyword_account(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by the account that keywords in their text suggest."""
     m = master.Master()
     hit = matching.keyword(m, F.lit(None).cast("string"), F.col("text"))
-    return _table(spark, sf_dir, "documents").select(F.coalesce(hit["account"], F.lit("none")).alias("account"), F.coalesce(hit["keyword"], F.lit("none")).alias("keyword")).groupBy("account", "keyword").agg(F.count("*").alias("n"))
+    return _documents(spark, sf_dir).select(F.coalesce(hit["account"], F.lit("none")).alias("account"), F.coalesce(hit["keyword"], F.lit("none")).alias("keyword")).groupBy("account", "keyword").agg(F.count("*").alias("n"))
 
 
 def parse_german_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,12 +197,12 @@ def iban_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.round(text.quality_score(F.col("text")), 6).alias("score"))
+    return _documents(spark, sf_dir).select("doc_id", F.round(text.quality_score(F.col("text")), 6).alias("score"))
 
 
 def best_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and garbled or shortened variants of them as candidates of three engines."""
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("doc"), "text")
     variants = [
         ("pdfplumber", F.when(F.col("doc") % 3 == 0, F.translate("text", "aeinr", "^~^~^")).otherwise(F.col("text"))),
         ("pymupdf", F.when(F.col("doc") % 2 == 0, F.lit(None).cast("string")).otherwise(F.col("text"))),
@@ -215,7 +220,7 @@ def pii_email_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents masked, some with an identifier of each kind put before them, valid ones and others."""
     number = F.lpad(F.col("doc_id").cast("string"), 9, "0")
     marks = F.concat(F.lit("DE"), number, F.lit(" DE999999995 DE44"), F.lit("50010517"), F.lpad(number, 10, "0"), F.lit(" DE79100100100012345678 tel 0681/"), number, F.lit(" "))
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 3 == 0, marks).otherwise(F.lit("")), F.col("text")).alias("text"))
+    docs = _documents(spark, sf_dir).select("doc_id", F.concat(F.when(F.col("doc_id") % 3 == 0, marks).otherwise(F.lit("")), F.col("text")).alias("text"))
     out = docs.withColumn("s", masking.sanitize(F.col("text"))).withColumn("c", masking.counts(F.col("s.mapping")))
     return out.select("doc_id", "c.*", F.sha2(F.col("s.text"), 256).alias("masked_sha256"))
 
@@ -225,7 +230,7 @@ def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").withColumn("s", masking.sanitize(F.col("text")))
+    docs = _documents(spark, sf_dir).withColumn("s", masking.sanitize(F.col("text")))
     same = masking.reidentify(F.col("s.text"), F.col("s.mapping")) == F.col("text")
     return docs.agg(F.count("text").alias("n"), F.count_if(same).alias("n_same"))
 
@@ -245,8 +250,8 @@ def process_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def process_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document taken for an invoice, from text to decision; no join and no shuffle but that of the result."""
-    texts = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("invoice_id"), "text")
+    """Every document taken for an invoice, from text to decision; no join, and no shuffle but that of the result and of inputs smaller than the cluster."""
+    texts = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("invoice_id"), "text")
     out = invoices.process(texts)
     return out.groupBy("traffic_light").agg(F.count("*").alias("n"), F.count("extracted.vendor_name").alias("n_vendor"), F.count("extracted.invoice_recipient").alias("n_recipient"), F.count("extracted.invoice_date").alias("n_date"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .operators.rules import TOLERANCE
 from .sources import master
@@ -16,6 +16,12 @@ def session(app: str = "ledgerloom", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores where it comes in fewer partitions, as a file of one row group does; what is costly by row needs that. Larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def tolerance(spark: SparkSession, default: float = TOLERANCE) -> float:
     """By how much amounts may differ: the session's setting ``spark.ledgerloom.tolerance``, else the default."""
     return float(spark.conf.get("spark.ledgerloom.tolerance", str(default)))
