@@ -10,14 +10,15 @@ change it, and the element loop stops early.
 Documents with equal sets are one class, represented by the smallest doc_id. Classes
 meet where a band of their signatures agrees; each meets the band's pivot first.
 Links are confirmed on the full sets. Buckets whose classes aren't in one component
-by then are compared further: one of up to ``BLOCK`` classes in a task that has their
-sets, a larger one in blocks of signatures alone, whose candidates are confirmed
-like the pivots' pairs. Pairs already connected are left out. A component is named by
-its smallest doc_id.
+by then are compared further: classes outside a bucket's largest component, its
+minority, meet all of its classes in blocks of up to ``BLOCK`` of each. Signatures
+come first; only classes that have a likely partner in another component go on with
+their sets. A component is named by its smallest doc_id.
 
 No task gets all rows of a hot key. A join with a table that has one row a key splits
 off the keys of most rows, fewer than ``HEAVY`` by counting, and broadcasts these; a
-pivot's pairs are confirmed in groups of ``PAIRS``, each with one copy of its set.
+pivot's pairs are confirmed in groups of ``PAIRS``, each with one copy of its set; no
+pair is written before it is confirmed.
 
 A text without a word has an empty set and is linked with nothing, as is a null. With
 fewer words than a shingle has, the whole sequence is one shingle. Every row of the
@@ -31,9 +32,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, raw_texts, scratch, slices, stash
@@ -220,62 +220,103 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     total = pairs.count()
     sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
     dealt = with_unique(pairs, sizes, ["a"], "n", total).withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / PAIRS)))
-    dealt = dealt.select("a", "b", "part")
-    ones = dealt.select(F.col("a").alias("pivot"), F.col("part").alias("at")).distinct().join(sets.select(F.col("doc_id").alias("pivot"), F.col("items").alias("whole")), "pivot")
-    others = dealt.join(sets.select(F.col("doc_id").alias("b"), "items"), "b")
+    ones = dealt.select("a", "part").distinct().join(sets.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.col("a").alias("b"), "items")
+    others = dealt.join(sets.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "items")
 
-    def check(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        found = [(a, b) for b, y in zip(two["b"].tolist(), two["items"], strict=True) for a, x in zip(one["pivot"].tolist(), one["whole"], strict=True) if similar(x, y, percent)]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _runs(batches, "a", "part"):
+            found = []
+            for group in some:
+                pivot, ids = group.column("a")[0].as_py(), group.column("b").to_numpy()
+                items = _lists(group.column("items"))
+                own = [items[k] for k in np.flatnonzero(ids == pivot)]
+                found += [(pivot, int(ids[k])) for k in np.flatnonzero(ids != pivot) for x in own if similar(x, items[k], percent)]
+            yield _pairs(found)
 
-    return ones.groupBy("pivot", "at").cogroup(others.groupBy("a", "part")).applyInPandas(check, "a long, b long").distinct()
+    return ones.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part").mapInArrow(check, "a long, b long").distinct()
 
 
-def _near(short: np.ndarray) -> np.ndarray:
-    """For each pair of rows in how many slots they agree; 0 for those under LEAST_EQUAL."""
-    equal = np.zeros((len(short), len(short)), np.int16)
-    for i in range(0, len(short), 64):
-        equal[i : i + 64] = (short[i : i + 64, None] == short[None]).sum(axis=2)
-    equal[equal < LEAST_EQUAL] = 0
-    return equal
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
 
-def _slots(rows: pd.DataFrame) -> np.ndarray:
-    return np.frombuffer(b"".join(rows["slots"]), np.uint8).reshape(len(rows), -1)
+def _runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[list[pa.RecordBatch]]:
+    """Lists of whole groups of a sorted partition: those that each batch completes."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys])
+        cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        done = []
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            mark = tuple(marks[:, start].tolist())
+            if held and mark != last:
+                done.append(_whole(held))
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = mark
+        yield done
+    if held:
+        yield [_whole(held)]
 
 
-def _links_within(percent: int):
-    """Compares the classes of one bucket, the most similar first, and returns a forest of the links found."""
+def _whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("doc_id", kind="stable")
-        ids, items = rows["doc_id"].tolist(), rows["items"].tolist()
-        equal = np.triu(_near(_slots(rows)), 1)
-        sets = UnionFind()
-        for i, c in zip(ids, rows["component"].tolist(), strict=True):
-            sets.union(i, c)
-        found = []
-        first, second = np.nonzero(equal)
-        for k in np.argsort(-equal[first, second], kind="stable").tolist():
-            i, j = int(first[k]), int(second[k])
-            if sets.find(ids[i]) != sets.find(ids[j]) and similar(items[i], items[j], percent):
-                sets.union(ids[i], ids[j])
-                found.append((ids[i], ids[j]))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return run
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[x:y] for x, y in zip(ends, ends[1:], strict=False)]
+
+
+def _sides(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the group that are members, rows that are its minority, and for each pair of them in how many slots they agree.
+
+    It is 0 for pairs of one component and for those under LEAST_EQUAL.
+    """
+    minor = group.column("minor").to_numpy(zero_copy_only=False)
+    component = group.column("component").to_numpy()
+    left, right = np.flatnonzero(~minor), np.flatnonzero(minor)
+    short = np.frombuffer(b"".join(group.column("slots").to_pylist()), np.uint8).reshape(len(minor), -1)
+    equal = np.zeros((len(left), len(right)), np.int16)
+    for i in range(0, len(left), 32):
+        equal[i : i + 32] = (short[left[i : i + 32], None] == short[right][None]).sum(axis=2)
+    equal[(equal < LEAST_EQUAL) | (component[left][:, None] == component[right])] = 0
+    return left, right, equal
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each group that have a likely partner."""
+    for some in _runs(batches, "g"):
+        for group in some:
+            left, right, equal = _sides(group)
+            if equal.any():
+                yield group.take(pa.array(np.concatenate([left[equal.any(axis=1)], right[equal.any(axis=0)]])))
 
 
-def _candidates(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of two blocks of a bucket (or of one, if they are the same) that signatures take for similar and no component holds yet."""
-    low, high = key[-2:]
-    ids, part, component = (rows[c].to_numpy() for c in ("doc_id", "part", "component"))
-    first, second = np.nonzero(np.triu(_near(_slots(rows)), 1))
-    open_ = component[first] != component[second]
-    if low != high:
-        open_ &= part[first] != part[second]
-    a, b = ids[first[open_]], ids[second[open_]]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype="int64")
+def _compare(percent: int):
+    """A forest of the links found in each group, the most similar pairs first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _runs(batches, "g"):
+            found = []
+            for group in some:
+                left, right, equal = _sides(group)
+                ids, items = group.column("doc_id").to_pylist(), _lists(group.column("items"))
+                sets = UnionFind()
+                for i, c in zip(ids, group.column("component").to_pylist(), strict=True):
+                    sets.union(i, c)
+                row, column = np.nonzero(equal)
+                for k in np.argsort(-equal[row, column], kind="stable").tolist():
+                    i, j = int(left[row[k]]), int(right[column[k]])
+                    if sets.find(ids[i]) != sets.find(ids[j]) and similar(items[i], items[j], percent):
+                        sets.union(ids[i], ids[j])
+                        found.append((ids[i], ids[j]))
+            yield _pairs(found)
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -310,15 +351,24 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     groups = stash(connected_components(first), "groups")
 
     placed = met.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    unsure = placed.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x <> y").select("band", "key", F.col("n").alias("size"))
+    parts = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+    unsure = parts.groupBy("band", "key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("most"), F.sum("n").alias("size"), F.max("n").alias("largest")).filter("size > largest")
     slots = classes.select(F.col("rep").alias("doc_id"), "slots").dropDuplicates(["doc_id"])
-    rest = stash(with_unique(placed.drop("n"), unsure, ["band", "key"], "size", BANDS * n_classes).join(slots, "doc_id"), "unsure")
-    small = rest.filter(F.col("size") <= BLOCK).join(sets, "doc_id").groupBy("band", "key").applyInPandas(_links_within(percent), "a long, b long")
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    large = rest.filter(F.col("size") > BLOCK).withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    large = large.select("band", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "doc_id", "component", "slots")
-    candidates = stash(large.groupBy("band", "key", "low", "high").applyInPandas(_candidates, "a long, b long").distinct(), "candidates")
-    second = small.unionByName(confirmed(candidates, sets, percent)) if not candidates.isEmpty() else small
+    rest = stash(with_unique(placed.select("band", "key", "doc_id", "component"), unsure, ["band", "key"], "size", BANDS * n_classes).join(slots, "doc_id"), "unsure")
+
+    def blocks(n: Column) -> Column:
+        return F.ceil(n / BLOCK).cast("int")
+
+    def dealt(rows: DataFrame, own: Column, others: Column, minor: bool) -> DataFrame:
+        part, other = F.pmod(F.xxhash64("doc_id"), own).cast("int"), F.explode(F.sequence(F.lit(0), others - 1))
+        each = rows.withColumn("part", part).withColumn("other", other)
+        x, y = ("other", "part") if minor else ("part", "other")
+        return each.select(F.xxhash64("band", "key", x, y).alias("g"), F.lit(minor).alias("minor"), "doc_id", "component", "slots")
+
+    all_parts, minor_parts = blocks(F.col("size")), blocks(F.col("size") - F.col("largest"))
+    met_again = dealt(rest, all_parts, minor_parts, False).unionByName(dealt(rest.filter("component <> most"), minor_parts, all_parts, True))
+    likely = met_again.repartition("g").sortWithinPartitions("g").mapInArrow(_likely, met_again.schema)
+    second = stash(likely, "likely").join(sets, "doc_id").repartition("g").sortWithinPartitions("g").mapInArrow(_compare(percent), "a long, b long")
     merged = connected_components(stash(first.unionByName(second).distinct(), "links"))
 
     sizes = owned.groupBy("rep").agg(F.count("*").alias("n")).join(merged.withColumnRenamed("node", "rep"), "rep")
