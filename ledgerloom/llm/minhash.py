@@ -392,3 +392,27 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
 def op7_near_dedup(spark, sf_dir) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4, percent=80)
+
+
+ORACLE = r"""
+WITH RECURSIVE named AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+split AS (
+  SELECT r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM named),
+sets AS (
+  SELECT r, doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END) AS s
+  FROM split),
+classes AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM sets WHERE len(s) > 0 AND doc_id IS NOT NULL GROUP BY s),
+each AS (SELECT rep, n, unnest(s) AS x FROM classes),
+links AS (
+  SELECT a.rep AS a, b.rep AS b FROM each a JOIN each b ON a.x = b.x AND a.rep < b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT rep AS node, rep AS root FROM classes
+  UNION SELECT e.b, reach.root FROM reach JOIN edges e ON e.a = reach.node WHERE reach.root < e.b),
+least AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT doc_id, len(sets.s) AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(doc_id = coalesce(root, doc_id), true) AS kept
+FROM sets LEFT JOIN classes ON sets.s = classes.s AND doc_id IS NOT NULL LEFT JOIN least ON classes.rep = least.node
+"""

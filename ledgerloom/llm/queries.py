@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 SQL = {
+    "op7_near_dedup": minhash.ORACLE,
     "op9_line_dedup": linededup.ORACLE,
 }
