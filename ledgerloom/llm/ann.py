@@ -37,7 +37,7 @@ CENTROIDS = 256
 #: Share of all entries that a query's cells are to hold; less suits vectors that lie in groups.
 SHARE = 0.35
 #: Steps into which the traversal cuts the range of sums; pairs of one step are taken together.
-RINGS = 64
+RINGS = 16
 #: Entries of a block, and blocks at most (which bounds what is known of each).
 BLOCK = 8_192
 MOST_BLOCKS = 100_000
