@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, linededup, media, minhash, mixing, pii, quality, tokencount
+from . import ann, bpe, codes, hardneg, langid, linededup, media, minhash, mixing, pii, quality, simhash, tokencount
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_progressive_jpeg": media.op8_progressive_jpeg,
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_mixing": mixing.op10_mixing,
+    "op11_simhash": simhash.op11_simhash,
+    "op12_hard_negatives": hardneg.op12_hard_negatives,
+    "op13_vector_codes": codes.op13_vector_codes,
 }
 
 SQL = {
     "op7_near_dedup": minhash.ORACLE,
     "op9_line_dedup": linededup.ORACLE,
+    "op12_hard_negatives": hardneg.ORACLE,
+    "op13_vector_codes": codes.ORACLE,
 }
