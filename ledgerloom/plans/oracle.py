@@ -5,6 +5,7 @@ What the twins expect stands here; of the engine they take the literal inputs of
 
 from __future__ import annotations
 
+from . import oracle_invoices
 from .fixtures import CANDIDATES, DATES, IBANS, JSON_ANSWERS, NUMBERS, RECORDS, SENSITIVE, VAT_IDS, VENDORS
 
 # Chart of accounts, client, creditors, keywords and messages of the booking conventions.
@@ -20,18 +21,11 @@ _ACCOUNTS = [
 ]
 _CLIENT = "Musterhaus Immobilien SPV 01 GmbH"
 _CREDITOR_ROWS = [
-    ("K10001", "Beispiel Energie Saar GmbH", "4240 DE111111117 DE79100100100012345678"),
-    ("K10002", "ImmoFix Musterservice GmbH", "4260 DE222222220 DE33100100100023456789"),
-    ("K10003", "JurisMuster Beratung GmbH", "4950 DE333333339 DE63100100100034567890"),
-    ("K10004", "OfficeMuster Handels GmbH", "4930 DE444444443 DE98100100100045678901"),
+    ("K10001", "Beispiel Energie Saar GmbH", "4240", "DE111111117", "DE79100100100012345678"),
+    ("K10002", "ImmoFix Musterservice GmbH", "4260", "DE222222220", "DE33100100100023456789"),
+    ("K10003", "JurisMuster Beratung GmbH", "4950", "DE333333339", "DE63100100100034567890"),
+    ("K10004", "OfficeMuster Handels GmbH", "4930", "DE444444443", "DE98100100100045678901"),
 ]
-_WORDS = {
-    "4240": "strom electricity gas wasser water fernwärme district_heating energie",
-    "4250": "reinigung cleaning fensterreinigung window_washing",
-    "4260": "instandhaltung reparatur maintenance repair wartung technischer_service",
-    "4930": "bürobedarf office_supplies papier paper stationary büromaterial",
-    "4950": "rechtsberatung legal_counsel steuerberatung tax_advisory gutachten expert_opinion beratung",
-}
 _HAPPY = "All formal, arithmetic, and master data validations passed successfully. Booking proposal generated automatically."
 _OVERRIDE = "Per Rule R0, critical failure overrides other indicators. Automatic ledger processing is blocked."
 _NO_BALANCE = "Cannot evaluate arithmetic balance: net, VAT, or gross amount is missing."
@@ -107,7 +101,8 @@ SELECT light, count(*) AS n, sum(net_amount)::DOUBLE AS net, sum(gross_amount)::
 FROM (SELECT *, {light} AS light FROM facts) GROUP BY light"""
 
 
-_KEYWORDS = [(i, a, w) for i, (a, w) in enumerate((a, w.replace("_", " ")) for a, words in _WORDS.items() for w in words.split())]
+_KEYWORDS = [(i, a, w) for i, (a, w) in enumerate(oracle_invoices.KEYWORDS)]
+_RULES = list(dict.fromkeys(a for a, _ in oracle_invoices.KEYWORDS))
 _CREDITORS = [(i, c[0], c[1]) for i, c in enumerate(_CREDITOR_ROWS)]
 _LOOSE = "lower(regexp_replace({}, '[^A-Za-z0-9]', '', 'g'))"
 _GERMAN = r"'^\s*-?\d{1,3}(?:\.\d{3})*(?:,\d+)?\s*$'"
@@ -165,31 +160,12 @@ base AS (
   SELECT o_orderkey AS k, net_amount AS net, rate, (round(net_amount * rate * 0.01, 2) + CASE WHEN o_orderkey % 19 = 0 THEN 1 ELSE 0 END)::DECIMAL(18,2) AS vat,
     CASE WHEN o_orderkey % 13 = 0 THEN 'Andere Firma GmbH' ELSE 'z. Hd. {_CLIENT}' END AS recipient,
     [' beispiel ENERGIE saar gmbh', 'ImmoFix', 'JurisMuster Beratung GmbH', 'Office-Muster Handels', 'Stadtwerke Nord AG', 'Unbekannt OHG'][o_orderkey % 6 + 1] AS vendor,
-    CASE WHEN o_orderkey % 17 <> 0 THEN o_orderkey::VARCHAR END AS number, CASE WHEN o_orderpriority NOT LIKE '4%' THEN strftime(d.o_orderdate, '%Y-%m-%d') END AS sdate,
+    CASE WHEN o_orderkey % 17 <> 0 THEN o_orderkey::VARCHAR END AS number, strftime(d.o_orderdate, '%Y-%m-%d') AS idate, 'EUR' AS currency, CASE WHEN o_orderpriority NOT LIKE '4%' THEN strftime(d.o_orderdate, '%Y-%m-%d') END AS sdate,
     ['Strom und Gas', 'Reparatur Heizung', NULL, 'Papier', 'Sonstiges'][o_orderkey % 5 + 1] AS what
   FROM facts JOIN (SELECT o_orderkey, o_orderdate FROM orders) d USING (o_orderkey)),
 i AS (SELECT *, (net + vat + CASE WHEN k % 10 = 0 THEN 25 ELSE 0 END)::DECIMAL(18,2) AS gross FROM base)"""
 
 
-def _decisions(source: str) -> str:
-    """CTEs up to d: what the rules say of rows like i; creditors by key of the order, as the vendors' list has them."""
-    return f"""c AS (SELECT k AS ck, CASE k % 6 WHEN 0 THEN 'K10001' WHEN 1 THEN 'K10002' WHEN 2 THEN 'K10003' WHEN 3 THEN 'K10004' END AS creditor FROM {source}),
-w AS (SELECT * FROM {_values(_KEYWORDS, 'rank', 'account', 'keyword')}),
-hit AS (SELECT k AS hk, arg_min(account, rank) AS hit_account, arg_min(keyword, rank) AS hit_word FROM {source}, w WHERE contains(lower(coalesce(vendor, '') || ' ' || coalesce(what, '')), keyword) GROUP BY 1),
-e AS (
-  SELECT s.*, creditor, CASE WHEN creditor IS NULL THEN hit_word END AS word,
-    CASE creditor WHEN 'K10001' THEN '4240' WHEN 'K10002' THEN '4260' WHEN 'K10003' THEN '4950' WHEN 'K10004' THEN '4930' ELSE hit_account END AS account,
-    (round(net * rate * 0.01, 2) - vat)::DECIMAL(18,2) AS vat_delta
-  FROM {source} s JOIN c ON k = ck LEFT JOIN hit ON k = hk),
-f AS (
-  SELECT *, contains(recipient, '{_CLIENT}') AS r1, number IS NOT NULL AS r2, abs(net + vat - gross) <= 0.02 AS r3, abs(vat_delta) <= 0.02 AS r4, sdate IS NOT NULL AS r5, creditor IS NOT NULL AS r6, account IS NOT NULL AS r7 FROM e),
-d AS (
-  SELECT *, CASE WHEN NOT (r1 AND r2 AND r3 AND r4) THEN 'RED' WHEN NOT (r5 AND r6 AND r7) THEN 'YELLOW' ELSE 'GREEN' END AS light,
-    CASE WHEN rate = 7 THEN '1571' ELSE '1576' END AS tax_account FROM f),
-p AS (SELECT *, light <> 'RED' AND account IS NOT NULL AS open FROM d)"""
-
-
-_STATUS = "concat_ws(',', " + ", ".join(f"CASE WHEN r{n} THEN 'PASS' ELSE '{'FAIL' if n < 5 else 'WARN'}' END" for n in range(1, 8)) + ", CASE WHEN light = 'GREEN' THEN 'PASS' ELSE 'FAIL' END)"
 _PATCHED = """j AS (
   SELECT * REPLACE ((net + vat)::DECIMAL(18,2) AS gross, '2026-01-02' AS sdate, CASE WHEN k % 8 = 0 THEN NULL ELSE 'Wartung' END AS what) FROM i WHERE k % 4 = 0)"""
 
@@ -222,16 +198,14 @@ _COUNTS = "coalesce(n1, 0) AS vat_id, coalesce(n2, 0) AS iban, coalesce(n3, 0) A
 SQL = {
     "rule_reasons": _REASONS,
     "invoice_light_summary": _light_summary(f"CASE WHEN {_OK} THEN 'GREEN' ELSE 'RED' END", False),
-    "invoice_light_perturbed": f"""{_order_fields()}, {_decisions("i")}
+    "invoice_light_perturbed": f"""{_order_fields()}, {oracle_invoices.judged("i")}
 SELECT light, count(*) AS n, sum(CASE WHEN open THEN 3 ELSE 0 END)::BIGINT AS n_lines, sum(net)::DOUBLE AS net, sum(gross)::DOUBLE AS gross FROM p GROUP BY light""",
-    "invoice_decisions": f"""{_order_fields()}, {_decisions("i")}
-SELECT k::VARCHAR AS invoice_id, {_STATUS} AS statuses, vat_delta::DOUBLE AS vat_delta, light AS traffic_light, light = 'RED' AS blocked,
-  CASE light WHEN 'GREEN' THEN 1 ELSE (NOT r1)::INT + (NOT r2)::INT + (NOT r3)::INT + (NOT r4)::INT + (NOT r5)::INT + (NOT r6)::INT + (NOT r7)::INT + (light = 'RED')::INT END::BIGINT AS n_reasons,
+    "invoice_decisions": f"""{_order_fields()}, {oracle_invoices.judged("i")}
+SELECT k::VARCHAR AS invoice_id, statuses, vat_delta::DOUBLE AS vat_delta, light AS traffic_light, light = 'RED' AS blocked, len(reasons)::BIGINT AS n_reasons, array_to_string(reasons, ' | ') AS reasons,
   p.account, n.name, CASE WHEN r6 THEN 'creditor_master' WHEN r7 THEN 'keyword_heuristic' ELSE 'unresolved' END AS source, CASE WHEN r6 THEN 'high' WHEN r7 THEN 'medium' ELSE 'low' END AS confidence,
-  creditor AS creditor_id, word AS keyword,
-  CASE WHEN open THEN 'DEBIT ' || p.account || ' ' || net || '; DEBIT ' || tax_account || ' ' || vat || '; CREDIT 1600 ' || gross ELSE '' END AS lines
+  creditor AS creditor_id, word AS keyword, {oracle_invoices.LINES}
 FROM p LEFT JOIN {_NAMES} ON p.account = n.account""",
-    "audit_log_events": f"""{_order_fields()}, {_PATCHED}, {_decisions("j")}
+    "audit_log_events": f"""{_order_fields()}, {_PATCHED}, {oracle_invoices.judged("j")}
 SELECT k::VARCHAR AS invoice_id, 'upload' AS action, k::VARCHAR AS filename, NULL AS light, NULL AS description FROM i
 UNION ALL SELECT k::VARCHAR, 'revalidate', NULL, light, what FROM p""",
     "extract_fields_fixtures": "SELECT * REPLACE (net_amount::DOUBLE AS net_amount, vat_rate::DOUBLE AS vat_rate, vat_amount::DOUBLE AS vat_amount, gross_amount::DOUBLE AS gross_amount) FROM "
@@ -301,7 +275,7 @@ WITH src AS (
 SELECT doc_id, {_COUNTS}, sha256(t) AS masked_sha256 FROM m4""",
     "pii_counts": f"WITH src AS (SELECT x, x AS t FROM {_values(SENSITIVE, 'x')}), {_masked('src', 'x')} SELECT x, t AS masked, {_COUNTS} FROM m4",
     "pii_roundtrip": "SELECT count(text) AS n, count(text) AS n_same FROM documents",
-    "revalidate_overlay": f"""{_order_fields()}, {_PATCHED}, {_decisions("j")}
+    "revalidate_overlay": f"""{_order_fields()}, {_PATCHED}, {oracle_invoices.judged("j")}
 SELECT k::VARCHAR AS invoice_id, 'revalidated' AS outcome, gross::DOUBLE AS gross, sdate AS service_date, what AS description, light AS traffic_light, CASE WHEN open THEN 3 ELSE 0 END::BIGINT AS n_lines FROM p
 UNION ALL SELECT k::VARCHAR, 'quarantined', NULL, NULL, NULL, NULL, NULL FROM i WHERE k % 12 = 0""",
     "invoice_labels": """
@@ -320,8 +294,8 @@ f AS (SELECT x, j IS NOT NULL AS parsed, nullif(trim(j ->> '$.vendor_name'), '')
 SELECT x, parsed, vendor_name, CASE WHEN regexp_full_match(d, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN d END AS invoice_date, {_PARSED}::DOUBLE AS net_amount FROM f""",
     "master_data": "SELECT * FROM "
     + _values(
-        [("accounts", i, *a) for i, a in enumerate(_ACCOUNTS)] + [("clients", 0, "M0001", _CLIENT, "EUR")] + [("creditors", i, *c) for i, c in enumerate(_CREDITOR_ROWS)]
-        + [("keyword_rules", 100 * i + j, a, w.replace("_", " "), "") for i, (a, words) in enumerate(_WORDS.items()) for j, w in enumerate(words.split())],
+        [("accounts", i, *a) for i, a in enumerate(_ACCOUNTS)] + [("clients", 0, "M0001", _CLIENT, "EUR")] + [("creditors", i, c[0], c[1], " ".join(c[2:])) for i, c in enumerate(_CREDITOR_ROWS)]
+        + [("keyword_rules", 100 * _RULES.index(a) + [w for b, w in oracle_invoices.KEYWORDS if b == a].index(word), a, word, "") for a, word in oracle_invoices.KEYWORDS],
         "list", "rank", "code", "name", "detail",
     ),
     "master_counts": "SELECT * FROM (VALUES ('accounts', 8::BIGINT), ('clients', 1), ('creditors', 4), ('keyword_rules', 31)) AS v(list, n)",
@@ -353,3 +327,4 @@ SELECT 'intersect' AS op, count(*) AS n FROM (SELECT c_nationkey FROM customer I
 UNION ALL SELECT 'except', count(*) FROM (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier)
 UNION ALL SELECT 'union', count(*) FROM (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)""",
 }
+SQL |= oracle_invoices.SQL

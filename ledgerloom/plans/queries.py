@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import checksum, dates, money, text
-from ..operators import ledger, masking, matching, rules
+from ..operators import items, ledger, masking, matching, rules
 from ..operators.extract import coerce_json, extract_fields
 from ..schemas import CANDIDATE, EXTRACTED, FIELDS
 from ..session import spread
 from ..sources import audit, documents, master
 from ..streaming import streams
-from . import invoices
+from . import invoices, render
 from .fixtures import CANDIDATES, DATES, IBANS, JSON_ANSWERS, LAYOUTS, NUMBERS, RECORDS, SENSITIVE, VAT_IDS, VENDORS
 
 MONEY = "decimal(18,2)"
@@ -100,7 +100,7 @@ def invoice_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     delta = F.get(F.filter("validations", lambda v: v["check"].startswith("R4")), F.lit(0))["delta"]
     return out.select(
         "invoice_id", F.array_join(F.transform("validations", lambda v: v["status"]), ",").alias("statuses"), delta.cast("double").alias("vat_delta"), "traffic_light", "blocked",
-        F.size("decision_reasons").cast("long").alias("n_reasons"), "suggestion.account", "suggestion.name", "suggestion.source", "suggestion.confidence", "suggestion.creditor_id", "suggestion.keyword",
+        F.size("decision_reasons").cast("long").alias("n_reasons"), F.array_join("decision_reasons", " | ").alias("reasons"), "suggestion.account", "suggestion.name", "suggestion.source", "suggestion.confidence", "suggestion.creditor_id", "suggestion.keyword",
         F.array_join(F.transform("booking_proposal", lambda x: F.concat(x["side"], F.lit(" "), x["account"], F.lit(" "), x["amount"].cast("string"))), "; ").alias("lines"),
     )
 
@@ -261,6 +261,46 @@ def rule_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("invoice_id", "traffic_light", "blocked", F.array_join("decision_reasons", " | ").alias("reasons"))
 
 
+def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """invoice_id and text: an invoice for each order that has lines, in one of the renderer's layouts."""
+    return render.rendered(render.facts(_table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem")))
+
+
+def rendered_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eleven fields read back from the texts of all orders' invoices."""
+    out = extract_fields(_rendered(spark, sf_dir))
+    return out.select("invoice_id", *[F.col(f).cast("double").alias(f) if f in invoices.DECIMALS else F.col(f) for f in FIELDS])
+
+
+def rendered_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders' invoices from text to decision, with every reason in full."""
+    out = invoices.process(_rendered(spark, sf_dir))
+    statuses = F.array_join(F.transform("validations", lambda v: v["status"]), ",").alias("statuses")
+    lines = F.array_join(F.transform("booking_proposal", lambda x: F.concat(x["side"], F.lit(" "), x["account"], F.lit(" "), x["amount"].cast("string"))), "; ").alias("lines")
+    reasons = F.array_join("decision_reasons", " | ").alias("reasons")
+    return out.select("invoice_id", statuses, "traffic_light", "blocked", reasons, F.col("suggested_expense_account.account").alias("account"), lines, "audit.notes", F.col("audit.model_or_method").alias("method"))
+
+
+def rendered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of all invoices that have a table of them."""
+    out = items.invoice_lines(_rendered(spark, sf_dir))
+    return out.select("invoice_id", "n", "text", "quantity", F.col("amount").cast("double").alias("amount"))
+
+
+def rendered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's answers about all orders' invoices, coerced: some fenced, some no object, some with blank names, dates of another shape or amounts that are none."""
+    facts = extract_fields(_rendered(spark, sf_dir))
+    k = F.col("invoice_id").cast("long")
+    said = F.to_json(F.struct(
+        F.when(k % 5 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), "vendor_name")).alias("vendor_name"),
+        F.when(k % 3 == 0, F.date_format("invoice_date", "dd.MM.yyyy")).otherwise(F.col("invoice_date")).alias("invoice_date"),
+        F.when(k % 4 == 0, F.lit("n/a")).otherwise(F.concat(render.german(F.col("net_amount")), F.lit(" EUR"))).alias("net_amount"), "gross_amount", "description",
+    ))
+    answer = F.when(k % 23 == 0, F.concat(F.lit("["), said, F.lit("]"))).when(k % 2 == 0, F.concat(F.lit("```json\n"), said, F.lit("\n```"))).otherwise(said)
+    got = facts.select("invoice_id", coerce_json(answer).alias("f"))
+    return got.select("invoice_id", F.col("f").isNotNull().alias("parsed"), "f.vendor_name", "f.invoice_date", F.col("f.net_amount").cast("double").alias("net_amount"), F.col("f.gross_amount").cast("double").alias("gross_amount"), "f.description")
+
+
 def _records_and_patches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Records of all orders, and patches: a right total and a service date for some, then an explicit null, then an amount that is no number."""
     records = invoices.shaped(invoices.decide(order_invoices(spark, sf_dir)))
@@ -397,7 +437,7 @@ QUERIES = {
         creditor_exact, creditor_fuzzy, keyword_account, parse_german_decimal, normalize_dates, vat_checksum, iban_checksum, text_quality_score,
         best_engine, best_engine_fixture, pii_email_mask, pii_counts, pii_roundtrip, extract_fields_fixtures, process_fixtures, process_documents, rule_reasons,
         revalidate_overlay, invoice_labels, audit_event_windows, audit_event_sessions, llm_json_coerce, master_data, master_counts, record_export,
-        invoice_decisions, audit_log_events,
+        invoice_decisions, audit_log_events, rendered_fields, rendered_decisions, rendered_items, rendered_answers,
         surface_rollup, surface_as_of, surface_set_ops, surface_joins, surface_cube, surface_windows, surface_interval, surface_percentiles,
     )
 }
