@@ -20,6 +20,7 @@ def items(text: Column) -> Column:
 
     A text broken over lines is put together with single spaces. An amount that is no number is null.
     """
+    text = F.regexp_replace(text, r"\r\n?", "\n")
     start = F.regexp_instr(text, F.lit(OPENS))
     rest = F.when(start > 0, F.regexp_replace(F.substring(text, start, F.length(text)), r"^[^\n]*\n?", ""))
     end = F.regexp_instr(rest, F.lit(CLOSES))

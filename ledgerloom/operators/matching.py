@@ -1,7 +1,7 @@
 """Creditors and accounts for invoices.
 
 With master data as literals (at most 100 rows) matching is a projection. For
-creditor tables of any size, ``match_creditors`` joins on the keys instead.
+creditor tables of any size, ``match_creditors`` joins on the keys instead, and ``loose`` on parts of names.
 """
 
 from __future__ import annotations
@@ -72,17 +72,6 @@ def match_creditors(df: DataFrame, creditors: DataFrame) -> DataFrame:
     return out.withColumn("creditor_id", best["creditor_id"]).drop("_vat_id", "_iban", "_name")
 
 
-def match_creditors_loosely(df: DataFrame, creditors: DataFrame, strip_forms: bool = False) -> DataFrame:
-    """key, creditor_id: for each row of df (key, vendor_name) the first creditor (by rank) whose loose name holds the vendor's or is held by it.
-
-    Creditors are limited to the 100 that master data can have, which bounds the broadcast.
-    """
-    mine = df.select("key", loose_key(F.col("vendor_name"), strip_forms).alias("_own")).filter(F.length("_own") >= 6)
-    theirs = creditors.orderBy("rank").limit(100).select("rank", "creditor_id", loose_key(F.col("name"), strip_forms).alias("_their")).filter("_their <> ''")
-    pairs = mine.join(F.broadcast(theirs), F.contains("_own", "_their") | F.contains("_their", "_own"))
-    return pairs.groupBy("key").agg(F.min(F.struct("rank", "creditor_id")).alias("best")).select("key", "best.creditor_id")
-
-
 def keyword(master: Master, vendor: Column, description: Column) -> Column:
     """struct(account, keyword) of the first keyword, in the order of rules, that vendor and description contain."""
     hay = F.lower(F.concat(F.coalesce(vendor, F.lit("")), F.lit(" "), F.coalesce(description, F.lit(""))))

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import money
 from ..functions.text import strip
 from ..operators import ledger, masking, rules
+from ..operators import prefix as ordered
 from ..operators.extract import coerce_json, extract_fields, model_answers, prefer_answers
 from ..schemas import FIELDS
 from ..session import master_data
 from ..session import tolerance as session_tolerance
-from ..sources import audit, documents
+from ..sources import audit, store
 from ..sources.master import Master
 
 TEXT_FIELDS = ("invoice_recipient", "vendor_name", "invoice_number", "invoice_date", "service_date", "currency", "description")
@@ -60,10 +61,14 @@ def process(texts: DataFrame, master: Master | None = None, tolerance: float | N
     return shaped(done.withColumn("audit", block).drop("_by_model"))
 
 
-def upload(texts: DataFrame, records_path: str, audit_path: str, **settings) -> None:
-    """Appends the records of texts and an event for each."""
-    documents.append(process(texts, **settings), records_path)
-    audit.log(audit.uploads(texts), audit_path)
+def upload(texts: DataFrame, records_path: str, audit_path: str, batch: str | int | None = None, **settings) -> None:
+    """Adds the records of texts and an event for each, once: a batch repeated, or run again after a failure, leaves what it left before.
+
+    Batches have names, or are told apart by the texts.
+    """
+    batch = store.content_key(texts) if batch is None else batch
+    store.write_once(process(texts, **settings), records_path, batch)
+    audit.log(audit.uploads(texts), audit_path, batch)
 
 
 def fold_patches(patches: DataFrame) -> DataFrame:
@@ -100,42 +105,28 @@ def revalidate(records: DataFrame, patches: DataFrame, master: Master | None = N
     return shaped(decide(rows, master, tolerance)), bad
 
 
-def correct(records: DataFrame, patches: DataFrame, records_path: str, audit_path: str, quarantine_path: str) -> None:
-    """Appends the records that patches change, an event for each, and the patches set aside."""
-    after, bad = revalidate(records, patches)
-    documents.append(after, records_path)
-    audit.log(audit.revalidations(after), audit_path)
-    documents.append(bad, quarantine_path)
-
+def correct(records: DataFrame, patches: DataFrame, records_path: str, audit_path: str, quarantine_path: str, batch: str | int | None = None) -> None:
+    """Adds the records that patches change, an event for each, and the patches set aside, once, as ``upload`` does.
 
-#: Ranges that labels are counted in, a power of two, and about how many keys their bounds are taken from.
-RANGES = 256
-BOUND_KEYS = 20_000
+    Records are decided once and written; their events are taken from what was written.
+    """
+    batch = store.content_key(patches) if batch is None else batch
+    after, bad = revalidate(records, patches)
+    written = store.write_once(after, records_path, batch)
+    audit.log(audit.revalidations(written), audit_path, batch)
+    store.write_once(bad, quarantine_path, batch)
 
 
-def labels(records: DataFrame, ts: Column, key: str = "invoice_id", prefix: str = "Rechnung-") -> DataFrame:
+def labels(records: DataFrame, ts: Column, key: str = "invoice_id", prefix: str = "Rechnung-", rows: int = ordered.ROWS) -> DataFrame:
     """``records`` with label: numbered by processing time, those without one first; ties by key.
 
-    Rows are dealt to ranges of (time, key) with about as many rows each, so neither a busy hour nor rows without a time
-    meet in one task; within its range a row is ranked, and the sizes of the ranges before are added.
+    Rows are dealt to ranges of (time, key) of about ``rows`` rows, as many as that takes, so neither a busy hour nor rows without a time
+    meet in one task.
     """
-    place = F.struct(F.unix_micros(F.coalesce(ts, F.timestamp_seconds(F.lit(0)))).alias("at"), F.col(key).alias("key"))
-    dealt = records.withColumn("_place", place)
-    few = F.pmod(F.xxhash64("_place"), F.lit(max(1, dealt.count() // BOUND_KEYS))) == 0
-    some = [(r["at"], r["key"]) for r in dealt.filter(few).select("_place.*").orderBy("at", "key").collect()]
-    bounds = [some[i * len(some) // RANGES] for i in range(1, RANGES)] if some else []
-    number = F.lit(0)
-    if bounds:
-        edges = F.array(*[F.struct(F.lit(at).cast("long").alias("at"), F.lit(k).cast(records.schema[key].dataType).alias("key")) for at, k in bounds])
-        halves = F.array(*[F.lit(RANGES >> i) for i in range(1, RANGES.bit_length())])
-        number = F.aggregate(halves, F.lit(0), lambda n, half: n + F.when(F.get(edges, n + half - 1) <= F.col("_place"), half).otherwise(0))
-    dealt = dealt.withColumn("_range", number)
-    sizes = {r["_range"]: r["n"] for r in dealt.groupBy("_range").agg(F.count("*").alias("n")).collect()}
-    starts = F.array(*[F.lit(sum(n for r, n in sizes.items() if r < k)).cast("long") for k in range(RANGES)])
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy("_place"))
-    digits = (rank + F.get(starts, F.col("_range"))).cast("string")
+    timed = records.withColumn("_at", F.unix_micros(F.coalesce(ts, F.timestamp_seconds(F.lit(0)))))
+    digits = F.col("_number").cast("string")
     label = F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.length(digits), F.lit(5)), F.lit("0")))
-    return dealt.withColumn("label", label).select(*records.columns, "label")
+    return ordered.numbered(timed, ["_at", key], "_number", rows).withColumn("label", label).select(*[F.col(f"`{c}`") for c in records.columns], "label")
 
 
 def only(records: DataFrame, ids: DataFrame, key: str = "invoice_id") -> DataFrame:

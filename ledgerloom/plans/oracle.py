@@ -328,3 +328,17 @@ UNION ALL SELECT 'except', count(*) FROM (SELECT c_nationkey FROM customer EXCEP
 UNION ALL SELECT 'union', count(*) FROM (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)""",
 }
 SQL |= oracle_invoices.SQL
+SQL |= {
+    "account_statements": f"""WITH {_BOOKED}, s AS (
+  SELECT account, b.o_orderkey, o_orderdate, CASE WHEN side = 'DEBIT' THEN amount ELSE -amount END AS signed FROM booked b JOIN orders o ON b.o_orderkey = o.o_orderkey)
+SELECT account, o_orderkey, signed::DOUBLE AS signed, (sum(signed) OVER (PARTITION BY account ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING))::DOUBLE AS balance FROM s""",
+    "events_in_intervals": """
+WITH s AS (SELECT o_orderkey, 1704067200000000 + o_orderkey * 7919 % 2592000 * 1000000 AS a, CASE WHEN o_orderkey % 500 = 0 THEN 28800 ELSE (o_orderkey % 13 + 1) * 20 END * 1000000 AS d FROM orders)
+SELECT o_orderkey, event_id FROM events JOIN s ON epoch_us(ts) >= a AND epoch_us(ts) <= a + d""",
+    "events_matched": """
+SELECT p.user_id, p.event_id, c.event_id AS corrected_by FROM events p
+LEFT JOIN events c ON c.event_type = 'error' AND p.user_id = c.user_id AND c.ts >= p.ts AND c.ts <= p.ts + INTERVAL 1 HOUR WHERE p.event_type = 'purchase'""",
+    "sketch_estimates": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_near, true AS median_near, true AS n_same FROM events GROUP BY event_type",
+    "events_upserted": "SELECT user_id, arg_max(event_id, (ts, event_id % 3, event_id)) AS event_id FROM events GROUP BY user_id",
+    "audit_once": "SELECT o_orderkey::VARCHAR AS invoice_id, 'upload' AS action, CASE WHEN o_orderkey % 3 = 2 THEN 2 ELSE 1 END::BIGINT AS n FROM orders",
+}

@@ -119,4 +119,20 @@ SELECT k::VARCHAR AS invoice_id, n::INTEGER AS n, text, quantity, amount::DOUBLE
 SELECT k::VARCHAR AS invoice_id, k % 23 <> 0 AS parsed, * FROM (
   SELECT k, CASE WHEN k % 23 <> 0 AND k % 5 <> 0 THEN vendor END AS vendor_name, CASE WHEN k % 23 <> 0 AND k % 3 <> 0 THEN idate END AS invoice_date,
     CASE WHEN k % 23 <> 0 AND k % 4 <> 0 THEN net::DOUBLE END AS net_amount, CASE WHEN k % 23 <> 0 THEN gross::DOUBLE END AS gross_amount, CASE WHEN k % 23 <> 0 THEN what END AS description FROM read)""".replace("AS parsed, *", "AS parsed, * EXCLUDE (k)"),
+    "creditor_loose": f"""
+WITH v AS (
+  SELECT c_custkey AS key, 'Supplier#' || lpad((c_custkey % 1200)::VARCHAR, 9, '0') AS base FROM customer),
+w AS (
+  SELECT key, [upper(base) || ' GmbH & Co', substr(base, 3), 'Haus ' || reverse(base), substr(base, 1, 14), 'Supp', 'An ' || replace(base, '#', '-')][key % 6 + 1] AS vendor FROM v),
+o AS (SELECT key, {LOOSE.format("vendor")} AS own FROM w),
+t AS (SELECT s_suppkey AS rank, {LOOSE.format("s_name")} AS their FROM supplier),
+d AS (SELECT own, min(rank) AS rank FROM (SELECT DISTINCT own FROM o WHERE length(own) >= 6) JOIN t ON contains(own, their) OR contains(their, own) GROUP BY own)
+SELECT key, 'K' || rank AS creditor_id FROM o LEFT JOIN d USING (own)""",
+    "keyword_book": """
+WITH w AS (SELECT string_split(lower(text), ' ') AS w FROM benchmark),
+g AS (SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS keyword FROM w),
+b AS MATERIALIZED (SELECT keyword, row_number() OVER (ORDER BY length(keyword) DESC, keyword) AS rank FROM g),
+t AS MATERIALIZED (SELECT doc_id, lower(text) AS t FROM documents),
+h AS (SELECT doc_id, min(rank) AS rank FROM t JOIN b ON contains(t, keyword) GROUP BY doc_id)
+SELECT d.doc_id, ['4240', '4250', '4260', '4930', '4950'][rank % 5 + 1] AS account, keyword FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN b USING (rank)""",
 }

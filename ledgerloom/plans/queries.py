@@ -7,15 +7,17 @@ order where a query is to see every light.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import checksum, dates, money, text
-from ..operators import items, ledger, masking, matching, rules
+from ..operators import intervals, items, keywords, ledger, loose, masking, matching, prefix, rules, sketches
 from ..operators.extract import coerce_json, extract_fields
 from ..schemas import CANDIDATE, EXTRACTED, FIELDS
 from ..session import spread
-from ..sources import audit, documents, master
+from ..sources import audit, documents, master, store
 from ..streaming import streams
 from . import invoices, render
 from .fixtures import CANDIDATES, DATES, IBANS, JSON_ANSWERS, LAYOUTS, NUMBERS, RECORDS, SENSITIVE, VAT_IDS, VENDORS
@@ -173,6 +175,25 @@ def creditor_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(spark, VENDORS, "vendor").select("vendor", matching.creditor(m, F.col("vendor"))["creditor_id"].alias("creditor_id"))
 
 
+def creditor_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as invoices' vendors, whose names hold a supplier's, are held by one or by many, or by none; all suppliers as creditors."""
+    s = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("rank"), F.concat(F.lit("K"), "s_suppkey").alias("creditor_id"), F.col("s_name").alias("name"))
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+    name = F.concat(F.lit("Supplier#"), F.lpad((F.col("key") % 1200).cast("string"), 9, "0"))
+    forms = F.array(F.concat(F.upper(name), F.lit(" GmbH & Co")), F.substring(name, 3, 30), F.concat(F.lit("Haus "), F.reverse(name)), F.substring(name, 1, 14), F.lit("Supp"), F.concat(F.lit("An "), F.replace(name, F.lit("#"), F.lit("-"))))
+    vendors = c.withColumn("vendor_name", F.get(forms, (F.col("key") % 6).cast("int")))
+    return c.join(loose.match_loosely(vendors, s), "key", "left")
+
+
+def keyword_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the first of thousands of keywords: all pairs of words that follow each other in the benchmark's passages, longer ones first."""
+    words = _table(spark, sf_dir, "benchmark").select(F.split(F.lower("text"), " ").alias("w"))
+    pairs = words.select(F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).alias("keyword")).distinct()
+    book = pairs.filter("instr(keyword, ' ') > 0").withColumn("rank", F.row_number().over(Window.orderBy(F.length("keyword").desc(), "keyword")))  # a rule book, of bounded size
+    book = book.withColumn("account", F.element_at(F.array(*[F.lit(a) for a, _ in master.KEYWORDS]), F.col("rank") % 5 + 1))
+    return keywords.match_keywords(_documents(spark, sf_dir), book).select("doc_id", "account", "keyword")
+
+
 def keyword_account(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by the account that keywords in their text suggest."""
     m = master.Master()
@@ -322,6 +343,64 @@ def revalidate_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.unionByName(bad.select("invoice_id", F.lit("quarantined").alias("outcome")), allowMissingColumns=True)
 
 
+def account_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every booking line with its account's balance after it, debit less credit, in the order of invoices' dates and numbers."""
+    days = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    signed = F.when(F.col("side") == "DEBIT", F.col("amount")).otherwise(-F.col("amount")).cast(MONEY)
+    lines = _order_lines(spark, sf_dir).join(days, "o_orderkey").withColumn("signed", signed)
+    out = prefix.running_sum(lines, ["account"], ["o_orderdate", "o_orderkey"], "signed", "balance")
+    return out.select("account", "o_orderkey", *_double("signed", "balance"))
+
+
+def events_in_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events within the spans of orders: some seconds for most, eight hours for a few."""
+    events = _table(spark, sf_dir, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    k = F.col("o_orderkey")
+    start = F.lit(1_704_067_200_000_000) + k * 7919 % 2_592_000 * 1_000_000
+    spans = _table(spark, sf_dir, "orders").select("o_orderkey", start.alias("start"), (start + F.when(k % 500 == 0, 28_800).otherwise((k % 13 + 1) * 20) * 1_000_000).alias("end"))
+    return intervals.hold(events, spans, "at", "start", "end").select("o_orderkey", "event_id")
+
+
+def events_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch twin of the two matched streams: purchases, each with the user's errors in the hour after it, or without."""
+    e = _table(spark, sf_dir, "events")
+    uploads = e.filter("event_type = 'purchase'").select("user_id", "event_id", "ts")
+    corrections = e.filter("event_type = 'error'").select("user_id", F.col("event_id").alias("corrected_by"), F.col("ts").alias("corrected_at"))
+    return streams.matched(uploads, corrections, "user_id", "ts", "corrected_at", "1 HOUR").select("user_id", "event_id", "corrected_by")
+
+
+def sketch_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users and median value by type of event, exactly, and whether the merged sketches of all days are as near as they are said to be."""
+    e = _table(spark, sf_dir, "events").select("event_type", "user_id", "value", "ts")
+    days = store.write_once(sketches.daily(e, "ts", ["event_type"], "user_id", "value"), f"{store.shared_dir(spark)}/sketches-{uuid.uuid4().hex}", "all")
+    told = sketches.estimates(sketches.merged(days, ["event_type"]), ["event_type"])
+    exact = e.groupBy("event_type").agg(F.count("*").alias("n_exact"), F.count_distinct("user_id").alias("users"))
+    below = e.join(F.broadcast(told), "event_type").groupBy("event_type").agg(F.avg((F.col("value") < F.col("q50")).cast("int")).alias("under"), F.avg((F.col("value") <= F.col("q50")).cast("int")).alias("upto"))
+    out = exact.join(told, "event_type").join(below, "event_type")
+    near = F.abs(F.col("distinct") - F.col("users")) <= F.greatest(F.lit(1.0), F.col("users") * sketches.COUNT_WITHIN)
+    ranked = (F.col("under") <= 0.5 + sketches.RANK_WITHIN) & (F.col("upto") >= 0.5 - sketches.RANK_WITHIN)
+    return out.select("event_type", "n", "users", near.alias("users_near"), ranked.alias("median_near"), (F.col("n") == F.col("n_exact")).alias("n_same"))
+
+
+def events_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's newest event, from a bucketed table that three batches of events were put into, one of them twice."""
+    e = _table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    path = f"{store.shared_dir(spark)}/upserts-{uuid.uuid4().hex}"
+    for batch in (0, 1, 1, 2):
+        store.upsert(e.filter(F.col("event_id") % 3 == batch), path, "user_id", batch, "ts", 16)
+    return store.read(spark, path, e.schema).select("user_id", "event_id")
+
+
+def audit_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of uploads in the log, of which one batch was logged twice, and one a second time under its own name."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("invoice_id"), F.pmod("o_orderkey", F.lit(3)).alias("part"))
+    path = f"{store.shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    for part, batch in ((0, None), (1, 7), (0, None), (2, 8), (1, 7), (2, 9)):
+        audit.log(audit.uploads(o.filter(F.col("part") == part).select("invoice_id")), path, batch)
+    log = spark.read.parquet(path)
+    return log.groupBy("invoice_id", "action").agg(F.count("*").alias("n"))
+
+
 def invoice_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 50 != 0, F.col("o_orderdate")).alias("processed_at"))
     return invoices.labels(o, F.col("processed_at"), "o_orderkey").select("o_orderkey", "label")
@@ -437,7 +516,8 @@ QUERIES = {
         creditor_exact, creditor_fuzzy, keyword_account, parse_german_decimal, normalize_dates, vat_checksum, iban_checksum, text_quality_score,
         best_engine, best_engine_fixture, pii_email_mask, pii_counts, pii_roundtrip, extract_fields_fixtures, process_fixtures, process_documents, rule_reasons,
         revalidate_overlay, invoice_labels, audit_event_windows, audit_event_sessions, llm_json_coerce, master_data, master_counts, record_export,
-        invoice_decisions, audit_log_events, rendered_fields, rendered_decisions, rendered_items, rendered_answers,
+        invoice_decisions, audit_log_events, rendered_fields, rendered_decisions, rendered_items, rendered_answers, creditor_loose, keyword_book,
+        account_statements, events_in_intervals, events_matched, sketch_estimates, events_upserted, audit_once,
         surface_rollup, surface_as_of, surface_set_ops, surface_joins, surface_cube, surface_windows, surface_interval, surface_percentiles,
     )
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import store
+
 
 def events(records: DataFrame, action: str, **details: str) -> DataFrame:
     """invoice_id, action, details and ts for each record; details name columns by their key."""
@@ -25,5 +27,9 @@ def revalidations(records: DataFrame) -> DataFrame:
     return events(told, "revalidate", **{c: c for c in parts})
 
 
-def log(audit: DataFrame, path: str) -> None:
-    audit.write.mode("append").parquet(path)
+def log(audit: DataFrame, path: str, batch: str | int | None = None) -> None:
+    """Adds events to the log, once: a batch of a name that the log has adds nothing.
+
+    Without a name, events are a batch by what they say, whenever that was.
+    """
+    store.write_once(audit, path, store.content_key(audit.drop("ts")) if batch is None else batch)
