@@ -84,7 +84,7 @@ def tiles(left: DataFrame, right: DataFrame, pairs: list[str], reduce, schema: s
     def multiply(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         """One block of each side at a time; what belongs to their rows travels with the first chunk alone."""
         if one.empty or two.empty:
-            return pd.DataFrame({c.split(" ")[0]: [] for c in told.split(", ")})
+            return pd.DataFrame(columns=[*pairs, "high", *first, *[f"other_{c}" for c in second], "tile"], dtype=object)
         x, y = one.iloc[0], two.iloc[0]
         a, b = (np.frombuffer(r["values"], np.int64).reshape(len(r["rows"]), -1) for r in (x, y))
         lead = x["chunk"] == 0
@@ -168,9 +168,10 @@ def _mined(vectors: DataFrame, is_anchor: Column, label: Column, id_column: str,
         for i, (anchor, own_label, wanted) in enumerate(zip(r["rows"], r["label"], r["scores"], strict=True)):
             use = np.flatnonzero(labels != own_label)
             use = use[_best(scores[i, use], ids[use], len(use))]
-            falling = -100 * scores[i, use]
+            falling = -scores[i, use]
             for n, p in enumerate(wanted, 1):
-                begin, end = np.searchsorted(falling, -high * int(p), "left"), np.searchsorted(falling, -low * int(p), "right")
+                most, least = high * int(p) // 100, -(-low * int(p) // 100)
+                begin, end = np.searchsorted(falling, -most, "left"), np.searchsorted(falling, -least, "right")
                 out += [(anchor, n, int(ids[j]), int(scores[i, j])) for j in use[begin : max(begin, min(end, begin + k))]]
         return pd.DataFrame(out, columns=["anchor", "n", "negative_id", "negative_score"]).astype("int64")
 
