@@ -32,7 +32,7 @@ class Overlay(StatefulProcessor):
         self.record = handle.getValueState("record", "seq long, record string")
         self.fields = handle.getMapState("fields", "field string", "seq long, value string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         latest = 0
         for pdf in rows:
             for seq, record, patch, ts in zip(pdf["seq"], pdf["record"], pdf["patch"], pdf["ts"], strict=True):
@@ -45,12 +45,12 @@ class Overlay(StatefulProcessor):
                         self.fields.updateValue((field,), (int(seq), value))
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
-        self.handle.registerTimer(max(latest, timers.getCurrentWatermarkInMs()) + self.keep_ms)
+        self.handle.registerTimer(max(latest, timerValues.getCurrentWatermarkInMs()) + self.keep_ms)
         if self.record.exists():
             changed = {field: value for (field,), (_, value) in self.fields.iterator()}
             yield pd.DataFrame({"invoice_id": [key[0]], "record": [self.record.get()[1]], "patch": [json.dumps(changed)]})
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.record.clear()
         self.fields.clear()
         return iter(())
