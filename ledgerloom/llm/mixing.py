@@ -3,17 +3,21 @@
 A classifier learnt from a labelled table gives each document's posterior over
 domains. Each document gets a nonnegative rate, the number of times it is to be
 seen, so that the domains' expected token totals meet their targets: sum over
-documents of rate x tokens x posterior. From rates of one, projected gradient
-minimises the squared misses, weighted by the inverse of the domains' token
-products, with token counts as the metric of the rates: documents of equal
+documents of rate x tokens x posterior. Least squares: the squared misses, weighted
+by the inverse of the domains' token products, are minimal, and among such rates those
+nearest to one are taken, with token counts as the metric, so that documents of equal
 posterior change alike, however long. Documents that are most likely of the first
 domain keep a rate of one at least, and none exceeds ``ceiling`` where one is given.
-A target that these bounds put out of reach is replaced by the nearest total within
-reach before the fit, so it is never chased at the cost of the others; totals before,
-asked for, wanted within reach and reached stand beside the rates. Steps have
-momentum and go on until they are settled (``SETTLED``), however many that takes. A
-gradient is one number per domain, so an iteration is one aggregate over documents;
-rates are stored every few steps and never gathered.
+
+Gradients are projected: a document's rate is one less its posteriors times a multiplier
+for each domain, cut to its bounds. The multipliers sum up gradients, which are the misses that
+the rates leave, each scaled by the inverse token products of the documents that
+bounds don't hold. A round tries ``LENGTHS`` of the step in one aggregate over documents, a few numbers
+for each, and takes the best; rates are never gathered. The fit ends when the gradient is within
+``SETTLED`` of nothing, when no length is better, or after ``ROUNDS`` rounds; which it was is told by
+the number of rounds beside the rates. A target that bounds put out of reach is replaced by the nearest total
+within reach before the fit; totals before, asked for, wanted within reach and reached
+stand there too.
 
 Domains come from labels: ``toxic`` where toxic is 1, else ``low`` where quality is
 0, else ``clean``. The classifier is fitted on a bounded sample (``TRAIN_ROWS``
@@ -40,12 +44,12 @@ DOMAINS = ("clean", "low", "toxic")
 #: Share of the tokens that each domain is to have, in a budget that the first domain fills by its share as it is.
 TARGETS = {"clean": 0.97, "low": 0.03, "toxic": 0.0}
 VOCABULARY = 1_500
-#: Rates are final when a step along the projected gradient changes a token's rate by no more on average.
-SETTLED = 1e-5
-#: Steps between two tables of the rates so far.
-STEPS = 10
-#: Rates this close to a whole number are taken as it when documents are copied; rates themselves and totals are exact.
-SNAP = 0.02
+#: The gradient, as a part of each domain's wanted total, at which rates are final, and rounds at most.
+SETTLED = 1e-4
+ROUNDS = 60
+LENGTHS = tuple(2.0**-i for i in range(-1, 9))
+#: How much more a miss weighs than a rate's distance from one.
+WEIGHT = 1e7
 _STATISTICS = ("upper", "marks", "bars", "distinct")
 
 
@@ -117,82 +121,81 @@ def _capped(rate: Column, ceiling: float | None) -> Column:
     return rate if ceiling is None else F.least(F.lit(float(ceiling)), rate)
 
 
-def rates_after(gradients: list[np.ndarray], momenta: list[float], ceiling: float | None, rate: Column, before: Column) -> Column:
-    """A document's rate, the one before it and the last step's length after steps along these gradients, which are one literal: plans stay small, however many steps."""
-    first = F.struct(rate.alias("rate"), before.alias("before"), F.lit(0.0).alias("step"))
-    if not gradients:
-        return first
-    n, flat, pushes = len(DOMAINS), F.lit(np.concatenate(gradients)), F.lit(np.array(momenta))
+def _projected(multipliers: list[Column], ceiling: float | None) -> tuple[Column, Column]:
+    """A document's rate for these multipliers, and whether no bound holds it."""
+    free = 1 - sum((F.element_at("p", k + 1) * m for k, m in enumerate(multipliers)), F.lit(0.0))
+    rate = F.greatest(_floor(), _capped(free, ceiling))
+    return rate, rate == free
 
-    def step(held: Column, i: Column) -> Column:
-        ahead = held["rate"] + F.get(pushes, i) * (held["rate"] - held["before"])
-        slope = sum((F.element_at("p", k + 1) * F.get(flat, i * n + k) for k in range(n)), F.lit(0.0))
-        after = F.greatest(_floor(), _capped(ahead - slope, ceiling))
-        return F.struct(after.alias("rate"), held["rate"].alias("before"), F.abs(after - ahead).alias("step"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(gradients) - 1)), first, step)
+def _tried(members: DataFrame, trials: np.ndarray, ceiling: float | None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """For each trial of multipliers: the dual value but for the totals' part, the domains' totals, and the token products of documents within bounds."""
+    n = len(DOMAINS)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(float(x)).alias(f"m{k}") for k, x in enumerate(t)]) for i, t in enumerate(trials)])).alias("trial")
+    rate, free = _projected([F.col(f"trial.m{k}") for k in range(n)], ceiling)
+    share = [F.element_at("p", k + 1) * F.col("tokens") for k in range(n)]
+    rows = members.filter("tokens > 0").select("p", "tokens", each).withColumn("rate", rate).withColumn("free", free.cast("double"))
+    value = F.col("tokens") * ((F.col("rate") - 1) * (F.col("rate") - 1) / 2 + F.col("rate") * sum((F.element_at("p", k + 1) * F.col(f"trial.m{k}") for k in range(n)), F.lit(0.0)))
+    products = {(i, j): F.sum(share[i] * F.element_at("p", j + 1) * F.col("free")).alias(f"a{i}{j}") for i in range(n) for j in range(i, n)}
+    found = {r["i"]: r for r in rows.groupBy("trial.i").agg(F.sum(value).alias("value"), *[F.sum(F.col("rate") * s).alias(f"s{k}") for k, s in enumerate(share)], *products.values()).collect()}  # a row a trial
+    gram = lambda r: np.array([[r[f"a{min(i, j)}{max(i, j)}"] for j in range(n)] for i in range(n)])
+    return [(found[i]["value"], np.array([found[i][f"s{k}"] for k in range(n)]), gram(found[i])) if i in found else (0.0, np.zeros(n), np.zeros((n, n))) for i in range(len(trials))]
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, ceiling: float | None = None) -> tuple[Column, dict[str, list[float]]]:
-    """The expression for rates over rows (tokens, p), and by domain the totals before, asked for, wanted within reach, and reached."""
+def fit_rates(members: DataFrame, targets: dict[str, float] = TARGETS, ceiling: float | None = None) -> tuple[Column, dict[str, list[float]], int]:
+    """The expression for rates over rows (tokens, p); by domain the totals before, asked for, wanted within reach, and reached; and the number of rounds."""
     if ceiling is not None and ceiling < 1:
         raise ValueError("a ceiling under one would thin documents that are to stay whole")
     n = len(DOMAINS)
     weights = np.array([targets.get(d, 0.0) for d in DOMAINS], float)
     weights /= weights.sum()
     share = [F.element_at("p", k + 1) * F.col("tokens") for k in range(n)]
-    first = members.agg(F.sum("tokens").alias("t"), *[F.sum(_floor() * s).alias(f"f{k}") for k, s in enumerate(share)], *[F.sum(s).alias(f"s{k}") for k, s in enumerate(share)], *[F.sum(share[i] * F.element_at("p", j + 1)).alias(f"a{i}{j}") for i in range(n) for j in range(i, n)]).first()
-    now = was = start = np.array([first[f"s{k}"] or 0.0 for k in range(n)])
+    first = members.agg(*[F.sum(_floor() * s).alias(f"f{k}") for k, s in enumerate(share)], *[F.sum(s).alias(f"s{k}") for k, s in enumerate(share)], *[F.sum(share[i] * F.element_at("p", j + 1)).alias(f"a{i}{j}") for i in range(n) for j in range(i, n)]).first()
+    start = np.array([first[f"s{k}"] or 0.0 for k in range(n)])
     gram = np.array([[first[f"a{min(i, j)}{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)])
-    weigh = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)  # with this weight the gradient's slope is at most one
     asked = weights * (start[0] / weights[0] if weights[0] else start.sum())
     least = np.array([first[f"f{k}"] or 0.0 for k in range(n)])
     most = np.where(start > 0, np.inf if ceiling is None else ceiling * start, 0.0)
     wanted = np.clip(asked, least, most)
-    gradients: list[np.ndarray] = []
-    momenta: list[float] = []
-    held, done, speed = members.select("tokens", "p", F.lit(1.0).alias("rate"), F.lit(1.0).alias("before")), 0, 1.0
-    tables = []
-    while True:
-        if np.abs(now - wanted).max() <= 1e-4 * max(wanted.max(), 1.0):
+    slack = gram / WEIGHT
+
+    def worth(value: float, m: np.ndarray) -> float:
+        return value - wanted @ m - m @ slack @ m / 2
+
+    multipliers, rounds = np.zeros(n), 0
+    value, now, free = _tried(members, multipliers[None], ceiling)[0]
+    while rounds < ROUNDS:
+        gradient = now - wanted - slack @ multipliers
+        if (np.abs(gradient) <= SETTLED * np.maximum(wanted, 1.0)).all():
             break
-        faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
-        momenta.append((speed - 1) / faster)
-        gradients.append(weigh @ (now + momenta[-1] * (now - was) - wanted))
-        made = held.select("tokens", "p", rates_after(gradients[done:], momenta[done:], ceiling, F.col("rate"), F.col("before")).alias("r"))
-        if len(gradients) - done == STEPS:
-            held, done = stash(made.select("tokens", "p", "r.*"), "rates"), len(gradients)
-            tables.append(held)
-            discard(*tables[:-1])
-            made = held.select("tokens", "p", F.struct("rate", "step").alias("r"))
-        row = made.agg(F.sum(F.col("r.step") * F.col("tokens")).alias("step"), *[F.sum(F.col("r.rate") * s).alias(f"s{k}") for k, s in enumerate(share)]).first()
-        was, now = now, np.array([row[f"s{k}"] or 0.0 for k in range(n)])
-        # momentum starts anew where it has led uphill
-        speed = 1.0 if (now - wanted) @ weigh @ (now - wanted) > (was - wanted) @ weigh @ (was - wanted) else faster
-        if (row["step"] or 0.0) <= SETTLED * max(first["t"] or 0, 1):
+        rounds += 1
+        step = np.linalg.pinv(free + slack, rcond=1e-13, hermitian=True) @ gradient
+        trials = multipliers + np.array(LENGTHS)[:, None] * step
+        tried = _tried(members, trials, ceiling)
+        best = max(range(len(trials)), key=lambda i: worth(tried[i][0], trials[i]))
+        if worth(tried[best][0], trials[best]) <= worth(value, multipliers) + 1e-12 * abs(worth(value, multipliers)):
             break
-    discard(*tables[-1:])
-    rate = rates_after(gradients, momenta, ceiling, F.lit(1.0), F.lit(1.0))["rate"]
-    return rate, {d: [float(x[k]) for x in (start, asked, wanted, now)] for k, d in enumerate(DOMAINS)}
+        multipliers, (value, now, free) = trials[best], tried[best]
+    rate = _projected([F.lit(float(m)) for m in multipliers], ceiling)[0]
+    return rate, {d: [float(x[k]) for x in (start, asked, wanted, now)] for k, d in enumerate(DOMAINS)}, rounds
 
 
 def copies(rate: Column) -> Column:
     """A whole number of copies whose mean is the rate, decided by the hash of doc_id."""
     draw = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1_000_000)) / 1_000_000
-    near = F.abs(rate - F.round(rate)) <= SNAP
-    return F.when(near, F.round(rate)).otherwise(F.floor(rate + draw)).cast("int")
+    return F.floor(rate + draw).cast("int")
 
 
 TOTALS = ("before", "asked", "wanted", "reached")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, ceiling: float | None = None) -> DataFrame:
-    """doc_id, tokens, p, rate and copies of each row of docs, and the domains' totals (``TOTALS``), the same in all rows."""
+    """doc_id, tokens, p, rate and copies of each row of docs, and the domains' totals (``TOTALS``) and the fit's rounds, the same in all rows."""
     model = Domains.fit(docs, labels)
     members = stash(model.posteriors(docs.select("doc_id", "text"), ["doc_id"]), "members")
-    rate, totals = fit_rates(members, targets, ceiling)
+    rate, totals, rounds = fit_rates(members, targets, ceiling)
     told = {name: F.array(*[F.lit(totals[d][i]) for d in DOMAINS]) for i, name in enumerate(TOTALS)}
-    return members.withColumn("rate", rate).withColumn("copies", copies(F.col("rate"))).withColumns(told)
+    return members.withColumn("rate", rate).withColumn("copies", copies(F.col("rate"))).withColumns(told).withColumn("rounds", F.lit(rounds))
 
 
 def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, ceiling: float | None = None) -> DataFrame:
@@ -211,4 +214,4 @@ def op10_mixing(spark, sf_dir) -> DataFrame:
     out = mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     p = [F.element_at("p", k + 1) for k in range(len(DOMAINS))]
     top = F.element_at(F.array(*[F.lit(d) for d in DOMAINS]), F.array_position("p", F.array_max("p")).cast("int"))
-    return out.select("doc_id", "tokens", top.alias("domain"), *[c.alias(f"p_{d}") for c, d in zip(p, DOMAINS, strict=True)], "rate", "copies", *[F.element_at(c, k + 1).alias(f"{c}_{d}") for c in TOTALS for k, d in enumerate(DOMAINS)])
+    return out.select("doc_id", "tokens", top.alias("domain"), *[c.alias(f"p_{d}") for c, d in zip(p, DOMAINS, strict=True)], "rate", "copies", *[F.element_at(c, k + 1).alias(f"{c}_{d}") for c in TOTALS for k, d in enumerate(DOMAINS)], "rounds")
