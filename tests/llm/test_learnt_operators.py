@@ -80,22 +80,32 @@ def test_a_cell_over_many_blocks(spark, monkeypatch):
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (40, None), (60, [float("nan"), 1.0]), (80, [None, 1.0]), (100, [float("inf"), 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [-1.0, 0.0]), (3, [1.0]), (None, [1.0, 1.0]), (4, [])]
     got = found(ann.search(spark.createDataFrame(rows, SCHEMA), F.col("id") % 20 == 0))
-    assert got == {0: [(1, 0.5), (2, -1.0)]}
+    assert got == {0: [(1, 0.5), (1, 0.5), (2, -1.0)]}
+    twice = ann.search(spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (5, [1.0, 2.0])], SCHEMA), F.col("id") % 20 == 0)
+    assert sorted((r.query_id, r.rank, r.id, r.score) for r in twice.collect()) == [(0, 1, 5, 1.0), (0, 1, 5, 2.0), (0, 2, 0, 0.0), (0, 2, 0, 0.0)]
     assert ann.search(spark.createDataFrame([], SCHEMA), F.col("id") % 20 == 0).count() == 0
     assert ann.search(spark.createDataFrame([(20, [1.0, 2.0])], SCHEMA), F.col("id") % 20 == 0).count() == 0
 
 
 @pytest.mark.parametrize("need", [1, 20, 300, 10_000])
-def test_traversal_visits_the_best_pairs(need):
+@pytest.mark.parametrize("rings", [1, 4, ann.RINGS])
+def test_traversal_visits_the_best_pairs_in_order(need, rings):
+    """The pairs visited are those that a heap of single pairs visits."""
     rng = np.random.default_rng(3)
     one, two, sizes = rng.normal(size=17), rng.normal(size=23), rng.integers(0, 4, (17, 23))
-    visited = ann.traverse(one, two, sizes, need)
-    sums = one[:, None] + two
-    step = (sums.max() - sums.min()) / ann.RINGS
-    assert sizes[visited].sum() >= min(need, sizes.sum())
-    if not visited.all():
-        assert sums[visited].min() >= sums[~visited].max() - step - 1e-9
-        assert sizes[sums > sums[visited].min() + step].sum() < need
+    visited = ann.traverse(one, two, sizes, need, rings)
+    want, found = np.zeros(sizes.shape, bool), 0
+    for pair in np.argsort(-(one[:, None] + two), axis=None):
+        if found >= need:
+            break
+        want.flat[pair] = True
+        found += sizes.flat[pair]
+    assert (visited == want).all()
+
+
+def test_the_share_falls_as_tables_grow():
+    shares = [ann.visited_share(n) for n in (1, ann.SHARE_ENTRIES, 50_000, 10**9)]
+    assert shares[0] == shares[1] == ann.SHARE and shares[1] > shares[2] > shares[3] > 0.2
 
 
 def test_search_of_all_cells_equals_sql(spark):
