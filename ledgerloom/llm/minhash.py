@@ -15,6 +15,11 @@ minority, meet all of its classes in blocks of up to ``BLOCK`` of each. Signatur
 come first; only classes that have a likely partner in another component go on with
 their sets. A component is named by its smallest doc_id.
 
+Bands and the least agreement follow from the similarity asked for (``bands_for``, ``least_for``), so that a
+pair at it is missed with a probability under ``MISSED`` by either. With ``exact`` none is: classes then meet at
+the smallest of their shingles' hashes, as many as two similar sets must share one of, and
+signatures exclude no pair. That costs about (100 - percent) % of all shingles in rows.
+
 No task gets all rows of a hot key. A join with a table that has one row a key splits
 off the keys of most rows, fewer than ``HEAVY`` by counting, and broadcasts these; a
 pivot's pairs are confirmed in groups of ``PAIRS``, each with one copy of its set; no
@@ -40,10 +45,7 @@ from .common import mix64, raw_texts, scratch, slices, stash
 from .graph import UnionFind, connected_components
 
 SLOTS = 128
-#: 32 bands of 4 slots: a pair of similarity 0.8 shares no band with a probability of 5e-8.
-BANDS = 32
-#: Pairs of a bucket whose signatures agree in fewer slots than this aren't verified: for a similarity of 0.8, seven standard deviations down.
-LEAST_EQUAL = 70
+MISSED = 1e-7
 BLOCK = 512
 PAIRS = 256
 #: Keys that are split off and broadcast, at most, and the rows that a key has then, at least.
@@ -138,7 +140,21 @@ def signatures(hashes: np.ndarray, begins: np.ndarray, slots: int = SLOTS) -> np
     return out
 
 
-def bands_of(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
+def bands_for(percent: int) -> int:
+    """The fewest bands of equal width that a pair of this similarity shares none of with a probability under MISSED; 32 for 80 %."""
+    for width in (64, 32, 16, 8, 4, 2, 1):
+        if (1 - (percent / 100) ** width) ** (SLOTS // width) <= MISSED:
+            return SLOTS // width
+    raise ValueError(f"signatures of {SLOTS} slots can't tell pairs of {percent} % from others; exact=True can")
+
+
+def least_for(percent: int) -> int:
+    """Slots in which signatures of this similarity agree at least, seven standard deviations down; 70 for 80 %."""
+    share = percent / 100
+    return max(0, int(SLOTS * share - 7 * (SLOTS * share * (1 - share)) ** 0.5))
+
+
+def bands_of(signature: np.ndarray, bands: int) -> np.ndarray:
     """A hash of each band of each signature: texts x bands."""
     rows, slots = signature.shape
     parts = signature.reshape(rows, bands, slots // bands)
@@ -156,7 +172,7 @@ def _sums(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return (total[:, begins[1:]] - total[:, begins[:-1]]).view(np.int64)
 
 
-def _sketch(docs: DataFrame, words: int) -> DataFrame:
+def _sketch(docs: DataFrame, words: int, n_bands: int) -> DataFrame:
     """One row per document with a set: doc_id, n_shingles, two hashes of the set, its bands and short forms of its slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +183,7 @@ def _sketch(docs: DataFrame, words: int) -> DataFrame:
                 signature = signatures(hashes, begins)
                 sizes = np.diff(begins)
                 one, two = _sums(hashes, begins)
-                bands = bands_of(signature)
+                bands = bands_of(signature, n_bands)
                 short = (mix64(signature) & np.uint64(0xFF)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -271,10 +287,10 @@ def _lists(column: pa.ListArray) -> list[np.ndarray]:
     return [values[x:y] for x, y in zip(ends, ends[1:], strict=False)]
 
 
-def _sides(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of the group that are members, rows that are its minority, and for each pair of them in how many slots they agree.
+def _sides(group: pa.RecordBatch, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the group that are members, rows that are its minority, and for each pair of them one more than the slots they agree in.
 
-    It is 0 for pairs of one component and for those under LEAST_EQUAL.
+    It is 0 for pairs of one component and for those that agree in fewer slots than ``least``.
     """
     minor = group.column("minor").to_numpy(zero_copy_only=False)
     component = group.column("component").to_numpy()
@@ -283,27 +299,32 @@ def _sides(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     equal = np.zeros((len(left), len(right)), np.int16)
     for i in range(0, len(left), 32):
         equal[i : i + 32] = (short[left[i : i + 32], None] == short[right][None]).sum(axis=2)
-    equal[(equal < LEAST_EQUAL) | (component[left][:, None] == component[right])] = 0
+    equal += 1
+    equal[(equal <= least) | (component[left][:, None] == component[right])] = 0
     return left, right, equal
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _likely(least: int):
     """The rows of each group that have a likely partner."""
-    for some in _runs(batches, "g"):
-        for group in some:
-            left, right, equal = _sides(group)
-            if equal.any():
-                yield group.take(pa.array(np.concatenate([left[equal.any(axis=1)], right[equal.any(axis=0)]])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _runs(batches, "g"):
+            for group in some:
+                left, right, equal = _sides(group, least)
+                if equal.any():
+                    yield group.take(pa.array(np.concatenate([left[equal.any(axis=1)], right[equal.any(axis=0)]])))
+
+    return run
 
 
-def _compare(percent: int):
+def _compare(percent: int, least: int):
     """A forest of the links found in each group, the most similar pairs first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in _runs(batches, "g"):
             found = []
             for group in some:
-                left, right, equal = _sides(group)
+                left, right, equal = _sides(group, least)
                 ids, items = group.column("doc_id").to_pylist(), _lists(group.column("items"))
                 sets = UnionFind()
                 for i, c in zip(ids, group.column("component").to_pylist(), strict=True):
@@ -319,16 +340,17 @@ def _compare(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (doc_id = component_id) of each row."""
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept (doc_id = component_id) of each row; with ``exact`` no link is left to chance."""
     with scratch() as made:
-        done = stash(_grouped(docs, words, percent), "near-duplicates")
+        done = stash(_grouped(docs, words, percent, exact), "near-duplicates")
         made.append(done)
     return done
 
 
-def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    sketch = stash(_sketch(docs, words), "sketch")
+def _grouped(docs: DataFrame, words: int, percent: int, exact: bool) -> DataFrame:
+    n_bands, least = (1, 0) if exact else (bands_for(percent), least_for(percent))
+    sketch = stash(_sketch(docs, words, n_bands), "sketch")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     lone, full = sketch.filter(alone), sketch.filter(~alone).select("doc_id", "n_shingles", "one", "two", "bands", "slots")
     best = F.min(F.struct("doc_id", "bands", "slots")).alias("own")
@@ -340,12 +362,23 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     several = owned.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x <> y").select("doc_id")
     own = owned.join(several, "doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
 
-    member = classes.select(F.col("rep").alias("doc_id"), F.posexplode("bands").alias("band", "key"))
-    shared = member.groupBy("band", "key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-    met = stash(with_unique(member, shared, ["band", "key"], "n", BANDS * n_classes).select("band", "key", "doc_id", "pivot", "n"), "met")
-    texts = docs.select("doc_id", "text").join(met.select("doc_id").distinct(), "doc_id", "left_semi")
     wanted = classes.select(F.col("rep").alias("doc_id"), "one", "two")
-    sets = stash(_sets(texts, words).join(wanted, ["doc_id", "one", "two"], "left_semi").dropDuplicates(["doc_id", "one", "two"]).select("doc_id", "items"), "sets")
+
+    def sets_of(texts: DataFrame) -> DataFrame:
+        return stash(_sets(texts, words).join(wanted, ["doc_id", "one", "two"], "left_semi").dropDuplicates(["doc_id", "one", "two"]).select("doc_id", "items"), "sets")
+
+    texts = docs.select("doc_id", "text")
+    if exact:
+        sets = sets_of(texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"))
+        shared_one = F.size("items") - F.ceil(F.size("items") * percent / 100).cast("int") + 1
+        member = sets.select("doc_id", F.lit(0).alias("band"), F.explode(F.slice("items", F.lit(1), shared_one)).alias("key")).select("doc_id", "band", "key")
+    else:
+        member = classes.select(F.col("rep").alias("doc_id"), F.posexplode("bands").alias("band", "key"))
+    n_members = member.count() if exact else n_bands * n_classes
+    shared = member.groupBy("band", "key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
+    met = stash(with_unique(member, shared, ["band", "key"], "n", n_members).select("band", "key", "doc_id", "pivot", "n"), "met")
+    if not exact:
+        sets = sets_of(texts.join(met.select("doc_id").distinct(), "doc_id", "left_semi"))
     pairs = stash(met.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
     first = stash(confirmed(pairs, sets, percent).unionByName(own), "links")
     groups = stash(connected_components(first), "groups")
@@ -354,7 +387,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     parts = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
     unsure = parts.groupBy("band", "key").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("most"), F.sum("n").alias("size"), F.max("n").alias("largest")).filter("size > largest")
     slots = classes.select(F.col("rep").alias("doc_id"), "slots").dropDuplicates(["doc_id"])
-    rest = stash(with_unique(placed.select("band", "key", "doc_id", "component"), unsure, ["band", "key"], "size", BANDS * n_classes).join(slots, "doc_id"), "unsure")
+    rest = stash(with_unique(placed.select("band", "key", "doc_id", "component"), unsure, ["band", "key"], "size", n_members).join(slots, "doc_id"), "unsure")
 
     def blocks(n: Column) -> Column:
         return F.ceil(n / BLOCK).cast("int")
@@ -367,8 +400,8 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     all_parts, minor_parts = blocks(F.col("size")), blocks(F.col("size") - F.col("largest"))
     met_again = dealt(rest, all_parts, minor_parts, False).unionByName(dealt(rest.filter("component <> most"), minor_parts, all_parts, True))
-    likely = met_again.repartition("g").sortWithinPartitions("g").mapInArrow(_likely, met_again.schema)
-    second = stash(likely, "likely").join(sets, "doc_id").repartition("g").sortWithinPartitions("g").mapInArrow(_compare(percent), "a long, b long")
+    likely = met_again.repartition("g").sortWithinPartitions("g").mapInArrow(_likely(least), met_again.schema)
+    second = stash(likely, "likely").join(sets, "doc_id").repartition("g").sortWithinPartitions("g").mapInArrow(_compare(percent, least), "a long, b long")
     merged = connected_components(stash(first.unionByName(second).distinct(), "links"))
 
     sizes = owned.groupBy("rep").agg(F.count("*").alias("n")).join(merged.withColumnRenamed("node", "rep"), "rep")

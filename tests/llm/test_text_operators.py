@@ -143,8 +143,8 @@ def near(rows, words, percent):
     return collections.Counter((i, len(s), find(i)) for i, s in sets)
 
 
-def grouped(spark, rows, words=4, percent=80):
-    return collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, rows), words, percent).collect())
+def grouped(spark, rows, words=4, percent=80, exact=False):
+    return collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, rows), words, percent, exact).collect())
 
 
 def near_rows(spark):
@@ -163,6 +163,25 @@ def test_groups_like_brute_force(spark, words, percent):
     assert grouped(spark, rows, words, percent) == near(rows, words, percent)
 
 
+@pytest.mark.parametrize(("percent", "exact"), [(50, False), (50, True), (80, True), (5, True)])
+def test_groups_of_other_similarities(spark, percent, exact):
+    """Pairs right at the similarity, of every size, and what is near it on either side."""
+    rng = random.Random(percent)
+    rows = []
+    for i in range(60):
+        n = rng.randint(4, 60)
+        common = rng.choice([-(-2 * n * percent // (100 + percent)), 2 * n * percent // (100 + percent)])
+        core = [f"p{i}c{k}" for k in range(common)]
+        rows += [(2 * i, " ".join(core + [f"p{i}a{k}" for k in range(n - common)])), (2 * i + 1, " ".join(core + [f"p{i}b{k}" for k in range(n - common)]))]
+    assert grouped(spark, rows, 1, percent, exact) == near(rows, 1, percent)
+
+
+def test_bands_follow_from_the_similarity():
+    assert (minhash.bands_for(80), minhash.least_for(80)) == (32, 70) and minhash.bands_for(95) < 32 < minhash.bands_for(50)
+    with pytest.raises(ValueError, match="exact"):
+        minhash.bands_for(5)
+
+
 def test_groups_with_hot_keys_split_off(spark, monkeypatch):
     for name, value in {"LEAST_HEAVY": 4, "HEAVY": 100_000, "PAIRS": 8, "BLOCK": 16}.items():
         monkeypatch.setattr(minhash, name, value)
