@@ -6,7 +6,8 @@ that have reached the threshold. Inserting documents adds to the counts and
 deleting them subtracts; keys that cross the threshold on the way are inserted into
 or deleted from their shard's filter, so that a line that fell to few enough
 documents comes back. A filter that overflows is made anew, larger, from the exact
-table. Both tables can be saved and loaded.
+table, and all are, for twice as many shards or more, once shards hold more than
+``SHARD_KEYS`` keys on average. Both tables can be saved and loaded.
 
 Filters let a document's lines be tested while the text is being read. While they
 are small (``FILTER_BYTES``) each task has them all; else keys are dealt to the
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import ddl, portions, raw_texts, stash, with_columns
 
 SLOTS = 4
-#: Repeated keys of a shard on average when an index is built, and shards at most (which bounds what is known of each).
+#: Repeated keys of a shard on average, at most, and shards at most (which bounds what is known of each).
 SHARD_KEYS = 16_384
 MOST_SHARDS = 100_000
 #: Filters, and likewise the keys that they report wrongly, go to every task up to this size in total; beyond it keys go to the shards.
@@ -155,6 +156,25 @@ class Shards:
         return ((self.table[start + one] == mark[:, None]) | (self.table[start + two] == mark[:, None])).any(axis=1)
 
 
+class Keys:
+    """A set of 16-byte keys in 16 bytes each."""
+
+    def __init__(self, keys: pa.ChunkedArray):
+        some = [chunk.slice(i, 65_536) for chunk in keys.chunks for i in range(0, len(chunk), 65_536)]
+        parts = np.concatenate([np.zeros((0, 2), np.uint64), *[np.frombuffer(b"".join(c.to_pylist()), ">u8").reshape(-1, 2).astype(np.uint64) for c in some]])
+        parts = parts[np.lexsort((parts[:, 1], parts[:, 0]))]
+        self.high, self.low = np.ascontiguousarray(parts[:, 0]), np.ascontiguousarray(parts[:, 1])
+
+    def __len__(self) -> int:
+        return len(self.high)
+
+    def __contains__(self, key: bytes) -> bool:
+        high, low = np.uint64(int.from_bytes(key[:8])), np.uint64(int.from_bytes(key[8:]))
+        begin, end = np.searchsorted(self.high, high, "left"), np.searchsorted(self.high, high, "right")
+        at = begin + np.searchsorted(self.low[begin:end], low)
+        return bool(at < end and self.low[at] == low)
+
+
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.ascontiguousarray(np.ascontiguousarray(keys).reshape(-1, 16)[:, :4]).view(">u4").ravel().astype(np.int64) % shards
 
@@ -203,11 +223,18 @@ class LineIndex:
     @classmethod
     def build(cls, docs: DataFrame, min_docs: int = 10) -> LineIndex:
         refs = stash(cls._counts(docs), "line-refs")
-        shards = min(MOST_SHARDS, max(1, -(-refs.filter(F.col("n_docs") >= min_docs).count() // SHARD_KEYS)))
-        own = cls(refs, refs, shards, min_docs)
-        own.filters = stash(own._dealt(own.repeated()).groupBy("shard").applyInPandas(_fresh, _FILTER).select("shard", "body"), "line-filters")
+        own = cls(refs, refs, 1, min_docs)
+        own.shards = own._shards_wanted()
+        own._renew()
         return own
 
+    def _shards_wanted(self) -> int:
+        return min(MOST_SHARDS, max(1, -(-self.repeated().count() // SHARD_KEYS)))
+
+    def _renew(self) -> None:
+        """All filters made anew from the exact table."""
+        self.filters = stash(self._dealt(self.repeated()).groupBy("shard").applyInPandas(_fresh, _FILTER).select("shard", "body"), "line-filters")
+
     @staticmethod
     def _counts(docs: DataFrame) -> DataFrame:
         partial = docs.select("text").mapInArrow(_count_keys, "key binary, n_docs long")
@@ -228,6 +255,10 @@ class LineIndex:
         if not updated.filter("NOT whole").isEmpty():
             larger = out._dealt(out.repeated()).join(updated.filter("NOT whole").select("shard"), "shard").groupBy("shard").applyInPandas(_fresh, _FILTER)
             out.filters = stash(updated.filter("whole").unionByName(larger).select("shard", "body"), "line-filters")
+        wanted = out._shards_wanted()
+        if wanted > out.shards:
+            out.shards = min(MOST_SHARDS, max(wanted, 2 * out.shards))
+            out._renew()
         return out
 
     def insert(self, docs: DataFrame) -> LineIndex:
@@ -281,7 +312,7 @@ class LineIndex:
         wrong = stash(docs.select("text").mapInArrow(reported, "key binary").distinct().join(self.repeated(), "key", "left_anti"), "line-wrong")
         if wrong.count() * 16 > FILTER_BYTES:
             return self._by_shard(docs, n_lines, n_dropped)
-        spared = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r["key"]) for r in wrong.collect()))
+        spared = docs.sparkSession.sparkContext.broadcast(Keys(wrong.toArrow()["key"]))
 
         def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, split, keys in _hits(batches, held.value):

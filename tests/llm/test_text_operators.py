@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,31 @@ def test_cuckoo_filter():
     assert all(own.delete(k) for k in keys[:800]) and not own.table.any()
 
 
+def test_shards_double_as_an_index_grows(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 40)
+    few = frame(spark, [(i, "gleich\neins") for i in range(10)])
+    index = linededup.LineIndex.build(few)
+    assert index.shards == 1
+    text = "\n".join(f"zeile {k}" for k in range(300))
+    more = frame(spark, [(100 + i, f"{text}\neigen {i}") for i in range(12)])
+    grown = index.insert(more)
+    assert grown.shards == 8 and grown.filters.count() == 8 and index.shards == 1
+    whole = linededup.LineIndex.build(few.unionByName(more))
+    plain = lambda ix: sorted((r.doc_id, r.n_dropped, r.text) for r in ix.apply(few.unionByName(more)).collect())
+    assert plain(grown) == plain(whole) and {r[1] for r in plain(grown)} == {2, 300}
+    back = grown.delete(more)
+    assert back.shards == 8 and plain(back) == plain(index)
+
+
+def test_a_set_of_keys():
+    rng = random.Random(2)
+    keys = [rng.randbytes(8) + rng.randbytes(8) for _ in range(300)] + [b"\xff" * 8 + rng.randbytes(8) for _ in range(50)] + [b"\0" * 16]
+    own = linededup.Keys(pa.chunked_array([pa.array(keys[:100], pa.binary()), pa.array(keys[100:], pa.binary())]))
+    assert all(k in own for k in keys) and len(own) == len(keys)
+    assert not any(k in own for k in [rng.randbytes(16) for _ in range(200)] + [b"\xff" * 16, b"\0" * 15 + b"\1"])
+    assert b"\0" * 16 not in linededup.Keys(pa.chunked_array([], pa.binary()))
+
+
 # near-dedup
 
 
