@@ -12,7 +12,8 @@ are computed in turn until they stay the same. A pattern counts for a kind once
 reach it, and have a shape fit for the kind, are spans of that kind wherever they
 stand.
 
-Everything is DataFrame expressions and joins; no Python runs on executors. Null
+Everything is DataFrame expressions and joins; no Python runs on executors. Patterns
+and instances that most mentions share are split off where tables meet, so no task gets them whole. Null
 texts are empty. Rows with equal doc_id and text get equal results. Offsets are in
 code points, ends exclusive.
 """
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, scratch, stash
+from .minhash import with_unique
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, with possessive quantifiers and bounds on where a match can begin, so that
@@ -158,8 +160,8 @@ def fits(kind: str, hit: Column) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, _row (a hash of the row), base: spans by kind, and others: identifier-like tokens outside them, all with the text before."""
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, _row (two hashes of the row), base: spans by kind, and others: identifier-like tokens outside them, all with the text before."""
+    rows = docs.select("doc_id", F.struct(F.xxhash64("doc_id", "text").alias("one"), F.xxhash64(F.lit("two"), "text", "doc_id").alias("two")).alias("_row"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumns({f"_{k}": matches(F.col("text"), BASE[k]) for k in KINDS})
     rows = rows.withColumns({f"_{k}": F.filter(f"_{k}", _passes(k)) for k in KINDS})
     rows = rows.withColumn("_rest", F.col("text"))
@@ -182,14 +184,14 @@ def scores(edges: DataFrame, confidence: float = CONFIDENCE, support: int = SUPP
     other patterns leave out with chance r. For given r that is solved at once, so that a pattern's own unseen instances
     need no rounds; scores only rise, from zero, to the least fixed point, the one that plain rounds tend to.
     """
-    trust, moved = None, 1.0
+    trust, moved, total = None, 1.0, edges.count()
     open_ = {k: F.col("kind").isNull() & F.col(f"fit_{k}") for k in KINDS}
     edges = edges.withColumns({f"fit_{k}": fits(k, F.col("hit")) for k in KINDS})
     while moved > EPSILON:
-        held = edges.withColumns({f"t_{k}": F.lit(0.0) for k in KINDS}) if trust is None else edges.join(trust.select("pattern", *[f"t_{k}" for k in KINDS]), "pattern")
+        held = edges.withColumns({f"t_{k}": F.lit(0.0) for k in KINDS}) if trust is None else with_unique(edges, trust.select("pattern", "n", *[f"t_{k}" for k in KINDS]), ["pattern"], "n", total).drop("n")
         held = held.withColumns({f"l_{k}": F.log(F.greatest(1 - F.col(f"t_{k}"), F.lit(1e-9))) for k in KINDS})
-        chance = held.groupBy("hit").agg(*[F.sum(f"l_{k}").alias(f"all_{k}") for k in KINDS])
-        both = held.join(chance, "hit")
+        chance = held.groupBy("hit").agg(F.count("*").alias("m"), *[F.sum(f"l_{k}").alias(f"all_{k}") for k in KINDS])
+        both = with_unique(held, chance, ["hit"], "m", total)
         out, parts = [], []
         for k in KINDS:
             seed = F.col("kind") == k
@@ -201,12 +203,12 @@ def scores(edges: DataFrame, confidence: float = CONFIDENCE, support: int = SUPP
                 F.max(f"t_{k}").alias(f"was_{k}"),
             ]
             out.append(F.when(F.col(f"n_{k}") >= support, F.col(f"sure_{k}") / (F.col("n") + 1 - F.col(f"free_{k}"))).otherwise(0.0).alias(f"t_{k}"))
-        solved = both.groupBy("pattern").agg(F.count("*").alias("n"), *parts).select("pattern", *out, *[f"was_{k}" for k in KINDS])
+        solved = both.groupBy("pattern").agg(F.count("*").alias("n"), *parts).select("pattern", "n", *out, *[f"was_{k}" for k in KINDS])
         old, trust = trust, stash(solved, "pattern-scores")
         if old is not None:
             discard(old)
         moved = trust.agg(F.max(F.greatest(*[F.abs(F.col(f"t_{k}") - F.col(f"was_{k}")) for k in KINDS])).alias("d")).first()["d"] or 0.0
-    reach = edges.join(trust, "pattern").groupBy("hit").agg(F.first("kind").alias("kind"), *[F.first(f"fit_{k}").alias(f"fit_{k}") for k in KINDS], *[(1 - F.exp(F.sum(F.log(F.greatest(1 - F.col(f"t_{k}"), F.lit(1e-9)))))).alias(f"c_{k}") for k in KINDS])
+    reach = with_unique(edges, trust, ["pattern"], "n", total).groupBy("hit").agg(F.first("kind").alias("kind"), *[F.first(f"fit_{k}").alias(f"fit_{k}") for k in KINDS], *[(1 - F.exp(F.sum(F.log(F.greatest(1 - F.col(f"t_{k}"), F.lit(1e-9)))))).alias(f"c_{k}") for k in KINDS])
     return reach.select("hit", *[F.when(F.col("kind") == k, 1.0).when(open_[k], F.col(f"c_{k}")).otherwise(0.0).alias(k) for k in KINDS])
 
 
@@ -216,13 +218,17 @@ def discover(spans: DataFrame, confidence: float = CONFIDENCE, support: int = SU
     words = F.regexp_extract("left", r"(?<!\S)(\S++)\s++$", 1), F.regexp_extract("left", r"(?<!\S)(\S++\s++\S++)\s++$", 1)
     patterns = F.array_distinct(F.filter(F.array(*words), lambda w: w.rlike(r"\p{L}")))
     mention = stash(mention.select("_row", "kind", "start", "end", "hit", patterns.alias("patterns")), "mentions")
-    seeds = mention.filter("kind IS NOT NULL").groupBy("hit").agg(F.min("kind").alias("kind"))
-    met = mention.select("hit", F.explode("patterns").alias("pattern")).distinct()
-    edges = stash(met.join(seeds, "hit", "left"), "pattern-graph")
+    met = stash(mention.select("hit", F.explode("patterns").alias("pattern")).distinct(), "pattern-hits")
+    hits = mention.groupBy("hit").agg(F.min("kind").alias("kind"), F.count_if(F.col("kind").isNull()).alias("unseen"))
+    kinds = met.groupBy("hit").agg(F.count("*").alias("n")).join(hits.select("hit", "kind"), "hit")
+    edges = stash(with_unique(met, kinds, ["hit"], "n", met.count()).select("hit", "pattern", "kind"), "pattern-graph")
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("as"), F.col(k).alias("c")) for k in KINDS]))
     sure = scores(edges, confidence, support).select("hit", each.alias("s")).filter(F.col("s.c") >= confidence).select("hit", F.col("s.as").alias("as"))
     fit = F.coalesce(*[F.when(F.col("as") == k, fits(k, F.col("hit"))) for k in KINDS])
-    return mention.filter("kind IS NULL").join(sure, "hit").filter(fit).select("_row", F.col("as").alias("kind"), "start", "end").distinct()
+    all_sure = sure.groupBy("hit").agg(F.collect_set("as").alias("all")).join(hits.filter("unseen > 0").select("hit", "unseen"), "hit")  # four kinds at most
+    unseen = mention.filter("kind IS NULL").select("_row", "start", "end", "hit")
+    found = with_unique(unseen, all_sure, ["hit"], "unseen", unseen.count()).withColumn("as", F.explode("all")).filter(fit)
+    return found.select("_row", F.col("as").alias("kind"), "start", "end").distinct()
 
 
 def _written(spans: Column) -> Column:

@@ -567,3 +567,57 @@ def test_crc_split_matches_python(spark):
 
     got = spark.range(50).select("id", crc_mod("id", 3).alias("m")).collect()
     assert all(r.m == zlib.crc32(str(r.id).encode()) % 3 for r in got)
+
+
+def plain_scores(edges, confidence=pii.CONFIDENCE, support=pii.SUPPORT, rounds=3000):
+    """Scores of instances of one kind by plain rounds from zero; edges are (pattern, hit, is a seed, may be one)."""
+    patterns, hits = {p for p, *_ in edges}, {h: (seed, fit) for _, h, seed, fit in edges}
+    own = {h: [p for p, x, *_ in edges if x == h] for h in hits}
+    trust = dict.fromkeys(patterns, 0.0)
+    for _ in range(rounds):
+        score = {h: 1.0 if seed else (1 - np.prod([1 - trust[p] for p in own[h]]) if fit else 0.0) for h, (seed, fit) in hits.items()}
+        before, trust = trust, {}
+        for p in patterns:
+            mine = [h for q, h, *_ in edges if q == p]
+            sure = sum(hits[h][0] or (hits[h][1] and score[h] >= confidence) for h in mine)
+            trust[p] = sum(score[h] for h in mine) / (len(mine) + 1) if sure >= support else 0.0
+        if max(abs(trust[p] - before[p]) for p in patterns) < 1e-12:
+            break
+    return score
+
+
+@pytest.mark.parametrize("heavy", [100_000, 2])
+def test_graph_scores_reach_the_plain_fixed_point(spark, monkeypatch, heavy):
+    monkeypatch.setattr(minhash, "LEAST_HEAVY", heavy)
+    rng = random.Random(12)
+    hits = [f"u{i}@host.org" if i % 5 else f"12345{i:03d}" for i in range(60)]
+    seeds = {h for h in hits if "@" in h and rng.random() < 0.5}
+    pairs = sorted({(f"p{min(int(rng.expovariate(0.4)), 9)}", h) for h in hits for _ in range(3)})
+    edges = spark.createDataFrame([(h, p, "email" if h in seeds else None) for p, h in pairs], "hit string, pattern string, kind string")
+    want = plain_scores([(p, h, h in seeds, "@" in h and h not in seeds) for p, h in pairs])
+    got = {r.hit: r.email for r in pii.scores(edges).collect()}
+    assert set(got) == set(want) and max(abs(got[h] - want[h]) for h in want) < 1e-3 and any(0 < v < 1 for v in want.values())
+
+
+def test_unseen_identifiers_are_found_by_their_context(spark):
+    """Cards that fail the check and local phone numbers behind words that introduce valid ones; others stay."""
+    rng = random.Random(7)
+    rows, planted = [], {}
+    for i in range(200):
+        number = f"+49 681 {rng.randint(100000, 999999)}" if i % 4 else f"0681{rng.randint(100000, 999999)}"
+        lead = f"Text Nummer {i} steht hier. Hotline erreichbar: "
+        rows.append((i, f"{lead}{number} und mehr. Auflage {rng.randint(10000, 99999)} Exemplare."))
+        if i % 4 == 0:
+            planted[i] = f"phone:{len(lead)}:{len(lead) + len(number)}"
+    got = {r.doc_id: pii_spans(r.spans) for r in pii.detect(frame(spark, rows)).collect()}
+    assert sum(planted[i] in got[i] for i in planted) >= 0.9 * len(planted)
+    assert all(len(v) == 1 for v in got.values())
+
+
+def pii_spans(spans):
+    return [f"{s.kind}:{s.start}:{s.end}" for s in spans]
+
+
+def test_pii_columns_that_clash(spark):
+    clash = frame(spark, [(1, "mail a@b.de"), (None, None), (2, "")]).withColumns({c: F.lit("x") for c in ("_row", "base", "spans", "hit", "kind", "n")})
+    assert sorted(map(str, [pii_spans(r.spans) for r in pii.detect(clash).collect()])) == sorted(["['email:5:11']", "[]", "[]"]) and pii.detect(clash.limit(0)).count() == 0
