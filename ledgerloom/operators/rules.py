@@ -1,15 +1,16 @@
 """The registry of validation rules and what follows from them.
 
 A rule is data: its name, severity, the status when it doesn't pass, and builders
-of columns for the test, the two messages and the signed difference. Validations
-are an array of structs in the order of the registry, and the traffic light is a
-fold over it.
+of columns for the test, the two messages and the signed difference. Tests are columns
+of their own, of which the traffic light is a fold; validations, an array of structs in the
+order of the registry, add the messages, which cost nothing where nobody selects them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -162,6 +163,15 @@ def light(validations: Column) -> Column:
     return F.when(red, F.lit("RED")).when(yellow, F.lit("YELLOW")).otherwise(F.lit("GREEN"))
 
 
+def light_of(passed: list[Column], rules: tuple[Rule, ...] = REGISTRY) -> Column:
+    """The same from the rules' tests alone."""
+
+    def failing(severity: str, statuses: tuple[str, ...]) -> Column:
+        return reduce(lambda a, b: a | b, [~p for p, r in zip(passed, rules, strict=True) if r.severity == severity and r.otherwise in statuses], F.lit(False))
+
+    return F.when(failing("RED", ("FAIL",)), F.lit("RED")).when(failing("YELLOW", ("WARN", "FAIL")), F.lit("YELLOW")).otherwise(F.lit("GREEN"))
+
+
 def reasons(validations: Column, overall: Column) -> Column:
     """What led to the light, in the order of rules."""
 
@@ -182,14 +192,16 @@ def evaluate(df: DataFrame, master: Master | None = None, tolerance: float = TOL
     step = step.withColumn("suggestion", matching.suggestion(master, F.col("vendor_name"), F.col("description"), F.col("_matched")))
     context = Context(master, tolerance, F.col("_matched"), F.col("suggestion"))
 
-    def made(rule: Rule) -> Column:
-        good = F.coalesce(rule.passes(context), F.lit(False))
+    tests = [f"_passes{i}" for i in range(len(REGISTRY))]
+    step = step.withColumns({t: F.coalesce(r.passes(context), F.lit(False)) for t, r in zip(tests, REGISTRY, strict=True)})
+
+    def made(rule: Rule, good: Column) -> Column:
         status = F.when(good, F.lit("PASS")).otherwise(F.lit(rule.otherwise))
         return validation(rule.name, rule.severity, status, F.when(good, rule.good(context)).otherwise(rule.bad(context)), rule.delta and rule.delta(context))
 
-    step = step.withColumn("validations", F.array(*[made(r) for r in REGISTRY])).withColumn("traffic_light", light(F.col("validations")))
+    step = step.withColumns({"validations": F.array(*[made(r, F.col(t)) for t, r in zip(tests, REGISTRY, strict=True)]), "traffic_light": light_of([F.col(t) for t in tests])})
     happy = F.col("traffic_light") == "GREEN"
     last = validation("R8_Happy_Path", "GREEN", F.when(happy, F.lit("PASS")).otherwise(F.lit("FAIL")), F.when(happy, F.lit(HAPPY)).otherwise(F.lit(UNHAPPY)))
     step = step.withColumn("validations", F.concat("validations", F.array(last)))
     found = F.when(F.col("suggestion.account").isNotNull(), F.struct(F.col("suggestion.account").alias("account"), F.col("suggestion.name").alias("name")))
-    return step.withColumns({"decision_reasons": reasons(F.col("validations"), F.col("traffic_light")), "blocked": F.col("traffic_light") == "RED", "suggested_expense_account": found}).drop("_matched")
+    return step.withColumns({"decision_reasons": reasons(F.col("validations"), F.col("traffic_light")), "blocked": F.col("traffic_light") == "RED", "suggested_expense_account": found}).drop("_matched", *tests)

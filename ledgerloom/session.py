@@ -16,10 +16,15 @@ def session(app: str = "ledgerloom", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Bytes for each core up to which an input is dealt out anew.
+SMALL = 32 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt to all cores where it comes in fewer partitions, as a file of one row group does; what is costly by row needs that. Larger inputs stay as they are."""
+    """``df``, dealt to all cores where it is small, as a file of one row group keeps one core busy however it is split; what is costly by row needs that. Larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= cores * SMALL else df
 
 
 def tolerance(spark: SparkSession, default: float = TOLERANCE) -> float:

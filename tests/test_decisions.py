@@ -33,6 +33,14 @@ def test_lights_and_lines(spark):
     assert vendor.decision_reasons[0].startswith("Review Required (R6): Vendor 'Neu AG'") and vendor.suggested_expense_account is None
 
 
+def test_messages_cost_nothing_where_only_the_light_is_asked_for(spark):
+    df = invoices.decide(spark.createDataFrame([("1", *GOOD.values())], "invoice_id string, " + EXTRACTED))
+    plan = df.select("traffic_light")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Discrepancy" not in plan and "Discrepancy" in df._jdf.queryExecution().optimizedPlan().toString()
+    told = df.select("traffic_light", rules.light(F.col("validations")).alias("folded")).first()
+    assert told.traffic_light == told.folded == "GREEN"
+
+
 def test_tolerance_is_inclusive(spark):
     at, beyond = decided(spark, {"gross_amount": Decimal("1190.02")}, {"gross_amount": Decimal("1190.03")})
     assert (at.traffic_light, beyond.traffic_light) == ("GREEN", "RED")
