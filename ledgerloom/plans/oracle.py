@@ -329,6 +329,17 @@ UNION ALL SELECT 'union', count(*) FROM (SELECT c_nationkey FROM customer UNION
 }
 SQL |= oracle_invoices.SQL
 SQL |= {
+    "session_records": """
+WITH r AS (
+  SELECT o_orderkey AS k, CASE WHEN o_orderkey % 40 <> 0 THEN coalesce(epoch_us(o_orderdate), 0) ELSE 0 END AS moment, CASE WHEN o_orderkey % 5 <> 0 THEN 'Haus ' || o_custkey END AS vendor,
+    CASE o_orderkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'Wartung' END AS what, o_totalprice AS total FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'))
+SELECT k::VARCHAR AS invoice_id, row_number() OVER (ORDER BY moment, k::VARCHAR) AS n, CASE WHEN coalesce(trim(what), '') = '' AND vendor IS NOT NULL THEN vendor || ' Rechnung' ELSE what END AS description,
+  CASE WHEN k % 7 <> 0 AND k % 11 <> 0 THEN total END AS amount FROM r""",
+    "master_upserts": """
+WITH a AS (
+  SELECT 'K' || s_suppkey AS invoice_id, CASE WHEN s_suppkey % 3 = 0 THEN upper(s_name) ELSE s_name END AS name FROM supplier
+  UNION ALL SELECT 'K' || s_suppkey || '-neu', s_name FROM supplier WHERE s_suppkey % 10 = 0)
+SELECT *, false AS found FROM a UNION ALL SELECT *, true FROM a WHERE invoice_id = 'K3'""",
     "account_statements": f"""WITH {_BOOKED}, s AS (
   SELECT account, b.o_orderkey, o_orderdate, CASE WHEN side = 'DEBIT' THEN amount ELSE -amount END AS signed FROM booked b JOIN orders o ON b.o_orderkey = o.o_orderkey)
 SELECT account, o_orderkey, signed::DOUBLE AS signed, (sum(signed) OVER (PARTITION BY account ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING))::DOUBLE AS balance FROM s""",

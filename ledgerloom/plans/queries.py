@@ -403,6 +403,27 @@ def audit_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.groupBy("invoice_id", "action").agg(F.count("*").alias("n"))
 
 
+def session_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that returned lines name, as a session's records in the order of time: with their place, a description where they lack one, and an amount from a form."""
+    named = _table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").cast("string").alias("invoice_id"))
+    k = F.col("o_orderkey")
+    o = _table(spark, sf_dir, "orders").select(
+        k.cast("string").alias("invoice_id"), F.when(k % 40 != 0, F.col("o_orderdate")).alias("at"), F.when(k % 5 != 0, F.concat(F.lit("Haus "), "o_custkey")).alias("vendor_name"),
+        F.when(k % 3 == 0, F.lit(" ")).when(k % 3 == 1, F.lit("Wartung")).alias("description"), F.when(k % 7 == 0, F.lit("")).when(k % 11 == 0, F.lit("zwölf")).otherwise(F.col("o_totalprice").cast("string")).alias("given"),
+    )
+    own = invoices.with_default_description(invoices.only(o, named))
+    placed = prefix.numbered(own.withColumn("_at", F.coalesce(F.unix_micros(F.col("at").cast("timestamp")), F.lit(0))), ["_at", "invoice_id"], "n")
+    return placed.select("invoice_id", "n", "description", invoices.numeric_input(F.col("given")).alias("amount"))
+
+
+def master_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as master data after changes to some and additions, twice; and whether one is found by its id."""
+    s = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("K"), "s_suppkey").alias("invoice_id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("k"))
+    changes = s.filter("k % 3 = 0").withColumn("name", F.upper("name")).unionByName(s.filter("k % 10 = 0").withColumn("invoice_id", F.concat("invoice_id", F.lit("-neu"))))
+    after = master.upsert(master.upsert(s, changes, "invoice_id"), changes, "invoice_id").select("invoice_id", "name")
+    return after.withColumn("found", F.lit(False)).unionByName(documents.find(after, "K3").withColumn("found", F.lit(True)))
+
+
 def invoice_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 50 != 0, F.col("o_orderdate")).alias("processed_at"))
     return invoices.labels(o, F.col("processed_at"), "o_orderkey").select("o_orderkey", "label")
@@ -519,7 +540,7 @@ QUERIES = {
         best_engine, best_engine_fixture, pii_email_mask, pii_counts, pii_roundtrip, extract_fields_fixtures, process_fixtures, process_documents, rule_reasons,
         revalidate_overlay, invoice_labels, audit_event_windows, audit_event_sessions, llm_json_coerce, master_data, master_counts, record_export,
         invoice_decisions, audit_log_events, rendered_fields, rendered_decisions, rendered_items, rendered_answers, creditor_loose, keyword_book,
-        account_statements, events_in_intervals, events_matched, sketch_estimates, events_upserted, audit_once,
+        session_records, master_upserts, account_statements, events_in_intervals, events_matched, sketch_estimates, events_upserted, audit_once,
         surface_rollup, surface_as_of, surface_set_ops, surface_joins, surface_cube, surface_windows, surface_interval, surface_percentiles,
     )
 }
