@@ -283,6 +283,9 @@ def test_language_of_unseen_documents(spark):
     odd = {r.doc_id: r for r in langid.identify(frame(spark), names, table).collect()}
     assert all(odd[i].lang_pred == "und" and odd[i].score == 0 for i in (1, 2, 3)) and all(odd[i].lang_pred in names for i in (4, 5, 7, 8))
     assert all(0 <= r.score <= 1 for r in odd.values())
+    assert langid.identify(frame(spark, []), names, table).count() == 0
+    none, blank = langid.learn(docs.limit(0))
+    assert none == [] and {r.lang_pred for r in langid.identify(frame(spark), none, blank).collect()} == {"und"}
 
 
 def test_letters_are_those_of_category_l(spark):
