@@ -49,3 +49,26 @@ def test_json_answers(spark):
     got = [r[0] for r in spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, x string").orderBy("i").select(coerce_json(F.col("x"))).collect()]
     assert (got[0].net_amount, got[0].vendor_name, got[0].invoice_date, got[0].vat_rate) == (Decimal("1000.00"), "A", "2026-02-30", Decimal("19"))
     assert got[1].vendor_name == "B" and got[2:5] == [None, None, None] and got[5].net_amount is None
+
+
+def test_five_digits_before_a_legal_form_belong_to_the_name(spark):
+    rest = "Leistungsempfänger:\nMusterhaus GmbH\n"
+    got = fields(spark, "Handelshaus Uferstraße 9\n10097 AG 88888 Seehafen\n" + rest, "GRÜNER\nHandelshaus 10109 AG\nSolarring 77 · 77777 Sonnfeld\n" + rest, "BERATUNG GMBH 66119 Agstadt\n" + rest)
+    assert [r.vendor_name for r in got] == ["Handelshaus 10097 AG", "GRÜNER Handelshaus 10109 AG", "BERATUNG GMBH"]
+
+
+def test_answers_name_customers_of_five_digits(spark, tmp_path):
+    """Larger tables have customers of five digits; the smallest don't."""
+    import duckdb
+
+    from parity import DATA, rows
+
+    from ledgerloom.plans.oracle import SQL
+    from ledgerloom.plans.queries import QUERIES
+
+    con = duckdb.connect()
+    for name, what in (("orders", "* REPLACE (o_custkey + 10000 AS o_custkey)"), ("lineitem", "*")):
+        con.execute(f"COPY (SELECT {what} FROM read_parquet('{DATA}/{name}.parquet')) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet')")
+    for query in ("rendered_fields", "rendered_answers"):
+        assert rows(QUERIES[query](spark, str(tmp_path)).toPandas()) == rows(con.execute(SQL[query]).df())
