@@ -48,6 +48,16 @@ def test_a_hot_key_is_cut_on_both_sides(spark):
     assert {(r.a, r.b) for r in got.collect()} == {(a, a % 50) for a in range(3000)} and got.count() == 3000  # l's pair fails the condition, nulls meet nothing
 
 
+def test_tasks_of_a_join_grow_with_its_pairs(spark, monkeypatch):
+    """Few bytes may make many pairs, so tasks are counted by pairs."""
+    monkeypatch.setattr(skew, "PAIRS", 1_000)
+    left = spark.range(2000).select((F.col("id") % 20).alias("key"), F.col("id").alias("a"))
+    right = spark.range(200).select((F.col("id") % 20).alias("key"), F.col("id").alias("b"))
+    got = skew.meet(left, right, "key", F.lit(True), "a", "b")
+    assert "REPARTITION_BY_NUM" in plan(got) and got.count() == 20 * 100 * 10
+    assert "hashpartitioning(key" in plan(got) and ", 20), REPARTITION_BY_NUM" in plan(got)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text("abä ", min_size=0, max_size=5), max_size=12), st.lists(st.one_of(st.none(), st.text("abcä 𝄞", max_size=40)), max_size=8), st.integers(1, 12))
 def test_keywords_against_contains(words, texts, states):
