@@ -184,3 +184,10 @@ def test_masking_many_hits_of_a_long_text(spark):
 def test_default_description_is_opt_in(spark):
     df = spark.createDataFrame([("V", " "), ("V", "d"), (None, None)], "vendor_name string, description string")
     assert [r.description for r in invoices.with_default_description(df).collect()] == ["V Rechnung", "d", None]
+
+
+def test_keys_of_a_row_are_made_once(spark):
+    """Creditors' keys are constants, and one expression cleans the vendor's name."""
+    df = invoices.decide(spark.createDataFrame([("1", *GOOD.values())], "invoice_id string, " + EXTRACTED))
+    plan = df.select("traffic_light")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^A-Za-z0-9]") == 1 and "beispielenergiesaargmbh" in plan
