@@ -30,8 +30,9 @@ VAT_AMOUNT = [
 GROSS = [r"(?:Gesamtbetrag|Bruttobetrag|Rechnungsbetrag|Endbetrag):?\s*([\d.,]+)", r"\bGesamt\b:?\s*([\d.,]+)"]
 DESCRIPTION = [r"Leistungsbeschreibung:?\s*(.+)", r"Beschreibung:?\s*(.+)", r"Betreff:?\s*(.+)"]
 RECIPIENT_LABEL = r"(?iudU)^(?:Rechnungsempf[aä]nger|Leistungsempf[aä]nger|Rechnung\s*an|Bill\s*To|Empf[aä]nger|An)\s*:?"
+#: The class in front spares most places of a line the alternatives.
 OTHER_LABEL = (
-    r"(?:rechnungs(?:-)?nr|invoice\s*number|invoice\s*no|ausgestellt|f[aä]llig|kundennr|kundenkonto|zahlbar\s*bis|"
+    r"(?=[rlafzik])(?:rechnungs(?:-)?nr|invoice\s*number|invoice\s*no|ausgestellt|f[aä]llig|kundennr|kundenkonto|zahlbar\s*bis|"
     r"leistungsdatum|leistungszeitraum|abrechnungszeitraum|rechnungsdatum|rechnung\s*:)"
 )
 OTHER_DATE = r"(?iudU)leistungsdatum|leistungszeitraum|abrechnungszeitraum|zahlbar|f[aä]llig"
@@ -45,6 +46,8 @@ INVOICE_TITLE = r"(?iudU)^(?:Rechnung|Invoice)\s+[A-Za-z0-9][A-Za-z0-9\-\/]*$"
 BARE_DATE = r"(?U)\b" + DATE + r"\b"
 TABLE_HEADER = r"(?iudU)^(?:Menge|Betrag|Preis|Anzahl|St(?:k|ück)|Summe|EUR|Datum)(?:\s+(?:Menge|Betrag|Preis|Anzahl|St(?:k|ück)|Summe|EUR|Datum))*$"
 LINE_ITEM = r"(?iudU)^(.+?)\s+\d+\s+[\d.,]+\s*(?:€|EUR)\s*$"
+#: What a line item ends with.
+ITEM_END = r"(?U)\d[\d.,]*\s*(?:€|(?iu:EUR))"
 QUALITY_WORDS = r"(?iu)rechnung|nummer|datum|betrag|eur|ust|mwst|netto|brutto|iban|gmbh|steuer|leistung|empf[aä]nger|w[aä]hrung|kunden"
 UNEXPECTED = r"(?U)[^\p{L}\p{N}\s.,\-:/%€·]"
 VAT_ID = r"(?U)\bDE[0-9]{9}\b"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, money
 from ..functions import patterns as P
-from ..functions.text import early, first, first_match, let, lines, present, strip, strip_marks
+from ..functions.text import early, first, first_match, found, let, lines, present, strip, strip_marks
 from ..schemas import FIELDS
 
 _OTHER = r"(?iusU)" + P.OTHER_LABEL
@@ -71,14 +71,14 @@ def _named_recipient(vendor: Column, header: Column):
 
 
 def _with_letterhead(df: DataFrame) -> DataFrame:
-    """``df`` with _letterhead: the first line with a legal form above any label, joined to a short line right above it."""
-    step = df.withColumn("_end", F.when(F.col("_legal"), F.coalesce(_first_index(F.col("_bare"), lambda x: x.rlike(P.RECIPIENT_LABEL) | x.rlike(_OTHER)), F.size("_bare"))))
+    """``df`` with _letterhead, where _vendor is null: the first line with a legal form above any label, joined to a short line right above it."""
+    step = df.withColumn("_end", F.when(F.col("_legal") & F.col("_vendor").isNull(), F.coalesce(_first_index(F.col("_bare"), lambda x: x.rlike(P.RECIPIENT_LABEL) | x.rlike(_OTHER)), F.size("_bare"))))
     # address parts are cut from the end of a line, so only lines with a legal form anywhere can have one before it
     step = step.withColumn("_at", _first_index(F.slice("_bare", F.lit(1), F.col("_end")), lambda x: x.rlike(P.LEGAL_FORM) & _name_part(x).rlike(P.LEGAL_FORM)))
     step = step.withColumn("_own", _name_part(F.get("_bare", F.col("_at")))).withColumn("_above", F.when(F.col("_at") > 0, _name_part(F.get("_bare", F.col("_at") - 1))))
     short = (F.col("_above") != "") & (F.size(F.split("_above", r"(?U)\s+")) <= 3)
-    found = F.when(short, strip(F.concat("_above", F.lit(" "), "_own"))).otherwise(F.col("_own"))
-    return step.withColumn("_letterhead", F.when(F.col("_at").isNotNull(), found)).drop("_end", "_at", "_own", "_above")
+    joined = F.when(short, strip(F.concat("_above", F.lit(" "), "_own"))).otherwise(F.col("_own"))
+    return step.withColumn("_letterhead", F.when(F.col("_at").isNotNull(), joined)).drop("_end", "_at", "_own", "_above")
 
 
 def _plausible_vendor(line: Column) -> Column:
@@ -90,10 +90,9 @@ def _plausible_vendor(line: Column) -> Column:
 
 
 def _description(text: Column, bare: Column) -> Column:
-    labelled = [F.when(text.rlike(P.FLAGS + p), present(strip(F.regexp_extract(text, P.FLAGS + p, 1)))) for p in P.DESCRIPTION]
-    labelled = [F.when(~c.rlike(P.TABLE_HEADER), c) for c in labelled]
-    item = _first_of(bare, lambda x, i: F.when(x.rlike(P.LINE_ITEM), present(strip_marks(F.regexp_extract(x, P.LINE_ITEM, 1), " -·\t"))))
-    return F.coalesce(*labelled, item)
+    labelled = [let(strip(F.regexp_extract(text, P.FLAGS + p, 1)), lambda c: F.when((c != "") & ~c.rlike(P.TABLE_HEADER), c)) for p in P.DESCRIPTION]
+    item = _first_of(bare, lambda x, i: found(strip_marks(F.regexp_extract(x, P.LINE_ITEM, 1), " -·\t")))
+    return F.coalesce(*labelled, F.when(text.rlike(P.ITEM_END), item))
 
 
 def _header_date(ls: Column, header: Column) -> Column:
@@ -109,31 +108,39 @@ def _header_date(ls: Column, header: Column) -> Column:
 def extract_fields(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the eleven fields; the first pattern or line that gives a value decides.
 
-    What only lines with a legal form or a date can give isn't looked for, line by line, in a text without one.
+    What only lines with a legal form or a date can give isn't looked for, line by line, in a text without one. What several
+    expressions use is a column of its own, so that no pattern is run twice.
     """
     t = F.col(text)
     step = df.withColumn("_lines", lines(F.coalesce(t, F.lit("")))).withColumn("_bare", F.transform("_lines", strip))
     step = step.withColumn("_legal", F.coalesce(t.rlike(P.LEGAL_FORM), F.lit(False)))
-    step = _with_letterhead(step.withColumn("_header", _first_index(F.col("_lines"), lambda x: x.rlike(P.PARTIES_HEADER))))
+    step = step.withColumn("_header", F.when(t.rlike(P.PARTIES_HEADER), _first_index(F.col("_lines"), lambda x: x.rlike(P.PARTIES_HEADER))))
     bare, header = F.col("_bare"), F.col("_header")
     row = F.filter(F.transform(F.slice(bare, header + 2, F.lit(3)), _entities), lambda e: F.size(e) >= 2)
     both = F.when(header.isNotNull(), strip(F.get(F.get(row, F.lit(0)), F.lit(0))))
-    step = step.withColumn("vendor_name", F.coalesce(present(first_match(t, P.VENDOR)), present(both), present(F.col("_letterhead")), early(bare, _plausible_vendor)))
+    step = _with_letterhead(step.withColumn("_vendor", F.coalesce(found(first_match(t, P.VENDOR)), found(both))))
+    step = step.withColumn("vendor_name", F.coalesce("_vendor", present(F.col("_letterhead")), early(bare, _plausible_vendor)))
     recipient = F.coalesce(_first_of(bare, _labelled_recipient), F.when(F.col("_legal"), _first_of(bare, _named_recipient(F.col("vendor_name"), header))))
-    currency = first_match(t, P.CURRENCY)
-    amounts = {name: money.cents(money.parse_decimal(first_match(t, p))) for name, p in (("net_amount", P.NET), ("vat_amount", P.VAT_AMOUNT), ("gross_amount", P.GROSS))}
-    step = step.withColumns(amounts).withColumns(
+    step = step.withColumns(
         {
             "invoice_recipient": recipient,
             "invoice_number": first_match(t, P.INVOICE_NUMBER),
-            "invoice_date": dates.normalize_date(F.coalesce(present(first_match(t, P.INVOICE_DATE)), F.when(t.rlike(P.DATE), _header_date(F.col("_lines"), header)))),
-            "service_date": dates.normalize_date(first_match(t, P.SERVICE_DATE)),
-            "currency": F.when(currency == "€", F.lit("EUR")).otherwise(currency),
-            "vat_rate": money.parse_decimal(first_match(t, P.VAT_RATE)).cast("decimal(9,4)"),
+            "_dated": F.coalesce(found(first_match(t, P.INVOICE_DATE)), F.when(t.rlike(P.DATE), _header_date(F.col("_lines"), header))),
+            "_served": first_match(t, P.SERVICE_DATE),
+            "_currency": first_match(t, P.CURRENCY),
+            "_net": first_match(t, P.NET), "_vat": first_match(t, P.VAT_AMOUNT), "_gross": first_match(t, P.GROSS), "_rate": first_match(t, P.VAT_RATE),
             "description": _description(t, bare),
         }
+    )
+    amounts = {name: money.cents(money.parse_decimal(F.col(c))) for name, c in (("net_amount", "_net"), ("vat_amount", "_vat"), ("gross_amount", "_gross"))}
+    step = step.withColumns(amounts).withColumns(
+        {
+            "invoice_date": dates.normalize_date(F.col("_dated")),
+            "service_date": dates.normalize_date(F.col("_served")),
+            "currency": F.when(F.col("_currency") == "€", F.lit("EUR")).otherwise(F.col("_currency")),
+            "vat_rate": F.coalesce(money.parse_decimal(F.col("_rate")).cast("decimal(9,4)"), money.inferred_rate(F.col("net_amount"), F.col("vat_amount"))),
+        }
     )
-    step = step.withColumn("vat_rate", F.coalesce("vat_rate", money.inferred_rate(F.col("net_amount"), F.col("vat_amount"))))
     return step.select(*[F.col(c) for c in df.columns if c not in FIELDS], *FIELDS)
 
 
@@ -143,9 +150,8 @@ def coerce_json(answer: Column) -> Column:
     Amounts that aren't numbers, dates that aren't of ISO shape and blank strings become null.
     """
     bare = strip(F.regexp_replace(strip(answer), P.CODE_FENCE, ""))
-    got = F.when(bare.rlike(r"(?s)^\{.*\}$"), F.from_json(bare, "map<string,string>"))
 
-    def value(name: str) -> Column:
+    def value(got: Column, name: str) -> Column:
         own = strip(got[name])
         if name in ("net_amount", "vat_amount", "gross_amount"):
             own = money.parse_decimal(got[name]).cast("decimal(18,2)")
@@ -157,7 +163,8 @@ def coerce_json(answer: Column) -> Column:
             own = present(own)
         return own.alias(name)
 
-    return F.when(got.isNotNull(), F.struct(*[value(n) for n in FIELDS]))
+    got = let(bare, lambda b: F.when(b.rlike(r"(?s)^\{.*\}$"), F.from_json(b, "map<string,string>")))
+    return let(got, lambda g: F.when(g.isNotNull(), F.struct(*[value(g, n) for n in FIELDS])))
 
 
 def model_answers(ask: Callable[[str], str | None]) -> Callable[[Column], Column]:

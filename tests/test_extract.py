@@ -72,3 +72,19 @@ def test_answers_name_customers_of_five_digits(spark, tmp_path):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet')")
     for query in ("rendered_fields", "rendered_answers"):
         assert rows(QUERIES[query](spark, str(tmp_path)).toPandas()) == rows(con.execute(SQL[query]).df())
+
+
+def test_no_pattern_of_a_field_stands_twice_in_the_plan(spark):
+    from ledgerloom.functions import patterns as P
+
+    plan = extract_fields(spark.createDataFrame([("x",)], "text string"))._jdf.queryExecution().optimizedPlan().toString()
+    for p in (P.INVOICE_DATE[0], *P.NET[:1], *P.GROSS[:1], P.DESCRIPTION[0], P.SERVICE_DATE[0], P.VAT_RATE[0]):
+        assert plan.count(P.FLAGS + p + ",") == 1, p
+
+
+def test_space_of_unicode_is_stripped(spark):
+    from ledgerloom.functions.text import strip, strip_marks
+
+    raw = " \xa0\r\n a　b\x1f \t "
+    (r,) = spark.createDataFrame([(raw, " ,-\ta-b;: ")], "x string, y string").select(strip(F.col("x")), strip_marks(F.col("y"))).collect()
+    assert tuple(r) == ("a　b\x1f", "a-b")
