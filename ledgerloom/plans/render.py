@@ -34,10 +34,17 @@ def facts(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     addressed to another company, or have a VAT amount or total that is off.
     """
     price = (lineitem["l_extendedprice"].cast(MONEY) * (1 - lineitem["l_discount"].cast("decimal(4,2)"))).cast(MONEY)
-    part = lineitem["l_partkey"]
-    text = F.concat(F.lit("Artikel A"), part.cast("string"), F.when(part % 15 == 0, F.lit(" in der verstärkten Ausführung")).otherwise(F.lit("")), F.lit(" Standard"))
-    item = F.struct(lineitem["l_linenumber"].cast("int").alias("n"), text.alias("text"), lineitem["l_quantity"].cast("long").alias("quantity"), price.alias("amount"), (part % 15 == 0).alias("long"))
-    sums = lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.sort_array(F.collect_list(item)).alias("items"), F.sum(price).cast(MONEY).alias("net"))
+    line = F.struct(lineitem["l_linenumber"].cast("int").alias("n"), lineitem["l_partkey"].alias("part"), lineitem["l_quantity"].cast("long").alias("quantity"), price.alias("amount"))
+    lines = lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(line).alias("lines"))
+
+    def item(x: Column) -> Column:
+        long = x["part"] % 15 == 0
+        text = F.concat(F.lit("Artikel A"), x["part"].cast("string"), F.when(long, F.lit(" in der verstärkten Ausführung")).otherwise(F.lit("")), F.lit(" Standard"))
+        return F.struct(x["n"], text.alias("text"), x["quantity"], x["amount"], long.alias("long"))
+
+    def added(total: Column, x: Column) -> Column:
+        return F.coalesce((total + x["amount"]).cast("decimal(28,2)"), total, x["amount"])
+
     k, turn = F.col("k"), F.floor(F.col("k") / LAYOUTS)
     own = F.concat(F.lit("Handelshaus "), F.col("o_custkey").cast("string"), F.lit(" AG"))
 
@@ -45,7 +52,9 @@ def facts(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         every = [F.lit(n) for n in names] + ([] if more is None else [more])
         return F.get(F.array(*every), (turn % len(every)).cast("int"))
 
-    base = orders.select(F.col("o_orderkey").alias("k"), "o_custkey", F.to_date("o_orderdate").alias("invoice_day")).join(sums, "k").withColumn("layout", F.pmod(k, F.lit(LAYOUTS)).cast("int"))
+    base = orders.select(F.col("o_orderkey").alias("k"), "o_custkey", F.to_date("o_orderdate").alias("invoice_day")).join(lines, "k").withColumn("layout", F.pmod(k, F.lit(LAYOUTS)).cast("int"))
+    # made only now, so that the shuffle and the join carry numbers
+    base = base.withColumns({"items": F.sort_array(F.transform("lines", item)), "net": F.aggregate("lines", F.lit(None).cast("decimal(28,2)"), added).cast(MONEY)})
     rate = F.when(k % 7 == 0, F.lit(7)).otherwise(F.lit(19)).cast("decimal(9,4)")
     vat = (F.round(F.col("net") * rate / 100, 2) + F.when(k % 19 == 0, 1).otherwise(0)).cast(MONEY)
     return base.select(

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import intervals, items, keywords, loose, prefix, sketches, skew
+from ledgerloom.plans import render
 
 
 def plan(df) -> str:
@@ -125,3 +126,38 @@ def test_items_of_odd_tables(spark):
     got = [(r.id, r.n, r.text, r.quantity, r.amount) for r in items.invoice_lines(df).orderBy("id", "n").collect()]
     assert got[:3] == [(0, 1, "Schraube M8 lang", 3, Decimal("1234.50")), (0, 2, "Mutter", 10, Decimal("2.50")), (1, 1, "A", 1, Decimal("1.00"))]
     assert [g[:2] for g in got[3:]] == [(3, 1)] and got[3][4] is None and df.select(F.size(items.items(F.col("text"))).alias("n")).filter("n IS NULL").count() == 0
+
+
+def test_items_are_found_in_one_pass(spark):
+    df = spark.createDataFrame([(1, "x")], "id int, text string")
+    plan = items.invoice_lines(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Bezeichnung") == 1 and plan.count("regexp_extract") == 1 and plan.count("regexp_extract_all") == 0 and plan.count("(.+?)") == 1
+
+
+def test_items_beside_characters_of_two_units_and_within_texts(spark):
+    """Places are counted in characters; an item's text may hold what the reader itself writes: dollars, backslashes, blanks."""
+    texts = [
+        "😀" * 40 + "\nBezeichnung Menge Betrag\nA 1 1,00 EUR\nB 2 2,00 EUR\nNetto 3,00 EUR", "Artikel Menge Preis Betrag\n" + "😀" * 20 + " 1 1,00 EUR\nNetto 5 9,00 EUR",
+        "Artikel Menge Betrag\r$1 \\ 2 x  y 3 7,50 €\rRest", "Artikel Menge Betrag\n\n  \n1 2 3 EUR\nC 99999999999999999999 1.5 EUR",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = [tuple(r) for r in items.invoice_lines(df).orderBy("id", "n").collect()]
+    assert got == [
+        (0, 1, "A", 1, Decimal("1.00")), (0, 2, "B", 2, Decimal("2.00")), (1, 1, "😀" * 20, 1, Decimal("1.00")), (2, 1, "$1 \\ 2 x y", 3, Decimal("7.50")),
+        (3, 1, "1", 2, Decimal("3.00")), (3, 2, "C", None, Decimal("1.50")),
+    ]
+    arrays = df.select("id", F.inline(items.items(F.col("text")))).orderBy("id", "n")
+    assert [tuple(r) for r in arrays.collect()] == got
+
+
+def test_facts_shuffle_numbers_alone(spark):
+    lines = spark.createDataFrame([(1, 2, 15, 3.0, 10.0, 0.1), (1, 1, 7, 1.0, 5.0, 0.0), (1, 3, 8, 1.0, None, 0.0), (2, 1, 7, 1.0, None, 0.0)], "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_discount double")
+    orders = spark.sql("SELECT o_orderkey, 5L AS o_custkey, DATE '2026-01-31' AS o_orderdate FROM VALUES (1L), (2L), (3L) AS t(o_orderkey)")
+    facts = render.facts(orders, lines)
+    got = {r.k: r for r in facts.collect()}
+    assert sorted(got) == [1, 2] and got[1].net == Decimal("14.00") and got[2].net is None
+    assert [(x["n"], x["text"], x["quantity"], x["amount"], x["long"]) for x in got[1]["items"]] == [
+        (1, "Artikel A7 Standard", 1, Decimal("5.00"), False), (2, "Artikel A15 in der verstärkten Ausführung Standard", 3, Decimal("9.00"), True), (3, "Artikel A8 Standard", 1, None, False),
+    ]
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Artikel" in plan and "Artikel" not in plan[plan.index("Aggregate") :]
