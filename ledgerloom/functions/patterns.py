@@ -20,7 +20,8 @@ INVOICE_DATE = [r"Rechnungsdatum:?\s*" + DATE, STANDALONE_DATE]
 SERVICE_DATE = [r"Leistungsdatum:?\s*" + DATE, r"Leistungszeitraum:?\s*.*?" + DATE, STANDALONE_DATE]
 CURRENCY = [r"\b(EUR|€)\b"]
 NET = [r"Nettobetrag:?\s*([\d.,]+)", r"Netto(?:summe)?:?\s*([\d.,]+)", r"Zwischensumme:?\s*([\d.,]+)"]
-VAT_RATE = [r"(?:USt\.?-?Satz|MwSt\.?-?Satz|Steuersatz):?\s*([\d.,]+)\s*%", r"([\d.,]+)\s*%\s*(?:USt|MwSt|Umsatzsteuer)"]
+#: The last one, a rate behind the name of the tax, is read before a rate is inferred from amounts.
+VAT_RATE = [r"(?:USt\.?-?Satz|MwSt\.?-?Satz|Steuersatz):?\s*([\d.,]+)\s*%", r"([\d.,]+)\s*%\s*(?:USt|MwSt|Umsatzsteuer)", r"\b(?:USt\.?|MwSt\.?|Umsatzsteuer)\s*([\d.,]+)\s*%"]
 VAT_AMOUNT = [
     r"(?:USt\.?-?Betrag|MwSt\.?-?Betrag|Umsatzsteuer)[^\n]*?([\d\.,]+)\s*(?:€|EUR)\b",
     r"(?:USt\.?|MwSt\.?|Umsatzsteuer)\s*\(\s*[\d\.,]+\s*%\s*\)[^\n]*?([\d\.,]+)",

@@ -29,6 +29,12 @@ def test_rate_is_inferred_from_amounts_but_not_from_zero(spark):
     assert a.vat_rate == Decimal("7.0000") and b.vat_rate is None
 
 
+def test_a_rate_behind_the_tax_is_read_not_inferred(spark):
+    """VAT that is off by one implies 19.1 of a small net amount."""
+    got = fields(spark, "Nettobetrag 1.879,46 EUR\nUmsatzsteuer 19 % 358,10 EUR\n", "Netto 100,00 EUR\nMwSt. 7,0% 8,00 EUR\n", "Netto 100,00 EUR\nUSt.-Betrag: 8,00 EUR\n")
+    assert [str(r.vat_rate) for r in got] == ["19.0000", "7.0000", "8.0000"]
+
+
 def test_currency_keeps_odd_case_and_needs_word_bounds_at_the_euro_sign(spark):
     a, b, c = fields(spark, "100 eur", "100 €", "100€5")
     assert (a.currency, b.currency, c.currency) == ("eur", None, "EUR")
