@@ -15,14 +15,15 @@ def normalize_date(value: Column) -> Column:
     """
     raw = strip(value)
 
-    def made(pattern: str, year: int, month: int, day: int) -> Column:
-        y = F.regexp_extract(raw, pattern, year)
+    def made(pattern: str, mark: str, order: tuple[int, int, int]) -> Column:
+        piece = [F.substring_index(raw, mark, 1), F.substring_index(F.substring_index(raw, mark, 2), mark, -1), F.substring_index(raw, mark, -1)]
+        y, m, d = (piece[i] for i in order)
         full = F.when(F.length(y) == 2, F.concat(F.when(y < "69", F.lit("20")).otherwise(F.lit("19")), y)).otherwise(y)
-        parts = F.concat_ws("-", full, F.lpad(F.regexp_extract(raw, pattern, month), 2, "0"), F.lpad(F.regexp_extract(raw, pattern, day), 2, "0"))
-        return F.when(raw.rlike(pattern), F.date_format(F.try_to_date(parts, "yyyy-MM-dd"), "yyyy-MM-dd"))
+        parts = F.concat_ws("-", full, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
+        return F.when(raw.rlike(pattern), F.try_to_date(parts, "yyyy-MM-dd").cast("string"))
 
     return F.coalesce(
-        made(r"^([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{4})$", 3, 2, 1),
-        made(r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$", 1, 2, 3),
-        made(r"^([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{2})$", 3, 2, 1),
+        made(r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$", ".", (2, 1, 0)),
+        made(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", "-", (0, 1, 2)),
+        made(r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{2}$", ".", (2, 1, 0)),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, money
 from ..functions import patterns as P
-from ..functions.text import early, first, first_match, found, let, lines, present, strip, strip_marks
+from ..functions.text import first_match, folded, found, is_odd, let, lines, match_of, present, strip, strip_marks
 from ..schemas import FIELDS
 
 _OTHER = r"(?iusU)" + P.OTHER_LABEL
@@ -18,33 +18,40 @@ _OTHER = r"(?iusU)" + P.OTHER_LABEL
 
 def _left_column(line: Column) -> Column:
     """A line up to the label of another field."""
-    cut = strip_marks(F.regexp_replace(line, _OTHER + ".*$", ""))
-    return F.when(line.rlike(_OTHER), cut).otherwise(strip(line))
+    return let(line, lambda x: F.when(x.rlike(_OTHER), strip_marks(F.regexp_replace(x, _OTHER + ".*$", ""))).otherwise(strip(x)))
 
 
 def _name_part(line: Column) -> Column:
-    """A line without a street or a postal code and city, and what follows."""
-    return strip_marks(F.regexp_replace(F.regexp_replace(line, P.STREET, ""), P.POSTAL_CITY, ""))
+    """A line without a street or a postal code and city, and what follows; both have digits."""
+    return strip_marks(F.when(line.rlike(r"(?U)\d"), F.regexp_replace(F.regexp_replace(line, P.STREET, ""), P.POSTAL_CITY, "")).otherwise(line))
 
 
 def _entities(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(P.ENTITY), F.lit(0))
 
 
-def _first_index(array: Column, test) -> Column:
-    """Zero-based place of the first element for which ``test`` holds; null if there is none."""
-    return first(F.transform(array, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
+def _first_of(array: Column, make, kind: str = "string") -> Column:
+    """The first value that isn't null of ``make``(element, place); what follows it isn't tried."""
+    none = F.struct(F.lit(None).cast(kind).alias("value"), F.lit(0).alias("i"))
+    return F.aggregate(array, none, lambda seen, x: F.struct(F.coalesce(seen["value"], make(x, seen["i"])).alias("value"), (seen["i"] + 1).alias("i")))["value"]
 
 
-def _first_of(array: Column, make) -> Column:
-    """The first value that isn't null of ``make``(element, place)."""
-    return first(F.transform(array, make), lambda x: x.isNotNull())
+def _first_index(array: Column, test) -> Column:
+    """Zero-based place of the first element for which ``test`` holds; null if there is none."""
+    return _first_of(array, lambda x, i: F.when(test(x), i), "int")
 
 
 def _labelled_recipient(line: Column, i: Column) -> Column:
     rest = strip_marks(F.regexp_replace(line, P.RECIPIENT_LABEL, ""), " :\t")
-    below = [present(_left_column(F.get("_bare", i + k))) for k in (1, 2)]
-    return F.when(line.rlike(P.RECIPIENT_LABEL), F.coalesce(present(_left_column(rest)), *below))
+    below = [found(_left_column(F.get("_bare", i + k))) for k in (1, 2)]
+    return F.when(line.rlike(P.RECIPIENT_LABEL), F.coalesce(found(_left_column(rest)), *below))
+
+
+def _recipient_by_label(bare: Column) -> Column:
+    """The recipient behind the first label or right below it, which _labelled holds; line by line only where nothing stands there."""
+    parts = F.split(F.col("_labelled"), "\n")
+    near = _first_of(parts, lambda x, i: found(_left_column(F.when(i == 0, strip_marks(x, " :\t")).otherwise(x))))
+    return F.when(F.col("_labelled") != "", F.coalesce(near, _first_of(bare, _labelled_recipient)))
 
 
 def _named_recipient(vendor: Column, header: Column):
@@ -72,13 +79,15 @@ def _named_recipient(vendor: Column, header: Column):
 
 def _with_letterhead(df: DataFrame) -> DataFrame:
     """``df`` with _letterhead, where _vendor is null: the first line with a legal form above any label, joined to a short line right above it."""
-    step = df.withColumn("_end", F.when(F.col("_legal") & F.col("_vendor").isNull(), F.coalesce(_first_index(F.col("_bare"), lambda x: x.rlike(P.RECIPIENT_LABEL) | x.rlike(_OTHER)), F.size("_bare"))))
+    bare = F.col("_bare")
     # address parts are cut from the end of a line, so only lines with a legal form anywhere can have one before it
-    step = step.withColumn("_at", _first_index(F.slice("_bare", F.lit(1), F.col("_end")), lambda x: x.rlike(P.LEGAL_FORM) & _name_part(x).rlike(P.LEGAL_FORM)))
+    step = df.withColumn("_form", F.when(F.col("_legal") & F.col("_vendor").isNull(), _first_index(bare, lambda x: x.rlike(P.LEGAL_FORM) & _name_part(x).rlike(P.LEGAL_FORM))))
+    labels = F.exists(F.slice(bare, F.lit(1), F.col("_form") + 1), lambda x: x.rlike(P.RECIPIENT_LABEL) | x.rlike(_OTHER))
+    step = step.withColumn("_at", F.when(F.col("_form").isNotNull() & ~labels, F.col("_form")))
     step = step.withColumn("_own", _name_part(F.get("_bare", F.col("_at")))).withColumn("_above", F.when(F.col("_at") > 0, _name_part(F.get("_bare", F.col("_at") - 1))))
     short = (F.col("_above") != "") & (F.size(F.split("_above", r"(?U)\s+")) <= 3)
     joined = F.when(short, strip(F.concat("_above", F.lit(" "), "_own"))).otherwise(F.col("_own"))
-    return step.withColumn("_letterhead", F.when(F.col("_at").isNotNull(), joined)).drop("_end", "_at", "_own", "_above")
+    return step.withColumn("_letterhead", F.when(F.col("_at").isNotNull(), joined)).drop("_form", "_at", "_own", "_above")
 
 
 def _plausible_vendor(line: Column) -> Column:
@@ -89,10 +98,14 @@ def _plausible_vendor(line: Column) -> Column:
     return (line != "") & ~((F.length(line) < 8) & single) & ~title & ~(shout & single & ~line.rlike(P.LEGAL_FORM))
 
 
-def _description(text: Column, bare: Column) -> Column:
-    labelled = [let(strip(F.regexp_extract(text, P.FLAGS + p, 1)), lambda c: F.when((c != "") & ~c.rlike(P.TABLE_HEADER), c)) for p in P.DESCRIPTION]
-    item = _first_of(bare, lambda x, i: found(strip_marks(F.regexp_extract(x, P.LINE_ITEM, 1), " -·\t")))
-    return F.coalesce(*labelled, F.when(text.rlike(P.ITEM_END), item))
+def _description(text: Column, low: Column, bare: Column) -> Column:
+    labelled = [let(strip(match_of(text, low, p)), lambda c: F.when((c != "") & ~c.rlike(P.TABLE_HEADER), c)) for p in P.DESCRIPTION]
+
+    def item(line: Column, i: Column) -> Column:
+        ends = F.endswith(line, F.lit("€")) | (F.lower(F.right(line, F.lit(3))) == "eur")
+        return F.when(ends, found(strip_marks(F.regexp_extract(line, P.LINE_ITEM, 1), " -·\t")))
+
+    return F.coalesce(*labelled, F.when(F.contains(low, F.lit("eur")) | F.contains(low, F.lit("€")), _first_of(bare, item)))
 
 
 def _header_date(ls: Column, header: Column) -> Column:
@@ -112,33 +125,36 @@ def extract_fields(df: DataFrame, text: str = "text") -> DataFrame:
     expressions use is a column of its own, so that no pattern is run twice.
     """
     t = F.col(text)
-    step = df.withColumn("_lines", lines(F.coalesce(t, F.lit("")))).withColumn("_bare", F.transform("_lines", strip))
-    step = step.withColumn("_legal", F.coalesce(t.rlike(P.LEGAL_FORM), F.lit(False)))
-    step = step.withColumn("_header", F.when(t.rlike(P.PARTIES_HEADER), _first_index(F.col("_lines"), lambda x: x.rlike(P.PARTIES_HEADER))))
-    bare, header = F.col("_bare"), F.col("_header")
+    step = df.withColumn("_odd", is_odd(t)).withColumns({"_low": folded(t, F.col("_odd")), "_lines": lines(F.coalesce(t, F.lit("")), F.col("_odd"))})
+    step = step.withColumn("_bare", F.when(F.col("_odd"), F.transform("_lines", strip)).otherwise(F.col("_lines")))
+    bare, low, header = F.col("_bare"), F.col("_low"), F.col("_header")
+    page = F.when(F.col("_odd"), F.array_join("_bare", "\n")).otherwise(t)
+    step = step.withColumns({"_legal": F.coalesce(low.rlike(P.LOW_LEGAL_FORM), F.lit(False)), "_labelled": F.regexp_extract(page, P.LABELLED_RECIPIENT, 1)})
+    step = step.withColumn("_header", F.when(low.rlike(P.PARTIES_HEADER), _first_index(F.col("_lines"), lambda x: folded(x, F.col("_odd")).rlike(P.PARTIES_HEADER))))
     row = F.filter(F.transform(F.slice(bare, header + 2, F.lit(3)), _entities), lambda e: F.size(e) >= 2)
     both = F.when(header.isNotNull(), strip(F.get(F.get(row, F.lit(0)), F.lit(0))))
-    step = _with_letterhead(step.withColumn("_vendor", F.coalesce(found(first_match(t, P.VENDOR)), found(both))))
-    step = step.withColumn("vendor_name", F.coalesce("_vendor", present(F.col("_letterhead")), early(bare, _plausible_vendor)))
-    recipient = F.coalesce(_first_of(bare, _labelled_recipient), F.when(F.col("_legal"), _first_of(bare, _named_recipient(F.col("vendor_name"), header))))
+    step = _with_letterhead(step.withColumn("_vendor", F.coalesce(found(first_match(t, low, P.VENDOR)), found(both))))
+    step = step.withColumn("vendor_name", F.coalesce("_vendor", present(F.col("_letterhead")), _first_of(bare, lambda x, i: F.when(_plausible_vendor(x), x))))
+    recipient = F.coalesce(_recipient_by_label(bare), F.when(F.col("_legal"), _first_of(bare, _named_recipient(F.col("vendor_name"), header))))
     step = step.withColumns(
         {
             "invoice_recipient": recipient,
-            "invoice_number": first_match(t, P.INVOICE_NUMBER),
-            "_dated": F.coalesce(found(first_match(t, P.INVOICE_DATE)), F.when(t.rlike(P.DATE), _header_date(F.col("_lines"), header))),
-            "_served": first_match(t, P.SERVICE_DATE),
-            "_currency": first_match(t, P.CURRENCY),
-            "_net": first_match(t, P.NET), "_vat": first_match(t, P.VAT_AMOUNT), "_gross": first_match(t, P.GROSS), "_rate": first_match(t, P.VAT_RATE),
-            "description": _description(t, bare),
+            "invoice_number": first_match(t, low, P.INVOICE_NUMBER),
+            "_dated": F.coalesce(found(first_match(t, low, P.INVOICE_DATE)), F.when(t.rlike(P.DATE), _header_date(F.col("_lines"), header))),
+            "_served": first_match(t, low, P.SERVICE_DATE),
+            "_currency": first_match(t, low, P.CURRENCY),
+            "_net": first_match(t, low, P.NET), "_vat": first_match(t, low, P.VAT_AMOUNT), "_gross": first_match(t, low, P.GROSS), "_rate": first_match(t, low, P.VAT_RATE),
+            "description": _description(t, low, bare),
         }
     )
-    amounts = {name: money.cents(money.parse_decimal(F.col(c))) for name, c in (("net_amount", "_net"), ("vat_amount", "_vat"), ("gross_amount", "_gross"))}
+    # the patterns' groups hold digits, dots and commas alone
+    amounts = {name: money.cents(money.parse_bare(F.col(c))) for name, c in (("net_amount", "_net"), ("vat_amount", "_vat"), ("gross_amount", "_gross"))}
     step = step.withColumns(amounts).withColumns(
         {
             "invoice_date": dates.normalize_date(F.col("_dated")),
             "service_date": dates.normalize_date(F.col("_served")),
             "currency": F.when(F.col("_currency") == "€", F.lit("EUR")).otherwise(F.col("_currency")),
-            "vat_rate": F.coalesce(money.parse_decimal(F.col("_rate")).cast("decimal(9,4)"), money.inferred_rate(F.col("net_amount"), F.col("vat_amount"))),
+            "vat_rate": F.coalesce(money.parse_bare(F.col("_rate")).cast("decimal(9,4)"), money.inferred_rate(F.col("net_amount"), F.col("vat_amount"))),
         }
     )
     return step.select(*[F.col(c) for c in df.columns if c not in FIELDS], *FIELDS)

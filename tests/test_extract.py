@@ -88,6 +88,25 @@ def test_no_pattern_of_a_field_stands_twice_in_the_plan(spark):
         assert plan.count(P.FLAGS + p + ",") == 1, p
 
 
+def test_folded_text_shows_letters_as_patterns_that_ignore_case_do(spark):
+    """Long s, Kelvin sign and both odd i count as s, k and i; places stay those of the text."""
+    texts = [
+        "\u0130\u0130\u0130 😀\nRechnungsnummer: AB-1\nNETTOBETRAG: 5,00 eur", "Zwi\u017fchen\u017fumme 10,00\nUm\u017fatz\u017fteuer 1,90 EUR", "VER\u212aÄUFER: Ä GmbH\r\n Be\u017fchre\u0131bung: Öl \n\xa0An:\xa0 X AG",
+        "Endbetrag 3,00 Gesamt 4,00", "xGesamt 4,00 Brutto-Betrag 2,00", "19,5 10 %\tUSt 7 % MwSt.: 8,00", "abcDatum 1.2.2020 Datum: 3.4.2021 Datum 5.6.22",
+    ]
+    a, b, c, d, e, f, g = fields(spark, *texts)
+    assert (a.invoice_number, a.net_amount, a.currency) == ("AB-1", Decimal("5.00"), "eur") and (b.net_amount, b.vat_amount) == (Decimal("10.00"), Decimal("1.90"))
+    assert (c.vendor_name, c.description, c.invoice_recipient) == ("Ä GmbH", "Öl", "X AG") and (d.gross_amount, e.gross_amount) == (Decimal("3.00"), None)
+    assert f.vat_rate == Decimal("10.0000") and g.invoice_date == "2021-04-03"
+
+
+def test_amounts_and_dates_are_read_from_folded_text(spark):
+    from ledgerloom.functions import patterns as P
+
+    plan = extract_fields(spark.createDataFrame([("x",)], "text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert all(P.FLAGS + p in plan and p == p.lower().replace("[^\\s]", "[^\\S]") for p in P.FOLDED) and "(?iudUm)N" not in plan
+
+
 def test_space_of_unicode_is_stripped(spark):
     from ledgerloom.functions.text import strip, strip_marks
 
