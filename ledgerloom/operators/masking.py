@@ -58,11 +58,13 @@ def _mask(state: Column, kind: str, pattern: str, check) -> Column:
 
 
 def sanitize(text: Column) -> Column:
-    """struct(text, mapping): the masked text and the map from token to value."""
-    state = F.struct(text.alias("text"), F.array().cast(_ENTRIES).alias("entries"))
+    """struct(text, mapping): the masked text and the map from token to value. A text without what identifiers begin with stays as it is."""
+    plain = F.struct(text.alias("text"), F.array().cast(_ENTRIES).alias("entries"))
+    state = plain
     for kind, pattern, check in KINDS:
         state = _once(state, kind, pattern, check)
-    return F.struct(state["text"].alias("text"), F.map_from_entries(state["entries"]).alias("mapping"))
+    state = F.when(F.contains(text, F.lit("@")) | text.rlike(P.IDENTIFIER), state).otherwise(plain)
+    return let(state, lambda s: F.struct(s["text"].alias("text"), F.map_from_entries(s["entries"]).alias("mapping")))
 
 
 def _once(state: Column, kind: str, pattern: str, check) -> Column:

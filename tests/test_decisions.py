@@ -191,3 +191,11 @@ def test_keys_of_a_row_are_made_once(spark):
     df = invoices.decide(spark.createDataFrame([("1", *GOOD.values())], "invoice_id string, " + EXTRACTED))
     plan = df.select("traffic_light")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[^A-Za-z0-9]") == 1 and "beispielenergiesaargmbh" in plan
+
+
+def test_texts_without_identifiers_are_not_masked_piece_by_piece(spark):
+    texts = ["Rechnung 100000 vom 01.02.2026\nNetto 1.000,00 EUR", "DE123", "", None, "DE89370400440532013000 a@b.de 0301234567"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("s", masking.sanitize(F.col("t")))
+    got = [(r.s.text, r.s.mapping) for r in df.orderBy("i").collect()]
+    assert got == [*[(t, {}) for t in texts[:4]], ("<IBAN_1> <EMAIL_1> <PHONE_1>", {"<IBAN_1>": "DE89370400440532013000", "<EMAIL_1>": "a@b.de", "<PHONE_1>": "0301234567"})]
+    assert "(?=[A-Z+0])" in df._jdf.queryExecution().optimizedPlan().toString()
