@@ -92,6 +92,18 @@ def test_intervals_against_all_pairs(spark):
     assert intervals.hold(spark.createDataFrame(points, "p int, at long"), spark.createDataFrame([], "q int, s long, e long"), "at", "s", "e").count() == 0
 
 
+def test_most_pairs_that_are_compared_are_results(spark, monkeypatch):
+    """Where points are dense, bins are narrower than intervals; where they are few, an interval is sent to two bins at most."""
+    seen = []
+    monkeypatch.setattr(intervals, "meet", lambda left, right, key, *rest: seen.append((left, right)) or left.join(right, key).filter(rest[0]))
+    spans = spark.range(200).select(F.col("id").alias("q"), (F.col("id") * 37).alias("s"), (F.col("id") * 37 + 1500 + F.col("id") % 900).alias("e"))
+    pairs = intervals.hold(spark.range(20_000).select(F.col("id").alias("p"), F.col("id").alias("at")), spans, "at", "s", "e").count()
+    left, right = seen[0]
+    assert pairs == sum(1501 + i % 900 for i in range(200)) and left.join(right, "_cell").count() < 1.6 * pairs
+    few = spark.range(500).select(F.col("id").alias("p"), (F.col("id") * 1000).alias("at"))
+    assert intervals.hold(few, spans, "at", "s", "e").count() == sum(1 for i in range(200) for p in range(500) if 37 * i <= 1000 * p <= 37 * i + 1500 + i % 900) and seen[1][1].count() <= 400
+
+
 def test_running_sums_of_one_large_group(spark):
     rng = random.Random(7)
     rows = [(g, i, rng.choice([None, Decimal(rng.randint(-500, 500))])) for i in range(700) for g in [rng.choice(["a", "a", "a", None])]]
