@@ -61,6 +61,8 @@ ENTITY = r"(?U)[A-ZÄÖÜ][\wÄÖÜäöüß]*(?:[\s.&-]+[A-Za-z0-9ÄÖÜäöüß
 STREET = r"(?iusU)\b[A-ZÄÖÜ][\wäöüß.\-]*(?:stra(?:ss|ß)e|str\.|weg|platz|allee|ring|gasse)\s*\d+[a-zA-Z]?\b.*$"
 #: A legal form behind five digits is no city: they belong to the name.
 POSTAL_CITY = r"(?sU)\b\d{5}\s+(?!(?iu:GmbH|mbH|AG|KG|UG|SE|KGaA)\b)[A-ZÄÖÜ][\wäöüß\-]*\b.*$"
+#: What its matches begin with.
+PARTIES = ("von", "lieferant", "verk")
 PARTIES_HEADER = r"(?dU)(?=[vl])\b(?:von|lieferant|verk[aä]ufer)\b.*\b(?:an|empf[aä]nger|rechnungsempf[aä]nger)\b"
 INVOICE_TITLE = r"(?iudU)^(?:Rechnung|Invoice)\s+[A-Za-z0-9][A-Za-z0-9\-\/]*$"
 BARE_DATE = r"(?U)\b" + DATE + r"\b"

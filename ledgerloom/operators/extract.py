@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, money
 from ..functions import patterns as P
-from ..functions.text import first_match, folded, found, is_odd, let, lines, match_of, present, strip, strip_marks
+from ..functions.text import any_of, first_match, folded, found, is_odd, let, lines, match_of, present, strip, strip_marks
 from ..schemas import FIELDS
 
 _OTHER = r"(?iusU)" + P.OTHER_LABEL
@@ -27,7 +27,7 @@ def _name_part(line: Column) -> Column:
 
 
 def _entities(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(P.ENTITY), F.lit(0))
+    return F.when(line.rlike(P.LEGAL_FORM), F.regexp_extract_all(line, F.lit(P.ENTITY), F.lit(0)))
 
 
 def _first_of(array: Column, make, kind: str = "string") -> Column:
@@ -130,7 +130,7 @@ def extract_fields(df: DataFrame, text: str = "text") -> DataFrame:
     bare, low, header = F.col("_bare"), F.col("_low"), F.col("_header")
     page = F.when(F.col("_odd"), F.array_join("_bare", "\n")).otherwise(t)
     step = step.withColumns({"_legal": F.coalesce(low.rlike(P.LOW_LEGAL_FORM), F.lit(False)), "_labelled": F.regexp_extract(page, P.LABELLED_RECIPIENT, 1)})
-    step = step.withColumn("_header", F.when(low.rlike(P.PARTIES_HEADER), _first_index(F.col("_lines"), lambda x: folded(x, F.col("_odd")).rlike(P.PARTIES_HEADER))))
+    step = step.withColumn("_header", F.when(any_of([F.contains(low, F.lit(w)) for w in P.PARTIES]) & low.rlike(P.PARTIES_HEADER), _first_index(F.col("_lines"), lambda x: folded(x, F.col("_odd")).rlike(P.PARTIES_HEADER))))
     row = F.filter(F.transform(F.slice(bare, header + 2, F.lit(3)), _entities), lambda e: F.size(e) >= 2)
     both = F.when(header.isNotNull(), strip(F.get(F.get(row, F.lit(0)), F.lit(0))))
     step = _with_letterhead(step.withColumn("_vendor", F.coalesce(found(first_match(t, low, P.VENDOR)), found(both))))
@@ -147,12 +147,12 @@ def extract_fields(df: DataFrame, text: str = "text") -> DataFrame:
             "description": _description(t, low, bare),
         }
     )
-    # the patterns' groups hold digits, dots and commas alone
     amounts = {name: money.cents(money.parse_bare(F.col(c))) for name, c in (("net_amount", "_net"), ("vat_amount", "_vat"), ("gross_amount", "_gross"))}
+    # the groups of patterns of amounts and dates hold digits and marks alone
     step = step.withColumns(amounts).withColumns(
         {
-            "invoice_date": dates.normalize_date(F.col("_dated")),
-            "service_date": dates.normalize_date(F.col("_served")),
+            "invoice_date": dates.normalize_bare(F.col("_dated")),
+            "service_date": dates.normalize_bare(F.col("_served")),
             "currency": F.when(F.col("_currency") == "€", F.lit("EUR")).otherwise(F.col("_currency")),
             "vat_rate": F.coalesce(money.parse_bare(F.col("_rate")).cast("decimal(9,4)"), money.inferred_rate(F.col("net_amount"), F.col("vat_amount"))),
         }

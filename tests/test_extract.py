@@ -113,3 +113,12 @@ def test_space_of_unicode_is_stripped(spark):
     raw = " \xa0\r\n a　b\x1f \t "
     (r,) = spark.createDataFrame([(raw, " ,-\ta-b;: ")], "x string, y string").select(strip(F.col("x")), strip_marks(F.col("y"))).collect()
     assert tuple(r) == ("a　b\x1f", "a-b")
+
+
+def test_dates_are_read_without_formatters(spark):
+    from ledgerloom.functions import dates
+
+    df = spark.createDataFrame([(1, "\xa01.2.2020\n"), (2, "31.4.2020"), (3, "2020-1-5"), (4, "1.1.69"), (5, None), (6, "29.2.1900")], "i int, x string").withColumn("d", dates.normalize_date(F.col("x")))
+    assert [r.d for r in df.orderBy("i").collect()] == ["2020-02-01", None, "2020-01-05", "1969-01-01", None, None]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "gettimestamp" not in plan
